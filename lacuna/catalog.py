@@ -1,0 +1,6 @@
+"""The registered queries of the engine and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
