@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import mixing
+from lacuna.llm import linededup, mixing, urls
 from lacuna.llm.shared import table
 
+#: The url rules of query op2.
+URL_RULES = {
+    "com/en/": "block",
+    "example.com/en/7": "allow",
+    "net/de/": "block",
+    "example.net/de/8": "block",
+    "org/es/": "block",
+}
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.fit(urls.label_by_terms(pages))
+    return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op8_mix": op8_mix}
-ORACLES = {"op8_mix": mixing.sql()}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_urls": op2_urls, "op8_mix": op8_mix, "op10_lines": op10_lines}
+ORACLES = {"op8_mix": mixing.sql(), "op10_lines": linededup.sql()}
