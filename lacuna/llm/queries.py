@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import linededup, mixing, urls
+from lacuna.llm import linededup, mixing, simhash, urls
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -18,6 +18,11 @@ URL_RULES = {
 }
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = urls.fit(urls.label_by_terms(pages))
@@ -34,5 +39,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_urls": op2_urls, "op8_mix": op8_mix, "op10_lines": op10_lines}
+QUERIES = {"op1_simhash": op1_simhash, "op2_urls": op2_urls, "op8_mix": op8_mix, "op10_lines": op10_lines}
 ORACLES = {"op8_mix": mixing.sql(), "op10_lines": linededup.sql()}
