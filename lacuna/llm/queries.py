@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import linededup, mixing, simhash, urls
+from lacuna.llm import linededup, mixing, packing, quality, simhash, urls
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -29,6 +30,17 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), with_metrics=True)
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *metrics, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -39,5 +51,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_urls": op2_urls, "op8_mix": op8_mix, "op10_lines": op10_lines}
-ORACLES = {"op8_mix": mixing.sql(), "op10_lines": linededup.sql()}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_urls": op2_urls,
+    "op4_quality": op4_quality,
+    "op7_pack": op7_pack,
+    "op8_mix": op8_mix,
+    "op10_lines": op10_lines,
+}
+ORACLES = {"op4_quality": quality.sql(), "op8_mix": mixing.sql(), "op10_lines": linededup.sql()}
