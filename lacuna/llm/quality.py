@@ -71,7 +71,7 @@ class _Ids(dict):
 
 
 def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_repeat_words: words in windows of ``WINDOW`` words that stand twice or more in the text.
+    """n_stutters, words equal to the one before, and n_repeat_words: words in windows of ``WINDOW`` words that stand twice or more in the text.
 
     Windows are named exactly, by doubling: names of pairs of words, then pairs
     of those, then pairs of those within a document.
@@ -79,12 +79,14 @@ def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
     words = [x.split() for x in texts]
     sizes = np.array([len(x) for x in words], np.int64)
     total = int(sizes.sum())
-    out = np.zeros(len(texts), np.int64)
-    if total < WINDOW:
-        return {"n_repeat_words": out}
+    out, stutters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    found = {"n_repeat_words": out, "n_stutters": stutters}
     ids = _Ids()
     name = np.fromiter((ids[w] for own in words for w in own), np.int64, total)
     doc = np.repeat(np.arange(len(texts)), sizes)
+    np.add.at(stutters, doc[1:][(name[1:] == name[:-1]) & (doc[1:] == doc[:-1])], 1)
+    if total < WINDOW:
+        return found
     step = 1
     while 2 * step < WINDOW:
         both = name[:-step] * (int(name.max()) + 1) + name[step:]
@@ -94,7 +96,7 @@ def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
     inside = doc[: len(both)] == doc[WINDOW - 1 :][: len(both)]
     at = np.flatnonzero(inside)
     if not len(at):
-        return {"n_repeat_words": out}
+        return found
     name = np.unique(both[at], return_inverse=True)[1]
     _, inverse, count = np.unique(name * len(texts) + doc[at], return_inverse=True, return_counts=True)
     again = at[count[inverse] > 1]
@@ -102,7 +104,7 @@ def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
     np.add.at(cover, again, 1)
     np.add.at(cover, again + WINDOW, -1)
     np.add.at(out, doc[np.cumsum(cover[:-1]) > 0], 1)
-    return {"n_repeat_words": out}
+    return found
 
 
 GROUPS: dict[str, Callable[[list[bytes]], dict[str, np.ndarray]]] = {
@@ -132,6 +134,7 @@ RULES = (
     Rule("long_words", ("counts",), lambda m: m["word_chars"] > 25 * m["n_words"]),
     Rule("short_words", ("counts",), lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule("shouting", ("counts",), lambda m: 2 * m["n_upper"] > m["n_letters"]),
+    Rule("stutters", ("counts", "repeats"), lambda m: 10 * m["n_stutters"] > 3 * m["n_words"]),
     Rule("repeated_lines", ("lines",), lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
 )
 
@@ -259,13 +262,13 @@ WITH w AS (
 ), m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n.n, 0)::BIGINT AS n_dup_lines,
-    coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len([i for i in range(2, len(w) + 1) if w[i] = w[i - 1]]) AS n_stutters,
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
   FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN p ON w.r = p.r
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 2 * n_upper > n_letters OR 2 * n_dup_lines > n_lines) AS kept
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 2 * n_upper > n_letters OR 10 * n_stutters > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM b
 """

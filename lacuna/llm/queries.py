@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import linededup, mixing, packing, quality, simhash, urls
+from lacuna.llm import langid, linededup, mixing, packing, quality, simhash, toxicity, urls
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -30,6 +30,14 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    scored = toxicity.tag(docs, toxicity.fit(docs, labels), ["doc_id"], spans=None)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents"), with_metrics=True)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -37,6 +45,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *metrics, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    trees = langid.fit(docs.filter(~held_out))
+    found = langid.identify(docs, trees, ["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,7 +70,9 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
+    "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op6_langid": op6_langid,
     "op7_pack": op7_pack,
     "op8_mix": op8_mix,
     "op10_lines": op10_lines,
