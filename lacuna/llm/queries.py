@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import langid, linededup, mixing, packing, quality, simhash, toxicity, urls
+from lacuna.llm import langid, linededup, mixing, packing, quality, simhash, topk, toxicity, urls
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -62,6 +62,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_pack": op7_pack,
     "op8_mix": op8_mix,
+    "op9_topk": op9_topk,
     "op10_lines": op10_lines,
 }
-ORACLES = {"op4_quality": quality.sql(), "op8_mix": mixing.sql(), "op10_lines": linededup.sql()}
+ORACLES = {"op4_quality": quality.sql(), "op8_mix": mixing.sql(), "op9_topk": topk.sql(), "op10_lines": linededup.sql()}
