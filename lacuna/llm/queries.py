@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import langid, linededup, mixing, packing, quality, simhash, topk, toxicity, urls
+from lacuna.llm import langid, licenses, linededup, mixing, packing, quality, simhash, topk, toxicity, urls
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -45,6 +45,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *metrics, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    best = F.get("matches", 0)
+    return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), best["first_line"].alias("first_line"), F.size("matches").alias("n_matches"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.fold(F.col("doc_id"), 5) == 0
@@ -76,6 +82,7 @@ QUERIES = {
     "op2_urls": op2_urls,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_langid": op6_langid,
     "op7_pack": op7_pack,
     "op8_mix": op8_mix,

@@ -248,3 +248,93 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     names = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, in order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64))
+
+
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                h = np.array([fingerprint(x, size) for x in texts], np.uint64)
+                w = [xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h.view(np.int64)), pa.array(w, pa.binary())], ["doc_id", "fp", "w"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                sets = [shingle_set(x, size).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+
+    return run
+
+
+#: Lists of at most so many doc_ids are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the given ids; the list is broadcast if its counted size allows."""
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    return docs.join(F.broadcast(gone) if ids.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def duplicates(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The doc_ids that go if one document of each group of near-duplicates stays.
+
+    Texts of the same words (ASCII-lower-cased) are copies: the least doc_id
+    stands for them.  Among distinct texts the linked fingerprints only propose:
+    in each component the least doc_id stays and those whose shingle sets have a
+    Jaccard coefficient of at least ``similarity`` with it go; what is left
+    chooses its own least doc_id, and so on until nothing is left.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    prints = materialise(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_sketches(size), f"doc_id {id_type}, fp long, w binary"))
+    texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("fp").alias("fp")))
+    copies = prints.join(texts.select(F.col("w").alias("_w"), "least"), F.col("w") == F.col("_w")).filter("doc_id <> least").select("doc_id")
+    roots = components(link_fingerprints(texts.select("fp").distinct(), radius), "a", "b").withColumnsRenamed({"node": "_node"})
+    rooted = texts.join(roots, F.col("fp") == F.col("_node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n")).filter("n > 1")
+    open_ = materialise(rooted.join(several, F.col("root") == F.col("_root"), "left_semi"))
+    members = open_.select(F.col("least").alias("_id"))
+    bodies = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = materialise(bodies.mapInArrow(_sets(size), f"doc_id {id_type}, s array<long>"))
+    sets = sets.groupBy("doc_id").agg(F.min("s").alias("s"))
+    gone = copies
+    while not open_.isEmpty():
+        heads = open_.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("head"))
+        rest = open_.join(heads, F.col("root") == F.col("_root")).filter("least <> head").select("root", "least", "head")
+        mine = sets.select(F.col("doc_id").alias("least"), "s")
+        theirs = sets.select(F.col("doc_id").alias("head"), F.col("s").alias("t"))
+        common = F.size(F.array_intersect("s", "t"))
+        joined = rest.join(mine, "least").join(theirs, "head")
+        judged = materialise(joined.select("root", "least", (common >= similarity * (F.size("s") + F.size("t") - common)).alias("near")))
+        gone = gone.unionAll(judged.filter("near").select(F.col("least").alias("doc_id")))
+        open_ = judged.filter("NOT near").select("root", "least")
+    return materialise(gone.distinct())
+
+
+def dedup_documents(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates (see ``duplicates``).
+
+    Rows that share a doc_id are one document, of which one row stays; rows
+    without a doc_id stay as they are.  Null and empty texts are copies of each
+    other.  Further columns pass through; an empty table gives an empty result.
+    """
+    gone = duplicates(docs, size, radius, similarity)
+    again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return _without(docs, gone)
+    listed = again.select(F.col("doc_id").alias("_again"))
+    one = docs.join(listed, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return _without(_without(docs, again).unionByName(one), gone)
