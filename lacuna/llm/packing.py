@@ -29,13 +29,26 @@ SENTENCE_CUT = 1
 HARD_CUT = 6
 #: Tokens that are planned at a time; units that a worker remembers.
 BLOCK_TOKENS = 1 << 18
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 _SEQUENCES = 1 << 33
 _GRID = 256
 #: Texts with other white space than single blanks and newlines between words, or with what may be a special token, are encoded as a whole.
 _ODD = re.compile(r"[\x00\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n\n| \n|\n |<\||^[ \n]|[ \n]\Z")
 
 
+class _Places(dict):
+    """The place of each unit; a new one gets the next place and is noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = len(self)
+        self.fresh.append(unit)
+        return place
+
+
 class Encoder:
     """Byte-level BPE ids of texts, remembering the ids of white-space-led units.
 
@@ -52,7 +65,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.of: dict[str, int] = {}
+        self.of = _Places()
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.at, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
@@ -60,51 +73,56 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self) -> None:
+        """Encodes the fresh units, most of them in long runs that are cut before each led token."""
+        units, self.of.fresh = self.of.fresh, []
+        first = len(self.of) - len(units)
+        while len(self.of) > len(self.at):
+            self.at, self.len = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.len))
+        heads = np.array([u[:1] == "\x01" for u in units])
         led = [u if u[0] == "\n" else " " + u for u in units if u[:1] != "\x01"]
-        runs = ["".join(led[i : i + 512]) for i in range(0, len(led), 512)]
-        parts: list[np.ndarray] = []
-        for k, ids in enumerate(self._whole(runs)):
-            cuts = np.flatnonzero(self.blank[ids])
+        parts, lengths = [], []
+        for k, ids in enumerate(self._whole(["".join(led[i : i + 512]) for i in range(0, len(led), 512)])):
             own = led[k * 512 : (k + 1) * 512]
-            parts += np.split(ids, cuts[1:]) if len(cuts) == len(own) else self._whole(own)
-        parts += self._whole([u[1:] for u in units if u[:1] == "\x01"])
-        order = [u for u in units if u[:1] != "\x01"] + [u for u in units if u[:1] == "\x01"]
-        ids = np.concatenate(parts)
-        lengths = np.array([len(p) for p in parts], np.int64)
+            cuts = np.flatnonzero(self.blank[ids])
+            if len(cuts) == len(own):
+                parts.append(ids)
+                lengths.append(np.diff(np.append(cuts, len(ids))))
+            else:
+                alone = self._whole(own)
+                parts += alone
+                lengths.append(np.array([len(x) for x in alone]))
+        alone = self._whole([u[1:] for u in units if u[:1] == "\x01"])
+        parts += alone
+        lengths.append(np.array([len(x) for x in alone], np.int64))
+        ids, n = np.concatenate(parts), np.concatenate(lengths).astype(np.int64)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.int32)])
-        while len(self.of) + len(order) > len(self.at):
-            self.at, self.len = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.len))
-        first = len(self.of)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.len[first : first + len(order)] = lengths
-        self.at[first : first + len(order)] = self.used + np.cumsum(lengths) - lengths
+        place = first + np.concatenate([np.flatnonzero(~heads), np.flatnonzero(heads)])
+        self.len[place] = n
+        self.at[place] = self.used + np.cumsum(n) - n
         self.used += len(ids)
-        self.of.update(zip(order, range(first, first + len(order)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for null and empty ones."""
         if len(self.of) > REMEMBERED:
             self._clear()
-        split: list[list[str] | None] = []
-        fresh: set[str] = set()
+        places: list[np.ndarray | None] = []
         for text in texts:
             if not text or _ODD.search(text):
-                split.append(None)
+                places.append(None)
                 continue
             units = text.replace("\n", " \n").split(" ")
             units[0] = "\x01" + units[0]
-            split.append(units)
-            fresh.update(units)
-        if fresh := fresh - self.of.keys():
-            self._learn(sorted(fresh))
+            places.append(np.fromiter(map(self.of.__getitem__, units), np.int64, len(units)))
+        if self.of.fresh:
+            self._learn()
         out = []
-        for text, units in zip(texts, split, strict=True):
-            if units is None:
+        for text, k in zip(texts, places, strict=True):
+            if k is None:
                 out.append(self._whole([text])[0] if text else np.empty(0, np.int32))
                 continue
-            k = np.fromiter(map(self.of.__getitem__, units), np.int64, len(units))
             n = self.len[k]
             ends = np.cumsum(n)
             out.append(self.flat[np.repeat(self.at[k] - ends + n, n) + np.arange(ends[-1])])
