@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lacuna.catalog import diagnose
+from lacuna.catalog import diagnose, models
 
-QUERIES: dict = {**diagnose.QUERIES}
-ORACLES: dict[str, str] = {**diagnose.ORACLES}
+assert models
+QUERIES: dict = diagnose.QUERIES
+ORACLES: dict[str, str] = diagnose.ORACLES

@@ -182,4 +182,4 @@ def hessian(f: Callable[[np.ndarray], float], x: np.ndarray, eps: float = 1e-4)
 
 def standard_errors(variance: np.ndarray) -> list[float | None]:
     """Roots of the diagonal; None where it is not positive."""
-    return [math.sqrt(v) if v > 0 and math.isfinite(v) else None for v in np.diag(variance)]
+    return [math.sqrt(v) if v > 0 and math.isfinite(v) else None for v in np.diag(variance).tolist()]

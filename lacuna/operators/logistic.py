@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import exprs
-from lacuna.functions.numerics import gauss_hermite, hessian, lbfgs, logistic_normal, sigmoid, standard_errors
+from lacuna.functions.numerics import gauss_hermite, hessian, lbfgs, sigmoid, standard_errors
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import Patterns, collect, degenerate, profile
 
@@ -110,7 +110,6 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: fl
         if len(mis):
             c[np.ix_(mis, mis)] = gaussian.conditional(m.mu, m.sigma, obs, mis)[2]
         covs[k] = c
-    nodes, weights = gauss_hermite(20)
 
     def partial(theta: np.ndarray):
         beta = theta[1:]
@@ -128,8 +127,9 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: fl
                     v = float(beta @ mb)
                     sign = 2 * y[on] - 1
                     if v > 1e-12:
+                        nodes, weights = gauss_hermite(20 if v <= 1 else 64)  # value and slope from one rule
                         t = sigmoid(sign[:, None] * (a[:, None] + np.sqrt(v) * nodes))
-                        prob = np.clip(logistic_normal(sign * a, np.full(len(a), v)) if v > 1 else t @ weights, 1e-15, 1)
+                        prob = np.clip(t @ weights, 1e-15, 1)
                         slope = sign * ((t * (1 - t)) @ weights) / prob
                         curve = (((t * (1 - t)) * (sign[:, None] * nodes)) @ weights) / (2 * np.sqrt(v)) / prob
                     else:
@@ -140,7 +140,7 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: fl
                     total[2:] -= f[on].T @ slope + 2 * mb * curve.sum()
             yield pa.RecordBatch.from_pydict({"i": list(range(width + 2)), "v": total.tolist()})
 
-        got = {r["i"]: r["s"] for r in rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("s")).collect()}
+        got = {r["i"]: r["s"] for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("s")).collect()}
         return np.array([got.get(i, 0.0) for i in range(width + 2)])
 
     def smooth(theta: np.ndarray) -> tuple[float, np.ndarray]:
