@@ -42,6 +42,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     """The k best candidates (query row, candidate row, score) of each query, never itself; ties to the smaller id.
 
     q: queries x dimensions, c: dimensions x candidates (vertical), whole numbers.
+    Scores beyond 64 bits are reported as the nearest long.
     """
     dims = q.shape[1]
     order = np.argsort(-(np.square(c.astype(np.float64)).sum(1) * np.square(q.astype(np.float64)).sum(0)), kind="stable") if dims else np.empty(0, int)
@@ -92,7 +93,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         best = -np.sort(-np.concatenate([best, fresh], 1), axis=1)[:, :k]
     if not out_q:
         return np.empty(0, int), np.empty(0, int), np.empty(0, np.int64)
-    i, j, s = np.concatenate(out_q), np.concatenate(out_c), np.array([int(x) for x in np.concatenate(out_s)], np.int64)
+    i, j, s = np.concatenate(out_q), np.concatenate(out_c), np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in np.concatenate(out_s)], np.int64)
     by = np.lexsort((c_ids[j], -s, i))
     i, j, s = i[by], j[by], s[by]
     kept = np.arange(len(i)) - np.searchsorted(i, i) < k
