@@ -6,4 +6,4 @@ from lacuna.catalog import diagnose, models
 
 assert models
 QUERIES: dict = diagnose.QUERIES
-ORACLES: dict[str, str] = diagnose.ORACLES
+ORACLES: dict[str, str] = {k: v for k, v in diagnose.ORACLES.items() if v}

@@ -395,3 +395,65 @@ def _raw(name, f, sql):
 
 _raw("rbf_gram", _rbf_gram, f"SELECT a.k AS a, b.k AS b, round(CASE WHEN a.k = b.k THEN 1 ELSE exp(-0.1 * (pow(a.f0 - b.f0, 2) + pow(a.f1 - b.f1, 2) + a.s + b.s)) END, 6) AS k FROM {SUPPLIER} a, {SUPPLIER} b")
 _raw("gp_kernel", _gp_kernel, f"SELECT a.k AS a, b.k AS b, round(exp(-0.5 * pow(a.f1 - b.f1, 2)), 6) AS rbf, round((1 + sqrt(5) * abs(a.f1 - b.f1) + 5 * pow(a.f1 - b.f1, 2) / 3) * exp(-sqrt(5) * abs(a.f1 - b.f1)), 6) AS matern52, round(exp(-abs(a.f1 - b.f1)), 6) AS matern12 FROM {SUPPLIER} a, {SUPPLIER} b")
+
+
+@query("m_orders")
+def mixed_fit(df):
+    from lacuna.operators import mixed
+
+    m = mixed.fit(df, ["x1"], "y_grp", "g")
+    rows = [("intercept", m.fixed.intercept), ("x1", float(m.fixed.coef[0])), ("tau2", m.tau2), ("sigma2", m.sigma2), ("icc", m.icc)]
+    return df.sparkSession.createDataFrame([(a, float(b)) for a, b in rows], "term string, value double")
+
+
+@query("m_part")
+def sensitivity_curve(df):
+    from lacuna.operators import ensemble
+
+    return ensemble.delta_sweep(df, ["x1", "x2"], "y", "k")
+
+
+@query("m_part")
+def ensemble_linear(df):
+    from lacuna.operators import ensemble
+
+    models = ensemble.bagged(df, "k", lambda d: linear.fit(d, ["x1", "x2"], "y", l2=1.0, compute_se=False), 5)
+    return ensemble.predict_members(models, df, "k")
+
+
+@query("m_part")
+def cv_linear(df):
+    return resampling.cross_validate(df, "k", 3, lambda d: linear.fit(d, ["x1", "x2"], "y", l2=1.0, compute_se=False), "y")
+
+
+@query("m_customer")
+def lasso_classifier_fit(df):
+    from lacuna.operators import logistic
+
+    df = df.withColumn("b", (F.col("y") > 4000).cast("int"))
+    m = logistic.fit(df, ["x1"], "b", l2=0.0, l1=1.0, steps=10, compute_se=False)
+    return m.transform(df).select("k", "probability")
+
+
+def _nation_kernel(task):
+    def run(spark, sf_dir):
+        from lacuna.operators import kernels
+
+        t = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_regionkey").cast("double").alias("x1"), F.when(F.col("n_nationkey") % 6 > 0, F.col("n_nationkey").cast("double")).alias("x2"), (F.col("n_nationkey") * 2.0 + F.col("n_regionkey")).alias("y"))
+        t = t.withColumn("b", (F.col("y") > 25).cast("int"))
+        m = kernels.fit_process(t, ["x1", "x2"], "y") if task == "process" else kernels.fit_support(t, ["x1", "x2"], "b" if task == "classifier" else "y", task)
+        return m.transform(t).select("n_nationkey", "prediction")
+
+    return run
+
+
+def _event_windows(spark, sf_dir):
+    from lacuna.streaming.pattern_stream import windowed_patterns
+
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.when(F.col("event_id") % 12 >= 1, F.col("value")).alias("y"), F.when(F.col("event_id") % 10 >= 1, F.col("user_id")).alias("x2"))
+    return windowed_patterns(t, ["y", "x2"])
+
+
+for _task in ("process", "classifier", "regressor"):
+    _raw({"process": "gp_fit", "classifier": "svc_fit", "regressor": "svr_fit"}[_task], _nation_kernel(_task), "")
+_raw("event_pattern_windows", _event_windows, "SELECT time_bucket(INTERVAL '1 day', ts) AS start, concat(CASE WHEN event_id % 12 >= 1 THEN '0' ELSE '1' END, CASE WHEN event_id % 10 >= 1 THEN '0' ELSE '1' END) AS pattern, count(*) AS n FROM events GROUP BY 1, 2")
