@@ -194,8 +194,8 @@ def rank_sums(df: DataFrame, value: str, split: str) -> DataFrame:
     before = F.coalesce(F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("rank", before + (F.col("c") + 1) / 2)
     out = x.agg(
-        F.sum("c1").alias("n_missing"), F.sum(F.col("c") - F.col("c1")).alias("n_observed"), (F.sum(F.col("v") * F.col("c1")) / F.sum("c1")).alias("mean_missing"),
-        (F.sum(F.col("v") * (F.col("c") - F.col("c1"))) / F.sum(F.col("c") - F.col("c1"))).alias("mean_observed"),
+        F.sum("c1").alias("n_missing"), F.sum(F.col("c") - F.col("c1")).alias("n_observed"), F.try_divide(F.sum(F.col("v") * F.col("c1")), F.sum("c1")).alias("mean_missing"),
+        F.try_divide(F.sum(F.col("v") * (F.col("c") - F.col("c1"))), F.sum(F.col("c") - F.col("c1"))).alias("mean_observed"),
         F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties"),
     )
     return out.withColumn("u", F.col("r1") - F.col("n_missing") * (F.col("n_missing") + 1) / 2)

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 REPO = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, REPO)
+sys.path[:0] = [REPO, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = os.pathsep.join([REPO, os.environ.get("PYTHONPATH", "")])
 
 
