@@ -290,11 +290,11 @@ def sweep_crossover(df):
 
 @query("m_part", """
 WITH e AS (SELECT g AS feature, k % 2 AS m, avg(x2) AS coef, var_samp(x2) / count(*) AS var FROM {v} GROUP BY 1, 2), t AS (SELECT feature, count(*) AS m, avg(coef) AS estimate, avg(var) AS w, coalesce(var_samp(coef), 0) AS b FROM e GROUP BY 1)
-SELECT feature, m, round(estimate, 4) AS estimate, round(w, 4) AS within, round(b, 4) AS between, round(sqrt(w + (1 + 1 / m) * b), 5) AS se, round((m - 1) * pow(1 + 1 / ((1 + 1 / m) * b / w), 2), 2) AS df FROM t""")
+SELECT feature, m, round(estimate, 7) AS estimate, round(w, 7) AS within, round(b, 7) AS between, round(sqrt(w + (1 + 1 / m) * b), 7) AS se, round((m - 1) * pow(1 + 1 / ((1 + 1 / m) * b / w), 2), 5) AS df FROM t""")
 def rubin_pool(df):
     e = df.groupBy(F.col("g").alias("feature"), (F.col("k") % 2).alias("imputation")).agg(F.avg("x2").alias("coef"), (F.var_samp("x2") / F.count("*")).alias("var"))
     t = results.rubin(e)
-    return t.select("feature", "m", F.round("estimate", 4).alias("estimate"), F.round("within", 4).alias("within"), F.round("between", 4).alias("between"), F.round("se", 5).alias("se"), F.round("df", 2).alias("df"))
+    return t.select("feature", "m", F.round("estimate", 7).alias("estimate"), F.round("within", 7).alias("within"), F.round("between", 7).alias("between"), F.round("se", 7).alias("se"), F.round("df", 5).alias("df"))
 
 
 @query("m_part", """
