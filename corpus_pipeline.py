@@ -16,6 +16,8 @@ from lacuna.llm.shared import materialise, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of at least this toxicity are rejected.
 TOXIC = 0.5
+#: Units that a worker remembers between partitions while packing; other stages use the same workers.
+REMEMBERED = 150_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into token sequences; one row per piece, with its ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remember=REMEMBERED)
 
 
 STAGES = [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.shared import materialise
+from lacuna.llm.shared import materialise, small_batches, tidied
 
 #: ASCII white space that a key loses at both ends.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -146,7 +146,7 @@ def _pairs(min_chars: int):
 
 def line_pairs(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """(h1, h2, doc_id) of each distinct line key in each row."""
-    return docs.select("doc_id", "text").mapInArrow(_pairs(min_chars), "h1 long, h2 long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(_pairs(min_chars)), "h1 long, h2 long, doc_id long")
 
 
 def repeated_lines(pairs: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -244,6 +244,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
     the two counts must not be among the columns.
     """
     spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     pairs = line_pairs(docs, min_chars)
     index, shards = build_index(repeated_lines(pairs, min_docs))
     sizes = {r["shard"]: r["size"] for r in index.select("shard", "size").collect()}
@@ -268,7 +269,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
             found, last = look(h1, h2)
             return found & (last != _ids(batch)[rows])
 
-        return docs.mapInArrow(_rewrite(names, min_chars, mark, n_lines, n_dropped), schema)
+        return docs.mapInArrow(tidied(_rewrite(names, min_chars, mark, n_lines, n_dropped)), schema)
 
     of = {s: r for r, own in enumerate(rounds) for s in own}
     round_of = F.element_at(F.array(*[F.lit(of.get(s, 0)) for s in range(shards)]), (F.pmod(F.col("h2"), F.lit(shards)) + 1).cast("int"))
@@ -294,7 +295,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
         listed = [{(x["h1"] & _MASK, x["h2"] & _MASK) for x in own} if own else set() for own in batch.column("_drops").to_pylist()]
         return np.array([(int(a), int(b)) in listed[i] for i, a, b in zip(rows, h1, h2, strict=True)])
 
-    return joined.mapInArrow(_rewrite(names, min_chars, mark_listed, n_lines, n_dropped), schema)
+    return joined.mapInArrow(tidied(_rewrite(names, min_chars, mark_listed, n_lines, n_dropped)), schema)
 
 
 def sql() -> str:

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from lacuna.llm.shared import small_batches, tidied
+
 #: Cost, in tokens of padding, of a cut at the end of a sentence and at any other place in a document.
 SENTENCE_CUT = 1
 HARD_CUT = 6
@@ -104,9 +106,9 @@ class Encoder:
         self.at[place] = self.used + np.cumsum(n) - n
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], remember: int = REMEMBERED) -> list[np.ndarray]:
         """The ids of each text; none for null and empty ones."""
-        if len(self.of) > REMEMBERED:
+        if len(self.of) > remember:
             self._clear()
         places: list[np.ndarray | None] = []
         for text in texts:
@@ -201,7 +203,7 @@ _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset
 SCHEMA = "doc_id {}, " + ", ".join(f"{c} long" for c in _COLUMNS)
 
 
-def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: bool):
+def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: bool, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         sequence = TaskContext.get().partitionId() * _SEQUENCES
@@ -252,7 +254,7 @@ def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: b
             names = batch.column("doc_id").to_pylist()
             for start in range(0, batch.num_rows, 64):
                 texts = batch.column("text").slice(start, 64).to_pylist()
-                for name, ids in zip(names[start : start + 64], coder.encode(texts), strict=True):
+                for name, ids in zip(names[start : start + 64], coder.encode(texts, remember), strict=True):
                     pieces.append(np.append(ids, np.int32(end_id)))
                     segments.append((name, 0, len(ids) + 1, len(ids) + 1))
                     held += len(ids) + 1
@@ -260,11 +262,13 @@ def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: b
                     yield out
         if held and (out := flush(True)) is not None:
             yield out
+        if len(coder.of) > remember:
+            coder._clear()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor can
@@ -273,9 +277,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     order in which the table is read, partition by partition, so equal rows and
     null doc_ids are documents of their own; other columns are ignored; an empty
     table has no pieces.  A sequence is padded to ``length`` unless its length is
-    a power of two.
+    a power of two.  ``remember`` bounds the units that a worker keeps between
+    partitions (about 200 bytes each).
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     schema = SCHEMA.format(kind.simpleString()) + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, length, end_id, id_type, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(_pack(tokenizer, length, end_id, id_type, with_ids, remember)), schema)

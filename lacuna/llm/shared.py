@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,38 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Rows and bytes of an Arrow batch, where the session does not say otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_batched: set[str] = set()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session once, so that long texts do not pile up in a Python worker."""
+    if spark.sparkContext.applicationId not in _batched:
+        _batched.add(spark.sparkContext.applicationId)
+        given = dict(spark.sparkContext.getConf().getAll())
+        for key, value in BATCH.items():
+            if key not in given:
+                spark.conf.set(key, value)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which gives the memory it freed back to the system at the end of its partition.
+
+    Python workers are used again by later stages; what one keeps, the next lacks.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library; nothing to give back
+            return
+
+    return wrapped
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z alone, whatever the locale."""
     return F.translate(col, UPPER, LOWER)

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lacuna.llm.components import components
-from lacuna.llm.shared import materialise
+from lacuna.llm.shared import materialise, small_batches, tidied
 
 SEED = 42
 #: Nodes with more distinct fingerprints are split over their remaining bits.
@@ -75,9 +75,10 @@ def _print_batches(names: list[str], size: int, out: str):
 
 def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, out: str = "fp") -> DataFrame:
     """The columns ``keep`` of each row and its fingerprint as a (signed) long."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.LongType())])
     source = docs.select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(_print_batches(keep, size, out), schema)
+    return source.mapInArrow(tidied(_print_batches(keep, size, out)), schema)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -298,8 +299,9 @@ def duplicates(docs: DataFrame, size: int = 5, radius: int = 3, similarity: floa
     Jaccard coefficient of at least ``similarity`` with it go; what is left
     chooses its own least doc_id, and so on until nothing is left.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = materialise(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_sketches(size), f"doc_id {id_type}, fp long, w binary"))
+    prints = materialise(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(tidied(_sketches(size)), f"doc_id {id_type}, fp long, w binary"))
     texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("fp").alias("fp")))
     copies = prints.join(texts.select(F.col("w").alias("_w"), "least"), F.col("w") == F.col("_w")).filter("doc_id <> least").select("doc_id")
     roots = components(link_fingerprints(texts.select("fp").distinct(), radius), "a", "b").withColumnsRenamed({"node": "_node"})
@@ -308,7 +310,7 @@ def duplicates(docs: DataFrame, size: int = 5, radius: int = 3, similarity: floa
     open_ = materialise(rooted.join(several, F.col("root") == F.col("_root"), "left_semi"))
     members = open_.select(F.col("least").alias("_id"))
     bodies = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = materialise(bodies.mapInArrow(_sets(size), f"doc_id {id_type}, s array<long>"))
+    sets = materialise(bodies.mapInArrow(tidied(_sets(size)), f"doc_id {id_type}, s array<long>"))
     sets = sets.groupBy("doc_id").agg(F.min("s").alias("s"))
     gone = copies
     while not open_.isEmpty():

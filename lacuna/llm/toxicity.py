@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.shared import materialise
+from lacuna.llm.shared import materialise, small_batches, tidied
 
 #: At most about so many labelled documents of each label are fitted.
 FIT_DOCS = 1200
@@ -31,9 +31,9 @@ CANDIDATES = 400
 WINDOWS = 4
 WINDOW = 32
 STEPS = 80
-_SLICE = 2048
-_CHUNK = 256
-_REMEMBERED = 400_000
+_SLICE = 512
+_CHUNK = 128
+_REMEMBERED = 200_000
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -356,6 +356,7 @@ def tag(docs: DataFrame, chain: Chain, keep: list[str], score: str = "score", sp
     fields = [*(docs.schema[c] for c in keep), T.StructField(score, T.DoubleType())]
     if spans:
         fields.append(T.StructField(spans, T._parse_datatype_string(SPANS)))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +371,7 @@ def tag(docs: DataFrame, chain: Chain, keep: list[str], score: str = "score", sp
                     arrays.append(pa.array([_spans(t, x) for t, x in zip(texts, p, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, T.StructType(fields))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), T.StructType(fields))
 
 
 def _spans(text: bytes | None, p: np.ndarray) -> list[dict]:
