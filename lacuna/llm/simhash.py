@@ -17,8 +17,10 @@ the radius.  Links of a node leave it as a spanning forest, never as all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -256,15 +258,33 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64))
 
 
-def _sketches(size: int):
+def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that any two sets of at least ``similarity`` share one of theirs.
+
+    ``known`` (sorted) and ``counts`` rank the shingles, others count as rarest; the order is total, by (count, hash).
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    count = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))][: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def _sketches(size: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = order.value
         for whole in batches:
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
-                h = np.array([fingerprint(x, size) for x in texts], np.uint64)
                 w = [xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h.view(np.int64)), pa.array(w, pa.binary())], ["doc_id", "fp", "w"])
+                sets = [shingle_set(x, size) for x in texts]
+                first = [prefix(x, similarity, known, counts).view(np.int64) for x in sets]
+                columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "n", "first"])
 
     return run
 
@@ -280,6 +300,41 @@ def _sets(size: int):
     return run
 
 
+#: About so many texts are counted to rank the shingles, of which so many are ranked; this bears on the work, not on the result.
+ORDER_TEXTS = 20_000
+ORDER_SHINGLES = 500_000
+#: Texts that a shingle's list compares to the rest of it at once, in the first round and later.
+HEADS = (8, 64)
+
+
+def _order(docs: DataFrame, size: int):
+    """Broadcast (shingles, counts) of the shingles that a sample of the texts repeats most."""
+    share = min(1.0, ORDER_TEXTS / max(docs.count(), 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["text"])
+    sets = some.mapInArrow(tidied(_sets(size)), T.StructType([docs.schema["doc_id"], T.StructField("s", T.ArrayType(T.LongType()))]))
+    counted = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")
+    found = counted.orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).toArrow()
+    x, c = found["x"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    at = np.argsort(x)
+    return docs.sparkSession.sparkContext.broadcast((x[at], c[at]))
+
+
+def _near(posts: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of a head of a list and a text of the list whose sets are at least ``similarity``."""
+    a = heads.select("x", F.col("id").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    most = F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
+    met = posts.join(a, "x").filter(F.col("a") < F.col("id"))
+    met = met.filter(most + 1e-6 >= similarity * (F.col("n") + F.col("m") - most)).select("a", F.col("id").alias("b")).distinct()
+    mine = sets.select(F.col("doc_id").alias("b"), "s")
+    theirs = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("t"))
+    common = F.size(F.array_intersect("s", "t"))
+    return met.join(mine, "b").join(theirs, "a").filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    return df.join(ids.select(F.col(ids.columns[0]).alias("_minus")), F.col(column) == F.col("_minus"), "left_anti")
+
+
 #: Lists of at most so many doc_ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -290,50 +345,65 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if ids.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
-def duplicates(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The doc_ids that go if one document of each group of near-duplicates stays.
 
     Texts of the same words (ASCII-lower-cased) are copies: the least doc_id
-    stands for them.  Among distinct texts the linked fingerprints only propose:
-    in each component the least doc_id stays and those whose shingle sets have a
-    Jaccard coefficient of at least ``similarity`` with it go; what is left
-    chooses its own least doc_id, and so on until nothing is left.
+    stands for them.  Of the distinct texts, in the order of their doc_ids, one
+    goes if its shingle set has a Jaccard coefficient of at least ``similarity``
+    with one that stays.
+
+    All such pairs are found: two sets of that similarity share one of their
+    rarest shingles (``prefix``).  In each shingle's list the least texts are
+    compared to all others; a text that is among the least in all its lists
+    has met every lesser text it could resemble, so it stays unless one
+    that stays resembles it.  What is left makes shorter lists for the next round.
     """
     small_batches(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = materialise(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(tidied(_sketches(size)), f"doc_id {id_type}, fp long, w binary"))
-    texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("fp").alias("fp")))
-    copies = prints.join(texts.select(F.col("w").alias("_w"), "least"), F.col("w") == F.col("_w")).filter("doc_id <> least").select("doc_id")
-    roots = components(link_fingerprints(texts.select("fp").distinct(), radius), "a", "b").withColumnsRenamed({"node": "_node"})
-    rooted = texts.join(roots, F.col("fp") == F.col("_node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = materialise(rooted.join(several, F.col("root") == F.col("_root"), "left_semi"))
-    members = open_.select(F.col("least").alias("_id"))
-    bodies = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = materialise(bodies.mapInArrow(tidied(_sets(size)), f"doc_id {id_type}, s array<long>"))
-    sets = sets.groupBy("doc_id").agg(F.min("s").alias("s"))
-    gone = copies
-    while not open_.isEmpty():
-        heads = open_.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("head"))
-        rest = open_.join(heads, F.col("root") == F.col("_root")).filter("least <> head").select("root", "least", "head")
-        mine = sets.select(F.col("doc_id").alias("least"), "s")
-        theirs = sets.select(F.col("doc_id").alias("head"), F.col("s").alias("t"))
-        common = F.size(F.array_intersect("s", "t"))
-        joined = rest.join(mine, "least").join(theirs, "head")
-        judged = materialise(joined.select("root", "least", (common >= similarity * (F.size("s") + F.size("t") - common)).alias("near")))
-        gone = gone.unionAll(judged.filter("near").select(F.col("least").alias("doc_id")))
-        open_ = judged.filter("NOT near").select("root", "least")
-    return materialise(gone.distinct())
-
-
-def dedup_documents(docs: DataFrame, size: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    order = _order(docs, size)
+    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, order)), f"doc_id {kind}, w binary, n int, first array<long>"))
+    texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least")))
+    named = prints.join(texts.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
+    gone = [named.filter("doc_id <> least").select("doc_id")]
+    posts = named.filter("doc_id = least").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
+    several = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    posts = materialise(posts.join(several, F.col("x") == F.col("_x"), "left_semi"))
+    members = posts.select(F.col("id").alias("_id")).distinct()
+    bodies = docs.join(members, F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = bodies.mapInArrow(tidied(_sets(size)), f"doc_id {kind}, s array<long>")
+    sets = materialise(sets.groupBy("doc_id").agg(F.min("s").alias("s")))
+    for turn in count():
+        if posts.isEmpty():
+            break
+        rank = F.row_number().over(W.partitionBy("x").orderBy("id"))
+        heads = materialise(posts.withColumn("rank", rank).filter(F.col("rank") <= HEADS[min(turn, 1)]).drop("rank"))
+        near = materialise(_near(posts, heads, sets, similarity))
+        listed = posts.groupBy("id").agg(F.count("*").alias("all"))
+        leading = heads.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("met"))
+        unsure = materialise(listed.join(leading, F.col("id") == F.col("_id"), "left").filter("all > coalesce(met, 0)").select("id"))
+        while True:
+            stay = _minus(_minus(near.select("a").distinct(), "a", near.select("b")), "a", unsure)
+            went = materialise(near.join(stay.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"), "left_semi").select(F.col("b").alias("doc_id")).distinct())
+            if went.isEmpty():
+                break
+            gone.append(went)
+            near = materialise(_minus(_minus(near, "a", went), "b", went))
+            unsure = _minus(unsure, "id", went)
+        left = unsure.unionAll(near.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "_id")
+        posts = materialise(posts.join(left, F.col("id") == F.col("_id"), "left_semi"))
+    return materialise(reduce(DataFrame.unionAll, gone).distinct())
+
+
+def dedup_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates (see ``duplicates``).
 
     Rows that share a doc_id are one document, of which one row stays; rows
     without a doc_id stay as they are.  Null and empty texts are copies of each
     other.  Further columns pass through; an empty table gives an empty result.
     """
-    gone = duplicates(docs, size, radius, similarity)
+    gone = duplicates(docs, size, similarity)
     again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
         return _without(docs, gone)

@@ -68,3 +68,37 @@ def test_lines_and_toxic_documents(spark):
     lines = corpus_pipeline.drop_lines(spark, kept, SF)
     assert lines.columns == docs.columns and lines.count() == kept.count()
     assert all(r.n_chars == len(r.text) for r in lines.collect())
+
+
+def left_by_brute_force(texts, similarity=0.8):
+    """Ids that go, text by text in the order of ids."""
+    stay, gone = [], set()
+    for d, t in sorted(texts):
+        x = set(simhash.shingles(t.encode(), 5))
+        if any(len(x & y) >= similarity * len(x | y) for y in stay):
+            gone.add(d)
+        else:
+            stay.append(x)
+    return gone
+
+
+@pytest.mark.parametrize("heads", [(8, 64), (1, 2)])
+def test_all_near_copies_are_found(spark, words, monkeypatch, heads):
+    """Near copies more than 3 bits apart, chains, and a passage that many unlike texts share."""
+    monkeypatch.setattr(simhash, "HEADS", heads)
+    rng = np.random.default_rng(4)
+    passage, texts = words(30), []
+    for group in range(12):
+        base = words(120) if group % 3 else [*passage, *words(8)]
+        for _ in range(8):
+            base = base.copy()
+            for at in rng.integers(0, len(base), 1 + group % 3):
+                base[at] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(base))
+    texts = list(zip(rng.permutation(len(texts)).tolist(), texts, strict=True))
+    want = left_by_brute_force(texts)
+    prints = {d: simhash.fingerprint(t.encode(), 5) for d, t in texts}
+    assert 20 < len(want) < len(texts) - 20
+    assert any(min((prints[d] ^ p).bit_count() for e, p in prints.items() if e != d) > 3 for d in want)
+    gone = {r.doc_id for r in simhash.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert gone == want
