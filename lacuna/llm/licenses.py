@@ -6,6 +6,8 @@ templates by the Dice coefficient of their bigram multisets,
 ``2 |A and B| / (|A| + |B|)``.  A coefficient of t needs sizes between
 ``|A| t / (2 - t)`` and ``|A| (2 - t) / t``, so units outside the reach of all
 templates are not split into bigrams, and the others meet only templates in reach.
+Notices inside longer units are found by windows of a template's length over the
+words of the whole text, on lines that no matching unit covers.
 """
 
 from __future__ import annotations
@@ -46,6 +48,12 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
 
 
@@ -70,6 +78,10 @@ class Templates:
         self.least = min((a for a, _ in self.reach), default=1)
         self.most = max((b for _, b in self.reach), default=0)
         self.known = set().union(*self.grams) if self.grams else set()
+        self.holders: dict[tuple, list[int]] = {}
+        for k, grams in enumerate(self.grams):
+            for g in grams:
+                self.holders.setdefault(g, []).append(k)
 
     def best(self, tokens: list[str]) -> tuple[float, int] | None:
         """(Dice, template) of the best template at the threshold or above; ties to the first."""
@@ -88,8 +100,39 @@ class Templates:
         return found
 
 
+    def windows(self, tokens: list[str]) -> list[tuple[float, int, int, int]]:
+        """(Dice, template, first word, last word) of windows of a template's length at the threshold, best first, apart from each other.
+
+        A window starts at a bigram of its template: moving it there loses none.
+        """
+        at: dict[int, list[int]] = {}
+        for i, g in enumerate(zip(tokens, tokens[1:], strict=False)):
+            for k in self.holders.get(g, ()):
+                at.setdefault(k, []).append(i)
+        found = []
+        for k, hits in at.items():
+            size, end = self.sizes[k], 0
+            for start, i in enumerate(hits):
+                while end < len(hits) and hits[end] < i + size:
+                    end += 1
+                n = min(size, len(tokens) - 1 - i)
+                if 2 * (end - start) >= self.threshold * (n + size):
+                    own = Counter((tokens[j], tokens[j + 1]) for j in hits[start:end])
+                    dice = 2 * sum(min(c, self.grams[k][g]) for g, c in own.items()) / (n + size)
+                    if dice >= self.threshold:
+                        found.append((dice, k, i, hits[end - 1] + 1))
+        found.sort(key=lambda x: (-x[0], x[2], x[1]))
+        apart, taken = [], set()
+        for x in found:
+            span = range(x[2], x[3] + 1)
+            if taken.isdisjoint(span):
+                taken.update(span)
+                apart.append(x)
+        return apart
+
+
 def scan_text(text: str | None, templates: Templates) -> list[tuple[str, float, int, int]]:
-    """(licence, Dice, first line, last line), lines from 0, of each matching unit, best first.
+    """(licence, Dice, first line, last line), lines from 0, of each matching unit, best first, then of each window.
 
     A unit of the same lines as another is taken once; a paragraph or text of
     one line is that line.
@@ -105,6 +148,11 @@ def scan_text(text: str | None, templates: Templates) -> list[tuple[str, float,
     units.setdefault((0, len(lines) - 1), [w for own in lines for w in own])
     found = [(best, span) for span, own in units.items() if (best := templates.best(own))]
     found.sort(key=lambda x: (-x[0][0], x[1], x[0][1]))
+    covered = {i for _, (a, b) in found for i in range(a, b + 1)}
+    line_of = [i for i, own in enumerate(lines) for _ in own]
+    for dice, k, i, j in templates.windows([w for own in lines for w in own]):
+        if covered.isdisjoint(range(line_of[i], line_of[j] + 1)):
+            found.append(((dice, k), (line_of[i], line_of[j])))
     return [(templates.names[k], dice, a, b) for (dice, k), (a, b) in found]
 
 
