@@ -84,9 +84,12 @@ def collect(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), prof: d
     z = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, center, scale, strict=True)]
     p = len(columns)
     aggs = [F.sum(z[i]).alias(f"s{i}") for i in range(p)] + [F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-    rows = df.groupBy(*by, mask(columns).alias("mask")).agg(F.count("*").alias("n"), *aggs).limit(MAX_PATTERNS * (1 if not by else 100) + 1).collect()
+    most = MAX_PATTERNS * (1 if not by else 100)
+    rows = df.groupBy(*by, mask(columns).alias("mask")).agg(F.count("*").alias("n"), *aggs).limit(most + 1).collect()
     if len({r["mask"] for r in rows}) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} missingness patterns; drop sparse columns or group them")
+    if len(rows) > most:
+        raise ValueError(f"more than {most} blocks of a group and a missingness pattern; drop sparse columns or take fewer groups")
     found: dict[tuple, Patterns] = {}
     for r in rows:
         obs = np.array([i for i in range(p) if r["mask"][i] == "0"], int)

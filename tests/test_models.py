@@ -205,3 +205,14 @@ def test_stream_of_patterns(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("patterns").collect())) == sorted(map(tuple, windowed_patterns(t, ["y"]).collect()))
+
+
+def test_too_many_blocks_are_refused(spark, monkeypatch):
+    """300 blocks of 150 groups and two patterns, where 200 blocks are allowed."""
+    from lacuna.plans import patterns
+
+    monkeypatch.setattr(patterns, "MAX_PATTERNS", 2)
+    df = spark.createDataFrame([(g, None if i else float(g), float(g + i)) for g in range(150) for i in range(2)], "g int, a double, b double")
+    with pytest.raises(ValueError, match="blocks"):
+        patterns.collect(df, ["a", "b"], by=("g",))
+    assert len(patterns.collect(df.filter("g < 100"), ["a", "b"], by=("g",))) == 100
