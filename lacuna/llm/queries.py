@@ -34,8 +34,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.fold(F.col("doc_id"), 4) == 2
     labels = table(spark, sf_dir, "labels").filter(~held_out)
-    scored = toxicity.tag(docs, toxicity.fit(docs, labels), ["doc_id"], spans=None)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = toxicity.tag(docs, toxicity.fit(docs, labels), ["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

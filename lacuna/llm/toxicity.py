@@ -4,16 +4,18 @@ Labels are given per document, so tokens are labelled first: words, and
 beginnings of words, far more frequent in toxic than in clean documents are
 candidates, and a greedy cover takes those that explain toxic documents which
 those taken before do not.  Their occurrences in toxic documents are the toxic tokens, all others clean.  A
-two-label chain is fitted to windows of such tokens (features: the word, its
+two-label chain is fitted to the whole texts of the sample (features: the word, its
 first four and six and its last four letters; transitions between labels).  Forward-backward over
 whole texts gives each token's toxic marginal; the marginals of a document
-aggregate to its score, calibrated on the labelled sample, and tokens above 0.5
-are the offending spans.
+aggregate to its score by statistics that do not grow with its length, calibrated
+on the labelled sample, and tokens above 0.5 are the offending spans.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +26,37 @@ from pyspark.sql import types as T
 
 from lacuna.llm.shared import materialise, small_batches, tidied
 
-#: At most about so many labelled documents of each label are fitted.
-FIT_DOCS = 1200
-#: Candidate words looked at, windows taken from a document, tokens in a window.
-CANDIDATES = 400
-WINDOWS = 4
-WINDOW = 32
-STEPS = 80
-_SLICE = 512
+#: At most about so many labelled documents of each label are fitted, with their whole texts.
+FIT_DOCS = 600
+STEPS = 40
+#: A unit is telling if its log-likelihood ratio is at least this share of the log of the number of units.
+CHANCE = 0.7
+#: Words over which a document's toxic words are spread when its score is taken.
+PRIOR_WORDS = 50
+_SLICE_BYTES = 4 << 20
 _CHUNK = 128
-_REMEMBERED = 200_000
-_EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+#: Words whose factor a worker remembers, twice over: those of late and those before; longer words are not remembered.
+_REMEMBERED = 250_000
+_LONGEST = 64
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def token(word: bytes) -> str:
     """The word lower-cased, without what is neither letter nor digit at its ends."""
-    return _EDGE.sub("", word.decode()).lower()
+    if word.isalpha():  # ASCII letters alone
+        return word.lower().decode()
+    text = word.decode("utf-8", "replace")
+    start, end = 0, len(text)
+    while start < end and not text[start].isalnum():
+        start += 1
+    while end > start and not text[end - 1].isalnum():
+        end -= 1
+    return text[start:end].lower()
 
 
-def features(word: str) -> tuple[str, ...]:
-    return ("w:" + word, "4:" + word[:4], "6:" + word[:6], "s:" + word[-4:])
+def features(word: str) -> tuple[str, str, str, str]:
+    """One feature of each kind: the word, its first four and six letters, its last four."""
+    return word, word[:4], word[:6], word[-4:]
 
 
 def units(word: str) -> set[str]:
@@ -56,55 +68,88 @@ def _tokens(text: bytes | None) -> list[str]:
     return [token(w) for w in (text or b"").split()]
 
 
-class Chain:
-    """Weights of the chain: per feature (toxic against clean), bias and log transition factors."""
+class _Factors(dict):
+    """The factor by which each word speaks for toxic, worked out at first sight.
 
-    def __init__(self, weights: dict[str, float], bias: float, moves: np.ndarray, calibration: tuple[float, ...]):
-        self.weights, self.bias, self.moves, self.calibration = weights, bias, moves, calibration
-        self.known: dict[bytes, float] = {}
+    When it is full, what it holds becomes the older half and what the older
+    half held is forgotten; words met again move back.
+    """
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    def __init__(self, weights: list[dict[str, float]], bias: float):
+        super().__init__()
+        self.weights, self.bias, self.older = weights, bias, {}
 
-    def odds(self, word: bytes) -> float:
-        """The factor by which a word speaks for toxic."""
-        value = self.known.get(word)
+    def __missing__(self, word: bytes) -> float:
+        value = self.older.get(word)
         if value is None:
-            total = self.bias + sum(self.weights.get(f, 0.0) for f in features(token(word)))
-            value = self.known[word] = float(np.exp(np.clip(total, -30, 30)))
+            whole = token(word)
+            a, b, c, d = self.weights
+            total = self.bias + a.get(whole, 0.0) + b.get(whole[:4], 0.0) + c.get(whole[:6], 0.0) + d.get(whole[-4:], 0.0)
+            value = math.exp(min(30.0, max(-30.0, total)))
+        if len(word) <= _LONGEST:
+            self[word] = value
         return value
 
+    def trim(self) -> None:
+        if len(self) > _REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
+class Chain:
+    """Weights of the chain: per kind of feature (toxic against clean), bias and log transition factors."""
+
+    def __init__(self, weights: list[dict[str, float]], bias: float, moves: np.ndarray, calibration: tuple[float, ...]):
+        self.weights, self.bias, self.moves, self.calibration = weights, bias, moves, calibration
+        self.known: _Factors | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": None}
+
     def marginals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The toxic marginal of every word of every text."""
-        if len(self.known) > _REMEMBERED:
-            self.known = {}
-        sizes = np.array([len(t) for t in texts], np.int64)
-        x = np.fromiter((self.odds(w) for t in texts for w in t), np.float64, int(sizes.sum()))
+        if self.known is None:
+            self.known = _Factors(self.weights, self.bias)
+        self.known.trim()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        x = np.fromiter(map(self.known.__getitem__, chained.from_iterable(texts)), np.float64, int(sizes.sum()))
         p = chain_marginals(x, sizes, np.exp(self.moves))
         return np.split(p, np.cumsum(sizes)[:-1]) if len(texts) else []
 
     def score(self, p: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.calibration, summary(p)), -40, 40))))
+        return float(1 / (1 + math.exp(-min(40.0, max(-40.0, float(np.dot(self.calibration, summary(p))))))))
 
 
 def summary(p: np.ndarray) -> np.ndarray:
-    """What a document's marginals say: at least one toxic token, how many, how dense; and 1."""
+    """What a document's marginals say, none of which grows with its length; and 1.
+
+    The root of the toxic words' density, smoothed by ``PRIOR_WORDS`` clean words
+    for the sake of short texts, and the mean of the highest marginals, one for each ``PRIOR_WORDS`` words begun.
+    """
     if not len(p):
-        return np.array([0.0, 0.0, 0.0, 1.0])
-    any_ = 1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-    return np.array([any_, np.log1p(p.sum()), np.sqrt(p.mean()), 1.0])
+        return np.array([0.0, 0.0, 1.0])
+    top = -(-len(p) // PRIOR_WORDS)
+    return np.array([math.sqrt(p.sum() / (len(p) + PRIOR_WORDS)), np.partition(p, len(p) - top)[-top:].mean(), 1.0])
 
 
 def chain_marginals(x: np.ndarray, sizes: np.ndarray, a: np.ndarray, chunk: int = _CHUNK) -> np.ndarray:
-    """Marginals of label 1 in independent chains laid end to end.
+    """Marginals of label 1 in independent chains laid end to end (see ``chain_messages``)."""
+    fore, back = chain_messages(x, sizes, a, chunk)
+    both = fore * back
+    return both[:, 1] / both.sum(1)
+
+
+def chain_messages(x: np.ndarray, sizes: np.ndarray, a: np.ndarray, chunk: int = _CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """The forward and backward messages at every token of independent chains laid end to end.
 
     x: each token's factor for label 1; a[i, j]: factor of a move from i to j.
+    The forward message holds the token's own factor, the backward one does not.
     Chains are cut into chunks: all chunks compute their transfer matrices side
     by side, the chunks of a chain are linked in order, and all chunks are run
     through once more with what enters them; long chains cost no more than short.
     """
     if not len(x):
-        return np.empty(0)
+        return np.empty((0, 2)), np.empty((0, 2))
     starts = np.cumsum(sizes) - sizes
     parts = -(-sizes // chunk)
     owner = np.repeat(np.arange(len(sizes)), parts)
@@ -153,75 +198,62 @@ def chain_marginals(x: np.ndarray, sizes: np.ndarray, a: np.ndarray, chunk: int
                 both = (now >= 0) & (then >= 0)
                 v = enter[then[both]]
                 enter[now[both]] = norm(np.einsum("nij,ni->nj", m[then[both]], v))
-    alpha, out = ahead.copy(), np.empty(len(x))
-    fore = np.empty((len(x), 2))
+    alpha, beta = ahead.copy(), behind.copy()
+    fore, back = np.empty((len(x), 2)), np.empty((len(x), 2))
     for k in range(len(active)):
         n = active[k]
         t = begin[:n] + k
         alpha[:n] = norm(step(alpha[:n], t, heads[:n] if k == 0 else None, True))
         fore[t] = alpha[:n]
-    beta = behind.copy()
-    for k in range(len(active)):
-        n = active[k]
         t = begin[:n] + length[:n] - 1 - k
-        both = fore[t] * beta[:n]
-        out[t] = both[:, 1] / both.sum(1)
+        back[t] = beta[:n]
         beta[:n] = norm(step(beta[:n], t, None, False))
-    return out
-
-
-def fit_chain(windows: list[tuple[list[str], list[int]]], steps: int = STEPS, ridge: float = 0.02, rate: float = 0.2) -> tuple[dict[str, float], float, np.ndarray]:
-    """Maximum conditional likelihood with a ridge, by Adam steps over all windows."""
-    index: dict[str, int] = {}
-    ids = np.array([[index.setdefault(f, len(index)) for f in features(w)] for t, _ in windows for w in t], np.int64)
-    y = np.array([v for _, own in windows for v in own], np.float64)
-    sizes = np.array([len(t) for t, _ in windows], np.int64)
+    return fore, back
+
+
+def pair_marginals(fore: np.ndarray, back: np.ndarray, x: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Expected number of moves (0,0), (0,1), (1,0), (1,1) over all chains."""
+    inner = np.ones(len(x), bool)
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    at = np.flatnonzero(inner)
+    right = back[at] * np.stack([np.ones(len(at)), x[at]], -1)
+    both = fore[at - 1][:, :, None] * a[None] * right[:, None, :]
+    return (both / both.sum((1, 2), keepdims=True)).sum(0).ravel()
+
+
+def fit_chain(texts: list[tuple[list[str], list[int]]], steps: int = STEPS, ridge: float = 0.02, rate: float = 0.3) -> tuple[list[dict[str, float]], float, np.ndarray]:
+    """Maximum conditional likelihood with a ridge, by Adam steps over all texts."""
+    index: dict[tuple[int, str], int] = {}
+    words: dict[str, int] = {}
+    name = np.fromiter((words.setdefault(w, len(words)) for t, _ in texts for w in t), np.int64)
+    own = np.array([[index.setdefault((k, f), len(index)) for k, f in enumerate(features(w))] for w in words], np.int64)
+    y = np.fromiter((v for _, marks in texts for v in marks), np.float64)
+    sizes = np.array([len(t) for t, _ in texts], np.int64)
     inner = np.ones(len(y), bool)
-    inner[np.cumsum(sizes) - sizes] = False
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
     n = len(index)
     theta = np.zeros(n + 5)
-    theta[n] = -2.0
+    theta[n] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
-    before = y[:-1][inner[1:]]
-    after = y[1:][inner[1:]]
-    seen = np.array([((before == i) & (after == j)).sum() for i, j in pairs], np.float64)
+    before, after = y[:-1][inner[1:]], y[1:][inner[1:]]
+    seen = np.array([((before == i) & (after == j)).sum() for i in (0, 1) for j in (0, 1)], np.float64)
     for k in range(1, steps + 1):
-        moves = theta[n + 1 :].reshape(2, 2)
-        x = np.exp(np.clip(theta[n] + theta[ids].sum(1), -30, 30))
-        p = chain_marginals(x, sizes, np.exp(moves))
-        both = _pair_marginals(p, x, sizes, np.exp(moves), inner)
-        gap = y - p
-        grad = np.concatenate([np.bincount(ids.ravel(), weights=np.repeat(gap, ids.shape[1]), minlength=n), [gap.sum()], seen - both])
+        moves = np.exp(theta[n + 1 :].reshape(2, 2))
+        x = np.exp(np.clip(theta[n] + theta[own].sum(1), -30, 30))[name]
+        fore, back = chain_messages(x, sizes, moves)
+        both = fore * back
+        gap = y - both[:, 1] / both.sum(1)
+        by_word = np.bincount(name, weights=gap, minlength=len(words))
+        by_feature = np.bincount(own.ravel(), weights=np.repeat(by_word, own.shape[1]), minlength=n)
+        grad = np.concatenate([by_feature, [gap.sum()], seen - pair_marginals(fore, back, x, sizes, moves)])
         grad -= ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[n]), theta[n + 1 :].reshape(2, 2)
-
-
-def _pair_marginals(p: np.ndarray, x: np.ndarray, sizes: np.ndarray, a: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Expected number of moves (0,0), (0,1), (1,0), (1,1) over all chains.
-
-    With the marginal of the second token given, its label's history follows
-    from the forward message, which is recovered by running the chains forward.
-    """
-    width = int(sizes.max())
-    starts = np.cumsum(sizes) - sizes
-    total = np.zeros(4)
-    v = np.ones((len(sizes), 2))
-    for k in range(width):
-        on = np.flatnonzero(sizes > k)
-        t = starts[on] + k
-        if k:
-            w = v[on, :, None] * a[None]
-            share = w / w.sum(1, keepdims=True)
-            after = np.stack([1 - p[t], p[t]], -1)
-            total += (share * after[:, None, :]).sum(0).ravel()
-            nxt = w.sum(1) * np.stack([np.ones(len(on)), x[t]], -1)
-        else:
-            nxt = np.stack([np.ones(len(on)), x[t]], -1)
-        v[on] = nxt / nxt.sum(1, keepdims=True)
-    return total
+    weights: list[dict[str, float]] = [{}, {}, {}, {}]
+    for (kind, f), i in index.items():
+        if abs(theta[i]) > 1e-3:
+            weights[kind][f] = float(theta[i])
+    return weights, float(theta[n]), theta[n + 1 :].reshape(2, 2)
 
 
 def _calibrate(rows: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -261,16 +293,25 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"unit": pa.array(found, pa.string()), "toxic": pa.array([toxic] * len(found), pa.int32())})
 
 
-def toxic_units(sample: DataFrame, candidates: int = CANDIDATES) -> set[str]:
-    """The words and beginnings whose tokens in toxic documents are labelled toxic."""
+def _one_sided(c1: int, c0: int, share: float) -> float:
+    """Log-likelihood ratio of c1 of c1 + c0 against a binomial of ``share``."""
+    n = c1 + c0
+    return c1 * math.log(c1 / n / share) + (c0 * math.log(c0 / n / (1 - share)) if c0 else 0.0)
+
+
+def toxic_units(sample: DataFrame) -> set[str]:
+    """The words and beginnings whose tokens in toxic documents are labelled toxic; the sample's size bounds them."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return set()
     counts = sample.mapInArrow(_units, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
     lift = ((F.col("c1") + 0.1) / n1) / ((F.col("c0") + 0.1) / n0)
-    found = counts.filter((F.col("c1") >= max(2, n1 // 60)) & (lift >= 4)).orderBy(F.desc("c1"), "unit").limit(candidates).collect()
-    seen = {r["unit"]: r["c1"] for r in found}
+    found = counts.filter((F.col("c1") >= 2) & (lift >= 4)).collect()
+    # of so many units few should be this one-sided by chance
+    bar, share = CHANCE * math.log(max(2, counts.count())), n1 / (n1 + n0)
+    found = [r for r in found if _one_sided(r["c1"], r["c0"], share) >= bar]
+    seen = {r["unit"]: r["c1"] for r in sorted(found, key=lambda r: (-r["c1"], r["unit"]))}
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,27 +337,25 @@ def toxic_units(sample: DataFrame, candidates: int = CANDIDATES) -> set[str]:
     return {u for u in seen if 6 * seen[u] >= usual} if chosen else set()
 
 
-def _windows(lexicon: set[str]):
+def _marked(lexicon: set[str]):
+    """Each text's tokens and which of them are labelled toxic."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = _tokens(text)
-                at = [i for i, w in enumerate(words) if not lexicon.isdisjoint(units(w))]
-                marks = np.zeros(len(words), int)
-                if toxic == 1:
-                    marks[at] = 1
-                marks = marks.tolist()
-                step = max(1, len(at) // WINDOWS)
-                starts = {max(0, i - WINDOW // 2) for i in at[::step][:WINDOWS]}
-                starts |= set(range(0, max(1, len(words)), max(2 * WINDOW, len(words) // 2)))
-                own = [(words[s : s + WINDOW], marks[s : s + WINDOW]) for s in sorted(starts) if words[s : s + WINDOW]]
-                yield pa.RecordBatch.from_pydict({"words": pa.array([w for w, _ in own], pa.list_(pa.string())), "marks": pa.array([m for _, m in own], pa.list_(pa.int32()))})
+            words = [_tokens(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            marks = [[int(toxic == 1 and not lexicon.isdisjoint(units(w))) for w in own] for own, toxic in zip(words, batch.column("toxic").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.list_(pa.string())), "marks": pa.array(marks, pa.list_(pa.int32()))})
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain:
-    """A chain from labelled documents; with one label or no telling word it answers that label's share."""
+    """A chain from labelled documents; with one label or no telling word it answers that label's share.
+
+    Labels without a doc_id or a value teach nothing; a document labelled twice
+    counts as toxic if one label says so; null and empty texts are documents
+    without words; further columns of either table are not looked at.
+    """
     sample = labelled_sample(docs, labels, fit_docs)
     lexicon = toxic_units(sample)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -324,10 +363,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain:
     prior = (total["t"] + 0.5) / (total["n"] + 1)
     shift = float(np.log(prior / (1 - prior)))
     if not lexicon:
-        return Chain({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, 0.0, shift))
-    windows = [(list(r["words"]), list(r["marks"])) for r in sample.mapInArrow(_windows(lexicon), "words array<string>, marks array<int>").orderBy("words", "marks").collect()]
-    weights, bias, moves = fit_chain(windows)
-    chain = Chain(weights, bias, moves, (0.0,) * 4)
+        return Chain([{}, {}, {}, {}], -10.0, np.zeros((2, 2)), (0.0, 0.0, shift))
+    marked = sample.mapInArrow(_marked(lexicon), "words array<string>, marks array<int>").toArrow()
+    texts = sorted(zip(marked["words"].to_pylist(), marked["marks"].to_pylist(), strict=True))
+    weights, bias, moves = fit_chain(texts)
+    chain = Chain(weights, bias, moves, (0.0,) * 3)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain:
     seen = sample.mapInArrow(summaries, "x array<double>, toxic int").orderBy("toxic", "x").collect()
     rows, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen])
     w = list(_calibrate(rows, y))
-    w[3] += shift - float(np.log((sizes[1] + 0.5) / (sizes[0] + 0.5)))
+    w[2] += shift - float(np.log((sizes[1] + 0.5) / (sizes[0] + 0.5)))
     return Chain(weights, bias, moves, tuple(w))
 
 
@@ -351,8 +391,10 @@ def tag(docs: DataFrame, chain: Chain, keep: list[str], score: str = "score", sp
     Spans are (start, end, marginal) in code points of words whose marginal is
     above 0.5; ``spans=None`` leaves them out.  Null and empty texts have no
     spans and the score of a text without toxic words; equal texts get equal
-    scores; an empty table gives an empty result.
+    scores; a very long text is scored as a whole; an empty table gives an empty
+    result.  Of ``keep``, columns named like the results give way to them.
     """
+    keep = [c for c in keep if c.lower() not in {score.lower(), (spans or score).lower()}]
     fields = [*(docs.schema[c] for c in keep), T.StructField(score, T.DoubleType())]
     if spans:
         fields.append(T.StructField(spans, T._parse_datatype_string(SPANS)))
@@ -361,20 +403,36 @@ def tag(docs: DataFrame, chain: Chain, keep: list[str], score: str = "score", sp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Chain = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(start, _SLICE)
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                p = model.marginals([(t or b"").split() for t in texts])
-                arrays = [*(batch.column(c) for c in keep), pa.array([model.score(x) for x in p], pa.float64())]
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            scores, found = [], []
+            for some in _groups(texts):
+                p = model.marginals([(t or b"").split() for t in some])
+                scores += map(model.score, p)
                 if spans:
-                    arrays.append(pa.array([_spans(t, x) for t, x in zip(texts, p, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
-                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+                    found += [_spans(t, x) for t, x in zip(some, p, strict=True)]
+            arrays = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64())]
+            if spans:
+                arrays.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), T.StructType(fields))
 
 
+def _groups(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """The texts in runs of about ``_SLICE_BYTES``, at least one text each."""
+    own, held = [], 0
+    for text in texts:
+        own.append(text)
+        held += len(text or b"")
+        if held >= _SLICE_BYTES:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
 def _spans(text: bytes | None, p: np.ndarray) -> list[dict]:
     if not len(p) or p.max() <= 0.5:
         return []
-    return [{"start": m.start(), "end": m.end(), "p": float(v)} for m, v in zip(_WORD.finditer(text.decode()), p, strict=True) if v > 0.5]
+    return [{"start": m.start(), "end": m.end(), "p": float(v)} for m, v in zip(_WORD.finditer(text.decode("utf-8", "replace")), p, strict=True) if v > 0.5]
