@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule needs some groups of metrics of a text.  On a sample every rule is run
-alone to estimate its cost (seconds per document) and its selectivity (share of
+alone to estimate its cost (seconds per document, without the groups that are
+wanted of every text anyhow) and its selectivity (share of
 documents it rejects); the cascade then asks the rules in order of rejection per
 cost, and computes a group of metrics only for the documents still standing.
-The order changes what is computed, never a verdict.
+The order changes what is computed, never whether a text is kept.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +36,39 @@ _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 
 
-def count_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_upper and n_letters (A-Z, a-z) of each text."""
+def _per_text(texts: list[bytes]):
+    """The texts' bytes, blanks between them, and a function that sums marks of bytes by text."""
     sizes = np.array([len(x) for x in texts], np.int64)
     ends = np.cumsum(sizes + 1)
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[data]
-    head = ~space & np.concatenate([[True], space[:-1]])
 
     def per_text(mark: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
         return run[ends] - run[ends - sizes - 1]
 
-    return {
-        "n_words": per_text(head),
-        "word_chars": per_text(_HEAD[data] & ~space),
-        "n_symbols": per_text(_SYMBOL[data]),
-        "n_upper": per_text(_UPPER[data]),
-        "n_letters": per_text(_LETTER[data]),
-    }
+    return np.frombuffer(b" ".join(texts) + b" ", np.uint8), per_text
+
+
+def count_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """n_words, word_chars and n_symbols of each text."""
+    data, per_text = _per_text(texts)
+    space = _SPACE[data]
+    head = ~space & np.concatenate([[True], space[:-1]])
+    return {"n_words": per_text(head), "word_chars": per_text(_HEAD[data] & ~space), "n_symbols": per_text(_SYMBOL[data])}
+
+
+def case_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """n_upper (A-Z) and n_letters (A-Z, a-z) of each text."""
+    data, per_text = _per_text(texts)
+    return {"n_upper": per_text(_UPPER[data]), "n_letters": per_text(_LETTER[data])}
+
+
+def stutter_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """n_stutters: words equal to the one before."""
+    found = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = text.split()
+        found[i] = sum(map(eq, words, islice(words, 1, None)))
+    return {"n_stutters": found}
 
 
 def line_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -71,7 +88,7 @@ class _Ids(dict):
 
 
 def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_stutters, words equal to the one before, and n_repeat_words: words in windows of ``WINDOW`` words that stand twice or more in the text.
+    """n_repeat_words: words in windows of ``WINDOW`` words that stand twice or more in the text.
 
     Windows are named exactly, by doubling: names of pairs of words, then pairs
     of those, then pairs of those within a document.
@@ -79,12 +96,11 @@ def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
     words = [x.split() for x in texts]
     sizes = np.array([len(x) for x in words], np.int64)
     total = int(sizes.sum())
-    out, stutters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    found = {"n_repeat_words": out, "n_stutters": stutters}
+    out = np.zeros(len(texts), np.int64)
+    found = {"n_repeat_words": out}
     ids = _Ids()
     name = np.fromiter((ids[w] for own in words for w in own), np.int64, total)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    np.add.at(stutters, doc[1:][(name[1:] == name[:-1]) & (doc[1:] == doc[:-1])], 1)
     if total < WINDOW:
         return found
     step = 1
@@ -109,6 +125,8 @@ def repeat_metrics(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 GROUPS: dict[str, Callable[[list[bytes]], dict[str, np.ndarray]]] = {
     "counts": count_metrics,
+    "case": case_metrics,
+    "stutters": stutter_metrics,
     "lines": line_metrics,
     "repeats": repeat_metrics,
 }
@@ -133,8 +151,8 @@ RULES = (
     Rule("symbols", ("counts",), lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
     Rule("long_words", ("counts",), lambda m: m["word_chars"] > 25 * m["n_words"]),
     Rule("short_words", ("counts",), lambda m: m["word_chars"] < 2 * m["n_words"]),
-    Rule("shouting", ("counts",), lambda m: 2 * m["n_upper"] > m["n_letters"]),
-    Rule("stutters", ("counts", "repeats"), lambda m: 10 * m["n_stutters"] > 3 * m["n_words"]),
+    Rule("shouting", ("case",), lambda m: 2 * m["n_upper"] > m["n_letters"]),
+    Rule("stutters", ("counts", "stutters"), lambda m: 10 * m["n_stutters"] > 3 * m["n_words"]),
     Rule("repeated_lines", ("lines",), lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
 )
 
@@ -143,10 +161,11 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, given: tuple[str, ...] = ()) -> list[tuple[str, float, float]]:
     """(rule, seconds per document, share rejected) on a sample of at most about ``sample_rows`` texts.
 
-    The sample is the rows whose text's hash is below a threshold.
+    The sample is the rows whose text's hash is below a threshold.  Groups of
+    metrics ``given`` for every text anyhow are no cost of a rule.
     """
     total = docs.count()
     share = min(1.0, sample_rows / max(1, total))
@@ -159,11 +178,15 @@ def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> li
             for start in range(0, batch.num_rows, _SLICE):
                 texts = _texts(batch.slice(start, _SLICE))
                 n += len(texts)
+                known: dict[str, np.ndarray] = {}
+                for g in given:
+                    known |= GROUPS[g](texts)
                 for i, rule in enumerate(rules):
                     began = time.perf_counter()
-                    metrics: dict[str, np.ndarray] = {}
+                    metrics = dict(known)
                     for g in rule.groups:
-                        metrics |= GROUPS[g](texts)
+                        if g not in given:
+                            metrics |= GROUPS[g](texts)
                     gone[i] += int(rule.rejects(metrics).sum())
                     spent[i] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "n": [n] * len(rules), "spent": spent, "gone": gone})
@@ -179,14 +202,18 @@ def order(rules, estimates: list[tuple[str, float, float]]) -> list[Rule]:
     return sorted(rules, key=lambda r: -by[r.name])
 
 
-def cascade(texts: list[bytes], rules: list[Rule]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def cascade(texts: list[bytes], rules: list[Rule], given: tuple[str, ...] = ()) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The position of the first rule that rejects each text (-1: kept), and the metrics computed on the way.
 
-    A metric is -1 where the cascade ended before it was needed.
+    Groups ``given`` are computed for all texts first; any other group only for
+    the texts that no rule before the one that needs it has rejected.  A metric
+    is -1 where the cascade ended before it was needed.
     """
     verdict = np.full(len(texts), -1, np.int64)
     metrics: dict[str, np.ndarray] = {}
-    known: dict[str, np.ndarray] = {}
+    known = {g: np.ones(len(texts), bool) for g in given}
+    for g in given:
+        metrics |= GROUPS[g](texts)
     for k, rule in enumerate(rules):
         alive = np.flatnonzero(verdict < 0)
         if not len(alive):
@@ -202,41 +229,33 @@ def cascade(texts: list[bytes], rules: list[Rule]) -> tuple[np.ndarray, dict[str
     return verdict, metrics
 
 
-_METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The metrics that can be asked for, by the group that computes them.
+METRICS = {"n_words": "counts", "word_chars": "counts", "n_symbols": "counts", "n_dup_lines": "lines", "n_repeat_words": "repeats"}
 
 
-def apply_rules(docs: DataFrame, rules=RULES, keep=("doc_id",), with_metrics: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The columns ``keep`` of each row, ``rejected_by`` (null: kept), and the metrics if asked for.
+def apply_rules(docs: DataFrame, rules=RULES, keep=("doc_id",), metrics: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The columns ``keep`` of each row, ``rejected_by`` (null: kept), and the metrics asked for.
 
-    rejected_by names the first rule of the planned order that rejects.  With
-    metrics all groups are computed for all texts, and the cascade costs nothing
-    more.  Null texts are empty and so are rejected by few_words; equal texts get
-    equal verdicts up to the order of the rules; columns named like the results
-    must not be in ``keep``; an empty table gives an empty result.
+    rejected_by names the first rule of the planned order that rejects; whether
+    one does depends on the text alone, which one on the order, which follows
+    measured times.  The groups of the metrics asked for are computed for all
+    texts, all others only as far as the cascade needs them.  Null texts are
+    empty and so are rejected by few_words; equal texts of a run get equal
+    verdicts; very long texts are judged as wholes; of ``keep``, columns named like the
+    results give way to them; an empty table gives an empty result.
     """
-    planned = order(rules, estimate(docs, rules, sample_rows))
+    given = tuple(dict.fromkeys(METRICS[m] for m in metrics))
+    planned = order(rules, estimate(docs, rules, sample_rows, given))
     names = [r.name for r in planned]
-    fields = [*(docs.schema[c] for c in keep), T.StructField("rejected_by", T.StringType())]
-    if with_metrics:
-        fields += [T.StructField(m, T.LongType()) for m in _METRICS]
+    keep = [c for c in keep if c.lower() not in {"rejected_by", *metrics}]
+    fields = [*(docs.schema[c] for c in keep), T.StructField("rejected_by", T.StringType()), *(T.StructField(m, T.LongType()) for m in metrics)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
-                texts = _texts(batch)
-                if with_metrics:
-                    metrics: dict[str, np.ndarray] = {}
-                    for g in GROUPS.values():
-                        metrics |= g(texts)
-                    verdict = np.full(len(texts), -1)
-                    for k, rule in enumerate(planned):
-                        verdict = np.where((verdict < 0) & rule.rejects(metrics), k, verdict)
-                else:
-                    verdict, metrics = cascade(texts, planned)
-                arrays = [*(batch.column(c) for c in keep), pa.array([names[k] if k >= 0 else None for k in verdict], pa.string())]
-                if with_metrics:
-                    arrays += [pa.array(metrics[m]) for m in _METRICS]
+                verdict, found = cascade(_texts(batch), planned, given)
+                arrays = [*(batch.column(c) for c in keep), pa.array([names[k] if k >= 0 else None for k in verdict], pa.string()), *(pa.array(found[m]) for m in metrics)]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, T.StructType(fields))

@@ -39,9 +39,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_rules(table(spark, sf_dir, "documents"), with_metrics=True)
+    metrics = tuple(quality.METRICS)
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), metrics=metrics)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *metrics, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 

@@ -44,6 +44,23 @@ def test_order_never_changes_a_verdict(reverse):
     assert [v < 0 for v in verdict] == kept
 
 
+def test_rejected_texts_are_spared_further_metrics(monkeypatch):
+    """Groups not given are computed for the texts still standing alone, and given ones once for all."""
+    asked: dict[str, list[int]] = {}
+
+    def counted(name, run):
+        return lambda texts: (asked.setdefault(name, []).append(len(texts)), run(texts))[1]
+
+    monkeypatch.setattr(quality, "GROUPS", {g: counted(g, run) for g, run in quality.GROUPS.items()})
+    texts = [(t or "").encode() for t in CASES]
+    given = tuple(dict.fromkeys(quality.METRICS.values()))
+    verdict, metrics = quality.cascade(texts, list(quality.RULES), given)
+    assert all(asked[g] == [len(texts)] for g in given)
+    base = sum(plain(t)["n_words"] >= 20 and 100 * plain(t)["n_repeat_words"] <= 30 * plain(t)["n_words"] for t in CASES)
+    assert 0 < sum(asked["case"]) <= base < len(texts) and sum(asked["stutters"]) <= base
+    assert (metrics["n_upper"] < 0).sum() == len(texts) - sum(asked["case"])
+
+
 def test_order_is_by_rejection_per_cost():
     rules = quality.RULES[:3]
     found = quality.order(rules, [(rules[0].name, 1.0, 0.1), (rules[1].name, 0.1, 0.1), (rules[2].name, 1.0, 0.5)])
@@ -52,7 +69,7 @@ def test_order_is_by_rejection_per_cost():
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)] + [(None, "a b", None)] * 2, "doc_id long, text string, n_words string")
-    rows = quality.apply_rules(df, with_metrics=True).collect()
+    rows = quality.apply_rules(df, keep=("doc_id", "n_words"), metrics=tuple(quality.METRICS)).collect()
     assert len(rows) == len(CASES) + 2
     assert [r.n_words for r in rows if r.doc_id is None] == [2, 2]
     lazy = {(r.doc_id, r.rejected_by is None) for r in quality.apply_rules(df).collect()}
