@@ -1,16 +1,17 @@
 """Language identification by prediction by partial matching.
 
-Each language has a byte context tree of orders 0 to 3 with frozen statistics
-and escape method C: in a context seen n times with d different bytes, a byte
-seen c times costs ``-log2(c / (n + d))`` bits and the escape to the next
-shorter context ``-log2(d / (n + d))``; below order 0 all bytes are equally
-likely.  A text's exact code length is the sum over its bytes, and the language
-with the shortest code is predicted.
-
-The statistics never change while scoring, so each tree is laid out as tables:
-the cost of every (context of 3, byte) seen in any language, and for the others
-the cost after a context of 2 plus the escape from the context of 3.  Scoring is
-then a few array look-ups per byte.
+Each language has a byte context tree of variable order, at most ``ORDER``, over
+all 256 byte values, with frozen statistics and escape method C: in a context
+seen n times with d different bytes, a byte seen c times costs
+``-log2(c / (n + d))`` bits and the escape to the next shorter context
+``-log2(d / (n + d))``; a context never seen is left at no cost; below order 0
+all bytes are equally likely.  A text's exact code length is the sum over its
+bytes, and the language with the shortest code is predicted.
+
+The statistics never change while scoring, so each order is laid out as two hash
+tables: the cost of every (context, byte) seen in any language, escapes
+included, and the escape of every context.  A text's bytes are looked up at the
+highest order, those not found there one order lower, and so on.
 """
 
 from __future__ import annotations
@@ -24,24 +25,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.llm.shared import small_batches, tidied
+
 #: At most about so many documents of each language are counted.
 FIT_DOCS = 400
-#: Bytes with a code of their own; all rarer ones share the last code at equal odds.
-CODES = 64
+#: Bytes of the longest context; a context and its byte must fit a 64-bit number.
+ORDER = 4
 UNDETERMINED = "und"
-_PAD = b"   "
 _CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
-
-
-def _grams(data: bytes) -> np.ndarray:
-    """The 4-grams of a text after three blanks, each as one number (first byte highest)."""
-    x = np.frombuffer(_PAD + data, np.uint8).astype(np.int64)
-    return (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
-
-
-def count_grams(labelled: DataFrame, label: str, fit_docs: int = FIT_DOCS) -> list[tuple[str, int, int]]:
-    """(language, 4-gram, count) over at most about ``fit_docs`` whole texts of each language.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _padded(texts: list[bytes], order: int) -> np.ndarray:
+    """The texts end to end, each after ``order`` blanks."""
+    return np.frombuffer(b"".join(b" " * order + t for t in texts), np.uint8)
+
+
+def _grams(x: np.ndarray, size: int) -> np.ndarray:
+    """Every run of ``size`` bytes as one number, the first byte highest."""
+    n = max(0, len(x) - size + 1)
+    out = np.zeros(n, np.int64)
+    for k in range(size):
+        out <<= 8
+        out |= x[k : k + n]
+    return out
+
+
+class Table:
+    """A hash table from distinct numbers to their positions, looked up many at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.slot_key, self.slot_row = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        open_ = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(open_):
+            free = self.slot_row[at[open_]] < 0
+            tried = open_[free]
+            self.slot_row[at[tried]] = tried  # of several that want a slot the last has it
+            won = self.slot_row[at[open_]] == open_
+            self.slot_key[at[open_[won]]] = keys[open_[won]]
+            open_ = open_[~won]
+            at[open_] = (at[open_] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 for others."""
+        at = self._slot(keys)
+        out = self.slot_row[at]
+        open_ = np.flatnonzero((out >= 0) & (self.slot_key[at] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slot_row) - 1)
+            out[open_] = self.slot_row[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.slot_key[at[open_]] != keys[open_])]
+        return out
+
+
+def count_grams(labelled: DataFrame, label: str, fit_docs: int = FIT_DOCS, order: int = ORDER) -> list[tuple[str, int, int]]:
+    """(language, context and byte, count) over at most about ``fit_docs`` whole texts of each language.
 
     Where a language has more, the rows whose hash is below a threshold count.
     """
@@ -56,7 +101,7 @@ def count_grams(labelled: DataFrame, label: str, fit_docs: int = FIT_DOCS) -> li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(batch.column("label").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                grams, counts = np.unique(_grams(text), return_counts=True)
+                grams, counts = np.unique(_grams(_padded([text], order), order + 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["label", "gram", "n"])
 
     counted = sample.mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
@@ -66,82 +111,64 @@ def count_grams(labelled: DataFrame, label: str, fit_docs: int = FIT_DOCS) -> li
 class Trees:
     """The context trees of all languages as cost tables."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], codes: int = CODES):
-        self.languages = sorted({c[0] for c in counts})
+    def __init__(self, counts: list[tuple[str, int, int]], order: int = ORDER):
+        self.languages, self.order = sorted({c[0] for c in counts}), order
         grams = np.array([c[1] for c in counts], np.int64)
-        n = np.array([c[2] for c in counts], np.int64)
-        lang = np.array([self.languages.index(c[0]) for c in counts], np.int64) if counts else np.empty(0, np.int64)
-        often = np.bincount(grams & 255, weights=n, minlength=256)
-        own = sorted(sorted(range(256), key=lambda b: (-often[b], b))[: codes - 1] + [0x20])
-        own = [b for b in dict.fromkeys(own)][: codes - 1] if 0x20 in own[: codes - 1] else [0x20, *own][: codes - 1]
-        self.size = len(own) + 1
-        self.code = np.full(256, self.size - 1, np.int64)
-        self.code[own] = np.arange(len(own))
-        self.shared_bits = np.log2(256 - len(own))
-        a = self.size
-        x = [self.code[(grams >> s) & 255] for s in (24, 16, 8, 0)]
-        key = ((x[0] * a + x[1]) * a + x[2]) * a + x[3]
-        shape = (len(self.languages), a, a, a, a)
-        self.keys = np.unique(key)
-        costs, base, escape = [], [], []
-        for k in range(shape[0]):
-            own_key, inverse = np.unique(key[lang == k], return_inverse=True)
-            own_n = np.bincount(inverse, weights=n[lang == k])
-            lower = np.full(1, 8.0)
-            table = None
-            for order in range(3):
-                full = np.bincount(own_key % a ** (order + 1), weights=own_n, minlength=a ** (order + 1)).reshape(-1, a)
-                table = self._order(full, lower)
-                lower = table.ravel()
-            context = np.bincount(own_key // a, weights=own_n, minlength=a**3)
-            distinct = np.bincount(own_key // a, minlength=a**3)
+        n = np.array([c[2] for c in counts], np.float64)
+        lang = np.searchsorted(self.languages, [c[0] for c in counts]) if counts else np.empty(0, np.int64)
+        width = len(self.languages)
+        #: by order: the (context, byte) pairs and the contexts seen in any language, with a cost for each language.
+        self.pairs: list[np.ndarray] = []
+        self.costs: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.escapes: list[np.ndarray] = []
+        self.tables: list[tuple[Table, Table]] | None = None
+        for k in range(order + 1):
+            pairs, at = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            seen = np.zeros((len(pairs), width))
+            np.add.at(seen, (at, lang), n)
+            contexts, of = np.unique(pairs >> 8, return_inverse=True)
+            total, distinct = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
+            np.add.at(total, of, seen)
+            np.add.at(distinct, of, seen > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                leave = np.where(context > 0, -np.log2(distinct / (context + distinct)), 0.0)
-            cost = leave[self.keys // a] + lower[self.keys % a**3]
-            at = np.searchsorted(self.keys, own_key)
-            cost[at] = -np.log2(own_n / (context + distinct)[own_key // a])
-            costs.append(cost.astype(np.float32))
-            base.append(lower.astype(np.float32))
-            escape.append(leave.astype(np.float32))
-        self.costs, self.base, self.escape = costs, base, escape
-        self.place = None
-
-    @staticmethod
-    def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Costs after each context (row), escaping to ``lower`` (one cost per shorter context and byte)."""
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        short = np.tile(lower.reshape(-1, counts.shape[1]), (counts.shape[0] * counts.shape[1] // max(1, lower.size), 1)) if lower.size > 1 else np.full(counts.shape, lower[0])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(counts / (total + distinct))
-            leave = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-        return np.where(counts > 0, seen, leave + short)
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+                own = -np.log2(seen / (total + distinct)[of])
+            shorter = self._shorter(pairs, k) if k else np.full((len(pairs), width), 8.0)
+            self.costs.append(np.where(seen > 0, own, escape[of] + shorter).astype(np.float32))
+            self.pairs.append(pairs)
+            self.contexts.append(contexts)
+            self.escapes.append(escape.astype(np.float32))
+
+    def _shorter(self, pairs: np.ndarray, k: int) -> np.ndarray:
+        """The costs of pairs of order k one order lower, where all their endings were seen too."""
+        return self.costs[k - 1][np.searchsorted(self.pairs[k - 1], pairs & ((1 << 8 * k) - 1))]
 
     def __getstate__(self):
-        return self.__dict__ | {"place": None}
+        return self.__dict__ | {"tables": None}
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """The code length of each text (row) under each language (column)."""
-        if self.place is None:
-            self.place = np.full(self.size**4, -1, np.int32)
-            self.place[self.keys] = np.arange(len(self.keys))
-        a = self.size
-        x = self.code[np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)]
+        if self.tables is None:
+            self.tables = [(Table(p), Table(c)) for p, c in zip(self.pairs, self.contexts, strict=True)]
         sizes = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(sizes + 3) - sizes - 3
-        context = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
-        row = self.place[context * a + x[3:]]
-        miss = np.flatnonzero(row < 0)
-        shorter = (context[miss] % a**2) * a + x[3:][miss]
-        rare = np.zeros(len(x) + 1)
-        np.cumsum(x == a - 1, out=rare[1:])
-        out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            cost = self.costs[k][row]
-            cost[miss] = self.escape[k][context[miss]] + self.base[k][shorter]
-            run = np.zeros(len(cost) + 1)
-            np.cumsum(cost, dtype=np.float64, out=run[1:])
-            out[:, k] = run[starts + sizes] - run[starts]
-        return out + ((rare[starts + 3 + sizes] - rare[starts + 3]) * self.shared_bits)[:, None]
+        ends = np.cumsum(sizes + self.order)
+        key = _grams(_padded(texts, self.order), self.order + 1)
+        cost = np.zeros((len(key), len(self.languages)))
+        left = np.arange(len(key))
+        for k in range(self.order, -1, -1):
+            own = key[left] & ((1 << 8 * (k + 1)) - 1)
+            pairs, contexts = self.tables[k]
+            row = pairs.rows(own)
+            found = row >= 0
+            cost[left[found]] += self.costs[k][row[found]]
+            left, own = left[~found], own[~found]
+            at = contexts.rows(own >> 8)
+            cost[left[at >= 0]] += self.escapes[k][at[at >= 0]]
+        cost[left] += 8.0
+        run = np.zeros((len(key) + 1, len(self.languages)))
+        np.cumsum(cost, axis=0, out=run[1:])
+        return run[ends - self.order] - run[ends - self.order - sizes]
 
 
 def _predict(trees, keep: list[str], pred: str, score: str):
@@ -160,7 +187,7 @@ def _predict(trees, keep: list[str], pred: str, score: str):
                     continue
                 bits = model.bits(group) if model.languages else np.zeros((len(group), 0))
                 for own, row in zip(group, bits, strict=True):
-                    if not len(row) or not _LETTER.search(own.decode()):
+                    if not len(row) or not _LETTER.search(own.decode("utf-8", "replace")):
                         names.append(UNDETERMINED)
                         scores.append(0.0)
                     else:
@@ -173,9 +200,9 @@ def _predict(trees, keep: list[str], pred: str, score: str):
     return run
 
 
-def fit(labelled: DataFrame, label: str = "lang", fit_docs: int = FIT_DOCS) -> Trees:
+def fit(labelled: DataFrame, label: str = "lang", fit_docs: int = FIT_DOCS, order: int = ORDER) -> Trees:
     """Trees from rows (doc_id, text, label); null texts and labels teach nothing."""
-    return Trees(count_grams(labelled, label, fit_docs))
+    return Trees(count_grams(labelled, label, fit_docs, order), order)
 
 
 def identify(docs: DataFrame, trees: Trees, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -183,12 +210,15 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str], pred: str = "lang_p
 
     Texts that are null or hold no letter are ``und`` with score 0, as is
     everything if no language was learned; equal texts get equal answers; ties
-    go to the first language in code-point order; an empty table gives an empty
-    result.  ``keep`` must not hold the names of the two results.
+    go to the first language in code-point order; very long texts are coded as
+    wholes; an empty table gives an empty result.  Of ``keep``, columns named like
+    the results give way to them.
     """
+    keep = [c for c in keep if c.lower() not in {pred.lower(), score.lower()}]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_predict(shared, keep, pred, score), schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(_predict(shared, keep, pred, score)), schema)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
