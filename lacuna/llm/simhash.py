@@ -3,16 +3,18 @@
 A text's fingerprint is the 64-bit majority of its shingles' hashes.  Equal
 fingerprints are one node; nodes at most ``radius`` bits apart are linked.
 
-The index has masked bit patterns shared by groups of fingerprints in its upper
-nodes.  Its top level is dealt over the cluster: with radius r the bits are cut
-into r + 2 blocks, of which two must agree in any linked pair, so each choice of
-two blocks is a mask and each value under the mask an upper node that holds
-every fingerprint with that pattern.  Nodes with many fingerprints are split
-once more the same way over the bits that are left.  Within a node the
-fingerprints are sorted by Gray rank, groups of neighbours get the bits they
-share as a pattern, groups of groups likewise, and a search goes down adding the
-differences of each level's own bits, dropping whole groups once the sum exceeds
-the radius.  Links of a node leave it as a spanning forest, never as all pairs.
+With radius r the bits are cut into r + 2 blocks, of which two must agree in any
+linked pair, so each choice of two blocks is a route: a mask under which the
+pair has the same bits.  A route's fingerprints are dealt over the cluster by
+these bits.  Each task holds its share of a route in one index: fingerprints are
+sorted by Gray rank, the masked bits first, groups of neighbours get the bits
+they share as a pattern, groups of groups likewise, so that masked patterns
+stand in the upper nodes.  A search goes down adding the differences of each
+level's own bits, those under the mask weighing more than the radius, and drops
+whole groups once the sum exceeds it.  A pattern under a mask that too many
+fingerprints share is dealt once more, by routes over its remaining bits, and
+what is then still too many in pairs of blocks.  Links leave a task as a spanning
+forest, never as all pairs.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from lacuna.llm.components import components
 from lacuna.llm.shared import materialise, small_batches, tidied
 
 SEED = 42
-#: Nodes with more distinct fingerprints are split over their remaining bits.
+#: More distinct fingerprints of one pattern under a mask are dealt once more.
 NODE_ROWS = 2048
+#: About so many rows (fingerprint and route) are dealt to a task.
+TASK_ROWS = 400_000
 #: Neighbours in Gray order that share a node of the index.
 FAN = 16
 _CHUNK = 1 << 16
@@ -91,12 +95,34 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return out
 
 
+def _arranged(fps: np.ndarray, mask: int) -> np.ndarray:
+    """The fingerprints with the bits under ``mask`` moved to the top, in their order."""
+    bits = [b for b in range(63, -1, -1) if mask >> b & 1] + [b for b in range(63, -1, -1) if not mask >> b & 1]
+    out = np.zeros_like(fps)
+    start = 0
+    while start < 64:  # runs of neighbouring bits move together
+        end = start + 1
+        while end < 64 and bits[end] == bits[end - 1] - 1:
+            end += 1
+        run = (fps >> np.uint64(bits[end - 1])) & np.uint64((1 << (end - start)) - 1)
+        out |= run << np.uint64(64 - end)
+        start = end
+    return out
+
+
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints in Gray order."""
+    """Hierarchical index over distinct fingerprints in Gray order, the bits under ``mask`` first.
+
+    A search finds what is at most a radius apart and equal under the mask.
+    ``looked`` and ``dropped`` count the groups that searches have compared and pruned.
+    """
 
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.fps = fps[self.order]
+    def __init__(self, fps: np.ndarray, mask: int = 0):
+        self.top = np.uint64((1 << mask.bit_count()) - 1 << 64 - mask.bit_count())
+        self.own = _arranged(fps, mask)
+        self.order = np.argsort(gray_rank(self.own), kind="stable")
+        self.fps = self.own[self.order]
+        self.looked = self.dropped = 0
         ones, any_ = self.fps, self.fps
         levels = []
         while len(ones) > 1:
@@ -111,27 +137,32 @@ class GrayIndex:
             above = shared
         self.leaf = np.full(len(fps), ~np.uint64(0)) if above is None else ~np.repeat(above, FAN)[: len(fps)]
 
-    def pairs(self, queries: np.ndarray, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, member) positions at most ``radius`` bits apart, block by block of queries."""
-        for start in range(0, len(queries), block):
-            q = np.arange(start, min(start + block, len(queries)))
+    def pairs(self, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i, j), i < j, of fingerprints at most ``radius`` bits apart and equal under the mask, block by block."""
+        sizes = [len(p) for p, _ in self.levels] + [len(self.fps)]
+        for start in range(0, len(self.fps), block):
+            q = np.arange(start, min(start + block, len(self.fps)))
             node, gap = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-            sizes = [len(p) for p, _ in self.levels] + [len(self.fps)]
             for level, (pattern, own) in enumerate([*self.levels, (self.fps, self.leaf)]):
                 if level:
                     q, gap = np.repeat(q, FAN), np.repeat(gap, FAN)
                     node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                     there = node < sizes[level]
                     q, gap, node = q[there], gap[there], node[there]
-                gap = gap + np.bitwise_count((queries[q] ^ pattern[node]) & own[node])
+                differ = (self.fps[q] ^ pattern[node]) & own[node]
+                gap = gap + np.bitwise_count(differ) + (radius + 1) * ((differ & self.top) != 0)
                 near = gap <= radius
+                if level < len(self.levels):
+                    self.looked += len(near)
+                    self.dropped += len(near) - int(near.sum())
                 q, gap, node = q[near], gap[near], node[near]
-            yield q, self.order[node]
+            a, b = self.order[q], self.order[node]
+            yield a[a < b], b[a < b]
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (position, position) that join exactly what links of at most ``radius`` bits join."""
-    parent = list(range(len(fps)))
+def forest(index: GrayIndex, radius: int) -> list[tuple[int, int]]:
+    """Links (position, position) that join exactly what the pairs of the index join."""
+    parent = list(range(len(index.fps)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -140,9 +171,8 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a, b in GrayIndex(fps).pairs(fps, radius):
-        up = a < b
-        for i, j in zip(a[up].tolist(), b[up].tolist(), strict=True):
+    for a, b in index.pairs(radius):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
             x, y = find(i), find(j)
             if x != y:
                 parent[x] = y
@@ -157,12 +187,12 @@ def _blocks(free: list[int], count: int) -> list[int]:
 
 
 def _masks(radius: int) -> list[tuple[int, list[int]]]:
-    """The masks of upper nodes, each with those that split its bits further."""
+    """The masks of the routes, each with those that split its remaining bits."""
     out = []
     for pair in combinations(_blocks(list(range(64)), radius + 2), 2):
         mask = pair[0] | pair[1]
         free = [b for b in range(64) if not mask >> b & 1]
-        out.append((mask, [x | y for x, y in combinations(_blocks(free, radius + 2), 2)]))
+        out.append((mask, [mask | x | y for x, y in combinations(_blocks(free, radius + 2), 2)]))
     return out
 
 
@@ -170,64 +200,70 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
-def _linker(radius: int):
-    """Streams sorted rows (node, fp); yields each node's links."""
+def _linker(radius: int, masks: list[int]):
+    """Streams the rows (route, fp) of a task, sorted by route; yields the links that each route's index finds."""
 
-    def links(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        same = np.flatnonzero(np.diff(node)) + 1
-        starts, ends = np.concatenate([[0], same]), np.concatenate([same, [len(node)]])
-        size = np.repeat(ends - starts, ends - starts)
-        for step in range(1, FAN):
-            i = np.flatnonzero((size[:-step] <= FAN) & (node[:-step] == node[step:])) if len(node) > step else np.empty(0, int)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= radius]
-            a.append(fp[i])
-            b.append(fp[i + step])
-        for s, e in zip(starts, ends, strict=True):
-            if e - s > FAN:
-                if found := forest(fp[s:e], radius):
-                    x = np.array(found)
-                    a.append(fp[s:e][x[:, 0]])
-                    b.append(fp[s:e][x[:, 1]])
-        a, b = (np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def links(route: int, fp: np.ndarray) -> pa.RecordBatch:
+        fp = np.unique(fp)
+        found = np.array(forest(GrayIndex(fp, masks[route]), radius), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(fp[found[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        now, held = -1, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = np.concatenate([node, batch.column("node").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            cut = np.searchsorted(node, node[-1])
-            if cut:
-                yield links(node[:cut], fp[:cut])
-                node, fp = node[cut:], fp[cut:]
-        if len(node):
-            yield links(node, fp)
+            route, fp = batch.column("route").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero(np.diff(route)) + 1).tolist(), len(route)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e > s and route[s] != now:
+                    if held:
+                        yield links(now, np.concatenate(held))
+                    now, held = int(route[s]), []
+                if e > s:
+                    held.append(fp[s:e])
+        if held:
+            yield links(now, np.concatenate(held))
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) at most ``radius`` bits apart, as forests of the nodes.
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(_route, _key, n) of the patterns that more than ``NODE_ROWS`` fingerprints share."""
+    counts = rows.groupBy(F.col("route").alias("_route"), F.col("key").alias("_key")).agg(F.count("*").alias("n"))
+    return materialise(counts.filter(F.col("n") > NODE_ROWS))
 
-    The node of a row is a hash of its mask and the bits under it; two nodes of
-    one hash would only be searched together.
-    """
+
+def _routes(rows: DataFrame, crowded: DataFrame, left: str) -> DataFrame:
+    return rows.join(crowded, (F.col("route") == F.col("_route")) & (F.col("key") == F.col("_key")), left)
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) at most ``radius`` bits apart, as the tasks' forests."""
+    spark = distinct.sparkSession
     masks = _masks(radius)
-    top = [F.struct(F.lit(i).alias("route"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for i, (m, _) in enumerate(masks)]
-    rows = distinct.select("fp", F.explode(F.array(*top)).alias("t")).select("fp", "t.route", "t.key")
-    rows = rows.withColumn("n", F.count("*").over(W.partitionBy("route", "key"))).filter("n > 1")
-    split = F.lit(None)
-    for i, (_, parts) in enumerate(masks):
-        split = F.when(F.col("route") == i, F.array(*[F.xxhash64("route", "key", F.lit(j + 1), F.col("fp").bitwiseAND(_long(m))) for j, m in enumerate(parts)])).otherwise(split)
-    nodes = F.when(F.col("n") <= NODE_ROWS, F.array(F.xxhash64("route", "key", F.lit(0)))).otherwise(split)
-    rows = rows.select("fp", F.explode(nodes).alias("node"))
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "node").sortWithinPartitions("node", "fp").mapInArrow(_linker(radius), "a long, b long")
+    every = [m for m, _ in masks] + [m for _, parts in masks for m in parts]
+    keyed = lambda numbers: F.array(*[F.struct(F.lit(i).alias("route"), F.col("fp").bitwiseAND(_long(every[i])).alias("key")) for i in numbers])
+    rows = distinct.select("fp", F.explode(keyed(range(len(masks)))).alias("t")).select("fp", "t.route", "t.key")
+    crowded = _crowded(rows)
+    block = F.lit(0).cast("long")
+    dealt = rows.withColumn("block", block)
+    if not crowded.isEmpty():
+        dealt = _routes(rows, crowded, "left_anti").withColumn("block", block)
+        split = F.lit(None)
+        width = len(masks[0][1])
+        for i in range(len(masks)):
+            split = F.when(F.col("route") == i, keyed(range(len(masks) + i * width, len(masks) + (i + 1) * width))).otherwise(split)
+        deep = materialise(_routes(rows, crowded, "left_semi").select("fp", F.explode(split).alias("t")).select("fp", "t.route", "t.key").distinct())
+        packed = _crowded(deep)
+        dealt = dealt.unionAll(_routes(deep, packed, "left_anti").withColumn("block", block))
+        mine = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / NODE_ROWS))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / NODE_ROWS) - 1))
+        blocks = _routes(deep, packed, "inner").withColumn("mine", mine).withColumn("other", other)
+        pair = F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other"))
+        dealt = dealt.unionAll(blocks.select("fp", "route", "key", pair.alias("block")))
+    # each share is a bounded part of the rows, however many there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() * len(masks) / TASK_ROWS))
+    shares = dealt.repartition(parts, "route", "key", "block").select("route", "fp").sortWithinPartitions("route")
+    return shares.mapInArrow(_linker(radius, every), "a long, b long")
 
 
 def _groups(prints: DataFrame, radius: int) -> DataFrame:
@@ -273,7 +309,15 @@ def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, counts: np.
     return hashes[np.lexsort((hashes, count))][: n - math.ceil(similarity * n - 1e-6) + 1]
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: a bit is 1 if set in over half of them."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _sketches(size: int, similarity: float, order):
+    """Of each text: a name of its words, the fingerprint and size of its shingle set, and the set's rarest shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = order.value
         for whole in batches:
@@ -283,8 +327,8 @@ def _sketches(size: int, similarity: float, order):
                 w = [xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in texts]
                 sets = [shingle_set(x, size) for x in texts]
                 first = [prefix(x, similarity, known, counts).view(np.int64) for x in sets]
-                columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "n", "first"])
+                columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([_majority(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "fp", "n", "first"])
 
     return run
 
@@ -295,7 +339,26 @@ def _sets(size: int):
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
                 sets = [shingle_set(x, size).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["s"])
+
+    return run
+
+
+def _alike(size: int, similarity: float):
+    """Of rows (a, b, ta, tb) those ids whose texts' shingle sets have at least the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, frozenset()
+        for batch in batches:
+            keep = []
+            for ta, tb in zip(batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary()), strict=True):
+                x, y = ta.as_py() or b"", tb.as_py() or b""
+                if x != last:
+                    last, mine = x, frozenset(shingles(x, size))
+                theirs = frozenset(shingles(y, size))
+                common = len(mine & theirs)
+                keep.append(common >= similarity * (len(mine) + len(theirs) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -303,6 +366,8 @@ def _sets(size: int):
 #: About so many texts are counted to rank the shingles, of which so many are ranked; this bears on the work, not on the result.
 ORDER_TEXTS = 20_000
 ORDER_SHINGLES = 500_000
+#: Bits that linked fingerprints differ in at most, in the first pass.
+DEDUP_RADIUS = 3
 #: Texts that a shingle's list compares to the rest of it at once, in the first round and later.
 HEADS = (8, 64)
 
@@ -311,7 +376,7 @@ def _order(docs: DataFrame, size: int):
     """Broadcast (shingles, counts) of the shingles that a sample of the texts repeats most."""
     share = min(1.0, ORDER_TEXTS / max(docs.count(), 1))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["text"])
-    sets = some.mapInArrow(tidied(_sets(size)), T.StructType([docs.schema["doc_id"], T.StructField("s", T.ArrayType(T.LongType()))]))
+    sets = some.select("text").mapInArrow(tidied(_sets(size)), "s array<long>")
     counted = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")
     found = counted.orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).toArrow()
     x, c = found["x"].to_numpy().view(np.uint64), found["c"].to_numpy()
@@ -319,67 +384,100 @@ def _order(docs: DataFrame, size: int):
     return docs.sparkSession.sparkContext.broadcast((x[at], c[at]))
 
 
-def _near(posts: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of a head of a list and a text of the list whose sets are at least ``similarity``."""
+#: Lists of at most so many ids, or pairs of ids, are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def _listed(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` joined on ``column`` to the first column of ``ids``, broadcast if its counted size allows."""
+    ids = ids.withColumnRenamed(ids.columns[0], "_listed")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column) == F.col("_listed"), how)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are that similar; only the texts of pairs move."""
+    pairs = materialise(pairs)
+    texts = docs.select("doc_id", "text")
+    b = _listed(texts.withColumnRenamed("text", "tb"), "doc_id", pairs.select("b", "a"), "inner").select("a", F.col("doc_id").alias("b"), "tb")
+    a = _listed(texts.withColumnRenamed("text", "ta"), "doc_id", pairs.select("a").distinct(), "left_semi").select(F.col("doc_id").alias("_a"), "ta")
+    both = b.join(a, F.col("a") == F.col("_a")).select("a", "b", "ta", "tb")
+    return materialise(both.mapInArrow(tidied(_alike(size, similarity)), T.StructType([both.schema["a"], both.schema["b"]])))
+
+
+def _met(posts: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of a head of a list and a text of the list that could be so similar if this shingle is their first.
+
+    Their sets then share at most what stands from their places on, and must
+    share the part of their sizes that the similarity asks for.
+    """
     a = heads.select("x", F.col("id").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    most = F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
+    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     met = posts.join(a, "x").filter(F.col("a") < F.col("id"))
-    met = met.filter(most + 1e-6 >= similarity * (F.col("n") + F.col("m") - most)).select("a", F.col("id").alias("b")).distinct()
-    mine = sets.select(F.col("doc_id").alias("b"), "s")
-    theirs = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    return met.join(mine, "b").join(theirs, "a").filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+    return met.filter(most + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("a", F.col("id").alias("b")).distinct()
 
 
 def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias("_minus")), F.col(column) == F.col("_minus"), "left_anti")
 
 
-#: Lists of at most so many doc_ids are broadcast.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the given ids; the list is broadcast if its counted size allows."""
-    gone = ids.select(F.col("doc_id").alias("_gone"))
-    return docs.join(F.broadcast(gone) if ids.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _shared(posts: DataFrame) -> DataFrame:
+    """The rows of lists with two texts or more."""
+    several = materialise(posts.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x"))
+    return materialise(_listed(posts, "x", several, "left_semi"))
 
 
 def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The doc_ids that go if one document of each group of near-duplicates stays.
 
     Texts of the same words (ASCII-lower-cased) are copies: the least doc_id
-    stands for them.  Of the distinct texts, in the order of their doc_ids, one
-    goes if its shingle set has a Jaccard coefficient of at least ``similarity``
-    with one that stays.
-
-    All such pairs are found: two sets of that similarity share one of their
-    rarest shingles (``prefix``).  In each shingle's list the least texts are
-    compared to all others; a text that is among the least in all its lists
-    has met every lesser text it could resemble, so it stays unless one
-    that stays resembles it.  What is left makes shorter lists for the next round.
+    stands for them.  Two passes follow over the distinct texts, in each of which
+    a text goes if its shingle set has a Jaccard coefficient of at least
+    ``similarity`` with a lesser one.
+
+    The first pass compares each text to the least of those that its SimHash
+    reaches over links of ``DEDUP_RADIUS`` bits.  SimHash cannot reach most pairs
+    near the similarity, so the second finds all that are left: in the order of
+    ids, a text goes if it is that similar to one that stays.  Two such sets
+    share one of their rarest shingles (``prefix``).  In each shingle's list the
+    least texts are compared to all others; a text that is among the least in
+    all its lists has met every lesser text it could resemble, so it stays
+    unless one that stays resembles it.  What is left makes shorter lists for
+    the next round.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     order = _order(docs, size)
-    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, order)), f"doc_id {kind}, w binary, n int, first array<long>"))
-    texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least")))
-    named = prints.join(texts.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
-    gone = [named.filter("doc_id <> least").select("doc_id")]
-    posts = named.filter("doc_id = least").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
-    several = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    posts = materialise(posts.join(several, F.col("x") == F.col("_x"), "left_semi"))
-    members = posts.select(F.col("id").alias("_id")).distinct()
-    bodies = docs.join(members, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = bodies.mapInArrow(tidied(_sets(size)), f"doc_id {kind}, s array<long>")
-    sets = materialise(sets.groupBy("doc_id").agg(F.min("s").alias("s")))
+    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, order)), f"doc_id {kind}, w binary, fp long, n int, first array<long>"))
+    texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
+    copies = prints.select("doc_id", F.col("w").alias("_w")).join(texts.select("w", "least"), (F.col("w") == F.col("_w")) & (F.col("doc_id") != F.col("least")))
+    gone = [materialise(copies.select("doc_id"))]
+
+    groups = materialise(_groups(texts.select(F.col("least").alias("doc_id"), "fp"), DEDUP_RADIUS))
+    heads = groups.groupBy("root").agg(F.min("least").alias("a"))
+    linked = texts.select("fp", F.col("least").alias("b")).join(groups.select(F.col("fp").alias("_fp"), "root"), F.col("fp") == F.col("_fp")).join(heads, "root")
+    near = _verified(linked.filter("a < b").select("a", "b"), docs, size, similarity)
+    gone.append(near.select(F.col("b").alias("doc_id")))
+
+    left = _minus(texts.select(F.col("least").alias("id")), "id", gone[1]).withColumnRenamed("id", "_id")
+    posts = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
+    posts = _shared(posts)
+    docs = materialise(_listed(docs, "doc_id", posts.select("id").distinct(), "left_semi"))
+    # lists mostly hold copies of their least text: where that leads all its own lists it stays, and what resembles it goes
+    least = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("a"))
+    heads = materialise(posts.join(least, (F.col("x") == F.col("_x")) & (F.col("id") == F.col("a")), "left_semi"))
+    leading = heads.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("met"))
+    listed = posts.groupBy("id").agg(F.count("*").alias("all"))
+    sure = listed.join(leading, F.col("id") == F.col("_id")).filter(F.col("all") == F.col("met")).select(F.col("id").alias("_a"))
+    quick = _met(posts, heads, similarity).join(sure, F.col("a") == F.col("_a"), "left_semi").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    gone.append(_verified(quick, docs, size, similarity).select(F.col("b").alias("doc_id")))
+    posts = _shared(_minus(posts, "id", gone[2]))
     for turn in count():
         if posts.isEmpty():
             break
         rank = F.row_number().over(W.partitionBy("x").orderBy("id"))
         heads = materialise(posts.withColumn("rank", rank).filter(F.col("rank") <= HEADS[min(turn, 1)]).drop("rank"))
-        near = materialise(_near(posts, heads, sets, similarity))
+        near = _verified(_met(posts, heads, similarity), docs, size, similarity)
         listed = posts.groupBy("id").agg(F.count("*").alias("all"))
         leading = heads.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("met"))
         unsure = materialise(listed.join(leading, F.col("id") == F.col("_id"), "left").filter("all > coalesce(met, 0)").select("id"))
@@ -392,10 +490,15 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
             near = materialise(_minus(_minus(near, "a", went), "b", went))
             unsure = _minus(unsure, "id", went)
         left = unsure.unionAll(near.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "_id")
-        posts = materialise(posts.join(left, F.col("id") == F.col("_id"), "left_semi"))
+        posts = _shared(posts.join(left, F.col("id") == F.col("_id"), "left_semi"))
     return materialise(reduce(DataFrame.unionAll, gone).distinct())
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the given ids."""
+    return _listed(docs, "doc_id", ids, "left_anti")
+
+
 def dedup_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates (see ``duplicates``).
 

@@ -49,7 +49,7 @@ def test_near_duplicates_keep_one_of_each_group(spark, words):
 
 
 def test_linked_but_dissimilar_texts_stay(spark, words, monkeypatch):
-    """Proposals are verified: if everything is linked only the similar go."""
+    """What SimHash proposes is verified: if everything is linked only the similar go."""
     a, b = " ".join(words(40)), " ".join(words(40))
     df = spark.createDataFrame([(1, a), (2, b), (3, a + " tail")], "doc_id long, text string")
 
@@ -70,15 +70,31 @@ def test_lines_and_toxic_documents(spark):
     assert all(r.n_chars == len(r.text) for r in lines.collect())
 
 
-def left_by_brute_force(texts, similarity=0.8):
-    """Ids that go, text by text in the order of ids."""
-    stay, gone = [], set()
-    for d, t in sorted(texts):
-        x = set(simhash.shingles(t.encode(), 5))
-        if any(len(x & y) >= similarity * len(x | y) for y in stay):
+def left_by_brute_force(texts, similarity=0.8, radius=simhash.DEDUP_RADIUS):
+    """Ids that go: those like the least of their SimHash group, then text by text in the order of ids."""
+    sets = {d: frozenset(simhash.shingles(t.encode(), 5)) for d, t in sorted(texts)}
+    prints = {d: simhash._majority(simhash.shingle_set(t.encode(), 5)) for d, t in texts}
+
+    def alike(d, e):
+        return len(sets[d] & sets[e]) >= similarity * len(sets[d] | sets[e])
+
+    label = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for d in sets:
+            for e in sets:
+                if label[e] < label[d] and ((prints[d] ^ prints[e]) & (1 << 64) - 1).bit_count() <= radius:
+                    label[d], changed = label[e], True
+    gone = {d for d in sets if label[d] < d and alike(label[d], d)}
+    stay = []
+    for d in sets:
+        if d in gone:
+            continue
+        if any(alike(e, d) for e in stay):
             gone.add(d)
         else:
-            stay.append(x)
+            stay.append(d)
     return gone
 
 

@@ -43,7 +43,7 @@ def test_query_equals_brute_force(spark):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == want
 
 
-@pytest.mark.parametrize("node_rows", [2048, 4])
+@pytest.mark.parametrize("node_rows", [2048, 12, 2])
 def test_planted_fingerprints(spark, monkeypatch, node_rows):
     """Chains, far pairs and a dense group, with and without split nodes."""
     monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
@@ -69,15 +69,39 @@ def test_planted_fingerprints(spark, monkeypatch, node_rows):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
-def test_gray_index_finds_all_pairs():
+@pytest.mark.parametrize("mask", [0, 0xFFF, 0xFF00000000000FF0])
+def test_gray_index_finds_all_pairs(mask):
     rng = np.random.default_rng(3)
-    fps = np.unique(rng.integers(0, 1 << 12, 700, dtype=np.uint64) << np.uint64(20))
-    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if bin(int(fps[i] ^ fps[j])).count("1") <= 2}
-    got = [(i, j) for a, b in simhash.GrayIndex(fps).pairs(fps, 2, block=50) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    fps = np.unique(rng.integers(0, 1 << 12, 700, dtype=np.uint64) << np.uint64(20) | rng.integers(0, 2, 700, dtype=np.uint64))
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2 and not int(fps[i] ^ fps[j]) & mask}
+    index = simhash.GrayIndex(fps, mask)
+    got = [tuple(sorted(x)) for a, b in index.pairs(2, block=50) for x in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(got) == len(set(got))
     assert set(got) == want
 
 
+def test_links_come_from_the_index_and_it_prunes(monkeypatch):
+    """All links of a task are found by searches that drop most groups; without the index there are none."""
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:200] ^ np.uint64(1 << 40), fps[200:300] ^ np.uint64(3 << 62)]))
+    masks = [m for m, _ in simhash._masks(2)]
+    batches = [simhash.pa.RecordBatch.from_pydict({"route": [r] * len(fps), "fp": fps.view(np.int64)}, schema=simhash.pa.schema([("route", simhash.pa.int32()), ("fp", simhash.pa.int64())])) for r in range(len(masks))]
+    made, own = [], simhash.GrayIndex
+
+    def noted(*args):
+        made.append(own(*args))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "GrayIndex", noted)
+    links = {tuple(sorted((int(a), int(b)))) for out in simhash._linker(2, masks)(iter(batches)) for a, b in zip(out["a"].to_numpy().view(np.uint64), out["b"].to_numpy().view(np.uint64), strict=True)}
+    near = {tuple(sorted((int(fps[i]), int(fps[j])))) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2) if i < j}
+    assert links == near and len(near) == 300
+    assert len(made) == len(masks) and all(0 < x.looked < len(fps) ** 2 // 20 and x.dropped > 0.8 * x.looked for x in made)
+    monkeypatch.setattr(own, "pairs", lambda *args: iter(()))
+    assert not any(out.num_rows for out in simhash._linker(2, masks)(iter(batches)))
+
+
 def test_edges_of_input(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e", "y"), (4, "A b\tC d e", "y"), (4, "A b\tC d e", "y"), (9, "one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
