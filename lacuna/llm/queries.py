@@ -26,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = urls.fit(urls.label_by_terms(pages))
+    model = urls.fit(urls.label_by_rules(pages, URL_RULES))
     return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 

@@ -2,7 +2,8 @@
 
 A rule names a host suffix and a path prefix; the longest rule that fits
 decides.  What no rule fits is judged by boosted trees over lexical features of
-the url, fitted on labelled urls.  Everything is column expressions and the ML
+the url, fitted on labelled urls: a table of them, or the urls that the rules
+decide (``label_by_rules``).  Everything is column expressions and the ML
 library's own trees: no Python runs on the executors.
 """
 
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.shared import ascii_lower, materialise
 
-#: Host words of unwanted sites; hosts that hold one are the block examples of ``label_by_terms``.
-BLOCK_TERMS = ("casino", "bets", "pills", "spam", "adult", "ads-")
 #: At most about so many labelled urls are fitted, and so many host suffixes get statistics of their own.
 FIT_ROWS = 20_000
 SUFFIXES = 64
@@ -120,21 +119,22 @@ def _parts(df: DataFrame, url: str) -> DataFrame:
     return df.withColumns({"_url": F.coalesce(u, F.lit("")), "_host": host_of(u), "_path": path_of(u)})
 
 
-def label_by_terms(urls: DataFrame, terms=BLOCK_TERMS, url: str = "url") -> DataFrame:
-    """Labelled urls (url, label) from a list of host words of unwanted sites; label 1 is block."""
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | F.contains(host_of(F.col(url)), F.lit(term))
-    return urls.filter(F.col(url).isNotNull()).select(F.col(url).alias("url"), hit.cast("double").alias("label"))
+def label_by_rules(urls: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
+    """Labelled urls (url, label): those that a rule decides; label 1 is block."""
+    verdict = verdict_of(rule_of(host_of(F.col(url)), path_of(F.col(url)), rules), rules)
+    return urls.select(F.col(url).alias("url"), (verdict == "block").cast("double").alias("label")).filter("label IS NOT NULL")
 
 
 def fit(labelled: DataFrame, max_rows: int = FIT_ROWS, trees: int = 12, depth: int = 3) -> UrlModel:
     """Fits the trees on at most about ``max_rows`` labelled urls (url, label 0/1).
 
-    Where there are more, the rows of each label whose hash falls below a
-    threshold are kept, so that each label fills at most half of the bound.  Of the suffixes in that sample the
-    ``SUFFIXES`` most frequent get a smoothed block rate of their own.  With one
-    label alone the model answers that label's share.
+    Where there are more, the urls of each label whose hash falls below a
+    threshold are kept, so that each label fills at most half of the bound; equal
+    rows become one row with their number as weight, so a url that holds any
+    share of the rows adds one.  Of the suffixes in that sample the
+    ``SUFFIXES`` most frequent get a smoothed block rate of their own.  Null
+    urls and labels teach nothing; with one label alone the model answers that
+    label's share.
     """
     rows = labelled.filter(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -145,24 +145,32 @@ def fit(labelled: DataFrame, max_rows: int = FIT_ROWS, trees: int = 12, depth: i
     space = 1 << 30
     slot = F.pmod(F.xxhash64("url"), F.lit(space))
     limit = F.when(F.col("label") == 1.0, F.lit(int(space * min(1.0, max_rows / 2 / counts[1.0])))).otherwise(F.lit(int(space * min(1.0, max_rows / 2 / counts[0.0]))))
-    sample = materialise(_parts(rows.filter(slot < limit), "url").coalesce(1).sortWithinPartitions("_url", "label"))
-    rates = sample.groupBy(suffix_of(F.col("_host")).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+    distinct = rows.filter(slot < limit).groupBy("url", "label").agg(F.count("*").cast("double").alias("_n"))
+    sample = materialise(_parts(distinct, "url").repartition(1).sortWithinPartitions("_url", "label"))
+    rates = sample.groupBy(suffix_of(F.col("_host")).alias("s")).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("label")).alias("b"))
     rates = {r["s"]: (r["b"] + 10 * prior) / (r["n"] + 10) for r in rates.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()}
     featured = VectorAssembler(inputCols=[f"_f_{k}" for k in FEATURES], outputCol="_v").transform(lexical(sample, rates, prior))
-    learner = GBTClassifier(featuresCol="_v", labelCol="label", predictionCol="_pred", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7)
+    learner = GBTClassifier(featuresCol="_v", labelCol="label", weightCol="_n", predictionCol="_pred", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7)
     learner.setProbabilityCol("_p").setRawPredictionCol("_raw")
-    return UrlModel(learner.fit(featured.select("_v", "label")), rates, prior)
+    return UrlModel(learner.fit(featured.select("_v", "label", "_n")), rates, prior)
+
+
+RESULTS = ("host", "path", "rule", "score", "verdict")
 
 
 def judge(df: DataFrame, rules: dict[str, str], model: UrlModel, url: str = "url", threshold: float = 0.5) -> DataFrame:
-    """``df`` with host, path, rule, score and verdict (columns of these names are replaced).
+    """``df`` with host, path, rule, score and verdict.
 
-    Null urls and urls without ``://`` have empty host and path, fit no rule and
-    are judged by the trees on their text alone.  Equal urls get equal verdicts;
-    an empty table gives an empty result.
+    Columns of ``df`` with these names give way to the results; any other name
+    is free.  Null urls and urls without ``://`` have empty host and path, fit no
+    rule and are judged by the trees on their text alone.  Equal urls get equal
+    verdicts; very long urls are read as wholes; an empty table gives an empty result.
     """
-    out = model.score(_parts(df.drop(*({"host", "path", "rule", "score", "verdict"} - {url})), url))
-    out = out.withColumn("rule", rule_of(F.col("_host"), F.col("_path"), rules))
-    own = F.when(F.col("_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    out = out.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), own))
-    return out.withColumnsRenamed({"_host": "host", "_path": "path", "_score": "score"}).drop("_url")
+    own = [c for c in df.columns if c.lower() not in RESULTS]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(None)
+    out = model.score(_parts(df.select(row.alias("_row"), F.col(url).alias("_given")), "_given"))
+    out = out.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
+    trees = F.when(F.col("_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.coalesce(verdict_of(F.col("_rule"), rules), trees)
+    kept = [F.col("_row").getField(c).alias(c) for c in own]
+    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_score").alias("score"), verdict.alias("verdict"))

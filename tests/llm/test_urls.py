@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lacuna.llm import queries, urls
 
 SF = "/root/testdata/sf0.001"
@@ -39,11 +41,33 @@ def test_query_follows_the_rules_and_the_trees(spark):
 def test_odd_urls_and_learning(spark):
     good = [f"https://{w}.example.com/en/{i}" for i, w in enumerate(["thing", "blog.river", "m.stone", "garden"] * 20)]
     bad = [f"http://{w}-{w}.example.org/{i}?a={i}&b=1" for i, w in enumerate(["casino", "pills", "spam", "bets"] * 20)]
-    model = urls.fit(urls.label_by_terms(spark.createDataFrame([(u,) for u in good + bad], "url string")))
+    model = urls.fit(spark.createDataFrame([*((u, 0) for u in good), *((u, 1) for u in bad), (None, 1), (good[0], None)], "url string, label int"))
     odd = [None, "", "no scheme", "HTTP://A.Example.COM", "x://y://z/en/", "https://h.example.com?q=1", "http://h#f", "http://\u00c9.Com/EN/", "http://a.com/en/" + "x" * 100_000]
     df = spark.createDataFrame([(i, u, "keep") for i, u in enumerate(odd)] + [(None, good[0], "keep"), (None, bad[0], "keep")], "page_id long, url string, html string")
     rows = urls.judge(df, queries.URL_RULES, model).collect()
     assert [(r.host, r.path) for r in rows] == [parts(u) for u in odd] + [parts(good[0]), parts(bad[0])]
     assert rows[-1].verdict == "block" and rows[-2].rule == "com/en/" and rows[-2].score < 0.5
     assert urls.judge(df.limit(0), {}, model).collect() == []
-    assert urls.fit(urls.label_by_terms(df.limit(0))).trees is None
+    clash = urls.judge(df.withColumnsRenamed({"html": "_host", "page_id": "score"}).withColumn("_f_length", F.lit("own")), queries.URL_RULES, model)
+    assert clash.columns == ["url", "_host", "_f_length", *urls.RESULTS]
+    assert [(r["_host"], r["_f_length"], r.host, r.verdict) for r in clash.collect()] == [("keep", "own", r.host, r.verdict) for r in rows]
+    assert urls.fit(urls.label_by_rules(df.limit(0), queries.URL_RULES)).trees is None
+
+
+def test_hosts_never_seen(spark):
+    """Urls that rules decide teach the trees; on the urls of other hosts they mostly agree with the rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    fold = F.crc32(urls.host_of(F.col("url"))) % 4
+    model = urls.fit(urls.label_by_rules(pages.filter(fold != 0), queries.URL_RULES))
+    rows = [r for r in urls.judge(pages.filter(fold == 0), queries.URL_RULES, model).collect() if r.rule]
+    agree = sum((r.score >= 0.5) == (queries.URL_RULES[r.rule] == "block") for r in rows) / len(rows)
+    assert len(rows) > 100 and agree > 0.85, agree
+
+
+def test_a_url_of_many_rows_is_one_row_of_the_sample(spark):
+    """Ties and repeats: equal rows have one verdict and a weight; the bound holds for distinct urls."""
+    rows = [("https://hot.example.com/a", 1.0)] * 3000 + [(f"https://h{i}.example.net/{i}", float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, label double")
+    model = urls.fit(df, max_rows=200)
+    assert model.trees is not None
+    assert len({r.score for r in urls.judge(df.filter("url like '%hot%'"), {}, model).collect()}) == 1
