@@ -173,10 +173,9 @@ def _rbf_gram(spark, sf_dir):
 
 
 def _gp_kernel(spark, sf_dir):
-    t = _supplier(spark, sf_dir)
-    a, b = t.select(F.col("k").alias("a"), F.col("f1").alias("p")), t.select(F.col("k").alias("b"), F.col("f1").alias("q"))
-    r = F.col("p") - F.col("q")
-    return a.join(F.broadcast(b)).select("a", "b", *[F.round(neighbors.kernel_1d(r, k), 6).alias(k) for k in ("rbf", "matern52", "matern12")])
+    t = neighbors.paired(_supplier(spark, sf_dir).select("k", "f1"), "k")
+    r = F.col("f1") - F.col("other_f1")
+    return t.select("a", "b", *[F.round(neighbors.kernel_1d(r, k), 6).alias(k) for k in ("rbf", "matern52", "matern12")])
 
 
 @query("m_orders", "WITH m AS (SELECT avg(y_grp) AS m FROM {v}) SELECT g, count(y_grp) AS n, round(4 * sum(y_grp - m) / (1 + 4 * count(y_grp)), 6) AS blup FROM {v}, m WHERE y_grp IS NOT NULL GROUP BY g")
@@ -289,8 +288,10 @@ def sweep_crossover(df):
 
 
 @query("m_part", """
-WITH e AS (SELECT g AS feature, k % 2 AS m, avg(x2) AS coef, var_samp(x2) / count(*) AS var FROM {v} GROUP BY 1, 2), t AS (SELECT feature, count(*) AS m, avg(coef) AS estimate, avg(var) AS w, coalesce(var_samp(coef), 0) AS b FROM e GROUP BY 1)
-SELECT feature, m, round(estimate, 7) AS estimate, round(w, 7) AS within, round(b, 7) AS between, round(sqrt(w + (1 + 1 / m) * b), 7) AS se, round((m - 1) * pow(1 + 1 / ((1 + 1 / m) * b / w), 2), 5) AS df FROM t""")
+WITH e AS (SELECT g AS feature, k % 2 AS m, avg(x2) AS coef, var_samp(x2) / count(*) AS var FROM {v} GROUP BY 1, 2), c AS (SELECT feature, count(*) AS m, count(var) AS fine, avg(coef) AS estimate, avg(var) AS w, coalesce(var_samp(coef), 0) AS b FROM e GROUP BY 1),
+t AS (SELECT feature, m, CASE WHEN fine = m THEN estimate END AS estimate, CASE WHEN fine = m THEN w END AS w, CASE WHEN fine = m THEN b END AS b FROM c)
+SELECT feature, m, round(estimate, 7) AS estimate, round(w, 7) AS within, round(b, 7) AS between, CASE WHEN w + (1 + 1 / m) * b > 0 THEN round(sqrt(w + (1 + 1 / m) * b), 7) END AS se,
+  CASE WHEN w = 0 THEN CASE WHEN b > 0 THEN m - 1 ELSE 'inf'::DOUBLE END WHEN b > 0 THEN round((m - 1) * pow(1 + w / ((1 + 1 / m) * b), 2), 5) WHEN b = 0 THEN 'inf'::DOUBLE END AS df FROM t""")
 def rubin_pool(df):
     e = df.groupBy(F.col("g").alias("feature"), (F.col("k") % 2).alias("imputation")).agg(F.avg("x2").alias("coef"), (F.var_samp("x2") / F.count("*")).alias("var"))
     t = results.rubin(e)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.exprs import mask
 from lacuna.functions.numerics import chi2_sf, two_sided_p
 from lacuna.plans.patterns import collect
+from lacuna.plans.ranks import ranked
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -190,9 +191,7 @@ def rank_sums(df: DataFrame, value: str, split: str) -> DataFrame:
     Average ranks come from counts per distinct value: the running count is over
     distinct values, not rows.
     """
-    x = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"), F.count(F.when(F.col(split).isNull(), 1)).alias("c1"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("rank", before + (F.col("c") + 1) / 2)
+    x = ranked(df, value, F.count(F.when(F.col(split).isNull(), 1)).alias("c1"))
     out = x.agg(
         F.sum("c1").alias("n_missing"), F.sum(F.col("c") - F.col("c1")).alias("n_observed"), F.try_divide(F.sum(F.col("v") * F.col("c1")), F.sum("c1")).alias("mean_missing"),
         F.try_divide(F.sum(F.col("v") * (F.col("c") - F.col("c1"))), F.sum(F.col("c") - F.col("c1"))).alias("mean_observed"),
@@ -202,20 +201,30 @@ def rank_sums(df: DataFrame, value: str, split: str) -> DataFrame:
 
 
 def descriptive_by_missingness(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(missing_col, column, means, n, u, p_value) for every pair; p by the tie-corrected normal approximation."""
+    """(missing_col, column, means, n, u, p_value) for every pair; p by the tie-corrected normal approximation.
+
+    One ranking per column serves all indicators: its distinct values carry the
+    number of their rows that lack each of the other columns.
+    """
     rows = []
-    for j in columns:
-        for k in columns:
-            if j == k:
-                continue
-            r = rank_sums(df, k, j).first()
-            n1, n0 = r["n_missing"] or 0, r["n_observed"] or 0
+    for k in columns:
+        others = [j for j in columns if j != k]
+        x = ranked(df, k, *[F.count(F.when(F.col(j).isNull(), 1)).alias(f"c_{j}") for j in others])
+        aggs = [F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"), F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties")]
+        for j in others:
+            aggs += [F.sum(f"c_{j}").alias(f"n_{j}"), F.sum(F.col("v") * F.col(f"c_{j}")).alias(f"s_{j}"), F.sum(F.col("rank") * F.col(f"c_{j}")).alias(f"r_{j}")]
+        t = x.agg(*aggs).first()
+        for j in others:
+            n1 = t[f"n_{j}"] or 0
+            n0 = (t["n"] or 0) - n1
+            u = None if t[f"r_{j}"] is None else t[f"r_{j}"] - n1 * (n1 + 1) / 2
             p = None
             if n1 >= 2 and n0 >= 2:
                 n = n1 + n0
-                var = n1 * n0 / 12 * ((n + 1) - r["ties"] / (n * (n - 1)))
-                p = 1.0 if var <= 0 else min(1.0, two_sided_p(max(0.0, abs(r["u"] - n1 * n0 / 2) - 0.5) / math.sqrt(var)))
-            rows.append((j, k, n1, n0, r["mean_missing"], r["mean_observed"], r["u"], p))
+                var = n1 * n0 / 12 * ((n + 1) - t["ties"] / (n * (n - 1)))
+                p = 1.0 if var <= 0 else min(1.0, two_sided_p(max(0.0, abs(u - n1 * n0 / 2) - 0.5) / math.sqrt(var)))
+            rows.append((j, k, n1, n0, t[f"s_{j}"] / n1 if n1 else None, (t["s"] - t[f"s_{j}"]) / n0 if n0 else None, u, p))
+    rows.sort(key=lambda r: (columns.index(r[0]), columns.index(r[1])))
     return df.sparkSession.createDataFrame(rows, "missing_col string, column string, n_missing long, n_observed long, mean_missing double, mean_observed double, u double, p_value double")
 
 
@@ -270,19 +279,21 @@ def verdict(little_p: float, mar_p: list[float], alpha: float = 0.05) -> str:
 
 
 def run_all(df: DataFrame, columns: list[str]) -> dict[str, DataFrame | str]:
-    """Every diagnostic over one cached input."""
-    df = df.select(*columns).cache()
-    out: dict = {
-        "patterns": pattern_summary(df, columns), "little": little_test(df, columns), "mar": mar_plausibility(df, columns),
-        "phi": missing_phi(df, columns), "descriptive": descriptive_by_missingness(df, columns),
-    }
+    """Every diagnostic; the input is cached while they run, and only the tables of counts stay lazy."""
+    df = df.select(*columns)
+    held = df.cache()
+    try:
+        out: dict = {"little": little_test(held, columns), "mar": mar_plausibility(held, columns), "descriptive": descriptive_by_missingness(held, columns)}
+    finally:
+        held.unpersist()
+    out |= {"patterns": pattern_summary(df, columns), "phi": missing_phi(df, columns)}
     out["verdict"] = verdict(out["little"].first()["p_value"], [r["p_value"] for r in out["mar"].collect()])
     return out
 
 
 def canonical_order(df: DataFrame, columns: list[str]) -> list[Column]:
-    """Sort keys that put observed before missing, the first column first."""
-    return [k for c in columns for k in (F.col(c).isNull().asc(), F.col(c).asc())]
+    """Ascending sort keys that put observed before missing, the first column first."""
+    return [k for c in columns for k in (F.col(c).isNull(), F.col(c))]
 
 
 def icc(df: DataFrame, y: str, group: str) -> DataFrame:

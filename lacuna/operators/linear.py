@@ -193,25 +193,24 @@ def cv_ridge(df: DataFrame, key: str, features: list[str], label: str, alphas: l
     rows = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(k)).cast("int"))
     prof = profile(df, [*features, label])
     folds = collect(rows, [*features, label], by=("_fold",), prof=prof)
+    parts = []
+    for fold, held in folds.items():
+        train = None
+        for other, p in folds.items():
+            if other != fold:
+                train = p if train is None else train.merge(p)
+        m = gaussian.em(train, 200, 1e-8, 1e-6)
+        parts.append((label_blocks(train, m.mu[:-1], m.sigma[:-1, :-1]), label_blocks(held, m.mu[:-1], m.sigma[:-1, :-1])))
+    q = sum(q for _, held in parts for _, q, _ in held)
+    n = sum(n for _, held in parts for n, _, _ in held)
+    var = q[-1, -1] - q[0, -1] ** 2 / n
     out = []
     for alpha in alphas:
-        rss = n = 0.0
-        total = []
-        for fold, held in folds.items():
-            train = None
-            for other, p in folds.items():
-                if other != fold:
-                    train = p if train is None else train.merge(p)
-            m = gaussian.em(train, 200, 1e-8, 1e-6)
-            mu, sigma = m.mu[:-1], m.sigma[:-1, :-1]
-            theta, _ = lbfgs(lambda t, b=label_blocks(train, mu, sigma): objective(b, t, alpha), np.zeros(len(features) + 2), 300, 1e-7)
+        rss = 0.0
+        for train, held in parts:
+            theta, _ = lbfgs(lambda t, b=train: objective(b, t, alpha), np.zeros(len(features) + 2), 300, 1e-7)
             u = np.concatenate([-theta[:-1], [1.0]])
-            for count, q, _ in label_blocks(held, mu, sigma):
-                rss += u @ q @ u
-                n += count
-                total.append(q)
-        q = sum(total)
-        var = q[-1, -1] - q[0, -1] ** 2 / n
+            rss += sum(u @ q @ u for _, q, _ in held)
         out.append((float(alpha), float(rss), float(1 - rss / var)))
     return df.sparkSession.createDataFrame(out, "alpha double, rss double, r2 double")
 

@@ -7,7 +7,6 @@ the expected squared distance of two rows is ``|F - G|^2 + s + t``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ from lacuna.functions import exprs
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import collect
 
-#: Query rows that are broadcast at once; more are searched in blocks.
-QUERY_ROWS = 4096
+#: Rows of a block of queries and of training rows; a task compares one of each.
+QUERY_ROWS, TRAIN_ROWS = 2048, 32_768
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,32 +44,36 @@ def expected(df: DataFrame, columns: list[str], keep: tuple[str, ...], center, s
 def nearest(train: DataFrame, queries: DataFrame, key: str, query_key: str, width: int, k: int, digits: int = 9) -> DataFrame:
     """(query, key, d, rank): the k nearest rows of ``train`` for each query, distances rounded to ``digits`` and ties to the smaller key.
 
-    Both sides come from ``expected``.  Queries are broadcast in blocks; every
-    batch of training rows keeps its own k best, and the survivors are ranked.
+    Both sides come from ``expected``.  Blocks of queries meet blocks of training
+    rows on the cluster; each meeting keeps k rows a query, and these are ranked.
     """
     cells = [f"f{j}" for j in range(width)]
-    rows = queries.select(query_key, *cells, "s").orderBy(query_key).collect()
-    parts = []
-    for start in range(0, len(rows), QUERY_ROWS):
-        own = rows[start : start + QUERY_ROWS]
-        q = np.array([[r[c] for c in cells] for r in own], float).reshape(len(own), width)
-        qs, ids = np.array([r["s"] for r in own]), [r[query_key] for r in own]
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, qs=qs, ids=ids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                t = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cells], 1)
-                names = b.column(key).to_numpy(zero_copy_only=False)
-                for i in range(len(q)):
-                    d = np.sqrt(np.maximum(((t - q[i]) ** 2).sum(1) + b.column("s").to_numpy() + qs[i], 0)).round(digits)
-                    at = np.lexsort((names, d))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(at), pa.int64()), pa.array(names[at], pa.int64()), pa.array(d[at])], ["query", key, "d"])
-
-        parts.append(train.select(key, *cells, "s").mapInArrow(run, f"query long, {key} long, d double"))
-    found = parts[0] if parts else train.sparkSession.createDataFrame([], f"query long, {key} long, d double")
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    q_blocks, t_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS)), max(1, math.ceil(train.count() / TRAIN_ROWS))
+    named = queries.select(F.col(query_key).alias("query"), *cells, "s")
+
+    def dealt(rows: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("_q", "_t")
+
+    def numbers(t: pa.Table) -> np.ndarray:
+        return np.stack([t.column(c).to_numpy() for c in cells], 1) if cells else np.zeros((t.num_rows, 0))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, places, gaps = [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by(key)
+            a, b, s = numbers(left), numbers(right), right.column("s").to_numpy()
+            for i, own in enumerate(left.column("s").to_numpy()):
+                d = np.sqrt(np.maximum(np.square(b - a[i]).sum(1) + s + own, 0)).round(digits)
+                at = np.argsort(d, kind="stable")[:k]
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                gaps.append(d[at])
+        rows, places = (np.concatenate(x) if x else np.empty(0, int) for x in (rows, places))
+        return pa.table({"query": left.column("query").take(pa.array(rows)), key: right.column(key).take(pa.array(places)), "d": np.concatenate(gaps) if gaps else np.empty(0)})
+
+    kinds = f"query {named.schema['query'].dataType.simpleString()}, {key} {train.schema[key].dataType.simpleString()}, d double"
+    found = dealt(named, "query", "_q", q_blocks, "_t", t_blocks).cogroup(dealt(train.select(key, *cells, "s"), key, "_t", t_blocks, "_q", q_blocks)).applyInArrow(run, kinds)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("d", key))).filter(F.col("rank") <= k)
 
 
@@ -100,17 +103,27 @@ def rbf(d2: Column, gamma: float) -> Column:
     return F.exp(-gamma * d2)
 
 
-def gram(rows: DataFrame, key: str, width: int, gamma: float, limit: int = 1000) -> DataFrame:
-    """(a, b, k): the expected RBF kernel of a bounded set of rows; the self-diagonal is 1."""
+#: A kernel matrix of more rows is refused.
+GRAM_ROWS = 5000
+
+
+def paired(rows: DataFrame, key: str, limit: int = GRAM_ROWS) -> DataFrame:
+    """(a, b, columns.., other_columns..): every pair of a bounded set of rows, whose size is checked."""
     if rows.count() > limit:
         raise ValueError(f"a Gram matrix of more than {limit} rows is refused")
-    a = rows.select(F.col(key).alias("a"), *[F.col(f"f{j}").alias(f"p{j}") for j in range(width)], F.col("s").alias("t"))
-    b = rows.withColumnRenamed(key, "b")
-    d2 = F.col("s") + F.col("t")
+    others = [c for c in rows.columns if c != key]
+    b = rows.select(F.col(key).alias("b"), *[F.col(c).alias(f"other_{c}") for c in others])
+    return rows.withColumnRenamed(key, "a").join(F.broadcast(b))  # both sides hold at most ``limit`` rows
+
+
+def gram(rows: DataFrame, key: str, width: int, gamma: float, limit: int = GRAM_ROWS) -> DataFrame:
+    """(a, b, k): the expected RBF kernel of a bounded set of rows; the self-diagonal is 1."""
+    pairs = paired(rows.select(key, *[f"f{j}" for j in range(width)], "s"), key, limit)
+    d2 = F.col("s") + F.col("other_s")
     for j in range(width):
-        d2 = d2 + (F.col(f"f{j}") - F.col(f"p{j}")) * (F.col(f"f{j}") - F.col(f"p{j}"))
-    joined = a.join(F.broadcast(b))  # both sides hold at most ``limit`` rows
-    return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(rbf(d2, gamma)).alias("k"))
+        gap = F.col(f"f{j}") - F.col(f"other_f{j}")
+        d2 = d2 + gap * gap
+    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(rbf(d2, gamma)).alias("k"))
 
 
 def kernel_1d(r: Column, kernel: str) -> Column:

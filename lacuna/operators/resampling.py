@@ -6,22 +6,9 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def numbered(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
-    """Adds each row's place (from 1) in a global order without a single-task window.
-
-    The rows are range-partitioned and sorted; the counts of the partitions give
-    each its start, and rows are numbered within their partition.
-    """
-    keyed = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    keyed = keyed.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = keyed.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    starts = F.broadcast(starts.select(F.col("_p").alias("_q"), "_s"))  # one row per partition
-    return keyed.join(starts, F.col("_p") == F.col("_q")).withColumn(out, F.col("_s") + F.col("_i")).drop("_p", "_q", "_s", "_i")
+from lacuna.plans.ranks import numbered, ranked
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int | None = None) -> DataFrame:
@@ -74,9 +61,8 @@ def classification_scores(df: DataFrame, y: str, probability: str, threshold: fl
         F.count("*").alias("n"), F.avg((hit.cast("int") == F.col(y)).cast("double")).alias("accuracy"), F.avg((F.col(probability) - F.col(y)) ** 2).alias("brier"),
         F.count(F.when(hit & (F.col(y) == 1), 1)).alias("_tp"), F.count(F.when(hit & (F.col(y) == 0), 1)).alias("_fp"), F.count(F.when(~hit & (F.col(y) == 1), 1)).alias("_fn"),
     )
-    x = rows.groupBy(F.col(probability).alias("_v")).agg(F.count("*").alias("c"), F.sum(F.col(y).cast("double")).alias("c1"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    a = x.withColumn("_r", before + (F.col("c") + 1) / 2).agg(F.sum(F.col("_r") * F.col("c1")).alias("r"), F.sum("c1").alias("n1"), F.sum(F.col("c") - F.col("c1")).alias("n0"))
+    x = ranked(rows, probability, F.sum(F.col(y).cast("double")).alias("c1"))
+    a = x.agg(F.sum(F.col("rank") * F.col("c1")).alias("r"), F.sum("c1").alias("n1"), F.sum(F.col("c") - F.col("c1")).alias("n0"))
     auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")))
     t = t.withColumn("f1", F.when(2 * F.col("_tp") + F.col("_fp") + F.col("_fn") > 0, 2 * F.col("_tp") / (2 * F.col("_tp") + F.col("_fp") + F.col("_fn"))).otherwise(0.0))
     return t.crossJoin(a.select(auc.alias("auc"))).select("n", "accuracy", "f1", "brier", "auc")  # one row each

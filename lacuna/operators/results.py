@@ -30,12 +30,25 @@ def wald_p(z: float | None) -> float | None:
 
 
 def rubin(estimates: DataFrame, by: str = "feature", value: str = "coef", variance: str = "var") -> DataFrame:
-    """Pools (imputation, by, value, variance): estimate, within, between, total, se, df."""
-    t = estimates.groupBy(by).agg(F.count("*").alias("m"), F.avg(value).alias("estimate"), F.avg(variance).alias("within"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("between"))
+    """Pools (imputation, by, value, variance): estimate, within, between, total, se, df.
+
+    A missing, infinite or negative value or variance in any imputation makes
+    all but m NULL: pooling fewer imputations than m would understate the error.
+    Without variation between imputations df is infinite.
+    """
+    fine = F.col(value).isNotNull() & ~F.isnan(value) & F.col(variance).isNotNull() & (F.col(variance) >= 0) & (F.col(variance) < float("inf"))
+    t = estimates.groupBy(by).agg(
+        F.count("*").alias("m"), F.count(F.when(fine, 1)).alias("_fine"),
+        F.avg(value).alias("estimate"), F.avg(variance).alias("within"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("between"),
+    )
+    whole = F.col("_fine") == F.col("m")
+    t = t.withColumns({c: F.when(whole, F.col(c)) for c in ("estimate", "within", "between")})
     extra = (1 + 1 / F.col("m")) * F.col("between")
-    r = extra / F.col("within")
+    r = F.try_divide(extra, F.col("within"))
     t = t.withColumn("total", F.col("within") + extra).withColumn("se", sqrt_or_null(F.col("within") + extra))
-    return t.withColumn("df", F.when(r > 0, (F.col("m") - 1) * (1 + 1 / r) * (1 + 1 / r)).otherwise(F.lit(float("inf"))))
+    free = F.when(F.col("within") == 0, F.when(extra > 0, (F.col("m") - 1).cast("double")).otherwise(F.lit(float("inf"))))
+    free = free.when(r > 0, (F.col("m") - 1) * (1 + 1 / r) * (1 + 1 / r)).when(r == 0, F.lit(float("inf")))
+    return t.withColumn("df", free).drop("_fine")
 
 
 def rubin_p(estimate: float, se: float, df: float) -> float:

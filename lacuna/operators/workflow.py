@@ -9,17 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lacuna.plans.ranks import ranked
+
 
 def plot_positions(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, u): Blom positions (r - 0.375) / (n + 0.25), averaged over ties; NULL stays; fewer than three distinct values pass through."""
-    c = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("_before", before)
-    t = c.agg(F.sum("c").alias("_n"), F.count("*").alias("_d"))
-    c = c.crossJoin(t)  # one row
-    u = F.when(F.col("_d") < 3, F.col("_v")).otherwise((F.col("_before") + (F.col("c") + 1) / 2 - 0.375) / (F.col("_n") + 0.25))
-    c = c.select("_v", u.alias("u"))
-    return df.select(key, column).join(c, F.col(column) == F.col("_v"), "left").select(key, "u")
+    c = ranked(df, column)
+    t = c.agg(F.sum("c").alias("_n"), F.count("*").alias("_d")).first()
+    u = (F.col("rank") - 0.375) / F.lit((t["_n"] or 0) + 0.25) if t["_d"] >= 3 else F.col("v")
+    c = c.select("v", u.cast("double").alias("u"))
+    return df.select(key, column).join(c, F.col(column) == F.col("v"), "left").select(key, "u")
 
 
 def standardise(df: DataFrame, columns: list[str], keep: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lacuna.functions import numerics
-from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, resampling
+from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, neighbors, resampling, results
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import Block, Patterns, collect
 from lacuna.sources import ingest
@@ -216,3 +216,40 @@ def test_too_many_blocks_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="blocks"):
         patterns.collect(df, ["a", "b"], by=("g",))
     assert len(patterns.collect(df.filter("g < 100"), ["a", "b"], by=("g",))) == 100
+
+
+def test_places_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    from lacuna.plans import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 17 == 0 else float(rng.integers(0, 40)), f"s{i % 5}") for i in range(700)]
+    df = spark.createDataFrame(rows, "k long, v double, s string")
+    monkeypatch.setattr(ranks, "PART_ROWS", 50)
+    got = ranks.numbered(df, [ranks.F.col("s"), ranks.F.col("v"), ranks.F.col("k")], "place").collect()
+    want = sorted(rows, key=lambda r: (r[2], r[1] is not None, r[1] or 0.0, r[0]))
+    assert [r.k for r in sorted(got, key=lambda r: r.place)] == [r[0] for r in want]
+    v = np.array([r[1] for r in rows if r[1] is not None])
+    for r in ranks.ranked(df, "v").collect():
+        assert r.c == (v == r.v).sum() and r.rank == (v < r.v).sum() + ((v == r.v).sum() + 1) / 2
+
+
+def test_pooling_refuses_incomplete_imputations(spark):
+    rows = [("a", 1.0, 0.5), ("a", 2.0, 0.5), ("b", 1.0, None), ("b", 2.0, 0.5), ("c", 1.0, 0.0), ("c", 2.0, 0.0), ("d", 1.0, 0.3), ("d", 1.0, 0.3), ("e", float("nan"), 0.3)]
+    t = {r.feature: r for r in results.rubin(spark.createDataFrame(rows, "feature string, coef double, var double")).collect()}
+    assert t["b"].m == 2 and t["b"].se is None and t["b"].df is None and t["e"].estimate is None
+    assert t["a"].estimate == 1.5 and t["c"].df == 1.0 and math.isinf(t["d"].df)
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(neighbors, "TRAIN_ROWS", 11)
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (60, 2)).astype(float)
+    df = spark.createDataFrame([(f"k{i:02}", *map(float, r), 0.25 * (i % 3)) for i, r in enumerate(x)], "k string, f0 double, f1 double, s double")
+    got = neighbors.nearest(df.filter("k >= 'k20'"), df.filter("k < 'k20'"), "k", "k", 2, 4).collect()
+    s = np.array([0.25 * (i % 3) for i in range(60)])
+    for q in range(20):
+        d = sorted((round(float(np.sqrt(((x[q] - x[t]) ** 2).sum() + s[q] + s[t])), 9), f"k{t:02}") for t in range(20, 60))[:4]
+        assert [(r.d, r.k) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == f"k{q:02}"] == d
+    with pytest.raises(ValueError, match="refused"):
+        neighbors.gram(df, "k", 2, 0.1, limit=10)
