@@ -438,11 +438,11 @@ def lasso_classifier_fit(df):
 
 def _nation_kernel(task):
     def run(spark, sf_dir):
-        from lacuna.operators import kernels
+        from lacuna.operators import kernels, process
 
         t = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_regionkey").cast("double").alias("x1"), F.when(F.col("n_nationkey") % 6 > 0, F.col("n_nationkey").cast("double")).alias("x2"), (F.col("n_nationkey") * 2.0 + F.col("n_regionkey")).alias("y"))
         t = t.withColumn("b", (F.col("y") > 25).cast("int"))
-        m = kernels.fit_process(t, ["x1", "x2"], "y") if task == "process" else kernels.fit_support(t, ["x1", "x2"], "b" if task == "classifier" else "y", task)
+        m = process.fit(t, ["x1", "x2"], "y") if task == "process" else kernels.fit_support(t, ["x1", "x2"], "b" if task == "classifier" else "y", task)
         return m.transform(t).select("n_nationkey", "prediction")
 
     return run

@@ -183,3 +183,43 @@ def hessian(f: Callable[[np.ndarray], float], x: np.ndarray, eps: float = 1e-4)
 def standard_errors(variance: np.ndarray) -> list[float | None]:
     """Roots of the diagonal; None where it is not positive."""
     return [math.sqrt(v) if v > 0 and math.isfinite(v) else None for v in np.diag(variance).tolist()]
+
+
+def clear_cache() -> None:
+    """Forgets the quadrature rules that were computed so far."""
+    gauss_hermite.cache_clear()
+    _wide_rule.cache_clear()
+
+
+def psd_jitter(sigma: np.ndarray, floor: float = 1e-4, base: float = 1e-6) -> np.ndarray:
+    """``sigma`` with a ridge that lifts its least eigenvalue to ``floor``, at least ``base``."""
+    low = float(np.linalg.eigvalsh((sigma + sigma.T) / 2).min())
+    return sigma + (max(base, floor - low) if low < floor else base) * np.eye(len(sigma))
+
+
+def pack_cholesky(sigma: np.ndarray) -> np.ndarray:
+    """The lower Cholesky factor row by row as one free vector, its diagonal as logarithms."""
+    chol = np.linalg.cholesky(sigma)
+    np.fill_diagonal(chol, np.log(np.diag(chol)))
+    return chol[np.tril_indices(len(sigma))]
+
+
+def unpack_cholesky(packed: np.ndarray, p: int) -> np.ndarray:
+    """The covariance whose packed factor this is."""
+    chol = np.zeros((p, p))
+    chol[np.tril_indices(p)] = packed
+    np.fill_diagonal(chol, np.exp(np.diag(chol)))
+    return chol @ chol.T
+
+
+def safe_cholesky(k: np.ndarray, start: float = 1e-10, stop: float = 1e-2) -> np.ndarray:
+    """A Cholesky factor, with a ridge that grows tenfold until there is one."""
+    ridge = 0.0
+    scale = float(np.mean(np.diag(k))) or 1.0
+    while True:
+        try:
+            return np.linalg.cholesky(k + ridge * scale * np.eye(len(k)))
+        except np.linalg.LinAlgError:
+            ridge = ridge * 10 if ridge else start
+            if ridge > stop:
+                raise ValueError("the kernel matrix is not positive definite") from None

@@ -1,4 +1,4 @@
-"""Kernel machines and Gaussian processes for bounded tables.
+"""Support vector machines for bounded tables.
 
 Exact kernels cost n^2 memory and n^3 time, so fits refuse more than ``MAX_ROWS``
 labelled rows.  Predictions run over any number of rows in Arrow batches.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.checks import check_choice, check_positive_float
 from lacuna.functions.numerics import lbfgs, normal_quantile, sigmoid
 from lacuna.plans.patterns import degenerate, profile
 
@@ -47,103 +48,107 @@ def kernel(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products over the features that both rows have, scaled up to all features; 0 for rows without one in common."""
+    seen = (~np.isnan(a)).astype(float) @ (~np.isnan(b)).astype(float).T
+    return np.where(seen > 0, np.nan_to_num(a) @ np.nan_to_num(b).T * a.shape[1] / np.maximum(seen, 1), 0.0)
+
+
+@dataclass
+class Shape:
+    """Which kernel: rbf over ``lengths``, linear, or poly ``(gamma <a, b> + coef0) ** degree``."""
+
+    kind: str
+    lengths: np.ndarray
+    degree: int = 3
+    coef0: float = 0.0
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.kind == "rbf":
+            return kernel(a, b, self.lengths)
+        if self.kind == "linear":
+            return products(a, b)
+        return (products(a, b) / (2 * self.lengths[0] ** 2) + self.coef0) ** self.degree
+
+
 @dataclass
 class KernelModel:
-    """Weights on training rows: prediction = offset + K(x, rows) @ weights."""
+    """Weights on training rows: prediction = offset + unit * K(x, rows) @ weights."""
 
     features: list[str]
     center: np.ndarray
     scale: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
-    lengths: np.ndarray
+    shape: Shape
     offset: float
     unit: float
     kind: str
-    chol: np.ndarray | None = None
-    noise: float = 0.0
-    amplitude: float = 1.0
+    sd: float = 0.0
 
     def transform(self, df: DataFrame, alpha: float = 0.05) -> DataFrame:
-        """Adds prediction (and sd, lo, hi for a process, probability for a classifier)."""
-        extra = {"process": ["prediction", "sd", "lo", "hi"], "regressor": ["prediction"], "classifier": ["decision", "probability", "prediction"]}[self.kind]
-        schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in extra]])
-        model, z = self, normal_quantile(1 - alpha / 2)
+        """Adds prediction with lo and hi, or decision, probability and prediction for a classifier.
+
+        The half width of an interval grows with the root of features over observed features.
+        """
+        names = {"regressor": ["prediction", "lo", "hi"], "classifier": ["decision", "probability", "prediction"]}[self.kind]
+        own = [c for c in df.columns if c not in names]
+        schema = T.StructType([*(df.schema[c] for c in own), *[T.StructField(c, T.DoubleType()) for c in names]])
+        shared, z = df.sparkSession.sparkContext.broadcast(self), normal_quantile(1 - alpha / 2)  # at most MAX_ROWS training rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m: KernelModel = shared.value
             for b in batches:
-                x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in model.features], 1)
-                k = model.amplitude * kernel((x - model.center) / model.scale, model.rows, model.lengths)
-                f = model.offset + k @ model.weights * model.unit
-                if model.kind == "process":
-                    v = np.linalg.solve(model.chol, k.T)
-                    sd = model.unit * np.sqrt(np.maximum(model.amplitude - (v**2).sum(0), 0) + model.noise)
-                    columns = [f, sd, f - z * sd, f + z * sd]
-                elif model.kind == "classifier":
+                x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in m.features], 1)
+                f = m.offset + m.shape((x - m.center) / m.scale, m.rows) @ m.weights * m.unit
+                if m.kind == "classifier":
                     p = sigmoid(f)
                     columns = [f, p, (p >= 0.5).astype(float)]
                 else:
-                    columns = [f]
-                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns)], schema=pa.schema([*b.schema, *[pa.field(c, pa.float64()) for c in extra]]))
-
-        return df.mapInArrow(run, schema)
-
-
-def fit_process(df: DataFrame, features: list[str], label: str, ard: bool = False) -> KernelModel:
-    """Gaussian process regression; amplitude, lengths and noise by marginal likelihood."""
-    x, y, center, scale = _training(df, features, label)
-    my, sy = y.mean(), y.std() or 1.0
-    t = (y - my) / sy
-    p = len(features)
-
-    def unpack(theta: np.ndarray):
-        return np.exp(theta[0]), np.exp(np.clip(theta[1:-1] if ard else np.repeat(theta[1], p), -3, 3)), np.exp(np.clip(theta[-1], -8, 2))
-
-    def nll(theta: np.ndarray) -> float:
-        amplitude, lengths, noise = unpack(theta)
-        k = amplitude * kernel(x, x, lengths)
-        np.fill_diagonal(k, amplitude + noise + 1e-8)
-        try:
-            chol = np.linalg.cholesky(k)
-        except np.linalg.LinAlgError:
-            return 1e12
-        a = np.linalg.solve(chol, t)
-        return 0.5 * a @ a + np.log(np.diag(chol)).sum()
+                    half = z * m.sd * np.sqrt(x.shape[1] / np.maximum((~np.isnan(x)).sum(1), 1))
+                    columns = [f, f - half, f + half]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *map(pa.array, columns)], [*own, *names])
 
-    def with_grad(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        return nll(theta), np.array([(nll(theta + e) - nll(theta - e)) / 2e-4 for e in np.eye(len(theta)) * 1e-4])
+        return df.select(*dict.fromkeys([*own, *self.features])).mapInArrow(run, schema)
 
-    theta, _ = lbfgs(with_grad, np.concatenate([[0.0], np.zeros(p if ard else 1), [-2.0]]), 40, 1e-3)
-    amplitude, lengths, noise = unpack(theta)
-    k = amplitude * kernel(x, x, lengths)
-    np.fill_diagonal(k, amplitude + noise + 1e-8)
-    chol = np.linalg.cholesky(k)
-    w = np.linalg.solve(chol.T, np.linalg.solve(chol, t))
-    return KernelModel(features, center, scale, x, w, lengths, float(my), float(sy), "process", chol, float(noise), float(amplitude))
+    def importances(self) -> list[tuple[str, float]]:
+        """Shares of the weights' size for a linear kernel, of the features' availability for others."""
+        w = np.abs(self.weights @ np.nan_to_num(self.rows)) if self.shape.kind == "linear" else 1 - np.isnan(self.rows).mean(0)
+        return [(c, float(v / w.sum()) if w.sum() else 1 / len(w)) for c, v in zip(self.features, w, strict=True)]
 
 
-def _scale_gamma(x: np.ndarray) -> np.ndarray:
-    """Lengths of the 'scale' rule: gamma = 1 / (p var)."""
-    spread = np.nanvar(x, axis=0).sum() + np.isnan(x).mean(0).sum()
-    return np.full(x.shape[1], math.sqrt(max(spread, 1e-12) / 2))
+def _lengths(x: np.ndarray, gamma) -> np.ndarray:
+    """Lengths that stand for gamma: 'scale' is 1 / (p var), 'auto' is 1 / p, or a number."""
+    if gamma == "scale":
+        spread = max(float(np.nanvar(x, axis=0).sum() + np.isnan(x).mean(0).sum()), 1e-12)
+        gamma = 1 / spread
+    elif gamma == "auto":
+        gamma = 1 / x.shape[1]
+    else:
+        check_positive_float(gamma, "gamma", "support")
+    return np.full(x.shape[1], math.sqrt(1 / (2 * gamma)))
 
 
-def fit_support(df: DataFrame, features: list[str], label: str, task: str = "classifier", c: float = 1.0, epsilon: float = 0.1, sweeps: int = 60) -> KernelModel:
+def fit_support(df: DataFrame, features: list[str], label: str, task: str = "classifier", c: float = 1.0, epsilon: float = 0.1, kind: str = "rbf", gamma="scale", degree: int = 3, coef0: float = 0.0, sweeps: int = 60) -> KernelModel:
     """Support vector machine on the expected kernel by dual coordinate descent; the offset is a constant kernel.
 
     task is classifier (labels 0/1, calibrated by Platt's logistic) or regressor.
     """
+    check_choice(task, ("classifier", "regressor"), "task", "support")
+    check_choice(kind, ("rbf", "linear", "poly"), "kind", "support")
+    check_positive_float(c, "c", "support")
     x, y, center, scale = _training(df, features, label)
-    lengths = _scale_gamma(x)
-    k = kernel(x, x, lengths)
-    np.fill_diagonal(k, 1.0)
+    shape = Shape(kind, _lengths(x, gamma), degree, coef0)
+    k = shape(x, x)
+    if kind == "rbf":
+        np.fill_diagonal(k, 1.0)
     k = k + 1.0
     if task == "classifier":
         s = 2 * y - 1
         a, f = np.zeros(len(y)), np.zeros(len(y))
         for _ in range(sweeps):
             for i in range(len(y)):
-                new = min(max(a[i] + (1 - s[i] * f[i]) / k[i, i], 0.0), c)
+                new = min(max(a[i] + (1 - s[i] * f[i]) / max(k[i, i], 1e-12), 0.0), c)
                 if new != a[i]:
                     f += (new - a[i]) * s[i] * k[i]
                     a[i] = new
@@ -154,18 +159,16 @@ def fit_support(df: DataFrame, features: list[str], label: str, task: str = "cla
             return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + 1e-3 * theta @ theta, -np.array([(y - p).sum(), ((y - p) * f).sum()]) + 2e-3 * theta
 
         theta, _ = lbfgs(platt, np.array([0.0, 1.0]), 100, 1e-6)
-        return KernelModel(features, center, scale, x, w * theta[1], lengths, float(theta[0] + theta[1] * w.sum()), 1.0, "classifier")
-    if task != "regressor":
-        raise ValueError("task must be 'classifier' or 'regressor'")
+        return KernelModel(features, center, scale, x, w * theta[1], shape, float(theta[0] + theta[1] * w.sum()), 1.0, "classifier")
     my, sy = y.mean(), y.std() or 1.0
     t = (y - my) / sy
     b, f = np.zeros(len(t)), np.zeros(len(t))
     for _ in range(sweeps):
         for i in range(len(t)):
             g = t[i] - f[i] + k[i, i] * b[i]
-            new = np.sign(g) * max(abs(g) - epsilon, 0.0) / k[i, i]
+            new = np.sign(g) * max(abs(g) - epsilon, 0.0) / max(k[i, i], 1e-12)
             new = min(max(new, -c), c)
             if new != b[i]:
                 f += (new - b[i]) * k[i]
                 b[i] = new
-    return KernelModel(features, center, scale, x, b, lengths, float(my + sy * b.sum()), float(sy), "regressor")
+    return KernelModel(features, center, scale, x, b, shape, float(my + sy * b.sum()), float(sy), "regressor", float(sy * np.std(t - f)))

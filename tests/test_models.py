@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lacuna.functions import numerics
-from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, neighbors, resampling, results
+from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, neighbors, process, resampling, results
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import Block, Patterns, collect
 from lacuna.sources import ingest
@@ -151,7 +151,7 @@ def test_kernel_machines(spark):
     y = np.sin(2 * x[:, 0]) + rng.normal(size=150) * 0.1
     x[rng.random(x.shape) < 0.1] = np.nan
     df = frame(spark, x, y)
-    for m, least in ((kernels.fit_process(df, ["x0", "x1"], "y"), 0.7), (kernels.fit_support(df, ["x0", "x1"], "y", "regressor", c=10.0), 0.4)):
+    for m, least in ((process.fit(df, ["x0", "x1"], "y"), 0.7), (kernels.fit_support(df, ["x0", "x1"], "y", "regressor", c=10.0), 0.4)):
         assert resampling.regression_scores(m.transform(df), "y", "prediction").first().r2 > least
     b = df.withColumn("b", (df.y > 0).cast("int"))
     assert resampling.classification_scores(kernels.fit_support(b, ["x0", "x1"], "b").transform(b), "b", "probability").first().auc > 0.9
