@@ -294,19 +294,79 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64))
 
 
-def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+class Counts:
+    """A count-min sketch of all texts' shingles: two rows of counters, the smaller one counts.
+
+    It has one size whatever the corpus.  Counts order the shingles; any order
+    gives the same result, a better one less work.
+    """
+
+    BITS = 22
+    CHUNKS = 64
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+
+    @classmethod
+    def places(cls, hashes: np.ndarray, row: int) -> np.ndarray:
+        return ((hashes >> np.uint64(row * cls.BITS)) & np.uint64((1 << cls.BITS) - 1)).astype(np.int64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return np.minimum(self.rows[0][self.places(hashes, 0)], self.rows[1][self.places(hashes, 1)])
+
+
+def _tally(size: int):
+    """Counts a partition's shingle sets; yields the counters in chunks, each at most 2 ** 16 - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << Counts.BITS), np.uint32)
+        held, n = [], 0
+
+        def add() -> None:
+            hashes = np.concatenate(held)
+            for row in (0, 1):
+                total[row] += np.bincount(Counts.places(hashes, row), minlength=1 << Counts.BITS).astype(np.uint32)
+
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                held.append(shingle_set(text.as_py(), size))
+                n += len(held[-1])
+                if n > 1 << 20:
+                    add()
+                    held, n = [], 0
+        if held:
+            add()
+        if total.any():
+            parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(Counts.CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(Counts.CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.uint32) for x in table.column("counts"))
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()], pa.binary())})
+
+
+def count_shingles(docs: DataFrame, size: int) -> Counts:
+    """The sketch of all texts of ``docs``; its 16 MB come to the driver in chunks."""
+    tallies = docs.select("text").mapInArrow(tidied(_tally(size)), "chunk int, counts binary")
+    rows = tallies.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()
+    total = np.zeros((Counts.CHUNKS, (2 << Counts.BITS) // Counts.CHUNKS), np.uint16)
+    for r in rows:
+        total[r["chunk"]] = np.frombuffer(r["counts"], np.uint16)
+    return Counts(total.reshape(2, -1))
+
+
+def prefix(hashes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, so many that any two sets of at least ``similarity`` share one of theirs.
 
-    ``known`` (sorted) and ``counts`` rank the shingles, others count as rarest; the order is total, by (count, hash).
+    The order is total, by (count, hash).
     """
     n = len(hashes)
     if not n:
         return hashes
-    count = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        count = np.where(known[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, count))][: n - math.ceil(similarity * n - 1e-6) + 1]
+    return hashes[np.lexsort((hashes, counts))][: n - math.ceil(similarity * n - 1e-6) + 1]
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -315,35 +375,24 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def _sketches(size: int, similarity: float, order):
+def _sketches(size: int, similarity: float, counts):
     """Of each text: a name of its words, the fingerprint and size of its shingle set, and the set's rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = order.value
+        order: Counts = counts.value
         for whole in batches:
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 w = [xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in texts]
                 sets = [shingle_set(x, size) for x in texts]
-                first = [prefix(x, similarity, known, counts).view(np.int64) for x in sets]
+                first = [prefix(x, similarity, order.of(x)).view(np.int64) for x in sets]
                 columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([_majority(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "fp", "n", "first"])
 
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(start, _SLICE)
-                sets = [shingle_set(x, size).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["s"])
-
-    return run
-
-
 def _alike(size: int, similarity: float):
     """Of rows (a, b, ta, tb) those ids whose texts' shingle sets have at least the similarity."""
 
@@ -363,27 +412,12 @@ def _alike(size: int, similarity: float):
     return run
 
 
-#: About so many texts are counted to rank the shingles, of which so many are ranked; this bears on the work, not on the result.
-ORDER_TEXTS = 20_000
-ORDER_SHINGLES = 500_000
 #: Bits that linked fingerprints differ in at most, in the first pass.
 DEDUP_RADIUS = 3
 #: Texts that a shingle's list compares to the rest of it at once, in the first round and later.
 HEADS = (8, 64)
 
 
-def _order(docs: DataFrame, size: int):
-    """Broadcast (shingles, counts) of the shingles that a sample of the texts repeats most."""
-    share = min(1.0, ORDER_TEXTS / max(docs.count(), 1))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["text"])
-    sets = some.select("text").mapInArrow(tidied(_sets(size)), "s array<long>")
-    counted = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")
-    found = counted.orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).toArrow()
-    x, c = found["x"].to_numpy().view(np.uint64), found["c"].to_numpy()
-    at = np.argsort(x)
-    return docs.sparkSession.sparkContext.broadcast((x[at], c[at]))
-
-
 #: Lists of at most so many ids, or pairs of ids, are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -447,8 +481,8 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    order = _order(docs, size)
-    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, order)), f"doc_id {kind}, w binary, fp long, n int, first array<long>"))
+    counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, size))
+    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, counts)), f"doc_id {kind}, w binary, fp long, n int, first array<long>"))
     texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
     copies = prints.select("doc_id", F.col("w").alias("_w")).join(texts.select("w", "least"), (F.col("w") == F.col("_w")) & (F.col("doc_id") != F.col("least")))
     gone = [materialise(copies.select("doc_id"))]

@@ -102,6 +102,19 @@ def test_links_come_from_the_index_and_it_prunes(monkeypatch):
     assert not any(out.num_rows for out in simhash._linker(2, masks)(iter(batches)))
 
 
+def test_counts_cover_all_texts_and_never_fall_short(spark):
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} common words here w{i}" for i in range(300)]
+    counts = simhash.count_shingles(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(5), 5)
+    true: dict = {}
+    for t in texts:
+        for h in simhash.shingle_set(t.encode(), 5).tolist():
+            true[h] = true.get(h, 0) + 1
+    hashes = np.array(list(true), np.uint64)
+    got = counts.of(hashes)
+    assert (got >= np.array(list(true.values()))).all() and (got == np.array(list(true.values()))).mean() > 0.99
+    assert not simhash.count_shingles(spark.createDataFrame([], "text string"), 5).rows.any()
+
+
 def test_edges_of_input(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e", "y"), (4, "A b\tC d e", "y"), (4, "A b\tC d e", "y"), (9, "one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
