@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,50 @@ def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], o
     return df.sparkSession.createDataFrame(out, "fold int, score double")
 
 
+def cross_validate_metrics(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], object], label: str, scoring: tuple[str, ...], seed: int | None = 0, group: str | None = None, train_scores: bool = False) -> DataFrame:
+    """(fold, metric, seconds, test, train): several scores of each fold's one fit.
+
+    With ``group`` whole groups are dealt, so that none is in training and test
+    rows at once.  A fold whose fit fails scores NULL; every fit starts afresh.
+    """
+    unknown = [s for s in scoring if s not in SCORERS]
+    if unknown or not scoring:
+        raise ValueError(f"scoring must be among {', '.join(sorted(SCORERS))}, not {unknown or 'empty'}")
+    if group:
+        rows = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed or 0), F.col(group)), F.lit(k)).cast("int")).cache()
+    else:
+        rows = kfold(df, key, k, seed).cache()
+    out = []
+
+    def values(model, part: DataFrame) -> dict[str, float | None]:
+        predicted = model.transform(part)
+        if "probabilities" in predicted.columns and "probability" not in predicted.columns:
+            predicted = predicted.withColumn("probability", F.element_at("probabilities", -1))
+        kinds = {n in ("r2", "rmse", "mae") for n, _ in (SCORERS[s] for s in scoring)}
+        got: dict = {}
+        if True in kinds:
+            got |= regression_scores(predicted, label, "prediction").first().asDict()
+        if False in kinds:
+            got |= classification_scores(predicted, label, "probability").first().asDict()
+        return {s: None if got[SCORERS[s][0]] is None or math.isnan(got[SCORERS[s][0]]) else SCORERS[s][1] * got[SCORERS[s][0]] for s in scoring}
+
+    try:
+        for fold in range(k):
+            train, test = rows.filter(F.col("fold") != fold).drop("fold"), rows.filter(F.col("fold") == fold).drop("fold")
+            began = time.perf_counter()
+            try:
+                model = fit(train)
+                spent = time.perf_counter() - began
+                tested = values(model, test)
+                trained = values(model, train) if train_scores else {}
+            except (ValueError, ArithmeticError):
+                spent, tested, trained = None, {}, {}
+            out += [(fold, s, spent, tested.get(s), trained.get(s)) for s in scoring]
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(out, "fold int, metric string, seconds double, test double, train double")
+
+
 def aggregate_folds(scores: DataFrame) -> DataFrame:
     """n, mean and sd of the folds' scores, failed folds left out."""
     return scores.agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
