@@ -104,12 +104,6 @@ def bayes_reg_naive(df):
     return m.transform(df).select("k", F.round("prediction", 2).alias("prediction"), F.round("sd", 3).alias("sd"))
 
 
-@query("m_part")
-def bayes_reg_full(df):
-    m = bayes.fit_regressor(df, ["x1", "x2"], "y", "full")
-    return m.transform(df).select("k", "prediction", "sd", "lo", "hi")
-
-
 @query("m_customer", """
 WITH a AS (SELECT var_samp(x1) AS v1, var_samp(y) AS v2 FROM {v}), s AS (SELECT g, count(*) AS n, avg(x1) AS m1, var_samp(x1) AS w1, avg(y) AS m2, var_samp(y) AS w2 FROM {v} GROUP BY 1),
 t AS (SELECT g, ln(n / sum(n) OVER ()) AS lp, m1, w1 + 1e-9 * v1 AS w1, m2, w2 + 1e-9 * v2 AS w2 FROM s, a),
@@ -334,25 +328,6 @@ def shapley_exact_p3(df):
     return t.select("k", *[(F.round(f"phi_{f}", 8) + 0).alias(f"phi_{f}") for f in ("x1", "x2", "y")])
 
 
-@query("m_part", "SELECT k, round(" + _value_sql(True, True, False) + " - " + _value_sql(False, True, False) + ", 5) AS miss_x1, round(" + _value_sql(True, True, False) + " - " + _value_sql(True, False, False) + ", 5) AS miss_x2 FROM (SELECT k, coalesce(x1, 24 + 0.01::DOUBLE * (x2 - 230)) AS x1, x2, NULL::DOUBLE AS y FROM {v})")
-def miss_shap_p2(df):
-    known = F.coalesce(F.col("x1"), 24 + 0.01 * (F.col("x2") - 230))
-    null = F.lit(None).cast("double")
-    full, no1, no2 = (_value({"x1": a, "x2": b, "y": null}) for a, b in ((known, F.col("x2")), (null, F.col("x2")), (known, null)))
-    return df.select("k", F.round(full - no1, 5).alias("miss_x1"), F.round(full - no2, 5).alias("miss_x2"))
-
-
-EVIDENCE = "WITH e AS (SELECT count(*) AS n, 2 AS p, count(*) FILTER (x1 IS NOT NULL AND y IS NOT NULL) AS n_complete, FALSE AS heavy_tailed, 0.03::DOUBLE AS linear_gain, 0.02::DOUBLE AS icc, count(DISTINCT g) AS n_groups FROM {v})"
-
-
-@query("m_part", EVIDENCE + ", r AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, CASE WHEN {c} THEN {v}::DOUBLE ELSE 0 END AS points FROM e" for f, c, v in workflow.RULES) + """), s AS (
-SELECT family, sum(points) AS points FROM r, e WHERE NOT (""" + " OR ".join(f"(family = '{f}' AND {c})" for f, c in workflow.VETOES) + """) GROUP BY 1)
-SELECT family, points, row_number() OVER (ORDER BY points DESC, family)::INT AS rank FROM s""")
-def recommend_scores(df):
-    e = df.agg(F.count("*").alias("n"), F.count(F.when(F.col("x1").isNotNull() & F.col("y").isNotNull(), 1)).alias("n_complete"), F.count_distinct("g").alias("n_groups"))
-    return workflow.recommend(e.withColumns({"p": F.lit(2), "heavy_tailed": F.lit(False), "linear_gain": F.lit(0.03), "icc": F.lit(0.02)}))
-
-
 @query("m_lineitem")
 def linear_fit(df):
     return linear.fit(df, ["x1", "x2", "x3"], "y_lin").coefficients(df.sparkSession)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lacuna.functions import numerics
 from lacuna.functions.numerics import gauss_hermite
 
 
@@ -30,6 +32,18 @@ def logistic_normal(a: Column, v: Column, n: int = 20) -> Column:
     return F.when(v <= 1e-12, sigmoid(a)).otherwise(F.greatest(F.least(total, F.lit(1 - 1e-15)), F.lit(1e-15)))
 
 
+def wide_logistic_normal(a: Column, v: Column) -> Column:
+    """E sigmoid(a + t), t ~ N(0, v), for any v >= 0, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(mean: pd.Series, variance: pd.Series) -> pd.Series:
+        known = mean.notna() & variance.notna()
+        found = numerics.logistic_normal(mean.fillna(0.0).to_numpy(float), variance.fillna(0.0).to_numpy(float))
+        return pd.Series(found, index=mean.index).where(known, None)
+
+    return run(a, v)
+
+
 def normal_log_density(x: Column, mean: Column, variance: Column) -> Column:
     return -0.5 * (F.lit(math.log(2 * math.pi)) + F.log(variance) + (x - mean) * (x - mean) / variance)
 

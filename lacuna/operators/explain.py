@@ -179,7 +179,7 @@ class Explainer:
 
 def fit(model, df: DataFrame, features: list[str], kind: str = "auto", value=None) -> Explainer:
     p = collect(df, features)
-    mu, sigma = gaussian.raw_moments(p, gaussian.em(p, 100, 1e-5, 1e-6))
+    mu, sigma = gaussian.raw_moments(p, gaussian.em(p, 1000, 1e-12, 1e-10))
     return Explainer(model, features, kind, value, baseline(model, df, features, kind, value), mu, sigma)
 
 

@@ -43,17 +43,14 @@ class LinearModel:
     def bic(self) -> float:
         return self.n_parameters * math.log(max(self.n, 1)) - 2 * self.loglik
 
-    def _mean(self, obs: list[int], mis: list[int]) -> Column:
+    def _mean(self, obs: list[int], mis: list[int]) -> tuple[float, np.ndarray]:
         k, shift, _ = gaussian.conditional(self.mu, self.sigma, np.array(obs, int), np.array(mis, int))
         w = self.coef[obs] + (self.coef[mis] @ k if mis else 0)
-        out = F.lit(float(self.intercept + (self.coef[mis] @ shift if mis else 0)))
-        for j, v in zip(obs, w, strict=True):
-            out = out + F.lit(float(v)) * F.col(self.features[j])
-        return out
+        return float(self.intercept + (self.coef[mis] @ shift if mis else 0)), w
 
-    def _sd(self, obs: list[int], mis: list[int]) -> Column:
+    def _sd(self, obs: list[int], mis: list[int]) -> tuple[float, np.ndarray]:
         c = gaussian.conditional(self.mu, self.sigma, np.array(obs, int), np.array(mis, int))[2]
-        return F.lit(math.sqrt(self.sigma2 + (float(self.coef[mis] @ c @ self.coef[mis]) if mis else 0.0)))
+        return math.sqrt(self.sigma2 + (float(self.coef[mis] @ c @ self.coef[mis]) if mis else 0.0)), np.zeros(len(obs))
 
     def transform(self, df: DataFrame, alpha: float = 0.05) -> DataFrame:
         """Adds prediction, lo and hi: E[y | what is observed] and its interval."""
@@ -62,8 +59,8 @@ class LinearModel:
             raise ValueError(f"features not in the table: {', '.join(missing)}")
         masks = [r["m"] for r in df.select(exprs.mask(self.features).alias("m")).distinct().collect()]
         z = normal_quantile(1 - alpha / 2)
-        sd = gaussian.per_pattern(self.features, masks, self._sd)
-        out = df.withColumn("prediction", gaussian.per_pattern(self.features, masks, self._mean))
+        sd = gaussian.affine(self.features, masks, self._sd)
+        out = df.withColumn("prediction", gaussian.affine(self.features, masks, self._mean))
         return out.withColumns({"lo": F.col("prediction") - z * sd, "hi": F.col("prediction") + z * sd})
 
     def coefficients(self, spark) -> DataFrame:

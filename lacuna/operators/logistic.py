@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import exprs
-from lacuna.functions.numerics import gauss_hermite, hessian, lbfgs, sigmoid, standard_errors
+from lacuna.functions.numerics import gauss_hermite, lbfgs, sigmoid, standard_errors
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import Patterns, collect, degenerate, profile
 
@@ -50,33 +50,27 @@ class LogisticModel:
     mu: np.ndarray
     sigma: np.ndarray
 
-    def _logit(self, obs: list[int], mis: list[int]) -> Column:
+    def _logit(self, obs: list[int], mis: list[int]) -> tuple[float, np.ndarray]:
         k, shift, _ = gaussian.conditional(self.mu, self.sigma, np.array(obs, int), np.array(mis, int))
         w = self.coef[obs] + (self.coef[mis] @ k if mis else 0)
-        out = F.lit(float(self.intercept + (self.coef[mis] @ shift if mis else 0)))
-        for j, v in zip(obs, w, strict=True):
-            out = out + F.lit(float(v)) * F.col(self.features[j])
-        return out
+        return float(self.intercept + (self.coef[mis] @ shift if mis else 0)), w
 
-    def _variance(self, obs: list[int], mis: list[int]) -> float:
+    def _variance(self, obs: list[int], mis: list[int]) -> tuple[float, np.ndarray]:
         _, _, c = gaussian.conditional(self.mu, self.sigma, np.array(obs, int), np.array(mis, int))
-        return float(self.coef[mis] @ c @ self.coef[mis]) if mis else 0.0
+        return (float(self.coef[mis] @ c @ self.coef[mis]) if mis else 0.0), np.zeros(len(obs))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds decision (plug-in logit), probability (logit uncertainty integrated out) and prediction.
 
-        The pattern decides on the expression; wide uncertainty (variance above 1)
-        uses the logit shrunk by the usual probit match, so nothing leaves the JVM.
+        The integral is a sum over fixed nodes inside the JVM; only where a
+        pattern leaves a variance above 1 the wide rule runs in Arrow batches.
         """
         masks = [r["m"] for r in df.select(exprs.mask(self.features).alias("m")).distinct().collect()]
-
-        def probability(obs: list[int], mis: list[int]) -> Column:
-            v = self._variance(obs, mis)
-            a = self._logit(obs, mis)
-            return exprs.logistic_normal(a, F.lit(v)) if v <= 1 else exprs.sigmoid(a / float(np.sqrt(1 + np.pi * v / 8)))
-
-        out = df.withColumn("decision", gaussian.per_pattern(self.features, masks, self._logit))
-        out = out.withColumn("probability", gaussian.per_pattern(self.features, masks, probability))
+        logit, variance = (gaussian.affine(self.features, masks, f) for f in (self._logit, self._variance))
+        out = df.withColumn("decision", logit).withColumn("_variance", variance)
+        wide = any(self._variance([j for j, c in enumerate(m) if c == "0"], [j for j, c in enumerate(m) if c == "1"])[0] > 1 for m in masks)
+        p = exprs.wide_logistic_normal(F.col("decision"), F.col("_variance")) if wide else exprs.logistic_normal(F.col("decision"), F.col("_variance"))
+        out = out.withColumn("probability", p).drop("_variance")
         return out.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
 
 
@@ -89,6 +83,47 @@ def _rows(df: DataFrame, features: list[str], label: str, p: Patterns, m: gaussi
     return z.select("_y", "_m", *[gaussian.conditional_mean(features, m.mu, m.sigma, j, masks).alias(f"f{j}") for j in range(len(features))])
 
 
+def score(rows: DataFrame, width: int, covs: dict[str, np.ndarray], theta: np.ndarray, l2: float = 0.0) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood and gradient; one job whose partial sums are a vector per partition.
+
+    rows: _y (0/1), _m (pattern), f0.. (filled features); covs: per pattern the
+    covariance that the missing features keep; theta: intercept, coefficients.
+    """
+    beta = theta[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 2)
+        for b in batches:
+            y = b.column("_y").to_numpy()
+            f = np.stack([b.column(f"f{j}").to_numpy(zero_copy_only=False) for j in range(width)], 1) if width else np.zeros((len(y), 0))
+            pattern = np.array(b.column("_m").to_pylist())
+            for k in np.unique(pattern):
+                on = pattern == k
+                a = theta[0] + f[on] @ beta
+                mb = covs[k] @ beta
+                v = float(beta @ mb)
+                sign = 2 * y[on] - 1
+                if v > 1e-12:
+                    nodes, weights = gauss_hermite(20 if v <= 1 else 64)  # value and slope from one rule
+                    t = sigmoid(sign[:, None] * (a[:, None] + np.sqrt(v) * nodes))
+                    prob = np.clip(t @ weights, 1e-15, 1)
+                    slope = sign * ((t * (1 - t)) @ weights) / prob
+                    curve = (((t * (1 - t)) * (sign[:, None] * nodes)) @ weights) / (2 * np.sqrt(v)) / prob
+                else:
+                    prob = np.clip(sigmoid(sign * a), 1e-15, 1)
+                    slope, curve = sign * (1 - prob), np.zeros(len(a))
+                total[0] -= np.log(prob).sum()
+                total[1] -= slope.sum()
+                total[2:] -= f[on].T @ slope + 2 * mb * curve.sum()
+        yield pa.RecordBatch.from_pydict({"i": list(range(width + 2)), "v": total.tolist()})
+
+    got = {r["i"]: r["s"] for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("s")).collect()}
+    total = np.array([got.get(i, 0.0) for i in range(width + 2)])
+    grad = total[1:].copy()
+    grad[1:] += l2 * beta
+    return total[0] + 0.5 * l2 * beta @ beta, grad
+
+
 def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: float = 0.0, steps: int = 40, compute_se: bool = True) -> LogisticModel:
     """Two-stage fit: moments of the features by EM, then the penalised likelihood of the label.
 
@@ -111,43 +146,8 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: fl
             c[np.ix_(mis, mis)] = gaussian.conditional(m.mu, m.sigma, obs, mis)[2]
         covs[k] = c
 
-    def partial(theta: np.ndarray):
-        beta = theta[1:]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width + 2)
-            for b in batches:
-                y = b.column("_y").to_numpy()
-                f = np.stack([b.column(f"f{j}").to_numpy(zero_copy_only=False) for j in range(width)], 1) if width else np.zeros((len(y), 0))
-                pattern = np.array(b.column("_m").to_pylist())
-                for k in np.unique(pattern):
-                    on = pattern == k
-                    a = theta[0] + f[on] @ beta
-                    mb = covs[k] @ beta
-                    v = float(beta @ mb)
-                    sign = 2 * y[on] - 1
-                    if v > 1e-12:
-                        nodes, weights = gauss_hermite(20 if v <= 1 else 64)  # value and slope from one rule
-                        t = sigmoid(sign[:, None] * (a[:, None] + np.sqrt(v) * nodes))
-                        prob = np.clip(t @ weights, 1e-15, 1)
-                        slope = sign * ((t * (1 - t)) @ weights) / prob
-                        curve = (((t * (1 - t)) * (sign[:, None] * nodes)) @ weights) / (2 * np.sqrt(v)) / prob
-                    else:
-                        prob = np.clip(sigmoid(sign * a), 1e-15, 1)
-                        slope, curve = sign * (1 - prob), np.zeros(len(a))
-                    total[0] -= np.log(prob).sum()
-                    total[1] -= slope.sum()
-                    total[2:] -= f[on].T @ slope + 2 * mb * curve.sum()
-            yield pa.RecordBatch.from_pydict({"i": list(range(width + 2)), "v": total.tolist()})
-
-        got = {r["i"]: r["s"] for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("s")).collect()}
-        return np.array([got.get(i, 0.0) for i in range(width + 2)])
-
     def smooth(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        s = partial(theta)
-        grad = s[1:].copy()
-        grad[1:] += l2 * theta[1:]
-        return s[0] + 0.5 * l2 * theta[1:] @ theta[1:], grad
+        return score(rows, width, covs, theta, l2)
 
     def split(uv: np.ndarray) -> tuple[float, np.ndarray]:
         value, grad = smooth(np.concatenate([uv[:1], uv[1 : width + 1] - uv[width + 1 :]]))
@@ -176,5 +176,3 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.01, l1: fl
     errors = [se[0], *[None if i is None or se[i + 1] is None else se[i + 1] / p.scale[i] for i in at]]
     return LogisticModel(features, float(theta[0] - coef @ p.center), full, errors, -float(value), wide_mu, wide_sigma)
 
-
-__all__ = ["LogisticModel", "fit", "hessian", "newton_sums"]

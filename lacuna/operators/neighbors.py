@@ -34,11 +34,11 @@ def expected(df: DataFrame, columns: list[str], keep: tuple[str, ...], center, s
     masks = gaussian.all_masks(len(columns)) if len(columns) <= 6 else [r["m"] for r in df.select(exprs.mask(columns).alias("m")).distinct().collect()]
     z = df.select(*keep, *[((F.col(c) - F.lit(float(a))) / F.lit(float(b))).alias(c) for c, a, b in zip(columns, center, scale, strict=True)])
 
-    def left(obs: list[int], mis: list[int]) -> Column:
-        return F.lit(float(np.trace(gaussian.conditional(mu, sigma, np.array(obs, int), np.array(mis, int))[2])) if mis else 0.0)
+    def left(obs: list[int], mis: list[int]) -> tuple[float, np.ndarray]:
+        return (float(np.trace(gaussian.conditional(mu, sigma, np.array(obs, int), np.array(mis, int))[2])) if mis else 0.0), np.zeros(len(obs))
 
     cells = [gaussian.conditional_mean(columns, mu, sigma, j, masks).alias(f"f{j}") for j in range(len(columns))]
-    return z.select(*keep, *cells, gaussian.per_pattern(columns, masks, left).alias("s"))
+    return z.select(*keep, *cells, gaussian.affine(columns, masks, left).alias("s"))
 
 
 def nearest(train: DataFrame, queries: DataFrame, key: str, query_key: str, width: int, k: int, digits: int = 9) -> DataFrame:

@@ -6,7 +6,6 @@ import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.plans.ranks import ranked
@@ -114,31 +113,3 @@ def shap_summary(values: DataFrame, features: list[str]) -> DataFrame:
     row = values.agg(*[F.avg(F.abs(f"phi_{f}")).alias(f) for f in features])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs")) for f in features])
     return row.select(F.explode(cells).alias("c")).select("c.*")
-
-
-#: Points of the recommender: family, evidence (a condition on the evidence row), points.
-RULES = (
-    ("linear", "linear_gain > 0.02", 2.0),
-    ("linear", "n > 20 * p", 1.0),
-    ("neighbours", "linear_gain < -0.02", 2.0),
-    ("neighbours", "p <= 10", 0.5),
-    ("generative", "n_complete < 0.3 * n", 1.5),
-    ("generative", "NOT heavy_tailed", 0.5),
-    ("support", "n <= 1000 AND linear_gain < 0", 1.0),
-    ("gaussian_process", "n <= 500", 1.0),
-    ("mixed", "icc > 0.1", 3.0),
-    ("lasso", "p > n / 10", 2.0),
-)
-VETOES = (("gaussian_process", "n > 1000"), ("mixed", "n_groups < 2"))
-
-
-def recommend(evidence: DataFrame) -> DataFrame:
-    """(family, points, rank) for one row of evidence: n, p, n_complete, heavy_tailed, linear_gain, icc, n_groups."""
-    spark = evidence.sparkSession
-    cells = F.array(*[F.struct(F.lit(f).alias("family"), F.when(F.expr(c), F.lit(v)).otherwise(0.0).alias("points")) for f, c, v in RULES])
-    veto = F.array(*[F.when(F.expr(c), F.lit(f)) for f, c in VETOES])
-    t = evidence.select(F.explode(cells).alias("c"), veto.alias("veto")).select("c.*", "veto")
-    t = t.filter(~F.coalesce(F.array_contains(F.filter("veto", lambda v: v.isNotNull()), F.col("family")), F.lit(False)))
-    t = t.groupBy("family").agg(F.sum("points").alias("points"))
-    assert spark is not None
-    return t.withColumn("rank", F.row_number().over(W.orderBy(F.desc("points"), "family")))

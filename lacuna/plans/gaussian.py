@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,16 +132,52 @@ def per_pattern(columns: list[str], masks: list[str], build) -> Column:
 def conditional_mean(columns: list[str], mu: np.ndarray, sigma: np.ndarray, target: int, masks: list[str]) -> Column:
     """Column ``target`` where observed, else its mean given the row's observed columns (raw scale)."""
 
-    def build(obs: list[int], mis: list[int]) -> Column:
+    def build(obs: list[int], mis: list[int]) -> tuple[float, list[float]]:
         if target in obs:
-            return F.col(columns[target])
+            return 0.0, [float(j == target) for j in obs]
         k, shift, _ = conditional(mu, sigma, np.array(obs, int), np.array([target]))
-        out = F.lit(float(shift[0]))
-        for j, w in zip(obs, k[0], strict=True):
-            out = out + F.lit(float(w)) * F.col(columns[j])
-        return out
+        return float(shift[0]), k[0].tolist()
 
-    return per_pattern(columns, masks, build)
+    return F.coalesce(F.col(columns[target]), affine(columns, [m for m in masks if m[target] == "1"] or masks[:1], build))
+
+
+#: Terms up to which an affine map per pattern is a CASE expression.
+CASE_TERMS = 4000
+
+
+def affine(columns: list[str], masks: list[str], build) -> Column:
+    """const + weights of the observed columns, by pattern; ``build(observed, missing)`` gives (const, weights).
+
+    Few patterns become a CASE; many are looked up in a table that is no larger
+    than the patterns' bound, in Arrow batches.
+    """
+    if len(masks) * (1 + len(columns)) <= CASE_TERMS:
+
+        def expression(obs: list[int], mis: list[int]) -> Column:
+            const, weights = build(obs, mis)
+            out = F.lit(float(const))
+            for j, w in zip(obs, weights, strict=True):
+                out = out + F.lit(float(w)) * F.col(columns[j])
+            return out
+
+        return per_pattern(columns, masks, expression)
+    table = np.zeros((len(masks), 1 + len(columns)))
+    for i, m in enumerate(masks):
+        obs, mis = ([j for j, c in enumerate(m) if c == v] for v in "01")
+        const, weights = build(obs, mis)
+        table[i, 0] = const
+        table[i, [1 + j for j in obs]] = weights
+    place = {m: i for i, m in enumerate(masks)}
+
+    @F.pandas_udf("double")
+    def run(pattern: pd.Series, values: pd.DataFrame) -> pd.Series:
+        at = pattern.map(place).to_numpy(dtype=float)
+        known = ~np.isnan(at)
+        own = table[np.where(known, at, 0).astype(int)]
+        out = own[:, 0] + (own[:, 1:] * np.nan_to_num(values.to_numpy(dtype=float))).sum(1)
+        return pd.Series(out).where(known, None)
+
+    return run(mask(columns), F.struct(*[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)]))
 
 
 def all_masks(width: int) -> list[str]:

@@ -49,6 +49,15 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
             "y_bin": "CASE WHEN k % 13 >= 1 THEN CASE WHEN 3 + CAST(0.5 AS DOUBLE) * l_quantity - 20 * l_discount + 100 * (l_tax - CAST(0.04 AS DOUBLE)) > 15 THEN 1 ELSE 0 END END",
         },
     ),
+    "m_mono": (
+        "orders",
+        "o_orderkey",
+        {
+            "x1": "CASE WHEN k % 10 >= 2 THEN CAST(0.001 AS DOUBLE) * o_totalprice END",
+            "x2": "CAST(o_custkey % 50 AS DOUBLE)",
+            "y_lin": "2 + CAST(0.00005 AS DOUBLE) * o_totalprice - CAST(0.3 AS DOUBLE) * (o_custkey % 50) + (k % 17)",
+        },
+    ),
     "m_part": (
         "part",
         "p_partkey",
