@@ -20,6 +20,7 @@ forest, never as all pairs.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, count
@@ -316,45 +317,51 @@ class Counts:
 
 
 def _tally(size: int):
-    """Counts a partition's shingle sets; yields the counters in chunks, each at most 2 ** 16 - 1."""
+    """Counts a partition's shingle sets; yields the counters in packed chunks, each at most 2 ** 16 - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << Counts.BITS), np.uint32)
+        total = np.zeros((2, 1 << Counts.BITS), np.uint16)
         held, n = [], 0
 
         def add() -> None:
             hashes = np.concatenate(held)
             for row in (0, 1):
-                total[row] += np.bincount(Counts.places(hashes, row), minlength=1 << Counts.BITS).astype(np.uint32)
+                at, count = np.unique(Counts.places(hashes, row), return_counts=True)
+                total[row, at] = np.minimum(total[row, at] + count, 0xFFFF)
 
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
                 held.append(shingle_set(text.as_py(), size))
                 n += len(held[-1])
-                if n > 1 << 20:
+                if n > 1 << 18:
                     add()
                     held, n = [], 0
         if held:
             add()
         if total.any():
-            parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(Counts.CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(Counts.CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+            parts = total.reshape(Counts.CHUNKS, -1)
+            for k, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     return run
 
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.uint16)
+
+
 def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.uint32) for x in table.column("counts"))
-    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()], pa.binary())})
+    total = sum(_unpacked(x.as_py()).astype(np.uint32) for x in table.column("counts"))
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)], pa.binary())})
 
 
 def count_shingles(docs: DataFrame, size: int) -> Counts:
-    """The sketch of all texts of ``docs``; its 16 MB come to the driver in chunks."""
+    """The sketch of all texts of ``docs``; its counters, 16 MB in all, come to the driver packed."""
     tallies = docs.select("text").mapInArrow(tidied(_tally(size)), "chunk int, counts binary")
     rows = tallies.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()
     total = np.zeros((Counts.CHUNKS, (2 << Counts.BITS) // Counts.CHUNKS), np.uint16)
     for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["counts"], np.uint16)
+        total[r["chunk"]] = _unpacked(r["counts"])
     return Counts(total.reshape(2, -1))
 
 
@@ -456,8 +463,8 @@ def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 def _shared(posts: DataFrame) -> DataFrame:
     """The rows of lists with two texts or more."""
-    several = materialise(posts.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x"))
-    return materialise(_listed(posts, "x", several, "left_semi"))
+    several = posts.groupBy(F.col("x").alias("_x")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return materialise(posts.join(several, F.col("x") == F.col("_x"), "left_semi"))
 
 
 def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

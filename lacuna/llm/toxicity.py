@@ -33,10 +33,10 @@ STEPS = 40
 CHANCE = 0.7
 #: Words over which a document's toxic words are spread when its score is taken.
 PRIOR_WORDS = 50
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 _CHUNK = 128
-#: Words whose factor a worker remembers, twice over: those of late and those before; longer words are not remembered.
-_REMEMBERED = 250_000
+#: Words whose factor is remembered within a partition, twice over: those of late and those before; longer words are not remembered.
+_REMEMBERED = 120_000
 _LONGEST = 64
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -415,6 +415,7 @@ def tag(docs: DataFrame, chain: Chain, keep: list[str], score: str = "score", sp
             if spans:
                 arrays.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+        model.known = None  # workers are used again by later stages
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), T.StructType(fields))
 
