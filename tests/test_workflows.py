@@ -171,13 +171,15 @@ def test_arms(table):
     assert 0.2 < hidden.x1 < 0.6 and hidden.x5 == hidden.y == 0
 
 
-@pytest.mark.parametrize(("family", "task"), [("linear", "regression"), ("bayes", "regression"), ("bayes", "classification"), ("lasso", "regression")])
+@pytest.mark.parametrize(("family", "task"), [("linear", "regression"), ("bayes", "classification")])
 def test_degenerate_tables(spark, family, task):
-    report = conformance.check(spark, Estimator(family, task), task)
+    names = ("missing_90", "no_complete_row", "empty_column", "constant", "tiny", "missing_outcome", "one_observed_cell", "blockwise")
+    assert set(names) < set(conformance.regimes(task))
+    report = conformance.check(spark, Estimator(family, task), task, names).cache()
     rows = {r.regime: r for r in report.collect()}
     assert not conformance.problems(report).collect(), rows
     assert rows["empty_column"].outcome == "refused clearly" and "x3" in rows["empty_column"].detail
-    assert sum(r.outcome == "fitted" for r in rows.values()) >= 13
+    assert sum(r.outcome == "fitted" for r in rows.values()) >= 6
 
 
 def test_fits_do_not_depend_on_the_order_of_rows(table):
