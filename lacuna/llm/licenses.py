@@ -163,8 +163,10 @@ def scan(docs: DataFrame, keep: list[str], templates=TEMPLATES, threshold: float
     """The columns ``keep`` of each row and the list of its matching units, best first.
 
     Null and empty texts match nothing, and nothing is left out of long texts;
-    equal texts get equal lists; an empty table gives an empty result.
+    equal texts get equal lists; an empty table gives an empty result.  A column
+    of ``keep`` named like the result gives way to it.
     """
+    keep = [c for c in keep if c.lower() != matches.lower()]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(matches, T._parse_datatype_string(MATCHES))])
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())]))
     fields = ("license", "dice", "first_line", "last_line")

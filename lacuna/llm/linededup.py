@@ -240,9 +240,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
     with the largest doc_id that holds it (there all of them stay).  Null and
     empty texts are one empty line and come back empty.  Rows that share a
     doc_id are one document; null ids are one document below all others.  Other
-    columns pass through; an empty table gives an empty result.  The names of
-    the two counts must not be among the columns.
+    columns pass through, but those named like the two counts give way to them;
+    an empty table gives an empty result.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n_lines.lower(), n_dropped.lower()}])
     spark, names = docs.sparkSession, docs.columns
     small_batches(spark)
     pairs = line_pairs(docs, min_chars)
@@ -258,6 +259,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
         held += size
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
 
+    def free(name: str) -> str:
+        return name if name not in names else free("_" + name)
+
     def probe(round_: list[int]) -> _Probe:
         rows = index.filter(F.col("shard").isin(round_)).select("shard", "arrays").collect() if round_ else []
         return _Probe(spark.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in rows}), shards)
@@ -284,15 +288,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_lines
 
         return run
 
-    parts = [dealt.filter(F.col("round") == r).select("h1", "h2", "doc_id").mapInArrow(marked(probe(own)), "h1 long, h2 long, doc_id long") for r, own in enumerate(rounds)]
-    drops = parts[0]
-    for part in parts[1:]:
-        drops = drops.unionAll(part)
-    drops = drops.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("_drops"))
-    joined = docs.join(drops, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_drop_id"), "left").drop("_drop_id")
+    # one round's arrays at a time: each is probed, its drops are written, and it is released before the next
+    drops = None
+    for r, own in enumerate(rounds):
+        look = probe(own)
+        part = materialise(dealt.filter(F.col("round") == r).select("h1", "h2", "doc_id").mapInArrow(tidied(marked(look)), "h1 long, h2 long, doc_id long"))
+        look.arrays.unpersist()
+        drops = part if drops is None else drops.unionAll(part)
+    drops = drops.groupBy(F.col("doc_id").alias(free("_drop_id"))).agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias(free("_drops")))
+    joined = docs.join(drops, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col(free("_drop_id")), "left").drop(free("_drop_id"))
 
     def mark_listed(batch, rows, h1, h2):
-        listed = [{(x["h1"] & _MASK, x["h2"] & _MASK) for x in own} if own else set() for own in batch.column("_drops").to_pylist()]
+        listed = [{(x["h1"] & _MASK, x["h2"] & _MASK) for x in own} if own else set() for own in batch.column(free("_drops")).to_pylist()]
         return np.array([(int(a), int(b)) in listed[i] for i, a, b in zip(rows, h1, h2, strict=True)])
 
     return joined.mapInArrow(tidied(_rewrite(names, min_chars, mark_listed, n_lines, n_dropped)), schema)

@@ -157,17 +157,16 @@ def mix_counts(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataF
 def mix_documents(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The mixed documents themselves: every row of ``docs`` repeated as often as the mix takes it.
 
-    Columns are those of ``docs`` (names starting with ``_`` are reserved).
+    Columns are those of ``docs``, whatever their names.  Null and empty texts
+    have size 0 and go along as often as their key falls; rows of one doc_id are
+    taken together; an empty table gives an empty result.
     """
     _, plan = mix_plan(docs.select("doc_id", "source", "text"), weights, max_epochs)
-    names = docs.columns
     plan = plan.select("source", "epochs", "cut_bucket", "cut_e", "cut_k")
-    for c in ("epochs", "cut_bucket", "cut_e", "cut_k", "copies"):
-        if c in names:
-            docs = docs.withColumnRenamed(c, f"_own_{c}")
-    out = _copies(_keyed(docs), plan).filter(F.col("copies") > 0)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    out = _copies(_keyed(rows), plan).filter(F.col("copies") > 0)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in docs.columns else F.col(c) for c in names])
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def sql() -> str:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from lacuna.llm.shared import small_batches, tidied
@@ -275,13 +276,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     read.  Each document is its ids and then ``end_id``; a null or empty text is
     ``end_id`` alone.  Every id lies in one piece.  Rows are packed in the
     order in which the table is read, partition by partition, so equal rows and
-    null doc_ids are documents of their own; other columns are ignored; an empty
+    null doc_ids (of any plain type) are documents of their own; other columns are ignored; an empty
     table has no pieces.  A sequence is padded to ``length`` unless its length is
     a power of two.  ``remember`` bounds the units that a worker keeps between
     partitions (about 200 bytes each).
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    id_type = to_arrow_type(kind)
     schema = SCHEMA.format(kind.simpleString()) + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(tidied(_pack(tokenizer, length, end_id, id_type, with_ids, remember)), schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,13 +26,17 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    single machine, as in tests) a temporary folder becomes the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset on a
+    single machine, as in tests, a temporary folder becomes the checkpoint
+    folder.  A cluster without the setting is refused: each executor would write
+    to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = own.get() if own.isDefined() else None
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="lacuna-shared-")
         spark.sparkContext.setCheckpointDir(path)
