@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -70,6 +71,12 @@ def release() -> None:
 atexit.register(release)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are written; otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows and bytes of an Arrow batch, where the session does not say otherwise.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _batched: set[str] = set()

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lacuna.llm.components import components
-from lacuna.llm.shared import materialise, small_batches, tidied
+from lacuna.llm.shared import materialise, small_batches, sweep, tidied
 
 SEED = 42
 #: More distinct fingerprints of one pattern under a mask are dealt once more.
@@ -431,12 +431,14 @@ HEADS = (8, 64)
 
 #: Lists of at most so many ids, or pairs of ids, are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Likewise of shingles, one number each (about 150 MB as a hash table).
+BROADCAST_SHINGLES = 4_000_000
 
 
-def _listed(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+def _listed(df: DataFrame, column: str, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
     """``df`` joined on ``column`` to the first column of ``ids``, broadcast if its counted size allows."""
     ids = ids.withColumnRenamed(ids.columns[0], "_listed")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column) == F.col("_listed"), how)
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(column) == F.col("_listed"), how)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -469,8 +471,9 @@ def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 def _shared(posts: DataFrame) -> DataFrame:
     """The rows of lists with two texts or more."""
-    several = posts.groupBy(F.col("x").alias("_x")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return materialise(posts.join(several, F.col("x") == F.col("_x"), "left_semi"))
+    several = materialise(posts.groupBy("x").agg(F.count("*").alias("_n")).filter("_n > 1").select("x"))
+    sweep(posts.sparkSession)
+    return materialise(_listed(posts, "x", several, "left_semi", BROADCAST_SHINGLES))
 
 
 def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -507,6 +510,8 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     near = _verified(linked.filter("a < b").select("a", "b"), docs, size, similarity)
     gone.append(near.select(F.col("b").alias("doc_id")))
 
+    sweep(docs.sparkSession)
+
     left = _minus(texts.select(F.col("least").alias("id")), "id", gone[1]).withColumnRenamed("id", "_id")
     posts = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
     prints_of = texts.select(F.col("least").alias("_least"), "fp")
