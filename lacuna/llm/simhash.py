@@ -516,7 +516,6 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     posts = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
     prints_of = texts.select(F.col("least").alias("_least"), "fp")
     posts = materialise(_shared(posts).join(prints_of, F.col("id") == F.col("_least")).drop("_least"))
-    docs = materialise(_listed(docs, "doc_id", posts.select("id").distinct(), "left_semi"))
     # lists mostly hold copies of their least text: where that leads all its own lists it stays, and what resembles it goes
     least = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("a"))
     heads = materialise(posts.join(least, (F.col("x") == F.col("_x")) & (F.col("id") == F.col("a")), "left_semi"))
