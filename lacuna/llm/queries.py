@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import langid, licenses, linededup, mixing, packing, quality, simhash, topk, toxicity, urls
+from lacuna.llm import codes, graph, langid, licenses, linededup, mixing, packing, quality, simhash, topk, toxicity, urls, whitening
 from lacuna.llm.shared import table
 
 #: The url rules of query op2.
@@ -77,6 +77,30 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    book = codes.fit(rows, "vec_id", "embedding")
+    if book is None:
+        return rows.limit(0).select("vec_id", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "string"), ("error", "long"), ("label_error", "long"), ("codebooks_sha256", "string"))])
+    coded = codes.summed_by(codes.encode(rows, "embedding", book), "label", "error", "label_error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(book.sha256()).alias("codebooks_sha256"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, "embedding", components=4)
+    if model is None:
+        return rows.limit(0).select("vec_id", *[F.lit(None).cast(t).alias(c) for c, t in (("component", "int"), ("n", "long"), ("deviation", "long"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double"))])
+    white = whitening.apply(rows, "embedding", model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.element_at(F.array(*[F.lit(e).cast("double") for e in model.explained]), F.col("at") + 1)
+    return white.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", shares.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph.nearest(graph.index(rows, "vec_id", "embedding"), rows.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", k=20)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
@@ -88,5 +112,8 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
+    "op11_codes": op11_codes,
+    "op12_whiten": op12_whiten,
+    "op13_neighbours": op13_neighbours,
 }
-ORACLES = {"op4_quality": quality.sql(), "op8_mix": mixing.sql(), "op9_topk": topk.sql(), "op10_lines": linededup.sql()}
+ORACLES = {"op4_quality": quality.sql(), "op8_mix": mixing.sql(), "op9_topk": topk.sql(), "op10_lines": linededup.sql(), "op11_codes": codes.sql()}

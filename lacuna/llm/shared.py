@@ -22,6 +22,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,13 +58,39 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[str, DataFrame]:
+    """Writes ``df`` into the shared folder as a table in buckets of ``key``: (name for ``discard``, table).
+
+    Tables with the same key and number of buckets join on it without a shuffle.
+    """
+    spark = df.sparkSession
+    name = f"lacuna_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _tables[name] = spark, path
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return name, spark.table(name)
+
+
+def discard(name: str) -> None:
+    """Removes a table of ``bucketed`` and its files."""
+    spark, path = _tables.pop(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def release() -> None:
-    """Removes every table that ``materialise`` wrote; results not yet read are lost."""
-    while _written:
-        spark, path = _written.pop()
+    """Removes every table that ``materialise`` and ``bucketed`` wrote; results not yet read are lost."""
+    while _written or _tables:
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            if _tables:
+                discard(next(iter(_tables)))
+            else:
+                _remove(*_written.pop())
         except Exception:  # the session has ended; its folder goes with the cluster's
             return
 
