@@ -3,7 +3,9 @@
 A rule names a host suffix and a path prefix; the longest rule that fits
 decides.  What no rule fits is judged by boosted trees over lexical features of
 the url, fitted on labelled urls: a table of them, or the urls that the rules
-decide (``label_by_rules``).  Everything is column expressions and the ML
+decide (``label_by_rules``).  Both labels weigh the same in the fit, however
+unequal their numbers, so that a score of one half says that the evidence of the
+url is as good for either.  Everything is column expressions and the ML
 library's own trees: no Python runs on the executors.
 """
 
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.shared import ascii_lower, materialise
 
-#: At most about so many labelled urls are fitted, and so many host suffixes get statistics of their own.
+#: At most about so many labelled urls are fitted, and so many suffixes or path tokens of a kind get statistics of their own.
 FIT_ROWS = 20_000
 SUFFIXES = 64
+#: The rate of a suffix or token counts as if it had been seen so often besides, half the time with either label.
+SMOOTHING = 10
 
 
 def host_of(url: Column) -> Column:
@@ -57,9 +61,25 @@ def suffix_of(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
+def segment_of(path: Column, n: int) -> Column:
+    """The n-th segment of a path (from 1), A-Z lower-cased; empty if there are fewer."""
+    return ascii_lower(F.regexp_extract(path, r"^/+" + r"[^/]+/+" * (n - 1) + r"([^/]+)", 1))
+
+
+def kinds(host: Column, path: Column) -> dict[str, Column]:
+    """What rates are kept of: the last label and the last two of the host, the first path segment, and how the second begins."""
+    return {
+        "suffix_rate": suffix_of(host),
+        "domain_rate": F.substring_index(host, ".", -2),
+        "segment_rate": segment_of(path, 1),
+        "start_rate": F.substring(segment_of(path, 2), 1, 1),
+    }
+
+
 FEATURES = (
     "length", "host_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens",
-    "host_entropy", "longest_label", "parameters", "has_fragment", "other_ratio", "suffix_rate",
+    "host_entropy", "longest_label", "parameters", "has_fragment", "other_ratio",
+    "suffix_rate", "domain_rate", "segment_rate", "start_rate",
 )
 
 
@@ -71,14 +91,19 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, bits).otherwise(0.0)
 
 
-def lexical(df: DataFrame, suffix_rates: dict[str, float], prior: float) -> DataFrame:
-    """Adds the lexical features of ``_url``, ``_host`` and ``_path`` as double columns ``_f_*``."""
+def lexical(df: DataFrame, rates: dict[str, dict[str, float]]) -> DataFrame:
+    """Adds the lexical features of ``_url``, ``_host`` and ``_path`` as double columns ``_f_*``; values without a rate count as one half."""
     url, host, path = F.col("_url"), F.col("_host"), F.col("_path")
     n = F.greatest(F.length(url), F.lit(1))
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
-    rate = F.lit(prior)
-    for suffix, value in suffix_rates.items():
-        rate = F.when(suffix_of(host) == suffix, F.lit(value)).otherwise(rate)
+
+    def rate(kind: str) -> Column:
+        known = rates.get(kind)
+        if not known:
+            return F.lit(0.5)
+        found = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        return F.coalesce(F.try_element_at(found, kinds(host, path)[kind]), F.lit(0.5))
+
     values = {
         "length": F.length(url),
         "host_length": F.length(host),
@@ -92,20 +117,20 @@ def lexical(df: DataFrame, suffix_rates: dict[str, float], prior: float) -> Data
         "parameters": count(url, r"[?&][^&=#]+="),
         "has_fragment": F.contains(url, F.lit("#")).cast("int"),
         "other_ratio": count(url, r"[^A-Za-z0-9/:.?=&#_-]") / n,
-        "suffix_rate": rate,
+        **{kind: rate(kind) for kind in kinds(host, path)},
     }
     return df.withColumns({f"_f_{k}": F.coalesce(values[k].cast("double"), F.lit(0.0)) for k in FEATURES})
 
 
 class UrlModel:
-    """Boosted trees with the suffix statistics that their features need."""
+    """Boosted trees with the rates that their features need; ``prior`` is the answer where there are no trees."""
 
-    def __init__(self, trees: GBTClassificationModel | None, suffix_rates: dict[str, float], prior: float):
-        self.trees, self.suffix_rates, self.prior = trees, suffix_rates, prior
+    def __init__(self, trees: GBTClassificationModel | None, rates: dict[str, dict[str, float]], prior: float):
+        self.trees, self.rates, self.prior = trees, rates, prior
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``_score``, the probability of block, to rows with _url, _host and _path."""
-        df = lexical(df, self.suffix_rates, self.prior)
+        """Adds ``_score``, the probability of block if both labels were equally frequent, to rows with _url, _host and _path."""
+        df = lexical(df, self.rates)
         features = [f"_f_{k}" for k in FEATURES]
         if self.trees is None:
             return df.withColumn("_score", F.lit(self.prior)).drop(*features)
@@ -131,10 +156,10 @@ def fit(labelled: DataFrame, max_rows: int = FIT_ROWS, trees: int = 12, depth: i
     Where there are more, the urls of each label whose hash falls below a
     threshold are kept, so that each label fills at most half of the bound; equal
     rows become one row with their number as weight, so a url that holds any
-    share of the rows adds one.  Of the suffixes in that sample the
-    ``SUFFIXES`` most frequent get a smoothed block rate of their own.  Null
-    urls and labels teach nothing; with one label alone the model answers that
-    label's share.
+    share of the rows adds one.  The weights of either label sum to the same.
+    Of the values of each of ``kinds`` in that sample the ``SUFFIXES`` most
+    frequent get a smoothed block rate of their own.  Null urls and labels teach
+    nothing; with one label alone the model answers that label's share.
     """
     rows = labelled.filter(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -146,10 +171,15 @@ def fit(labelled: DataFrame, max_rows: int = FIT_ROWS, trees: int = 12, depth: i
     slot = F.pmod(F.xxhash64("url"), F.lit(space))
     limit = F.when(F.col("label") == 1.0, F.lit(int(space * min(1.0, max_rows / 2 / counts[1.0])))).otherwise(F.lit(int(space * min(1.0, max_rows / 2 / counts[0.0]))))
     distinct = rows.filter(slot < limit).groupBy("url", "label").agg(F.count("*").cast("double").alias("_n"))
-    sample = materialise(_parts(distinct, "url").repartition(1).sortWithinPartitions("_url", "label"))
-    rates = sample.groupBy(suffix_of(F.col("_host")).alias("s")).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("label")).alias("b"))
-    rates = {r["s"]: (r["b"] + 10 * prior) / (r["n"] + 10) for r in rates.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()}
-    featured = VectorAssembler(inputCols=[f"_f_{k}" for k in FEATURES], outputCol="_v").transform(lexical(sample, rates, prior))
+    sums = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.sum("_n").alias("n")).collect()}
+    even = F.when(F.col("label") == 1.0, F.lit(0.5 / sums.get(1.0, 1.0))).otherwise(F.lit(0.5 / sums.get(0.0, 1.0)))
+    weighted = distinct.withColumn("_n", F.col("_n") * even * sum(sums.values()))
+    sample = materialise(_parts(weighted, "url").repartition(1).sortWithinPartitions("_url", "label"))
+    rates = {}
+    for kind, value in kinds(F.col("_host"), F.col("_path")).items():
+        t = sample.groupBy(value.alias("s")).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("label")).alias("b"))
+        rates[kind] = {r["s"]: (r["b"] + SMOOTHING / 2) / (r["n"] + SMOOTHING) for r in t.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()}
+    featured = VectorAssembler(inputCols=[f"_f_{k}" for k in FEATURES], outputCol="_v").transform(lexical(sample, rates))
     learner = GBTClassifier(featuresCol="_v", labelCol="label", weightCol="_n", predictionCol="_pred", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7)
     learner.setProbabilityCol("_p").setRawPredictionCol("_raw")
     return UrlModel(learner.fit(featured.select("_v", "label", "_n")), rates, prior)
