@@ -451,17 +451,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return materialise(both.mapInArrow(tidied(_alike(size, similarity)), T.StructType([both.schema["a"], both.schema["b"]])))
 
 
-def _met(posts: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+def _met(posts: DataFrame, heads: DataFrame, similarity: float, far: int) -> DataFrame:
     """Pairs (a, b), a < b, of a head of a list and a text of the list that could be so similar if this shingle is their first.
 
     Their sets then share at most what stands from their places on, and must
     share the part of their sizes that the similarity asks for; and their
-    fingerprints differ in at most ``FAR`` bits, unless a set is small.
+    fingerprints differ in at most ``far`` bits, unless a set is small.
     """
     a = heads.select("x", F.col("id").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("fp").alias("other"))
     most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     met = posts.join(a, "x").filter(F.col("a") < F.col("id"))
-    met = met.filter((F.least("n", "m") < SMALL_SET) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= FAR))
+    met = met.filter((F.least("n", "m") < SMALL_SET) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= far))
     return met.filter(most + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("a", F.col("id").alias("b")).distinct()
 
 
@@ -476,7 +476,7 @@ def _shared(posts: DataFrame) -> DataFrame:
     return materialise(_listed(posts, "x", several, "left_semi", BROADCAST_SHINGLES))
 
 
-def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, far: int = FAR) -> DataFrame:
     """The doc_ids that go if one document of each group of near-duplicates stays.
 
     Texts of the same words (ASCII-lower-cased) are copies: the least doc_id
@@ -487,7 +487,8 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     The first pass compares each text to the least of those that its SimHash
     reaches over links of ``DEDUP_RADIUS`` bits.  SimHash cannot reach most pairs
     near the similarity, so the second finds what is left (all pairs but those
-    whose fingerprints are implausibly far apart, see ``FAR``): in the order of
+    whose fingerprints are implausibly far apart, see ``FAR``; with ``far`` 64
+    all pairs without exception): in the order of
     ids, a text goes if it is that similar to one that stays.  Two such sets
     share one of their rarest shingles (``prefix``).  In each shingle's list the
     least texts are compared to all others; a text that is among the least in
@@ -522,7 +523,7 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     leading = heads.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("met"))
     listed = posts.groupBy("id").agg(F.count("*").alias("all"))
     sure = listed.join(leading, F.col("id") == F.col("_id")).filter(F.col("all") == F.col("met")).select(F.col("id").alias("_a"))
-    quick = _met(posts, heads, similarity).join(sure, F.col("a") == F.col("_a"), "left_semi").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    quick = _met(posts, heads, similarity, far).join(sure, F.col("a") == F.col("_a"), "left_semi").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     gone.append(_verified(quick, docs, size, similarity).select(F.col("b").alias("doc_id")))
     posts = _shared(_minus(posts, "id", gone[2]))
     for turn in count():
@@ -530,7 +531,7 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
             break
         rank = F.row_number().over(W.partitionBy("x").orderBy("id"))
         heads = materialise(posts.withColumn("rank", rank).filter(F.col("rank") <= HEADS[min(turn, 1)]).drop("rank"))
-        near = _verified(_met(posts, heads, similarity), docs, size, similarity)
+        near = _verified(_met(posts, heads, similarity, far), docs, size, similarity)
         listed = posts.groupBy("id").agg(F.count("*").alias("all"))
         leading = heads.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("met"))
         unsure = materialise(listed.join(leading, F.col("id") == F.col("_id"), "left").filter("all > coalesce(met, 0)").select("id"))
@@ -552,17 +553,22 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _listed(docs, "doc_id", ids, "left_anti")
 
 
-def dedup_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, far: int = FAR) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates (see ``duplicates``).
 
-    Rows that share a doc_id are one document, of which one row stays; rows
-    without a doc_id stay as they are.  Null and empty texts are copies of each
-    other.  Further columns pass through; an empty table gives an empty result.
+    A document is a doc_id with a text: equal texts under one doc_id are one row
+    (the least by all its columns), other texts under it are documents of their
+    own, so that no text is lost with a copy beside it.  Rows without a doc_id
+    stay as they are.  Null and empty texts are copies of each other.  Further
+    columns pass through; an empty table gives an empty result.
     """
-    gone = duplicates(docs, size, similarity)
     again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
-        return _without(docs, gone)
+        return _without(docs, duplicates(docs, size, similarity, far))
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
     listed = again.select(F.col("doc_id").alias("_again"))
-    one = docs.join(listed, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return _without(_without(docs, again).unionByName(one), gone)
+    several = docs.join(listed, F.col("doc_id") == F.col("_again"), "left_semi").groupBy(key.alias("key")).agg(F.min(F.struct(*docs.columns)).alias("own"))
+    single = _without(docs.filter("doc_id IS NOT NULL"), again).select(key.alias("key"), F.struct(*docs.columns).alias("own"))
+    rows = materialise(single.unionByName(several))
+    gone = duplicates(rows.select(F.col("key").alias("doc_id"), "own.text"), size, similarity, far)
+    return _listed(rows, "key", gone, "left_anti").select("own.*").unionByName(docs.filter("doc_id IS NULL"))

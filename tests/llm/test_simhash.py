@@ -124,3 +124,16 @@ def test_edges_of_input(spark):
     assert {(1, 1), (2, 1), (None, 4), (4, 4), (9, 9)} == by
     assert next(r.fp for r in got if r.doc_id == 2) == 0
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_no_text_is_lost_under_a_repeated_id(spark):
+    """Rows of one id with other texts are documents of their own; only copies go, and the same ones in every run."""
+    base = [f"w{i}" for i in range(60)]
+    copy, near = " ".join(base), " ".join([*base[:58], "x", "y"])
+    rows = [(1, copy, "b"), (5, near, "b"), (5, "a unique text of its own under the same id", "c"), (5, "a unique text of its own under the same id", "a"), (7, None, "n"), (7, "", "n"), (8, "", "n"), (None, copy, "z"), (None, copy, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for far in (simhash.FAR, 64):
+        got = sorted(((r.doc_id or 0, r.text or "", r.source) for r in simhash.dedup_documents(df, far=far).collect()))
+        assert [g for g in got if g[0] not in (7,)] == [(0, copy, "z"), (0, copy, "z"), (1, copy, "b"), (5, rows[2][1], "a")]
+        assert len([g for g in got if g[0] == 7]) == 1  # null and empty are copies
+    assert simhash.dedup_documents(df).columns == df.columns
