@@ -47,8 +47,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least doc_id, of each group of near-duplicates on five-word shingles.
 
-    Null and empty texts are copies of each other; rows of one doc_id become
-    one row; rows without a doc_id stay.
+    Null and empty texts are copies of each other; equal texts under one doc_id
+    become one row, other texts under it are documents of their own; rows without
+    a doc_id stay.
     """
     return simhash.dedup_documents(docs.select(*COLUMNS))
 
