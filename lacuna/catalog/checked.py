@@ -12,7 +12,8 @@ from lacuna.functions import checks
 from lacuna.functions.numerics import gauss_hermite
 from lacuna.operators import advise, arms, auto, bayes, copula, explain, glmm, kernels, linear, logistic, resampling
 from lacuna.operators.auto import Estimator
-from lacuna.plans.patterns import collect, profile
+from lacuna.plans import gaussian
+from lacuna.plans.patterns import collect
 
 # Joint moments of (x1, x2, z) where x1 alone has gaps: those of (x2, z), and the regression of x1 on both.
 MONOTONE = """
@@ -48,6 +49,59 @@ def shapley_fitted(df):
     return explain.exact(_monotone(df), df, "k", ["x1", "x2"]).select("k", "feature", (F.round("phi", 1) + 0).alias("phi"))
 
 
+FOUR = ["a", "b", "c", "d"]
+FOUR_SQL = "SELECT k, x2 AS a, CAST(k % 7 AS DOUBLE) AS b, CAST(k * k % 11 AS DOUBLE) AS c, CAST(k * 3 % 17 AS DOUBLE) + CAST(0.1 AS DOUBLE) * x2 AS d, y FROM {v} WHERE y IS NOT NULL"
+
+
+def _minor(columns: tuple[str, ...], rows: tuple[str, ...], put: str | None = None) -> str:
+    """The determinant of covariances s_xy as text; with ``put`` that column holds the covariances with y."""
+    if not rows:
+        return "1.0"
+    cell = lambda r, c: f"s_{r}y" if c == put else f"s_{min(r, c)}{max(r, c)}"
+    terms = [f"{'-' if i % 2 else '+'} {cell(rows[0], c)} * ({_minor(columns[:i] + columns[i + 1 :], rows[1:], put)})" for i, c in enumerate(columns)]
+    return " ".join(terms).removeprefix("+ ")
+
+
+def _four_sql() -> str:
+    """Value of a coalition: the regression of y on its members; Shapley values are the weighted differences."""
+    subsets = [tuple(c for j, c in enumerate(FOUR) if m >> j & 1) for m in range(16)]
+    pairs = [f"covar_pop({x}, {y}) AS s_{x}{y}" for i, x in enumerate(FOUR) for y in FOUR[i:]] + [f"covar_pop({x}, y) AS s_{x}y" for x in FOUR]
+    slopes = [f"({_minor(s, s, x)}) / ({_minor(s, s)}) AS w_{''.join(s)}_{x}" for s in subsets for x in s]
+    values = [" + ".join(["0.0"] + [f"w_{''.join(s)}_{x} * ({x} - m_{x})" for x in s]) + f" AS v{m}" for m, s in enumerate(subsets)]
+    parts = []
+    for j, x in enumerate(FOUR):
+        terms = [f"{math.factorial(n := m.bit_count()) * math.factorial(3 - n) / 24!r}::DOUBLE * (v{m | 1 << j} - v{m})" for m in range(16) if not m >> j & 1]
+        parts.append(f"SELECT k, '{x}' AS feature, round({' + '.join(terms)}, 3) AS phi FROM v")
+    return f"WITH t AS ({FOUR_SQL}), m AS (SELECT {', '.join(f'avg({x}) AS m_{x}' for x in FOUR)}, {', '.join(pairs)} FROM t), w AS (SELECT m.*, {', '.join(slopes)} FROM m), v AS (SELECT k, {', '.join(values)} FROM t, w) " + " UNION ALL ".join(parts)
+
+
+@query("m_part", _four_sql())
+def shapley_four(df):
+    """Exact Shapley values over the lattice of four features."""
+    t = df.selectExpr(*[f"{e} AS {n}" for n, e in (("k", "k"), ("a", "x2"), ("b", "CAST(k % 7 AS DOUBLE)"), ("c", "CAST(k * k % 11 AS DOUBLE)"), ("d", "CAST(k * 3 % 17 AS DOUBLE) + CAST(0.1 AS DOUBLE) * x2"), ("y", "y"))]).filter("y IS NOT NULL")
+    return explain.exact(linear.fit(t, FOUR, "y", compute_se=False), t, "k", FOUR).select("k", "feature", (F.round("phi", 3) + 0).alias("phi"))
+
+
+WIDE = 60
+
+
+def _wide(j: int) -> str:
+    """Column j of a wide table: one of the features, bent by j, with gaps of its own."""
+    return f"CASE WHEN (k + {j}) % 6 >= 1 THEN x{j % 3 + 1} * {1 + j % 4} + (k * {j + 2}) % 11 END"
+
+
+@query("m_lineitem", "WITH t AS (SELECT " + ", ".join(f"{_wide(j)} AS c{j}" for j in range(WIDE)) + " FROM {v}) " + " UNION ALL ".join(
+    f"SELECT {j} AS j, count(c{j}) AS n, round(avg(c{j}), 4) AS mean, round(stddev_samp(c{j}), 4) AS sd, count(*) FILTER (c{j} IS NOT NULL AND c{(j + 7) % WIDE} IS NOT NULL) AS n_both, "
+    f"round(sum((c{j} - (SELECT avg(c{j}) FROM t)) * (c{(j + 7) % WIDE} - (SELECT avg(c{(j + 7) % WIDE}) FROM t))) / (SELECT stddev_samp(c{j}) * stddev_samp(c{(j + 7) % WIDE}) FROM t), 3) AS cross FROM t" for j in range(WIDE)))
+def wide_moments(df):
+    """Sums of squares and of products of 60 columns by pattern, from one aggregation of packed arrays."""
+    names = [f"c{j}" for j in range(WIDE)]
+    p = collect(df.selectExpr(*[f"{_wide(j)} AS c{j}" for j in range(WIDE)]), names)
+    q, n, _ = gaussian.pairwise(list(p.blocks.values()), WIDE)
+    rows = [(j, int(n[j, j]), round(float(p.center[j]), 4), round(float(p.scale[j]), 4), int(n[j, (j + 7) % WIDE]), round(float(q[j, (j + 7) % WIDE]), 3)) for j in range(WIDE)]
+    return df.sparkSession.createDataFrame(rows, "j int, n long, mean double, sd double, n_both long, cross double")
+
+
 @query("m_mono", MONOTONE + ", w AS (SELECT k, coalesce(x1, n1 + s12 / s22 * (x2 - n2)) AS x1, x2, m1, m2, v11, v12, v22, b0, b1, b2 FROM {v}, c, o)" + f"""
 SELECT k, 'x1' AS feature, round(b1 * (x1 - {KNOWN1}), 0) AS phi FROM w
 UNION ALL SELECT v.k, 'x2', round(CASE WHEN v.x1 IS NULL THEN w.b0 + w.b1 * (w.m1 + w.v12 / w.v22 * (w.x2 - w.m2)) + w.b2 * w.x2 - (w.b0 + w.b1 * w.m1 + w.b2 * w.m2) ELSE w.b2 * (w.x2 - (w.m2 + w.v12 / w.v11 * (w.x1 - w.m1))) END, 0) FROM w JOIN {{v}} v ON v.k = w.k""")
@@ -84,10 +138,7 @@ def ridge_complete(df):
 
 def _at(df, columns, center, scale):
     """Pattern blocks on a given scale."""
-    prof = profile(df, columns)
-    for c, m, s in zip(columns, center, scale, strict=True):
-        prof[c] = prof[c] | {"mean": m, "sd": s}
-    return collect(df, columns, prof=prof)
+    return collect(df, columns, at=(center, scale))
 
 
 @query("m_part", """
@@ -149,10 +200,7 @@ def mixed_loglik_at_theta(df):
     from lacuna.operators import mixed
 
     rows = df.filter("x1 IS NOT NULL")
-    prof = profile(rows, ["x1", "y_grp"])
-    for c in prof:
-        prof[c] = prof[c] | {"mean": 0.0, "sd": 1.0}
-    by = collect(rows, ["x1", "y_grp"], by=("g",), prof=prof)
+    by = collect(rows, ["x1", "y_grp"], by=("g",), at=(np.zeros(2), np.ones(2)))
     value = mixed.loglik(by, np.zeros(1), np.eye(1), np.array([2.0, 0.001]), 1.5, 4.0)
     return df.sparkSession.createDataFrame([(round(float(value), 2),)], "loglik double")
 

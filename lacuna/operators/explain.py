@@ -1,7 +1,9 @@
 """Explanations of fitted models: Shapley values of features and of observing them.
 
 A feature outside a coalition is NULL, so the model itself integrates over it.
-All variants of a row are rows of one table: the model runs once over them.
+All variants of a row are rows of one table: the model runs once over them.  Its
+values for a row are then one array over the lattice of coalitions, and Shapley
+values are weighted differences along its axes.
 """
 
 from __future__ import annotations
@@ -19,10 +21,9 @@ from pyspark.sql import functions as F
 from lacuna.functions import exprs
 from lacuna.functions.checks import check_choice
 from lacuna.plans import gaussian
-from lacuna.plans.patterns import collect
 
 #: Features up to which all coalitions are evaluated, and coalitions sampled beyond.
-EXACT = 12
+EXACT = 15
 MASKS = 512
 
 
@@ -49,16 +50,90 @@ def output(model, kind: str = "auto", value=None) -> tuple[str, Column]:
     return kind, F.log(p / (1 - p))
 
 
-def _variants(df: DataFrame, key: str, features: list[str], masks: np.ndarray, out: Column, model) -> DataFrame:
-    """(key, mask, value): the model's output with only the mask's features known."""
-    inside = lambda j: F.shiftright(F.col("_mask"), j).bitwiseAND(F.lit(1)) == 1
-    rows = df.withColumn("_mask", F.explode(F.array(*[F.lit(int(m)).cast("long") for m in masks])))
-    rows = rows.withColumn("_row", F.concat_ws("/", F.col(key).cast("string"), F.col("_mask").cast("string")))
+#: Names that a user's columns do not have.
+MASK, ROW, OWN, SEEN = "__lattice_mask", "__lattice_row", "__lattice_key", "__lattice_seen"
+
+
+def _rowwise(model) -> bool:
+    """Whether ``transform`` works on each row by itself, so that rows keep their order."""
+    if hasattr(model, "model"):
+        return _rowwise(model.model)
+    return all(_rowwise(m) for m in model.models if m is not None) if hasattr(model, "models") else getattr(model, "rowwise", False)
+
+
+def _values(df: DataFrame, key: str, features: list[str], masks: np.ndarray, out: Column, model) -> DataFrame:
+    """(key, seen, values): the model's outputs with only each mask's features known, in the masks' order; seen has a bit for each feature of the row.
+
+    The variants of a row follow each other, and row by row models leave them so:
+    they are gathered where they are.  Only models that join move them.
+    """
+    bits = [F.when(F.col(c).isNotNull(), F.lit(1 << j)).otherwise(0).cast("long") for j, c in enumerate(features)]
+    seen = sum(bits[1:], bits[0])
+    inside = lambda j: F.shiftright(F.element_at(order, F.col(MASK) + 1), j).bitwiseAND(F.lit(1)) == 1
+    order = F.array(*[F.lit(int(m)).cast("long") for m in masks]) if len(masks) < 1 << len(features) else None
+    rows = df.withColumn(SEEN, seen).withColumn(MASK, F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
+    if order is None:
+        inside = lambda j: F.shiftright(F.col(MASK), j).bitwiseAND(F.lit(1)) == 1
     rows = rows.withColumns({c: F.when(inside(j), F.col(c)) for j, c in enumerate(features)})
     if key in _keys(model):
-        rows = rows.withColumn("_own", F.col(key)).withColumn(key, F.col("_row"))
-        return model.transform(rows).select(F.col("_own").alias(key), F.col("_mask").alias("mask"), out.alias("value"))
-    return model.transform(rows).select(key, F.col("_mask").alias("mask"), out.alias("value"))
+        rows = rows.withColumn(OWN, F.col(key)).withColumn(key, F.concat_ws("/", F.col(key).cast("string"), F.col(MASK).cast("string")))
+    else:
+        rows = rows.withColumn(OWN, F.col(key))
+    got = model.transform(rows).select(F.col(OWN).alias("key"), F.col(SEEN).alias("seen"), F.col(MASK).alias("at"), out.cast("double").alias("value"))
+    if not _rowwise(model):
+        held = got.groupBy("key", "seen").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_v"))  # as many as masks
+        return held.select("key", "seen", F.col("_v.value").alias("values"))
+    size = len(masks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                table = pa.Table.from_batches(held).combine_chunks()
+                whole = n // size * size
+                if (table.column("at").to_numpy()[:whole].reshape(-1, size) != np.arange(size)).any():
+                    raise ValueError("the variants of a row came in another order")
+                first = pa.array(np.arange(0, whole, size))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(whole // size + 1) * size, pa.int32()), table.column("value").combine_chunks()[:whole])
+                yield pa.RecordBatch.from_arrays([table.column(c).take(first).combine_chunks() for c in ("key", "seen")] + [lists], names=["key", "seen", "values"])
+                held, n = table.slice(whole).to_batches(), n - whole
+        if n:
+            raise ValueError("a row lacks variants")
+
+    return got.mapInArrow(run, f"key {got.schema['key'].dataType.simpleString()}, seen long, values array<double>")
+
+
+def lattice(values: np.ndarray, p: int) -> np.ndarray:
+    """Shapley values (rows x p) from the values of all coalitions (rows x 2^p, bit j of the place for feature j)."""
+    size = np.bitwise_count(np.arange(1 << p))
+    weight = np.array([math.factorial(n) * math.factorial(p - n - 1) / math.factorial(p) for n in range(p)] + [0.0])
+    out = np.empty((len(values), p))
+    for j in range(p):
+        axis = (1 << (p - 1 - j), 2, 1 << j)
+        cut = values.reshape(len(values), *axis)
+        w = weight[size.reshape(axis)[:, 0]]
+        out[:, j] = np.einsum("rab,ab->r", cut[:, :, 1] - cut[:, :, 0], w)
+    return out
+
+
+def _long(values: DataFrame, key: str, features: list[str], solve) -> DataFrame:
+    """(key, feature, phi) of arrays of values; ``solve(values, seen)`` gives rows x features; what a row lacks gets 0."""
+    p = len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = max(1, (1 << 22) // max(1, len(batch.column("values")[0]) if batch.num_rows else 1))
+            for a in range(0, batch.num_rows, width):
+                some = batch.slice(a, width)
+                v = some.column("values").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(some.num_rows, -1)
+                seen = (some.column("seen").to_numpy()[:, None] >> np.arange(p) & 1).astype(bool)
+                phi = np.where(seen, solve(v, seen), 0.0)
+                names = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(p), len(v)), pa.int32()), pa.array(features)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("key").take(pa.array(np.repeat(np.arange(len(v)), p))), names, pa.array(phi.ravel())], [key, "feature", "phi"])
+
+    return values.mapInArrow(run, f"`{key}` {values.schema['key'].dataType.simpleString()}, feature string, phi double")
 
 
 def _keys(model) -> set[str]:
@@ -76,21 +151,8 @@ def exact(model, df: DataFrame, key: str, features: list[str], kind: str = "auto
     p = len(features)
     if p > EXACT:
         raise ValueError(f"exact Shapley values take at most {EXACT} features")
-    out = output(model, kind, value)[1]
-    values = _variants(df, key, features, np.arange(1 << p), out, model).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mask", "value"))).alias("_v"))
-    cells = []
-    for j, c in enumerate(features):
-        total = F.lit(0.0)
-        for s in range(1 << p):
-            if not s >> j & 1:
-                n = s.bit_count()
-                w = math.factorial(n) * math.factorial(p - n - 1) / math.factorial(p)
-                total = total + F.lit(w) * (F.col("_v")[F.lit(s | 1 << j).cast("long")] - F.col("_v")[F.lit(s).cast("long")])
-        cells.append(F.struct(F.lit(c).alias("feature"), total.alias("phi")))
-    seen = df.select(F.col(key).alias("_k"), *[F.col(c).isNotNull().alias(f"_has_{c}") for c in features])
-    rows = values.join(seen, F.col(key) == F.col("_k")).select(key, *[f"_has_{c}" for c in features], F.explode(F.array(*cells)).alias("_c"))
-    has = F.coalesce(*[F.when(F.col("_c.feature") == c, F.col(f"_has_{c}")) for c in features])
-    return rows.select(key, F.col("_c.feature").alias("feature"), F.when(has, F.col("_c.phi")).otherwise(0.0).alias("phi"))
+    values = _values(df, key, features, np.arange(1 << p), output(model, kind, value)[1], model)
+    return _long(values, key, features, lambda v, seen: lattice(v, p))
 
 
 def coalitions(p: int, count: int = MASKS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -118,30 +180,23 @@ def sampled(model, df: DataFrame, key: str, features: list[str], kind: str = "au
     full = (1 << p) - 1
     wanted = np.unique(np.concatenate([masks, [0, full]]))
     place = np.searchsorted(wanted, masks)
-    out = output(model, kind, value)[1]
-    rows = _variants(df, key, features, wanted, out, model).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("mask", "value"))).alias("_v"))
-    seen = df.select(F.col(key).alias("_k"), exprs.mask(features).alias("_pattern"))
-    rows = rows.join(seen, F.col(key) == F.col("_k")).select(key, F.col("_v.value").alias("_values"), "_pattern")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, names, phis = [], [], []
-            for i, (values, pattern) in enumerate(zip(b.column("_values").to_pylist(), b.column("_pattern").to_pylist(), strict=True)):
-                v = np.array(values, float)
-                on = np.array([c == "0" for c in pattern])
-                phi = np.zeros(p)
-                if on.any():
+    values = _values(df, key, features, wanted, output(model, kind, value)[1], model)
+
+    def solve(v: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        phi = np.zeros(seen.shape)
+        known: dict[bytes, tuple] = {}
+        for i, on in enumerate(seen):
+            if on.any():
+                if on.tobytes() not in known:
                     x = z[:, on].astype(float)
                     gram = np.linalg.inv((x * w[:, None]).T @ x + 1e-8 * np.eye(on.sum()))
-                    own = gram @ ((x * w[:, None]).T @ (v[place] - v[0]))
-                    u = gram @ np.ones(on.sum())
-                    phi[on] = own + u * (v[-1] - v[0] - own.sum()) / u.sum()
-                keys += [i] * p
-                names += features
-                phis += phi.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keys, pa.int64())), pa.array(names, pa.string()), pa.array(phis, pa.float64())], [key, "feature", "phi"])
+                    known[on.tobytes()] = gram @ (x * w[:, None]).T, gram.sum(1)
+                fit_, u = known[on.tobytes()]
+                own = fit_ @ (v[i, place] - v[i, 0])
+                phi[i, on] = own + u * (v[i, -1] - v[i, 0] - own.sum()) / u.sum()
+        return phi
 
-    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, feature string, phi double")
+    return _long(values, key, features, solve)
 
 
 @dataclass
@@ -178,8 +233,7 @@ class Explainer:
 
 
 def fit(model, df: DataFrame, features: list[str], kind: str = "auto", value=None) -> Explainer:
-    p = collect(df, features)
-    mu, sigma = gaussian.raw_moments(p, gaussian.em(p, 1000, 1e-12, 1e-10))
+    mu, sigma = gaussian.raw_moments(*gaussian.moments(df, features, 1000, 1e-12, 1e-10))
     return Explainer(model, features, kind, value, baseline(model, df, features, kind, value), mu, sigma)
 
 

@@ -75,6 +75,8 @@ class Shape:
 class KernelModel:
     """Weights on training rows: prediction = offset + unit * K(x, rows) @ weights."""
 
+    rowwise = True
+
     features: list[str]
     center: np.ndarray
     scale: np.ndarray

@@ -24,6 +24,8 @@ from lacuna.plans.patterns import Patterns, collect, degenerate, profile
 class LinearModel:
     """A fitted linear model with the moments of its features (raw scale)."""
 
+    rowwise = True
+
     features: list[str]
     intercept: float
     coef: np.ndarray

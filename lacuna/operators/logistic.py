@@ -42,6 +42,8 @@ def newton_sums(df: DataFrame, features: list[str], label: str, beta: np.ndarray
 class LogisticModel:
     """Coefficients on the data's scale with their standard errors, and the moments that predictions need."""
 
+    rowwise = True
+
     features: list[str]
     intercept: float
     coef: np.ndarray

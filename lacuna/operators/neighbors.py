@@ -9,23 +9,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions import exprs
-from lacuna.plans import gaussian
-from lacuna.plans.patterns import collect
-
-#: Rows of a block of queries and of training rows; a task compares one of each.
-QUERY_ROWS, TRAIN_ROWS = 2048, 32_768
-
+from lacuna.plans import gaussian, pivots
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(center, scale, mu, sigma): EM moments on the standardised scale."""
-    p = collect(df, columns)
-    m = gaussian.em(p, 100, 1e-5, 1e-6)
+    p, m = gaussian.moments(df, columns, 100, 1e-5, 1e-6)
     return p.center, p.scale, m.mu, m.sigma
 
 
@@ -44,36 +37,10 @@ def expected(df: DataFrame, columns: list[str], keep: tuple[str, ...], center, s
 def nearest(train: DataFrame, queries: DataFrame, key: str, query_key: str, width: int, k: int, digits: int = 9) -> DataFrame:
     """(query, key, d, rank): the k nearest rows of ``train`` for each query, distances rounded to ``digits`` and ties to the smaller key.
 
-    Both sides come from ``expected``.  Blocks of queries meet blocks of training
-    rows on the cluster; each meeting keeps k rows a query, and these are ranked.
+    Both sides come from ``expected``.  Training rows lie in cells around pivots,
+    and a query meets only the cells that may hold one of its k nearest.
     """
-    cells = [f"f{j}" for j in range(width)]
-    q_blocks, t_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS)), max(1, math.ceil(train.count() / TRAIN_ROWS))
-    named = queries.select(F.col(query_key).alias("query"), *cells, "s")
-
-    def dealt(rows: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        rows = rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("_q", "_t")
-
-    def numbers(t: pa.Table) -> np.ndarray:
-        return np.stack([t.column(c).to_numpy() for c in cells], 1) if cells else np.zeros((t.num_rows, 0))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, places, gaps = [], [], []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by(key)
-            a, b, s = numbers(left), numbers(right), right.column("s").to_numpy()
-            for i, own in enumerate(left.column("s").to_numpy()):
-                d = np.sqrt(np.maximum(np.square(b - a[i]).sum(1) + s + own, 0)).round(digits)
-                at = np.argsort(d, kind="stable")[:k]
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                gaps.append(d[at])
-        rows, places = (np.concatenate(x) if x else np.empty(0, int) for x in (rows, places))
-        return pa.table({"query": left.column("query").take(pa.array(rows)), key: right.column(key).take(pa.array(places)), "d": np.concatenate(gaps) if gaps else np.empty(0)})
-
-    kinds = f"query {named.schema['query'].dataType.simpleString()}, {key} {train.schema[key].dataType.simpleString()}, d double"
-    found = dealt(named, "query", "_q", q_blocks, "_t", t_blocks).cogroup(dealt(train.select(key, *cells, "s"), key, "_t", t_blocks, "_q", q_blocks)).applyInArrow(run, kinds)
+    found = pivots.join(train, queries, key, query_key, width, k, digits)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("d", key))).filter(F.col("rank") <= k)
 
 

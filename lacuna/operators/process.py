@@ -72,6 +72,8 @@ def correlation(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, kernel: str,
 class ProcessModel:
     """Training rows and the weights that predictions need."""
 
+    rowwise = True
+
     features: list[str]
     center: np.ndarray
     scale: np.ndarray

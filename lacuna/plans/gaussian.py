@@ -1,16 +1,26 @@
-"""Maximum likelihood for incomplete Gaussian data, on pattern blocks alone."""
+"""Maximum likelihood for incomplete Gaussian data, on pattern blocks alone.
+
+The E-step sweeps the parameters over a tree of nested patterns: a node at depth
+j has taken the first j columns as observed or missing, so patterns that begin
+alike share their sweeps, and the nodes of a depth are swept together.  Beyond
+``DRIVER_PATTERNS`` patterns the blocks stay on the cluster: each E-step is a job
+that broadcasts mean and covariance and adds up expected sums.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.exprs import mask
+from lacuna.plans import patterns
 from lacuna.plans.patterns import Patterns
 
 
@@ -83,37 +93,195 @@ def filled(p: Patterns, mu: np.ndarray, sigma: np.ndarray, over: np.ndarray | No
     return out
 
 
-def em(p: Patterns, max_iter: int = 500, tol: float = 1e-10, reg: float = 0.0) -> Moments:
-    """EM from pairwise available moments; all iterations are driver algebra on the blocks."""
-    width = len(p.columns)
+#: Bytes of parameter matrices that are swept at once.
+SWEPT_BYTES = 32 << 20
+
+
+class Tree:
+    """Patterns (rows of ``seen``, sorted) as a tree of their prefixes: for each column, the parent of every node and whether it took the column as observed."""
+
+    def __init__(self, seen: np.ndarray):
+        self.seen = seen
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        node = np.zeros(len(seen), int)
+        for j in range(seen.shape[1]):
+            # sorted rows: a new node begins where the prefix changes
+            new = np.ones(len(seen), bool)
+            new[1:] = (node[1:] != node[:-1]) | (seen[1:, j] != seen[:-1, j])
+            self.levels.append((node[new], seen[new, j]))
+            node = np.cumsum(new) - 1
+
+    def swept(self, mu: np.ndarray, sigma: np.ndarray, tol: float = 1e-13) -> tuple[np.ndarray, np.ndarray]:
+        """Every pattern's augmented parameter matrix, swept on its observed columns, and the log determinant of their covariance.
+
+        A column that the ones before determine is left unswept, as a generalised inverse would.
+        """
+        w = np.block([[-np.ones((1, 1)), mu[None]], [mu[:, None], sigma]])[None]
+        logdet = np.zeros(1)
+        least = tol * np.diag(sigma)
+        for j, (parent, on) in enumerate(self.levels):
+            w, logdet = w[parent], logdet[parent]
+            at = np.flatnonzero(on & (w[:, j + 1, j + 1] > least[j]))
+            if not len(at):
+                continue
+            own = w[at]
+            pivot = own[:, j + 1, j + 1].copy()
+            line = own[:, j + 1] / pivot[:, None]
+            own -= own[:, :, j + 1, None] * line[:, None]
+            own[:, j + 1] = own[:, :, j + 1] = line
+            own[:, j + 1, j + 1] = -1 / pivot
+            w[at] = own
+            logdet[at] += np.log(pivot)
+        return w, logdet
+
+
+@dataclass
+class Stack:
+    """Blocks of many patterns as arrays: whether a column is seen, and the augmented sums (n, s; s, q), in the tree's order."""
+
+    trees: list[Tree]
+    sums: list[np.ndarray]
+
+    @classmethod
+    def of(cls, blocks: list[patterns.Block], width: int) -> Stack:
+        blocks = [b for b in blocks if len(b.obs)]
+        seen = np.zeros((len(blocks), width), bool)
+        for i, b in enumerate(blocks):
+            seen[i, b.obs] = True
+        order = np.lexsort(seen.T[::-1]) if len(blocks) else np.empty(0, int)
+        step = max(1, SWEPT_BYTES // (8 * (width + 1) ** 2))
+        trees, sums = [], []
+        for a in range(0, len(order), step):
+            some = order[a : a + step]
+            trees.append(Tree(seen[some]))
+            total = np.zeros((len(some), width + 1, width + 1))
+            for i, k in enumerate(some):
+                b = blocks[k]
+                at = 1 + b.obs
+                total[i, 0, 0], total[i, 0, at], total[i, at, 0] = b.n, b.s, b.s
+                total[i][np.ix_(at, at)] = b.q
+            sums.append(total)
+        return cls(trees, sums)
+
+    def expected(self, mu: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, float]:
+        """(augmented sums of the filled rows with the conditional covariances, log-likelihood at these parameters)."""
+        width = len(mu)
+        out, loglik = np.zeros((width + 1, width + 1)), 0.0
+        for tree, sums in zip(self.trees, self.sums, strict=True):
+            w, logdet = tree.swept(mu, sigma)
+            n = sums[:, 0, 0]
+            known = np.concatenate([np.ones((len(n), 1), bool), tree.seen], 1)
+            both = known[:, :, None] & known[:, None, :]
+            quad = -(np.where(both, w, 0) * sums).sum((1, 2)) - n
+            loglik -= 0.5 * float((n * (tree.seen.sum(1) * math.log(2 * math.pi) + logdet) + quad).sum())
+            lin = np.where(known[:, None, :] & ~known[:, :, None], w.transpose(0, 2, 1), 0)
+            at = np.arange(width + 1)
+            lin[:, at, at] = known
+            out += (lin @ sums @ lin.transpose(0, 2, 1)).sum(0)
+            out += np.einsum("g,gij->ij", n, np.where(~known[:, :, None] & ~known[:, None, :], w, 0))
+        return out, loglik
+
+
+def _start(total: np.ndarray, count: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairwise available moments, made positive definite."""
+    many = np.maximum(count, 1)
+    mu = np.diag(shift) / np.maximum(np.diag(count), 1)
+    sigma = np.where(count > 1, total / many - (shift / many) * (shift.T / many), 0.0)
+    low, vectors = np.linalg.eigh((sigma + sigma.T) / 2)
+    return mu, vectors @ np.diag(np.maximum(low, 1e-6)) @ vectors.T
+
+
+def _iterated(expected, mu: np.ndarray, sigma: np.ndarray, max_iter: int, tol: float, reg: float) -> Moments:
+    """EM with ``expected(mu, sigma)`` as its E-step, until the log-likelihood stands."""
+    old, it = -math.inf, 0
+    sums, now = expected(mu, sigma)
+    for it in range(1, max_iter + 1):
+        if not sums[0, 0]:
+            break
+        mu = sums[0, 1:] / sums[0, 0]
+        sigma = sums[1:, 1:] / sums[0, 0] - np.outer(mu, mu) + reg * np.eye(len(mu))
+        sums, now = expected(mu, sigma)
+        if abs(now - old) < tol * (1 + abs(now)):
+            break
+        old = now
+    return Moments(mu, sigma, now, it)
+
+
+def pairwise(blocks: list[patterns.Block], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the blocks that see both columns: (cross products, counts, sums)."""
     n, s, q = np.zeros((width, width)), np.zeros((width, width)), np.zeros((width, width))
-    for b in p.blocks.values():
+    for b in blocks:
         at = np.ix_(b.obs, b.obs)
         n[at] += b.n
         s[at] += b.s[:, None]
         q[at] += b.q
-    mu = np.diag(s) / np.maximum(np.diag(n), 1)
-    sigma = np.where(n > 1, q / np.maximum(n, 1) - (s / np.maximum(n, 1)) * (s.T / np.maximum(n, 1)), 0.0)
-    low, vectors = np.linalg.eigh((sigma + sigma.T) / 2)
-    sigma = vectors @ np.diag(np.maximum(low, 1e-6)) @ vectors.T
-    rows = sum(b.n for b in p.blocks.values() if len(b.obs))
-    old, it = -math.inf, 0
-    for it in range(1, max_iter + 1):
-        total, cross = np.zeros(width), np.zeros((width, width))
-        for b, (m, t, c, cov) in zip(p.blocks.values(), filled(p, mu, sigma), strict=True):
-            if len(b.obs):
-                total += t
-                cross += c + m * cov
-        mu = total / rows
-        sigma = cross / rows - np.outer(mu, mu) + reg * np.eye(width)
-        new = loglik(p, mu, sigma)
-        if abs(new - old) < tol * (1 + abs(new)):
-            break
-        old = new
-    return Moments(mu, sigma, loglik(p, mu, sigma), it)
+    return q, n, s
+
+
+def em(p: Patterns, max_iter: int = 500, tol: float = 1e-10, reg: float = 0.0) -> Moments:
+    """EM from pairwise available moments; all iterations are driver algebra on the blocks."""
+    blocks = list(p.blocks.values())
+    stack = Stack.of(blocks, len(p.columns))
+    return _iterated(stack.expected, *_start(*pairwise(blocks, len(p.columns))), max_iter, tol, reg)
+
+
+#: More patterns than this are kept on the cluster by ``moments``.
+DRIVER_PATTERNS = 4000
+
+
+@dataclass
+class Spread:
+    """Pattern blocks that stay on the cluster: rows of a pattern with its packed sums, moved to ``center`` and ``scale``."""
+
+    columns: list[str]
+    center: np.ndarray
+    scale: np.ndarray
+    rows: DataFrame
+    parts: patterns.Parts
+
+    def _added(self, make) -> np.ndarray:
+        """The sum over all tasks of ``make(blocks)``, an array; tasks' arrays are added by the driver, of which there are as many as tasks."""
+        parts = self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                own = make([parts.block(r) for r in batch.to_pylist()])
+                total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = [np.frombuffer(r["sums"]) for r in self.rows.mapInArrow(run, "sums binary").collect()]
+        return np.sum(sorted(found, key=lambda v: v.tobytes()), axis=0)
+
+    def em(self, max_iter: int = 500, tol: float = 1e-10, reg: float = 0.0) -> Moments:
+        width = len(self.columns)
+        start = self._added(lambda blocks: np.concatenate([x.ravel() for x in pairwise(blocks, width)])).reshape(3, width, width)
+
+        def expected(mu: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, float]:
+            def make(blocks: list[patterns.Block]) -> np.ndarray:
+                sums, loglik = Stack.of(blocks, width).expected(mu, sigma)
+                return np.append(sums.ravel(), loglik)
+
+            total = self._added(make)
+            return total[:-1].reshape(width + 1, width + 1), float(total[-1])
+
+        return _iterated(expected, *_start(*start), max_iter, tol, reg)
+
+
+def moments(df: DataFrame, columns: list[str], max_iter: int = 500, tol: float = 1e-10, reg: float = 0.0, most: int | None = None) -> tuple[Patterns | Spread, Moments]:
+    """The blocks and EM moments of ``columns``: on the driver up to ``DRIVER_PATTERNS`` patterns, on the cluster beyond, with no bound on their number."""
+    found = patterns.gathered(df, columns, DRIVER_PATTERNS if most is None else most)
+    if isinstance(found, Patterns):
+        return found, em(found, max_iter, tol, reg)
+    spread = Spread(columns, *found)
+    try:
+        return spread, spread.em(max_iter, tol, reg)
+    finally:
+        spread.rows.unpersist()
 
 
-def raw_moments(p: Patterns, m: Moments) -> tuple[np.ndarray, np.ndarray]:
+def raw_moments(p: Patterns | Spread, m: Moments) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance on the scale of the data."""
     return p.center + p.scale * m.mu, m.sigma * np.outer(p.scale, p.scale)
 

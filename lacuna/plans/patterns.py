@@ -4,20 +4,43 @@ For Gaussian models a pattern enters a likelihood only through its row count,
 sums and cross products.  One aggregation collects them for all patterns (and,
 if asked, for each fold or group besides); blocks add, so folds, bootstrap
 weights and stream increments need no second scan.
+
+Sums are order-free.  Values are moved to [-1, 1] by the column's ends, and what
+is summed is whole numbers: every summand is cut into a high and a low long on a
+common exponent, so that no addition rounds and any partitioning, retry or merge
+gives the same bits.  Means and spreads follow from the exact sums.
+
+Few columns are summed by column expressions.  For many, whose p(p+1)/2 products
+would not compile, every partition keeps one packed triangular array per pattern,
+filled by matrix products of Arrow batches (the values cut into pieces so short
+that a product of matrices is exact), and the arrays merge in a tree.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions.exprs import mask
 
 #: More patterns than this are refused: the driver's algebra costs G p^3.
 MAX_PATTERNS = 20_000
+#: More columns than this are summed by matrix products.
+NARROW = 8
+#: Rows of a matrix product; bytes of arrays a task holds before it hands them on; arrays merged by one task of the tree.
+SLAB_ROWS = 4096
+HELD_BYTES = 64 << 20
+FAN = 64
+#: Levels of the tree; what more than FAN ** LEVELS partitions leave over is added by the driver.
+LEVELS = 2
 
 
 @dataclass
@@ -69,33 +92,303 @@ def degenerate(p: dict, rtol: float = 1e-12) -> bool:
     return not p["sd"] or p["sd"] <= rtol * max(abs(p["min"]), abs(p["max"]))
 
 
-def collect(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), prof: dict[str, dict] | None = None) -> Patterns | dict[tuple, Patterns]:
-    """Standardised pattern statistics; with ``by`` one ``Patterns`` for each value of those columns.
+@dataclass(frozen=True)
+class Digits:
+    """How summands are cut: value = high 2^-e + low 2^-(e + f), for sums (s) and cross products (q)."""
 
-    Two jobs: the profile (skipped if given) and one partial aggregation.
-    Cross products that a pattern lacks are NULL and never looked at.
-    """
-    prof = prof or profile(df, columns)
-    empty = [c for c in columns if not prof[c]["n"]]
-    if empty:
-        raise ValueError(f"no observed value in {', '.join(empty)}")
-    center = np.array([prof[c]["mean"] for c in columns])
-    scale = np.array([1.0 if degenerate(prof[c]) else prof[c]["sd"] for c in columns])
-    z = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, center, scale, strict=True)]
-    p = len(columns)
-    aggs = [F.sum(z[i]).alias(f"s{i}") for i in range(p)] + [F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+    s: tuple[int, int]
+    q: tuple[int, int]
+    piece: int = 0
+    pieces: int = 0
+
+    @classmethod
+    def narrow(cls, rows: int) -> Digits:
+        room = 61 - max(1, rows).bit_length()
+        return cls((min(52, room), min(40, room)), (min(52, room), min(40, room)))
+
+    @classmethod
+    def wide(cls, rows: int) -> Digits:
+        piece = min(18, (61 - max(1, rows).bit_length()) // 2)
+        pieces = math.ceil(48 / piece)
+        return cls((piece, piece * (pieces - 1)), (2 * piece, piece * (pieces - 1)), piece, pieces)
+
+
+def _settled(levels: list[np.ndarray], piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low) of sums given piece by piece, the highest first: what a lower one exceeds its digits by is carried up."""
+    low, carry, place = np.zeros_like(levels[0]), np.zeros_like(levels[0]), 0
+    for v in reversed(levels[1:]):
+        v = v + carry
+        low |= (v & ((1 << piece) - 1)) << place
+        carry, place = v >> piece, place + piece
+    return levels[0] + carry, low
+
+
+def _products(z: np.ndarray, digits: Digits) -> np.ndarray:
+    """The packed sums of a matrix: high and low of its column sums, then of the upper triangle of its cross products."""
+    b, count = digits.piece, digits.pieces
+    parts, rest = [], z
+    for _ in range(count):
+        rest = rest * float(1 << b)
+        parts.append(np.floor(rest))
+        rest = rest - parts[-1]
+    s = _settled([p.sum(0).astype(np.int64) for p in parts], b)
+    levels = []
+    for level in range(count):  # pieces i and j with i + j = level
+        total = np.zeros((z.shape[1], z.shape[1]))
+        for i in range(level // 2 + 1):
+            own = parts[i].T @ parts[level - i]
+            total += own if 2 * i == level else own + own.T
+        levels.append(total[np.triu_indices(z.shape[1])].astype(np.int64))
+    return np.concatenate([*s, *_settled(levels, b)])
+
+
+def _carried(data: np.ndarray, width: int, digits: Digits) -> np.ndarray:
+    """Packed sums whose low parts are digits again after additions."""
+    out, at = data.copy(), 0
+    for size, (_, f) in ((width, digits.s), (width * (width + 1) // 2, digits.q)):
+        low = out[at + size : at + 2 * size]
+        out[at : at + size] += low >> f
+        out[at + size : at + 2 * size] = low & ((1 << f) - 1)
+        at += 2 * size
+    return out
+
+
+def _tallies(width: int, by: int, mid: np.ndarray, half: np.ndarray, digits: Digits):
+    """Rows (by.., cells..) to packed sums by group and pattern, a few for each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size, schema = 0, None
+
+        def handed() -> pa.RecordBatch:
+            keys = list(held)
+            columns = [pa.array([k[0][i] for k in keys], schema.field(i).type) for i in range(by)]
+            columns += [pa.array([k[1] for k in keys], pa.string()), pa.array([TaskContext.get().partitionId()] * len(keys), pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[*schema.names[:by], "mask", "node", "n", "data"])
+
+        for batch in batches:
+            schema = batch.schema
+            x = np.stack([batch.column(by + j).to_numpy(zero_copy_only=False).astype(float) for j in range(width)], 1)
+            gone = np.isnan(x)
+            z = (x - mid) / half
+            key = np.unique(np.packbits(gone, axis=1), axis=0, return_inverse=True)[1].ravel()
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(by)), strict=True)) if by else None
+            if groups:
+                number = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+                key = key * len(number) + np.array([number[g] for g in groups])
+            order = np.argsort(key, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if not len(rows):
+                    continue
+                obs = ~gone[rows[0]]
+                name = (groups[rows[0]] if groups else (), "".join("01"[int(g)] for g in gone[rows[0]]))
+                for a in range(0, len(rows), SLAB_ROWS):
+                    some = rows[a : a + SLAB_ROWS]
+                    data = _products(z[some][:, obs], digits)
+                    if name in held:
+                        held[name][0] += len(some)
+                        held[name][1] = _carried(held[name][1] + data, int(obs.sum()), digits)
+                    else:
+                        held[name] = [len(some), data]
+                        size += data.nbytes
+            if size > HELD_BYTES:
+                yield handed()
+                held, size = {}, 0
+        if held:
+            yield handed()
+
+    return run
+
+
+def _summed(columns: list[str], digits: Digits):
+    def run(table: pa.Table) -> pa.Table:
+        pattern = table.column("mask")[0].as_py()
+        data = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
+        row = {c: table.column(c)[:1] for c in columns}
+        own = _carried(data, pattern.count("0"), digits).tobytes()
+        return pa.table(row | {"node": pa.array([table.column("node")[0].as_py() // FAN], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "data": pa.array([own], pa.binary())})
+
+    return run
+
+
+def wide_sums(df: DataFrame, columns: list[str], by: tuple[str, ...], mid: np.ndarray, half: np.ndarray, digits: Digits) -> DataFrame:
+    """(by.., mask, node, n, data): the packed sums of every group and pattern, merged ``LEVELS`` times."""
+    cells = df.select(*by, *[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(columns)])
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("mask", T.StringType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
+    rows = cells.mapInArrow(_tallies(len(columns), len(by), mid, half, digits), schema)
+    for _ in range(LEVELS):
+        rows = rows.groupBy(*by, "mask", F.floor(F.col("node") / FAN)).applyInArrow(_summed([*by, "mask"], digits), schema)
+    return rows
+
+
+def _unpacked(pattern: str, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sum high, sum low, product high, product low), the products as full matrices of the observed columns."""
+    p = pattern.count("0")
+    t = p * (p + 1) // 2
+    at = np.triu_indices(p)
+
+    def full(v: np.ndarray) -> np.ndarray:
+        m = np.zeros((p, p), np.int64)
+        m[at] = v
+        m.T[at] = v
+        return m
+
+    return data[:p], data[p : 2 * p], full(data[2 * p : 2 * p + t]), full(data[2 * p + t :])
+
+
+def _narrow_sums(df: DataFrame, columns: list[str], by: tuple[str, ...], mid: np.ndarray, half: np.ndarray, digits: Digits) -> DataFrame:
+    """(by.., mask, n, s: high and low of each sum, q: likewise of the upper triangle of products), by column expressions."""
+    (e, f), p = digits.s, len(columns)
+    z = [(F.col(c) - F.lit(float(m))) / F.lit(float(h)) for c, m, h in zip(columns, mid, half, strict=True)]
+
+    def cut(v: Column, name: str) -> list[Column]:
+        up = v * F.lit(float(2**e))
+        return [F.sum(F.floor(up)).alias(f"{name}h"), F.sum(F.floor((up - F.floor(up)) * F.lit(float(2**f)))).alias(f"{name}l")]
+
+    aggs = [a for i in range(p) for a in cut(z[i], f"s{i}")] + [a for i in range(p) for j in range(i, p) for a in cut(z[i] * z[j], f"q{i}_{j}")]
+    return df.groupBy(*by, mask(columns).alias("mask")).agg(F.count("*").alias("n"), *aggs)
+
+
+def _collected(rows: DataFrame, columns: list[str], by: tuple[str, ...], wide: bool) -> dict[tuple, list]:
+    """{(group.., pattern): [n, sum high, sum low, product high, product low]} of the observed columns."""
     most = MAX_PATTERNS * (1 if not by else 100)
-    rows = df.groupBy(*by, mask(columns).alias("mask")).agg(F.count("*").alias("n"), *aggs).limit(most + 1).collect()
-    if len({r["mask"] for r in rows}) > MAX_PATTERNS:
+    found: dict[tuple, list] = {}
+    for r in rows.limit(most * (1 if not wide else FAN) + 1).collect():
+        pattern = r["mask"]
+        obs = [i for i, c in enumerate(pattern) if c == "0"]
+        if wide:
+            parts = _unpacked(pattern, np.frombuffer(r["data"], np.int64))
+        else:
+            at = [[f"q{min(i, j)}_{max(i, j)}" for j in obs] for i in obs]
+            parts = tuple(np.array([r[f"s{i}{x}"] for i in obs], np.int64) for x in "hl") + tuple(np.array([[r[c + x] for c in line] for line in at], np.int64).reshape(len(obs), len(obs)) for x in "hl")
+        key = (tuple(r[c] for c in by), pattern)
+        own = found.get(key)
+        found[key] = [r["n"], *parts] if own is None else [own[0] + r["n"], *[a + b for a, b in zip(own[1:], parts, strict=True)]]
+    if len({pattern for _, pattern in found}) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} missingness patterns; drop sparse columns or group them")
-    if len(rows) > most:
+    if len(found) > most:
         raise ValueError(f"more than {most} blocks of a group and a missingness pattern; drop sparse columns or take fewer groups")
-    found: dict[tuple, Patterns] = {}
-    for r in rows:
-        obs = np.array([i for i in range(p) if r["mask"][i] == "0"], int)
-        q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in obs] for i in obs], float).reshape(len(obs), len(obs))
-        block = Block(obs, float(r["n"]), np.array([r[f"s{i}"] for i in obs], float), q)
-        found.setdefault(tuple(r[c] for c in by), Patterns(columns, center, scale, {})).blocks[r["mask"]] = block
+    return found
+
+
+def ends(prof: dict[str, dict], columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(middle, half range) of each column; infinite and missing columns are refused."""
+    empty = [c for c in columns if not prof[c]["n"]]
+    if empty:
+        raise ValueError(f"no observed value in {', '.join(empty)}")
+    lo, hi = (np.array([float(prof[c][k]) for c in columns]) for k in ("min", "max"))
+    if not (np.isfinite(lo) & np.isfinite(hi)).all():
+        raise ValueError(f"infinite or NaN values in {', '.join(c for c, a, b in zip(columns, lo, hi, strict=True) if not (math.isfinite(a) and math.isfinite(b)))}")
+    half = hi / 2 - lo / 2
+    return lo / 2 + hi / 2, np.where(half > 0, half, 1.0)
+
+
+def _location(n: int, sh: int, sl: int, qh: int, ql: int, digits: Digits, flat: bool, half: float) -> tuple[float, float]:
+    """Mean and standard deviation on the moved scale from a column's exact sums; without spread the scale is that of the data."""
+    s, q = (sh << digits.s[1]) + sl, (qh << digits.q[1]) + ql
+    es, eq = 1 << sum(digits.s), 1 << sum(digits.q)
+    mean = s / (n * es) if n else 0.0
+    if n < 2 or flat:
+        return mean, 1 / half
+    spread = (n * q * es * es - s * s * eq) / (n * (n - 1) * es * es * eq)
+    return mean, math.sqrt(spread) if spread > 0 else 1 / half
+
+
+def _standard(found: dict[tuple, list], prof: dict[str, dict], columns: list[str], half: np.ndarray, digits: Digits) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each column on the moved scale, from exact sums."""
+    out = []
+    for j, c in enumerate(columns):
+        total = [0] * 5
+        for (_, pattern), (n, sh, sl, qh, ql) in found.items():
+            if pattern[j] == "0":
+                i = pattern[:j].count("0")
+                for k, v in enumerate((n, sh[i], sl[i], qh[i, i], ql[i, i])):
+                    total[k] += int(v)
+        out.append(_location(*total, digits, degenerate(prof[c]), float(half[j])))
+    return tuple(np.array(v) for v in zip(*out, strict=True)) if out else (np.zeros(0), np.ones(0))
+
+
+@dataclass(frozen=True)
+class Parts:
+    """How exact sums become blocks on the scale of (mean, sd), both on the moved scale of the sums."""
+
+    mean: np.ndarray
+    sd: np.ndarray
+    digits: Digits
+
+    def standard(self, pattern: str, n: int, sh: np.ndarray, sl: np.ndarray, qh: np.ndarray, ql: np.ndarray) -> Block:
+        """Longer floats than doubles, so that moving the origin to the mean costs no digits."""
+        (es, fs), (eq, fq) = self.digits.s, self.digits.q
+        obs = np.array([i for i, c in enumerate(pattern) if c == "0"], int)
+        s = (sh.astype(np.longdouble) + np.ldexp(sl.astype(np.longdouble), -fs)) * np.longdouble(2.0) ** -es
+        q = (qh.astype(np.longdouble) + np.ldexp(ql.astype(np.longdouble), -fq)) * np.longdouble(2.0) ** -eq
+        m, d = self.mean[obs].astype(np.longdouble), self.sd[obs].astype(np.longdouble)
+        q = (q - np.outer(s, m) - np.outer(m, s) + n * np.outer(m, m)) / np.outer(d, d)
+        return Block(obs, float(n), ((s - n * m) / d).astype(float), q.astype(float))
+
+    def block(self, row: dict) -> Block:
+        """From a row of ``wide_sums``."""
+        return self.standard(row["mask"], row["n"], *_unpacked(row["mask"], np.frombuffer(row["data"], np.int64)))
+
+
+def gathered(df: DataFrame, columns: list[str], most: int) -> Patterns | tuple[np.ndarray, np.ndarray, DataFrame, Parts]:
+    """``Patterns`` if there are at most ``most``, else (center, scale, rows of ``wide_sums``, how they become blocks) with the rows persisted on the cluster.
+
+    Rows that are lost with an executor are summed again, to the same bits.
+    """
+    if df.select(mask(columns).alias("m")).distinct().limit(most + 1).count() <= most:
+        return collect(df, columns)
+    prof = profile(df, columns)
+    mid, half = ends(prof, columns)
+    digits = Digits.wide(max(prof[c]["rows"] for c in columns))
+    rows = wide_sums(df, columns, (), mid, half, digits).persist()
+    mean, sd = np.zeros(len(columns)), np.ones(len(columns))
+    cells = rows.mapInArrow(_diagonals(len(columns)), "j int, n long, sh long, sl long, qh long, ql long")
+    sums = [F.sum(c).alias(c) for c in ("n", "sh", "sl")] + [F.sum(F.shiftright("qh", 32)).alias("qhh"), F.sum(F.col("qh").bitwiseAND(F.lit((1 << 32) - 1))).alias("qhl"), F.sum("ql").alias("ql")]
+    for r in cells.groupBy("j").agg(*sums).collect():
+        exact = (r["n"], r["sh"], r["sl"], (r["qhh"] << 32) + r["qhl"], r["ql"])
+        mean[r["j"]], sd[r["j"]] = _location(*exact, digits, degenerate(prof[columns[r["j"]]]), half[r["j"]])
+    return mid + half * mean, half * sd, rows, Parts(mean, sd, digits)
+
+
+def _diagonals(width: int):
+    """Of each pattern's packed sums those of the single columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                sh, sl, qh, ql = _unpacked(r["mask"], np.frombuffer(r["data"], np.int64))
+                obs = [i for i, c in enumerate(r["mask"]) if c == "0"]
+                out += [{"j": j, "n": r["n"], "sh": int(sh[i]), "sl": int(sl[i]), "qh": int(qh[i, i]), "ql": int(ql[i, i])} for i, j in enumerate(obs)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("j", pa.int32()), *[(c, pa.int64()) for c in ("n", "sh", "sl", "qh", "ql")]]))
+
+    return run
+
+
+def collect(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), prof: dict[str, dict] | None = None, at: tuple | None = None) -> Patterns | dict[tuple, Patterns]:
+    """Standardised pattern statistics; with ``by`` one ``Patterns`` for each value of those columns.
+
+    Two jobs: the profile (skipped if given) and one partial aggregation.  ``at``
+    gives (center, scale) to use instead of the columns' means and standard deviations.
+    """
+    prof = prof or profile(df, columns)
+    mid, half = ends(prof, columns)
+    rows = max(prof[c]["rows"] for c in columns) if columns else 1
+    wide = len(columns) > NARROW
+    digits = Digits.wide(rows) if wide else Digits.narrow(rows)
+    found = _collected((wide_sums if wide else _narrow_sums)(df, columns, by, mid, half, digits), columns, by, wide)
+    mean, sd = _standard(found, prof, columns, half, digits)
+    if at is not None:
+        mean, sd = (np.asarray(at[0], float) - mid) / half, np.asarray(at[1], float) / half
+    center, scale = mid + half * mean, half * sd
+    if at is not None:
+        center, scale = (np.asarray(v, float) for v in at)
+    parts = Parts(mean, sd, digits)
+    out: dict[tuple, Patterns] = {}
+    for (group, pattern), sums in sorted(found.items(), key=lambda x: x[0][1]):
+        block = parts.standard(pattern, *sums)
+        out.setdefault(group, Patterns(columns, center, scale, {})).blocks[pattern] = block
     if by:
-        return found
-    return found.get((), Patterns(columns, center, scale, {}))
+        return out
+    return out.get((), Patterns(columns, center, scale, {}))
