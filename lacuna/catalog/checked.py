@@ -160,16 +160,51 @@ def _nodes(n, a, v):
     return " + ".join(f"{wk!r}::DOUBLE / (1 + exp(-({a} + sqrt({v}) * {tk!r}::DOUBLE)))" for tk, wk in zip(t.tolist(), w.tolist(), strict=True))
 
 
-@query("m_customer", f"""
-WITH z AS (SELECT (x1 - 12) / 7 AS u, CASE WHEN y > 4000 THEN 1 ELSE 0 END AS b FROM {{v}} WHERE y IS NOT NULL),
-a AS (SELECT b, coalesce(u, 0.2::DOUBLE) AS f, CASE WHEN u IS NULL THEN 0.64::DOUBLE * 0.9 ELSE 0 END AS v, (2 * b - 1) * (0.1 + 0.8 * coalesce(u, 0.2::DOUBLE)) AS s FROM z),
-p AS (SELECT CASE WHEN v = 0 THEN 1 / (1 + exp(-s)) ELSE {_nodes(20, "s", "v")} END AS p FROM a)
-SELECT round(-sum(ln(p)) + 0.5 * 0.01 * 0.64, 3) AS nll FROM p""")
+def _slopes(n, s, v, power):
+    """Sum over the nodes of weight times slope of the sigmoid, and times the node if ``power``."""
+    t, w = gauss_hermite(n)
+    return " + ".join(f"{wk * (tk if power else 1)!r}::DOUBLE * exp(-({s} + sqrt({v}) * {tk!r}::DOUBLE)) / pow(1 + exp(-({s} + sqrt({v}) * {tk!r}::DOUBLE)), 2)" for tk, wk in zip(t.tolist(), w.tolist(), strict=True))
+
+
+THETAS = ((0.1, 0.8), (-0.4, 0.3), (0.6, -0.9))
+
+
+@query("m_customer", " UNION ALL ".join(f"""
+SELECT {i} AS theta, round(-sum(ln(p)) + 0.5 * 0.01 * {t1} * {t1}, 3) AS nll, round(-sum(sg * pa / p), 3) AS g0, round(-sum(sg * pa * f / p) - sum(CASE WHEN v > 0 THEN sg2 * pt / (2 * sqrt(v)) / p * 2 * 0.9 * {t1} ELSE 0 END) + 0.01 * {t1}, 3) AS g1
+FROM (SELECT f, v, sg, 1 AS sg2, CASE WHEN v = 0 THEN 1 / (1 + exp(-s)) ELSE {_nodes(20, "s", "v")} END AS p, CASE WHEN v = 0 THEN exp(-s) / pow(1 + exp(-s), 2) ELSE {_slopes(20, "s", "v", 0)} END AS pa, CASE WHEN v = 0 THEN 0 ELSE {_slopes(20, "s", "v", 1)} END AS pt
+  FROM (SELECT 2 * b - 1 AS sg, coalesce(u, 0.2::DOUBLE) AS f, CASE WHEN u IS NULL THEN {t1 * t1} * 0.9::DOUBLE ELSE 0 END AS v, (2 * b - 1) * ({t0} + {t1} * coalesce(u, 0.2::DOUBLE)) AS s
+    FROM (SELECT (x1 - 12) / 7 AS u, CASE WHEN y > 4000 THEN 1 ELSE 0 END AS b FROM {{v}} WHERE y IS NOT NULL)))""" for i, (t0, t1) in enumerate(THETAS)))
 def logistic_score_at_theta(df):
-    """The likelihood that logistic fits maximise, at given parameters."""
-    rows = df.filter("y IS NOT NULL").select(F.when(F.col("y") > 4000, 1.0).otherwise(0.0).alias("_y"), F.when(F.col("x1").isNull(), "1").otherwise("0").alias("_m"), F.coalesce((F.col("x1") - 12) / 7, F.lit(0.2)).alias("f0"))
-    value, _ = logistic.score(rows, 1, {"0": np.zeros((1, 1)), "1": np.array([[0.9]])}, np.array([0.1, 0.8]), 0.01)
-    return df.sparkSession.createDataFrame([(round(float(value), 3),)], "nll double")
+    """The likelihood that logistic fits maximise, and its gradient, at several given parameters from one pass."""
+    rows = df.withColumn("b", F.when(F.col("y") > 4000, 1.0).when(F.col("y").isNotNull(), 0.0))
+    packed = logistic.blocks(rows, ["x1"], "b", np.array([12.0]), np.array([7.0]))
+    seen = df.sparkSession.sparkContext.broadcast([logistic.views(np.array([0.2]), np.array([[0.9]]), ["0", "1"])] * len(THETAS))
+    values, grads, _ = logistic.score_many(packed, seen, np.array(THETAS))
+    out = [(i, round(float(-v + 0.005 * t[1] ** 2), 3), round(float(-g[0]), 3), round(float(-g[1] + 0.01 * t[1]), 3)) for i, (v, g, t) in enumerate(zip(values, grads, THETAS, strict=True))]
+    return df.sparkSession.createDataFrame(out, "theta int, nll double, g0 double, g1 double")
+
+
+def _newton_sql(steps):
+    """Newton's method for a logistic regression on one standardised complete column, with a ridge of 0.01 on its coefficient."""
+    parts = ["z AS (SELECT y_bin AS y, (x - (SELECT avg(x) FROM c)) / (SELECT stddev_samp(x) FROM c) AS x FROM c WHERE y_bin IS NOT NULL), b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        parts.append(f"""s{i} AS (SELECT a, b, sum(y - p) AS g0, sum((y - p) * x) - 0.01 * b AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 0.01 AS h11
+  FROM (SELECT a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM z, b{i}) GROUP BY a, b),
+b{i + 1} AS MATERIALIZED (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s{i})""")
+    return ", ".join(parts)
+
+
+@query("m_lineitem", f"WITH c AS (SELECT y * 100 + k % 3 AS x, y_bin FROM {{v}}), {_newton_sql(9)} SELECT round(a - b * (SELECT avg(x) / stddev_samp(x) FROM c), 4) AS intercept, round(b / (SELECT stddev_samp(x) FROM c), 5) AS slope FROM b9")
+def logistic_newton(df):
+    """A logistic fit on a complete column, to convergence."""
+    m = logistic.fit(df.withColumn("x", F.col("y") * 100 + F.col("k") % 3), ["x"], "y_bin", compute_se=False)
+    return df.sparkSession.createDataFrame([(round(float(m.intercept), 4), round(float(m.coef[0]), 5))], "intercept double, slope double")
+
+
+@query("m_lineitem")
+def cv_logistic(df):
+    """Five folds and three penalties of a logistic fit with gaps, from the jobs of one fit."""
+    return logistic.cross_validate(df, "k", ["x1", "x3"], "y_bin", [(0.01, 0.0), (10.0, 0.0), (0.0, 20.0)])
 
 
 def _node_sql(count, eta):

@@ -352,7 +352,7 @@ def cv_ridge(df):
 def logistic_fit(df):
     from lacuna.operators import logistic
 
-    m = logistic.fit(df, ["x1", "x3"], "y_bin", steps=15)
+    m = logistic.fit(df, ["x1", "x3"], "y_bin")
     return m.transform(df).groupBy("g").agg(F.count("*").alias("n"), F.avg("probability").alias("mean_probability"), F.avg((F.col("prediction") == F.col("y_bin")).cast("double")).alias("accuracy"))
 
 
@@ -407,7 +407,7 @@ def lasso_classifier_fit(df):
     from lacuna.operators import logistic
 
     df = df.withColumn("b", (F.col("y") > 4000).cast("int"))
-    m = logistic.fit(df, ["x1"], "b", l2=0.0, l1=1.0, steps=10, compute_se=False)
+    m = logistic.fit(df, ["x1"], "b", l2=0.0, l1=1.0, compute_se=False)
     return m.transform(df).select("k", "probability")
 
 

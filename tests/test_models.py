@@ -118,7 +118,7 @@ def test_logistic_recovers_coefficients(spark):
     y = (rng.random(4000) < numerics.sigmoid(0.5 + 1.5 * x[:, 0])).astype(float)
     x[rng.random(x.shape) < 0.15] = np.nan
     df = frame(spark, x, y)
-    m = logistic.fit(df, ["x0", "x1"], "y", steps=12)
+    m = logistic.fit(df, ["x0", "x1"], "y")
     assert np.allclose([m.intercept, *m.coef], [0.5, 1.5, 0.0], atol=0.15)
     p = m.transform(df).selectExpr("min(probability) AS a", "max(probability) AS b", "count(probability) AS n").first()
     assert 0 <= p.a <= p.b <= 1 and p.n == 4000
