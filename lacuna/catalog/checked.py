@@ -228,16 +228,20 @@ def glmm_score_at_theta(df):
 
 
 @query("m_orders", """
-WITH z AS (SELECT g, y_grp - 2 - 0.001::DOUBLE * x1 AS r FROM {v} WHERE x1 IS NOT NULL), s AS (SELECT g, count(*) AS n, sum(r) AS r, sum(r * r) AS q FROM z GROUP BY g)
-SELECT round(sum(-0.5 * (n * ln(2 * pi() * 1.5) + ln(1 + n * 4 / 1.5) + q / 1.5 - 4 * pow(r / 1.5, 2) / (1 + 4 * n / 1.5))), 2) AS loglik FROM s""")
+WITH z AS (SELECT g, x1, y_grp - 2 - 0.001::DOUBLE * x1 AS r FROM {v} WHERE x1 IS NOT NULL), s AS (SELECT g, count(*) AS n, sum(r) AS r, sum(r * r) AS q, sum(x1) AS sx, sum(r * x1) AS rx FROM z GROUP BY g)
+SELECT round(sum(-0.5 * (n * ln(2 * pi() * 1.5) + ln(1 + n * 4 / 1.5) + q / 1.5 - 4 * pow(r / 1.5, 2) / (1 + 4 * n / 1.5))), 2) AS loglik,
+  round(sum(r / 1.5 / (1 + 4 * n / 1.5)), 3) AS g0, round(sum(rx / 1.5 - 4 * r / 1.5 * sx / 1.5 / (1 + 4 * n / 1.5)), 0) AS g1,
+  round(sum(-1.5 * (n / 1.5 - n * 4 / 2.25 / (1 + n * 4 / 1.5) - q / 2.25 + 4 * r * r * (3 + 4 * n) / pow(2.25 + 6 * n, 2))), 2) AS g_sigma,
+  round(sum(-4 * (n / 1.5 / (1 + n * 4 / 1.5) - pow(r / 1.5 / (1 + 4 * n / 1.5), 2))), 2) AS g_tau FROM s""")
 def mixed_loglik_at_theta(df):
-    """The random-intercept likelihood at given variances and coefficients."""
+    """The random-intercept likelihood and its gradient at given variances and coefficients, by the blocks that fits use."""
     from lacuna.operators import mixed
 
-    rows = df.filter("x1 IS NOT NULL")
-    by = collect(rows, ["x1", "y_grp"], by=("g",), at=(np.zeros(2), np.ones(2)))
-    value = mixed.loglik(by, np.zeros(1), np.eye(1), np.array([2.0, 0.001]), 1.5, 4.0)
-    return df.sparkSession.createDataFrame([(round(float(value), 2),)], "loglik double")
+    theta = np.array([2.0, 0.001, 0.5 * math.log(1.5), math.log(2.0)])
+    subjects = mixed.Subjects(df.filter("x1 IS NOT NULL"), ["x1"], "y_grp", "g", np.zeros(1), np.eye(1), ["00"], (np.zeros(2), np.ones(2)))
+    values, grads = subjects.score(theta[None])
+    row = [float(values[0]), *map(float, grads[0])]
+    return df.sparkSession.createDataFrame([tuple(round(v, d) for v, d in zip(row, (2, 3, 0, 2, 2), strict=True))], "loglik double, g0 double, g1 double, g_sigma double, g_tau double")
 
 
 SUPPORT = "(VALUES (-1.0, 0.5, 0.8), (0.3, NULL, -0.6), (NULL, -0.7, 0.4), (1.2, 1.1, -0.3))"

@@ -351,6 +351,41 @@ def gathered(df: DataFrame, columns: list[str], most: int) -> Patterns | tuple[n
     return mid + half * mean, half * sd, rows, Parts(mean, sd, digits)
 
 
+def grouped_blocks(df: DataFrame, columns: list[str], group: str, prof: dict[str, dict], at: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, Parts]:
+    """(rows of a group's value and a pattern with exact sums, how ``numbers`` reads them): one aggregation, nothing is collected.
+
+    ``at`` is the (center, scale) that blocks shall have.
+    """
+    mid, half = ends(prof, columns)
+    wide = len(columns) > NARROW
+    rows = max(prof[c]["rows"] for c in columns)
+    digits = Digits.wide(rows) if wide else Digits.narrow(rows)
+    named = df.filter(F.col(group).isNotNull())
+    return (wide_sums if wide else _narrow_sums)(named, columns, (group,), mid, half, digits), Parts((at[0] - mid) / half, at[1] / half, digits)
+
+
+def numbers(batch: pa.RecordBatch, width: int, parts: Parts) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pattern, places in the batch, n, s, q) of all rows of each pattern of a batch of ``grouped_blocks``."""
+    pattern = np.array(batch.column("mask").to_pylist())
+    (es, fs), (eq, fq) = parts.digits.s, parts.digits.q
+    for m in np.unique(pattern):
+        at = np.flatnonzero(pattern == m)
+        obs = [i for i, c in enumerate(m) if c == "0"]
+        n = batch.column("n").to_numpy()[at].astype(float)
+        if "data" in batch.schema.names:
+            data = [_unpacked(str(m), np.frombuffer(batch.column("data")[int(i)].as_py(), np.int64)) for i in at]
+            sh, sl, qh, ql = (np.array([d[k] for d in data], np.int64) for k in range(4))
+        else:
+            get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)[at].astype(np.int64)  # noqa: B023, E731
+            sh, sl = (np.stack([get(f"s{i}{x}") for i in obs], 1) if obs else np.zeros((len(at), 0), np.int64) for x in "hl")
+            qh, ql = (np.stack([np.stack([get(f"q{min(i, j)}_{max(i, j)}{x}") for j in obs], 1) for i in obs], 1) if obs else np.zeros((len(at), 0, 0), np.int64) for x in "hl")
+        s = (sh.astype(np.longdouble) + np.ldexp(sl.astype(np.longdouble), -fs)) * np.longdouble(2.0) ** -es
+        q = (qh.astype(np.longdouble) + np.ldexp(ql.astype(np.longdouble), -fq)) * np.longdouble(2.0) ** -eq
+        mean, sd = parts.mean[obs].astype(np.longdouble), parts.sd[obs].astype(np.longdouble)
+        q = (q - s[:, :, None] * mean - mean[:, None] * s[:, None] + n[:, None, None] * np.outer(mean, mean)) / np.outer(sd, sd)
+        yield str(m), at, n, ((s - n[:, None] * mean) / sd).astype(float), q.astype(float)
+
+
 def _diagonals(width: int):
     """Of each pattern's packed sums those of the single columns."""
 

@@ -132,7 +132,9 @@ def test_mixed_recovers_components(spark):
     x[::9] = np.nan
     m = mixed.fit(frame(spark, x, y, (g.tolist(),)), ["x0"], "y", "g")
     assert abs(m.fixed.coef[0] - 0.7) < 0.12 and 2 < m.tau2 < 7 and abs(m.sigma2 - 1) < 0.25 and 0.6 < m.icc < 0.9
-    assert len(m.blup) == 60
+    blup = {r.g: r.blup for r in m.intercepts.collect()}
+    assert len(blup) == 60 and np.isfinite(m.joint_loglik) and m.joint_loglik < m.loglik
+    assert m.transform(frame(spark, x[:9], y[:9], ([*range(8), 999],))).filter("prediction IS NULL").isEmpty()
 
 
 def test_imputation_and_sensitivity(data):
