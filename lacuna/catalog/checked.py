@@ -13,7 +13,7 @@ from lacuna.functions.numerics import gauss_hermite
 from lacuna.operators import advise, arms, auto, bayes, copula, explain, glmm, kernels, linear, logistic, resampling
 from lacuna.operators.auto import Estimator
 from lacuna.plans import gaussian
-from lacuna.plans.patterns import collect
+from lacuna.plans.patterns import collect, collect_weighted
 
 # Joint moments of (x1, x2, z) where x1 alone has gaps: those of (x2, z), and the regression of x1 on both.
 MONOTONE = """
@@ -244,6 +244,19 @@ def mixed_loglik_at_theta(df):
     return df.sparkSession.createDataFrame([tuple(round(v, d) for v, d in zip(row, (2, 3, 0, 2, 2), strict=True))], "loglik double, g0 double, g1 double, g_sigma double, g_tau double")
 
 
+@query("m_part", " UNION ALL ".join(f"""
+SELECT {i} AS member, concat(CASE WHEN x1 IS NULL THEN '1' ELSE '0' END, '0', CASE WHEN y IS NULL THEN '1' ELSE '0' END) AS pattern, CAST(sum({w}) AS DOUBLE) AS n, round(sum({w} * (x2 - 130) / 15), 4) AS s, round(sum({w} * (x2 - 130) / 15 * (x1 - 25) / 14), 4) AS q
+FROM {{v}} GROUP BY 2 HAVING sum({w}) > 0""" for i, w in enumerate(("k % 3", "(k + 1) % 4", "CASE WHEN k % 7 = 0 THEN 5 ELSE 0 END"))))
+def weighted_moments(df):
+    """Block sums under several sets of row weights, as bootstraps have them, from one scan."""
+    rows, weights = [], [F.col("k") % 3, (F.col("k") + 1) % 4, F.when(F.col("k") % 7 == 0, 5).otherwise(0)]
+    for i, p in enumerate(collect_weighted(df, ["x1", "x2", "y"], weights, at=((25.0, 130.0, 1000.0), (14.0, 15.0, 60.0)))):
+        for m, b in p.blocks.items():
+            at = list(b.obs).index(1)
+            rows.append((i, m, b.n, round(float(b.s[at]), 4) + 0.0, round(float(b.q[at, 0]), 4) + 0.0 if m[0] == "0" else None))
+    return df.sparkSession.createDataFrame(rows, "member int, pattern string, n double, s double, q double")
+
+
 SUPPORT = "(VALUES (-1.0, 0.5, 0.8), (0.3, NULL, -0.6), (NULL, -0.7, 0.4), (1.2, 1.1, -0.3))"
 
 

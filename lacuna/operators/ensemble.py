@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.checks import check_positive_int
 from lacuna.operators import resampling, results
 from lacuna.operators.auto import FAMILIES, Estimator, Fitted, classes_of, task_of
-from lacuna.operators.linear import multiple_imputation
+from lacuna.operators.linear import multiple_imputation, poisson_draws
 
 
 def draws(member: int, key: str, seed: int = 0, cluster: str | None = None) -> Column:
@@ -22,13 +22,7 @@ def draws(member: int, key: str, seed: int = 0, cluster: str | None = None) -> C
     A fixed function of (seed, member, key): no shuffle, no driver list, the
     same after a lost executor.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(member), cluster or key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times, total, term = F.lit(0), 0.0, np.exp(-1.0)
-    for k in range(8):
-        total += term
-        times = times + (u > total).cast("int")
-        term /= k + 1
-    return times
+    return poisson_draws(member, cluster or key, seed)
 
 
 def bag_weights(df: DataFrame, key: str, member: int, seed: int = 0, cluster: str | None = None, keep_copy: bool = False) -> DataFrame:
@@ -259,11 +253,14 @@ def sensitivity_summary(curve: DataFrame, threshold: float = 0.0, z: float = 1.9
     return t.withColumn("verdict", verdict)
 
 
-def impute_fit_pool(df: DataFrame, features: list[str], label: str, key: str, fit: Callable[[DataFrame], list[tuple[str, float, float]]], imputations: int = 5, seed: int = 0) -> DataFrame:
-    """Fits on every completed copy and pools (name, estimate, standard error) by Rubin's rules."""
+def impute_fit_pool(df: DataFrame, features: list[str], label: str, key: str, fit: Callable[[DataFrame], list[tuple[str, float, float]]], imputations: int = 5, seed: int = 0, posterior: bool = False) -> DataFrame:
+    """Fits on every completed copy and pools (name, estimate, standard error) by Rubin's rules; ``posterior`` see ``multiple_imputation``."""
     check_positive_int(imputations, "imputations", "imputer", 2)
-    done = multiple_imputation(df, [*features, label], key, imputations, seed)
+    done = multiple_imputation(df, features, key, imputations, seed, posterior, label).persist()
     rows = []
-    for i in range(1, imputations + 1):
-        rows += [(i, name, float(value), None if se is None else float(se) ** 2) for name, value, se in fit(done.filter(F.col("imputation") == i))]
+    try:
+        for i in range(1, imputations + 1):
+            rows += [(i, name, float(value), None if se is None else float(se) ** 2) for name, value, se in fit(done.filter(F.col("imputation") == i))]
+    finally:
+        done.unpersist()
     return results.rubin(df.sparkSession.createDataFrame(rows, "imputation int, feature string, coef double, var double"))

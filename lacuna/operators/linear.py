@@ -8,16 +8,19 @@ CASE expression over the patterns.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions import exprs
 from lacuna.functions.numerics import hessian, lbfgs, normal_quantile, standard_errors, two_sided_p
 from lacuna.plans import gaussian
-from lacuna.plans.patterns import Patterns, collect, degenerate, profile
+from lacuna.plans.patterns import Patterns, collect, collect_weighted, degenerate, profile
 
 
 @dataclass
@@ -164,7 +167,11 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: flo
         theta, _ = lbfgs(lambda t: objective(blocks, t, l2), start, 300, 1e-8)
     se: list[float | None] = [None] * (width + 2)
     if compute_se:
-        se = standard_errors(np.linalg.pinv(hessian(lambda t: objective(blocks, t, l2)[0], theta)))
+        # with a lasso: the coefficients that are not 0 move as the smooth part has it, where the penalty is linear; the others do not move
+        active = np.array([True, *(np.abs(theta[1:-1]) > 1e-9), True]) if l1 else np.ones(width + 2, bool)
+        inverse = np.zeros((width + 2, width + 2))
+        inverse[np.ix_(active, active)] = np.linalg.pinv(hessian(lambda t: objective(blocks, t, l2)[0], theta)[np.ix_(active, active)])
+        se = standard_errors(inverse)
     sy, sx = p.scale[-1], p.scale[:-1]
     coef = theta[1:-1] * sy / sx
     intercept = p.center[-1] + sy * theta[0] - coef @ p.center[:-1]
@@ -174,8 +181,8 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: flo
     wide[np.ix_(on, on)] = raw_sigma[:-1, :-1]
     means = np.array([raw_mu[keep.index(c)] if c in keep else prof[c]["mean"] for c in features])
     errors: list[float | None] = [None]
-    if se[0] is not None and all(s is not None for s in se[1:-1]):
-        errors = [sy * math.sqrt(se[0] ** 2 + sum((p.center[j] * se[j + 1] / sx[j]) ** 2 for j in range(width)))]
+    if se[0] is not None and all(s is not None for s, on in zip(se[1:-1], theta[1:-1], strict=True) if on):
+        errors = [sy * math.sqrt(se[0] ** 2 + sum((p.center[j] * (se[j + 1] or 0.0) / sx[j]) ** 2 for j in range(width)))]
     errors += [None if c not in keep or se[keep.index(c) + 1] is None else se[keep.index(c) + 1] * sy / sx[keep.index(c)] for c in features]
     labelled = sum(b[0] for b in blocks)
     loglik = -objective(blocks, theta)[0] - labelled * math.log(sy)
@@ -216,43 +223,73 @@ def cv_ridge(df: DataFrame, key: str, features: list[str], label: str, alphas: l
 
 def conditional_mean_imputation(df: DataFrame, columns: list[str], tol: float = 1e-6, reg: float = 1e-6) -> DataFrame:
     """``df`` with every missing cell of ``columns`` replaced by its mean given the row's observed cells."""
-    p = collect(df, columns)
-    mu, sigma = gaussian.raw_moments(p, gaussian.em(p, 2000, tol, reg))
-    masks = sorted(p.blocks)
+    p, m = gaussian.moments(df, columns, 2000, tol, reg)
+    mu, sigma = gaussian.raw_moments(p, m)
+    masks = sorted(p.blocks) if isinstance(p, Patterns) else [r["m"] for r in df.select(exprs.mask(columns).alias("m")).distinct().collect()]
     return df.withColumns({c: gaussian.conditional_mean(columns, mu, sigma, j, masks) for j, c in enumerate(columns)})
 
 
-def multiple_imputation(df: DataFrame, columns: list[str], key: str, m: int = 5, seed: int = 0) -> DataFrame:
+def poisson_draws(member: int, key: str, seed: int = 0) -> Column:
+    """How often a member's bootstrap takes a row: Poisson(1), a fixed function of (seed, member, key): no shuffle, no driver list, the same after a lost executor."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(member), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    times, total, term = F.lit(0), 0.0, math.exp(-1.0)
+    for k in range(8):
+        total += term
+        times = times + (u > total).cast("int")
+        term /= k + 1
+    return times
+
+
+def multiple_imputation(df: DataFrame, columns: list[str], key: str, m: int = 5, seed: int = 0, posterior: bool = False, label: str | None = None) -> DataFrame:
     """``m`` completed copies of ``df`` (column ``imputation``): conditional means plus conditional normal noise.
 
-    The noise is a fixed function of (seed, imputation, key, column), so reruns
-    and lost executors give the same draws.
+    With ``label`` the outcome is one more variable of the joint distribution and
+    is completed too.  With ``posterior`` every copy has moments of its own, those
+    of a Poisson bootstrap of the rows (all bootstraps are summed in one scan), so
+    that the copies differ by what the moments are uncertain by.  The noise and
+    the bootstraps are fixed functions of (seed, imputation, key, column), so
+    reruns and lost executors give the same draws.
     """
-    p = collect(df, columns)
-    mu, sigma = gaussian.raw_moments(p, gaussian.em(p, 200, 1e-6, 1e-6))
-    masks = sorted(p.blocks)
+    columns = [*columns, label] if label else list(columns)
+    if posterior:
+        parts = collect_weighted(df, columns, [poisson_draws(i, key, seed + 1_000_003) for i in range(1, m + 1)])
+        moments = [gaussian.raw_moments(p, gaussian.em(p, 200, 1e-6, 1e-6)) for p in parts]
+    else:
+        moments = [gaussian.raw_moments(*gaussian.moments(df, columns, 200, 1e-6, 1e-6))] * m
     width = len(columns)
-    out = df.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    own = [c for c in df.columns if c.lower() != "imputation"]
 
     def unit(j: int) -> Column:
         u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * j + i), "imputation", key), F.lit(1 << 40)) + 0.5) / float(1 << 40) for i in (0, 1)]
         return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
 
-    out = out.withColumns({f"_z{j}": unit(j) for j in range(width)})
-
-    def noise(j: int):
-        def build(obs: list[int], mis: list[int]) -> Column:
-            if j in obs:
-                return F.lit(0.0)
-            c = gaussian.conditional(mu, sigma, np.array(obs, int), np.array(mis, int))[2]
-            low, vectors = np.linalg.eigh(c)
-            root = vectors @ np.diag(np.sqrt(np.maximum(low, 0))) @ vectors.T
-            total = F.lit(0.0)
-            for i, w in zip(mis, root[mis.index(j)], strict=True):
-                total = total + F.lit(float(w)) * F.col(f"_z{i}")
-            return total
-
-        return gaussian.per_pattern(columns, masks, build)
-
-    filled = {c: gaussian.conditional_mean(columns, mu, sigma, j, masks) + noise(j) for j, c in enumerate(columns)}
-    return out.withColumns(filled).drop(*[f"_z{j}" for j in range(width)])
+    copies = df.select(*own).withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    rows = copies.select("imputation", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.array(*[unit(j) for j in range(width)]).alias("z"), F.struct(*own).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            x, z = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) for k in (1, 2))
+            x = x.copy()
+            number, gone = batch.column(0).to_numpy(), np.isnan(x)
+            kind = np.unique(np.concatenate([np.packbits(gone, axis=1), number.astype("<i4").view(np.uint8).reshape(-1, 4)], 1), axis=0, return_inverse=True)[1].ravel()
+            order = np.argsort(kind, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+                if not len(at) or not gone[at[0]].any():
+                    continue
+                name = (int(number[at[0]]), gone[at[0]].tobytes())
+                if name not in known:
+                    mu, sigma = moments[name[0] - 1]
+                    obs, mis = np.flatnonzero(~gone[at[0]]), np.flatnonzero(gone[at[0]])
+                    k, shift, c = gaussian.conditional(mu, sigma, obs, mis)
+                    low, vectors = np.linalg.eigh(c)
+                    known[name] = obs, mis, k, shift, vectors @ np.diag(np.sqrt(np.maximum(low, 0))) @ vectors.T
+                obs, mis, k, shift, root = known[name]
+                # row by row sums, the same whatever rows come together
+                x[np.ix_(at, mis)] = shift + np.einsum("ij,kj->ik", x[np.ix_(at, obs)], k) + np.einsum("ij,kj->ik", z[np.ix_(at, mis)], root)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(3)], names=["imputation", "x", "row"])
+
+    done = rows.mapInArrow(run, T.StructType([rows.schema["imputation"], T.StructField("x", T.ArrayType(T.DoubleType())), rows.schema["row"]]))
+    place = {c: j for j, c in enumerate(columns)}
+    return done.select(*[F.col("x")[place[c]].alias(c) if c in place else F.col("row")[c].alias(c) for c in own], "imputation")

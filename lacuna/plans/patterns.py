@@ -221,6 +221,95 @@ def wide_sums(df: DataFrame, columns: list[str], by: tuple[str, ...], mid: np.nd
     return rows
 
 
+def _weighted_products(z: np.ndarray, w: np.ndarray, digits: Digits) -> np.ndarray:
+    """``_products`` for every column of small whole weights: members x (weight, packed sums)."""
+    b, count = digits.piece, digits.pieces
+    parts, rest = [], z
+    for _ in range(count):
+        rest = rest * float(1 << b)
+        parts.append(np.floor(rest))
+        rest = rest - parts[-1]
+    s = _settled([(w.T @ p).astype(np.int64) for p in parts], b)
+    i, j = np.triu_indices(z.shape[1])
+    levels = []
+    for level in range(count):
+        total = np.zeros((w.shape[1], len(i)))
+        for k in range(level + 1):
+            total += w.T @ (parts[k][:, i] * parts[level - k][:, j])
+        levels.append(total.astype(np.int64))
+    return np.concatenate([w.sum(0).astype(np.int64)[:, None], *s, *_settled(levels, b)], axis=1)
+
+
+def collect_weighted(df: DataFrame, columns: list[str], weights: list[Column], prof: dict[str, dict] | None = None, at: tuple | None = None) -> list[Patterns]:
+    """``collect`` for each of the given weights (whole numbers from 0 to 15), all from one scan, on the scale of the unweighted table or ``at``.
+
+    A pattern's sums are one array with a line per weight, and one for the rows themselves.
+    """
+    prof = prof or profile(df, columns)
+    mid, half = ends(prof, columns)
+    weights = [F.lit(1), *weights]
+    width, members = len(columns), len(weights)
+    rows = 15 * max(prof[c]["rows"] for c in columns)
+    digits = Digits.wide(rows)
+    cells = df.select(*[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(columns)], *[w.cast("double").alias(f"_w{i}") for i, w in enumerate(weights)])
+    schema = "mask string, node long, data binary"
+
+    def carried(data: np.ndarray, p: int) -> np.ndarray:
+        return np.stack([np.concatenate([line[:1], _carried(line[1:], p, digits)]) for line in data])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([TaskContext.get().partitionId()] * len(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["mask", "node", "data"])
+
+        for batch in batches:
+            x = np.stack([batch.column(j).to_numpy(zero_copy_only=False).astype(float) for j in range(width)], 1)
+            w = np.stack([batch.column(width + i).to_numpy(zero_copy_only=False).astype(float) for i in range(members)], 1)
+            gone = np.isnan(x)
+            key = np.unique(np.packbits(gone, axis=1), axis=0, return_inverse=True)[1].ravel()
+            order = np.argsort(key, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                for a in range(0, len(at), SLAB_ROWS // 16):
+                    some = at[a : a + SLAB_ROWS // 16]
+                    obs = ~gone[some[0]]
+                    name = "".join("01"[int(g)] for g in gone[some[0]])
+                    own = _weighted_products(((x - mid) / half)[some][:, obs], w[some], digits)
+                    held[name] = carried(held[name] + own, int(obs.sum())) if name in held else own
+            if sum(v.nbytes for v in held.values()) > HELD_BYTES:
+                yield handed()
+                held.clear()
+        if held:
+            yield handed()
+
+    def added(table: pa.Table) -> pa.Table:
+        pattern = table.column("mask")[0].as_py()
+        data = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data")).reshape(members, -1)
+        return pa.table({"mask": [pattern], "node": pa.array([table.column("node")[0].as_py() // FAN], pa.int64()), "data": pa.array([carried(data, pattern.count("0")).tobytes()], pa.binary())})
+
+    sums = cells.mapInArrow(run, schema)
+    for _ in range(LEVELS):
+        sums = sums.groupBy("mask", F.floor(F.col("node") / FAN)).applyInArrow(added, schema)
+    found: dict[str, np.ndarray] = {}
+    for r in sums.limit(MAX_PATTERNS * FAN + 1).collect():
+        data = np.frombuffer(r["data"], np.int64).reshape(members, -1)
+        found[r["mask"]] = found[r["mask"]] + data if r["mask"] in found else data
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} missingness patterns; drop sparse columns or group them")
+    if at is None:
+        mean, sd = _standard({((), m): [int(data[0, 0]), *_unpacked(m, data[0, 1:])] for m, data in found.items()}, prof, columns, half, digits)
+        center, scale = mid + half * mean, half * sd
+    else:
+        center, scale = (np.asarray(v, float) for v in at)
+        mean, sd = (center - mid) / half, scale / half
+    parts = Parts(mean, sd, digits)
+    out = []
+    for i in range(1, members):
+        blocks = {m: parts.standard(m, int(data[i, 0]), *_unpacked(m, data[i, 1:])) for m, data in sorted(found.items()) if data[i, 0]}
+        out.append(Patterns(columns, center, scale, blocks))
+    return out
+
+
 def _unpacked(pattern: str, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """(sum high, sum low, product high, product low), the products as full matrices of the observed columns."""
     p = pattern.count("0")
