@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.catalog.diagnose import ORACLES, QUERIES, query
 from lacuna.functions import checks
-from lacuna.functions.numerics import gauss_hermite
+from lacuna.functions.numerics import MIDDLE, TAIL, gauss_hermite
 from lacuna.operators import advise, arms, auto, bayes, copula, explain, glmm, kernels, linear, logistic, resampling
 from lacuna.operators.auto import Estimator
 from lacuna.plans import gaussian
@@ -276,11 +276,6 @@ def kernel_predict(df):
     return m.transform(t).select("k", F.round("prediction", 6).alias("prediction"))
 
 
-# The coefficients of Acklam's rational approximation of the normal quantile.
-A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
 
 
 def _poly(c, x):
@@ -291,9 +286,11 @@ def _poly(c, x):
 
 
 def _quantile_sql(u):
-    tail = lambda p: f"({_poly(C, f'sqrt(-2 * ln({p}))')}) / ({_poly((*D, 1.0), f'sqrt(-2 * ln({p}))')})"
-    mid = f"({_poly(A, f'pow({u} - 0.5, 2)')}) * ({u} - 0.5) / ({_poly((*B, 1.0), f'pow({u} - 0.5, 2)')})"
-    return f"CASE WHEN {u} < 0.02425 THEN {tail(u)} WHEN {u} > 0.97575 THEN -({tail(f'(1 - {u})')}) ELSE {mid} END"
+    """The normal quantile, but for probabilities below exp(-25)."""
+    ratio = lambda parts, x: f"({_poly(parts[0], x)}) / ({_poly(parts[1], x)})"
+    tail = ratio(TAIL, f"(sqrt(-ln(least({u}, 1 - {u}))) - 1.6::DOUBLE)")
+    middle = ratio(MIDDLE, f"(0.180625::DOUBLE - pow({u} - 0.5, 2))")
+    return f"CASE WHEN abs({u} - 0.5) <= 0.425 THEN {middle} * ({u} - 0.5) ELSE {tail} * sign({u} - 0.5) END"
 
 
 NORMAL = f"""
@@ -309,6 +306,19 @@ def copula_transform(df):
     return z.select("k", F.round("x1", 5).alias("z"), F.round(c.inverse_column("x1", F.col("x1")), 9).alias("back"))
 
 
+TIED = "CASE WHEN k % 3 = 0 THEN 20000.5 ELSE x2 END"
+
+
+@query("m_lineitem", f"""
+WITH t AS (SELECT k, {TIED} AS x1 FROM {{v}}), """ + NORMAL.replace("{v}", "t").strip().removeprefix("WITH ") + " SELECT t.k, round(s.z, 5) AS z, round(t.x1, 6) AS back FROM t LEFT JOIN s ON t.x1 = s.x1")
+def copula_many(df):
+    """Normal scores of a column with more knots than the driver holds and a tie of a third of its rows, and the way back, by range joins."""
+    t = df.select("k", F.expr(TIED).cast("double").alias("x"))
+    c = copula.fit(t, ["x"])
+    z = c.transform(t)
+    return c.inverse(z.withColumn("z", F.round("x", 5))).select("k", "z", F.round("x", 6).alias("back"))
+
+
 @query("m_part", """
 WITH e AS (SELECT *, CASE WHEN k % 50 = 0 THEN 'Infinity'::DOUBLE ELSE x1 END AS a, NULL::DOUBLE AS b, y / 3 AS c FROM {v})
 SELECT 'a' AS "column", 'infinite values' AS rule FROM e HAVING count(*) FILTER (isinf(a)) > 0

@@ -58,6 +58,8 @@ def _rowwise(model) -> bool:
     """Whether ``transform`` works on each row by itself, so that rows keep their order."""
     if hasattr(model, "model"):
         return _rowwise(model.model)
+    if getattr(model, "scores", None) is not None and not model.scores.rowwise:
+        return False
     return all(_rowwise(m) for m in model.models if m is not None) if hasattr(model, "models") else getattr(model, "rowwise", False)
 
 

@@ -224,7 +224,7 @@ class Path:
     steps: int = 0
 
 
-def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 60, tol: float = 1e-9) -> int:
+def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 60, tol: float = 1e-14) -> int:
     """Fits all paths together by proximal Newton steps with halving; returns the number of jobs."""
     folds = np.array([p.fold for p in paths])
     for p in paths:
