@@ -469,6 +469,67 @@ def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias("_minus")), F.col(column) == F.col("_minus"), "left_anti")
 
 
+#: Hashes of a range, whose repeats one task finds; ranges at most; hashes that a task gathers before it hands them on.
+RANGE_HASHES = 2_000_000
+MAX_RANGES = 1 << 16
+GATHERED = 2_000_000
+#: A range's hashes travel as so many bytes each; what stands below them does not (two hashes may then seem one, which only costs work).
+PACKED_BYTES = 5
+
+
+def _by_range(bits: int):
+    """The hashes of lists, packed by their ``bits`` highest bits: (range, hashes), a row for each range of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def handed() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held))
+            top = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+            low = np.ascontiguousarray(((x << np.uint64(bits)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED_BYTES])
+            cuts = np.flatnonzero(np.diff(top)) + 1
+            first = np.concatenate([[0], cuts])
+            return pa.RecordBatch.from_arrays([pa.array(top[first], pa.int64()), pa.array([v.tobytes() for v in np.split(low, cuts)], pa.binary())], ["range", "hashes"])
+
+        for batch in batches:
+            own = batch.column("first").flatten().to_numpy().view(np.uint64)
+            held.append(own)
+            n += len(own)
+            if n >= GATHERED:
+                yield handed()
+                held, n = [], 0
+        if n:
+            yield handed()
+
+    return run
+
+
+def _twice(bits: int):
+    """Of a range's packed hashes those that stand there more than once, as the highest bits of their numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low = np.frombuffer(b"".join(x.as_py() for x in table.column("hashes")), np.uint8).reshape(-1, PACKED_BYTES)
+        whole = np.zeros((len(low), 8), np.uint8)
+        whole[:, :PACKED_BYTES] = low
+        x = np.sort(whole.reshape(-1).view("<u8"))
+        again = np.unique(x[1:][x[1:] == x[:-1]])
+        return pa.table({"x": pa.array((np.uint64(table.column("range")[0].as_py() << 8 * PACKED_BYTES) | again).view(np.int64))})
+
+    return run
+
+
+def _repeated(lists: DataFrame) -> tuple[DataFrame, int]:
+    """(x, shift): the hashes that stand in more than one list ``first``, without their lowest ``shift`` bits.
+
+    Five bytes a hash are shuffled, however many hashes there are, and only
+    repeats become rows.
+    """
+    total = lists.select(F.sum(F.size("first"))).first()[0] or 0
+    bits = min(MAX_RANGES, max(16, math.ceil(total / RANGE_HASHES))).bit_length()
+    found = lists.select("first").mapInArrow(tidied(_by_range(bits)), "range long, hashes binary").groupBy("range").applyInArrow(_twice(bits), "x long")
+    return materialise(found), 64 - bits - 8 * PACKED_BYTES
+
+
 def _shared(posts: DataFrame) -> DataFrame:
     """The rows of lists with two texts or more."""
     several = materialise(posts.groupBy("x").agg(F.count("*").alias("_n")).filter("_n > 1").select("x"))
@@ -514,9 +575,11 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, far: int
     sweep(docs.sparkSession)
 
     left = _minus(texts.select(F.col("least").alias("id")), "id", gone[1]).withColumnRenamed("id", "_id")
-    posts = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("pos", "x"))
-    prints_of = texts.select(F.col("least").alias("_least"), "fp")
-    posts = materialise(_shared(posts).join(prints_of, F.col("id") == F.col("_least")).drop("_least"))
+    lists = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "fp", "first")
+    several, shift = _repeated(lists)
+    sweep(docs.sparkSession)
+    posts = lists.select("id", "n", "fp", F.posexplode("first").alias("pos", "x")).withColumn("_t", F.shiftrightunsigned("x", shift))
+    posts = materialise(_listed(posts, "_t", several, "left_semi", BROADCAST_SHINGLES).drop("_t"))
     # lists mostly hold copies of their least text: where that leads all its own lists it stays, and what resembles it goes
     least = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("a"))
     heads = materialise(posts.join(least, (F.col("x") == F.col("_x")) & (F.col("id") == F.col("a")), "left_semi"))

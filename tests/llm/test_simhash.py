@@ -137,3 +137,19 @@ def test_no_text_is_lost_under_a_repeated_id(spark):
         assert [g for g in got if g[0] not in (7,)] == [(0, copy, "z"), (0, copy, "z"), (1, copy, "b"), (5, rows[2][1], "a")]
         assert len([g for g in got if g[0] == 7]) == 1  # null and empty are copies
     assert simhash.dedup_documents(df).columns == df.columns
+
+
+def test_repeated_hashes_are_found_packed(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pool = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    lists = [sorted({int(v) for v in rng.choice(pool, 40)}) for _ in range(150)]
+    seen: dict = {}
+    for x in lists:
+        for v in x:
+            seen[v] = seen.get(v, 0) + 1
+    df = spark.createDataFrame([(x,) for x in lists] + [([],)], "first array<long>").repartition(6)
+    for gathered in (simhash.GATHERED, 100):
+        monkeypatch.setattr(simhash, "GATHERED", gathered)
+        found, shift = simhash._repeated(df)
+        assert {r.x for r in found.collect()} == {(v & (1 << 64) - 1) >> shift for v, n in seen.items() if n > 1}
+    assert simhash._repeated(df.limit(0))[0].collect() == []
