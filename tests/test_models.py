@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from lacuna.functions import numerics
 from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, neighbors, process, resampling, results
-from lacuna.plans import gaussian
+from lacuna.plans import gaussian, pivots
 from lacuna.plans.patterns import Block, Patterns, collect
 from lacuna.sources import ingest
 
@@ -243,8 +243,8 @@ def test_pooling_refuses_incomplete_imputations(spark):
 
 
 def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "QUERY_ROWS", 7)
-    monkeypatch.setattr(neighbors, "TRAIN_ROWS", 11)
+    monkeypatch.setattr(pivots, "QUERY_ROWS", 7)
+    monkeypatch.setattr(pivots, "TRAIN_ROWS", 11)
     rng = np.random.default_rng(9)
     x = rng.integers(0, 4, (60, 2)).astype(float)
     df = spark.createDataFrame([(f"k{i:02}", *map(float, r), 0.25 * (i % 3)) for i, r in enumerate(x)], "k string, f0 double, f1 double, s double")
