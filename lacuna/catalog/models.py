@@ -231,6 +231,18 @@ def cv_scores_classification(df):
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1", "brier", "auc")])
 
 
+@query("m_lineitem", """
+WITH s AS (SELECT y_bin AS y, (1 / (1 + exp(-((x1 - 24) / 4))) >= 0.5)::INT AS p FROM {v} WHERE y_bin IS NOT NULL AND x1 IS NOT NULL),
+f AS (SELECT c, count(*) FILTER (y = c) AS n, 2 * count(*) FILTER (y = c AND p = c) / (count(*) FILTER (y = c) + count(*) FILTER (p = c)) AS f FROM s, (SELECT unnest([0, 1]) AS c) GROUP BY c)
+SELECT round(sum(n * f) / sum(n), 6) AS f1_weighted, (SELECT round(avg(pow(y - p, 2)), 6) FROM s) AS mse FROM f""")
+def cv_scores_weighted(df):
+    """Weighted F1 of two classes, and the squared error of their predictions."""
+    rows = df.withColumn("p", 1 / (1 + F.exp(-((F.col("x1") - 24) / 4))))
+    f1 = resampling.classification_scores(rows, "y_bin", "p").select(F.round("f1_weighted", 6).alias("f1_weighted"))
+    hit = rows.filter("y_bin IS NOT NULL AND x1 IS NOT NULL").withColumn("p", (F.col("p") >= 0.5).cast("int"))
+    return f1.crossJoin(resampling.regression_scores(hit, "y_bin", "p").select(F.round("mse", 6).alias("mse")))  # one row each
+
+
 @query("m_part", "WITH d AS (SELECT g, avg(x2) / 100 - avg(y) / 1000 AS d FROM {v} GROUP BY g) SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS sd_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d")
 def paired_t(df):
     a, b = (df.groupBy(F.col("g").alias("fold")).agg((F.avg(c) / s).alias("score")) for c, s in (("x2", 100), ("y", 1000)))

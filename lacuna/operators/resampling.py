@@ -46,16 +46,16 @@ def out_of_bag(df: DataFrame, key: str, drawn: DataFrame, members: int) -> DataF
 
 
 def regression_scores(df: DataFrame, y: str, prediction: str) -> DataFrame:
-    """n, r2, rmse, mae over rows with both values."""
+    """n, r2, rmse, mae, mse over rows with both values."""
     gap = F.col(y) - F.col(prediction)
     t = df.filter(F.col(y).isNotNull() & F.col(prediction).isNotNull()).agg(
         F.count("*").alias("n"), F.sum(gap * gap).alias("_e"), F.sum(F.abs(gap)).alias("_a"), (F.var_pop(y) * F.count("*")).alias("_v")
     )
-    return t.select("n", F.when(F.col("_v") > 0, 1 - F.col("_e") / F.col("_v")).alias("r2"), F.sqrt(F.col("_e") / F.col("n")).alias("rmse"), (F.col("_a") / F.col("n")).alias("mae"))
+    return t.select("n", F.when(F.col("_v") > 0, 1 - F.col("_e") / F.col("_v")).alias("r2"), F.sqrt(F.col("_e") / F.col("n")).alias("rmse"), (F.col("_a") / F.col("n")).alias("mae"), (F.col("_e") / F.col("n")).alias("mse"))
 
 
 def classification_scores(df: DataFrame, y: str, probability: str, threshold: float = 0.5) -> DataFrame:
-    """n, accuracy, f1, brier and auc (average ranks over distinct probabilities)."""
+    """n, accuracy, f1, brier, auc (average ranks over distinct probabilities) and f1_weighted (of both classes, by their numbers)."""
     rows = df.filter(F.col(y).isNotNull() & F.col(probability).isNotNull())
     hit = F.col(probability) >= threshold
     t = rows.agg(
@@ -66,25 +66,45 @@ def classification_scores(df: DataFrame, y: str, probability: str, threshold: fl
     a = x.agg(F.sum(F.col("rank") * F.col("c1")).alias("r"), F.sum("c1").alias("n1"), F.sum(F.col("c") - F.col("c1")).alias("n0"))
     auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")))
     t = t.withColumn("f1", F.when(2 * F.col("_tp") + F.col("_fp") + F.col("_fn") > 0, 2 * F.col("_tp") / (2 * F.col("_tp") + F.col("_fp") + F.col("_fn"))).otherwise(0.0))
-    return t.crossJoin(a.select(auc.alias("auc"))).select("n", "accuracy", "f1", "brier", "auc")  # one row each
+    tn = F.col("n") - F.col("_tp") - F.col("_fp") - F.col("_fn")
+    other = F.when(2 * tn + F.col("_fp") + F.col("_fn") > 0, 2 * tn / (2 * tn + F.col("_fp") + F.col("_fn"))).otherwise(0.0)
+    t = t.withColumn("f1_weighted", F.try_divide(F.col("f1") * (F.col("_tp") + F.col("_fn")) + other * (tn + F.col("_fp")), F.col("n")))
+    return t.crossJoin(a.select(auc.alias("auc"))).select("n", "accuracy", "f1", "brier", "auc", "f1_weighted")  # one row each
 
 
-SCORERS = {"r2": ("r2", 1), "neg_root_mean_squared_error": ("rmse", -1), "neg_mean_absolute_error": ("mae", -1), "accuracy": ("accuracy", 1), "f1": ("f1", 1), "roc_auc": ("auc", 1)}
+def class_scores(df: DataFrame, y: str, prediction: str) -> dict[str, float | None]:
+    """n, accuracy and f1_weighted of predicted classes of any kind; rows without either do not count."""
+    rows = df.filter(F.col(y).isNotNull() & F.col(prediction).isNotNull()).groupBy(F.col(y).cast("string").alias("y"), F.col(prediction).cast("string").alias("p")).agg(F.count("*").alias("n")).collect()  # classes by classes
+    n = sum(r["n"] for r in rows)
+    total = 0.0
+    for c in {r["y"] for r in rows}:
+        hit, own, said = (sum(r["n"] for r in rows if keep(r)) for keep in (lambda r: r["y"] == r["p"] == c, lambda r: r["y"] == c, lambda r: r["p"] == c))  # noqa: B023
+        total += own * 2 * hit / (own + said)
+    return {"n": n, "accuracy": sum(r["n"] for r in rows if r["y"] == r["p"]) / n if n else None, "f1_weighted": total / n if n else None}
 
 
-def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], object], label: str, scoring: str = "r2", seed: int | None = 0) -> DataFrame:
-    """(fold, score): fits on all folds but one, scores the one; a fold whose fit fails scores NULL."""
-    if scoring not in SCORERS:
+#: Scores of numbers; the others are of classes.
+NUMBERS = ("r2", "rmse", "mae", "mse")
+SCORERS = {"r2": ("r2", 1), "neg_root_mean_squared_error": ("rmse", -1), "neg_mean_absolute_error": ("mae", -1), "neg_mean_squared_error": ("mse", -1), "accuracy": ("accuracy", 1), "f1": ("f1", 1), "f1_weighted": ("f1_weighted", 1), "roc_auc": ("auc", 1)}
+
+
+def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], object], label: str, scoring: str | Callable[[object, DataFrame], float] = "r2", seed: int | None = 0) -> DataFrame:
+    """(fold, score): fits on all folds but one, scores the one by name or by ``scoring(model, rows)``; a fold whose fit fails scores NULL."""
+    if not callable(scoring) and scoring not in SCORERS:
         raise ValueError(f"scoring must be one of {', '.join(sorted(SCORERS))}, not {scoring!r}")
-    name, sign = SCORERS[scoring]
+    name, sign = ("", 1) if callable(scoring) else SCORERS[scoring]
     rows = kfold(df, key, k, seed).cache()
     out = []
     try:
         for fold in range(k):
             try:
                 model = fit(rows.filter(F.col("fold") != fold))
+                if callable(scoring):
+                    value = float(scoring(model, rows.filter(F.col("fold") == fold).drop("fold")))
+                    out.append((fold, None if math.isnan(value) else value))
+                    continue
                 predicted = model.transform(rows.filter(F.col("fold") == fold))
-                scores = regression_scores(predicted, label, "prediction") if name in ("r2", "rmse", "mae") else classification_scores(predicted, label, "probability")
+                scores = regression_scores(predicted, label, "prediction") if name in NUMBERS else classification_scores(predicted, label, "probability")
                 value = scores.first()[name]
                 out.append((fold, None if value is None or math.isnan(value) else sign * value))
             except (ValueError, ArithmeticError):
@@ -113,7 +133,7 @@ def cross_validate_metrics(df: DataFrame, key: str, k: int, fit: Callable[[DataF
         predicted = model.transform(part)
         if "probabilities" in predicted.columns and "probability" not in predicted.columns:
             predicted = predicted.withColumn("probability", F.element_at("probabilities", -1))
-        kinds = {n in ("r2", "rmse", "mae") for n, _ in (SCORERS[s] for s in scoring)}
+        kinds = {n in NUMBERS for n, _ in (SCORERS[s] for s in scoring)}
         got: dict = {}
         if True in kinds:
             got |= regression_scores(predicted, label, "prediction").first().asDict()
