@@ -423,6 +423,27 @@ def lasso_classifier_fit(df):
     return m.transform(df).select("k", "probability")
 
 
+def _stream_moments(spark, sf_dir):
+    """Exact moments of daily windows, as a stream holds them, over the events."""
+    from lacuna.streaming.pattern_stream import moments_of, windowed_moments
+
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.when(F.col("event_id") % 12 >= 1, F.col("value").cast("double")).alias("y"), F.when(F.col("event_id") % 10 >= 1, F.col("user_id").cast("double")).alias("u"))
+    ends = {"y": (0.0, 997.0), "u": (0.0, 1303.0)}
+    rows = []
+    for start, p in moments_of(windowed_moments(t, ["y", "u"], ends), ["y", "u"], ends).items():
+        for m, b in p.blocks.items():
+            rows.append((start, m, b.n, *(round(float(v), 5) + 0.0 for v in ((b.s[0], b.q[0, -1]) if len(b.obs) else (0.0, 0.0)))))
+    return spark.createDataFrame(rows, "start timestamp, pattern string, n double, s double, q double")
+
+
+_raw("stream_moments", _stream_moments, """
+WITH e AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, CASE WHEN event_id % 12 >= 1 THEN (CAST(value AS DOUBLE) - 498.5::DOUBLE) / 498.5::DOUBLE END AS y, CASE WHEN event_id % 10 >= 1 THEN (CAST(user_id AS DOUBLE) - 651.5::DOUBLE) / 651.5::DOUBLE END AS u FROM events)
+SELECT start, concat(CASE WHEN y IS NULL THEN '1' ELSE '0' END, CASE WHEN u IS NULL THEN '1' ELSE '0' END) AS pattern, CAST(count(*) AS DOUBLE) AS n,
+  round(CASE WHEN count(y) > 0 THEN sum(y) WHEN count(u) > 0 THEN sum(u) ELSE 0 END, 5) AS s,
+  round(CASE WHEN count(y) > 0 AND count(u) > 0 THEN sum(y * u) WHEN count(y) > 0 THEN sum(y * y) WHEN count(u) > 0 THEN sum(u * u) ELSE 0 END, 5) AS q
+FROM e GROUP BY 1, 2""")
+
+
 def _nation_kernel(task):
     def run(spark, sf_dir):
         from lacuna.operators import kernels, process
