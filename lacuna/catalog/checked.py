@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.catalog.diagnose import ORACLES, QUERIES, query
 from lacuna.functions import checks
 from lacuna.functions.numerics import MIDDLE, TAIL, gauss_hermite
-from lacuna.operators import advise, arms, auto, bayes, copula, explain, glmm, kernels, linear, logistic, resampling
+from lacuna.operators import advise, arms, auto, bayes, copula, ensemble, explain, glmm, kernels, linear, logistic, resampling, sensitivity
 from lacuna.operators.auto import Estimator
 from lacuna.plans import gaussian
 from lacuna.plans.patterns import collect, collect_weighted
@@ -422,3 +422,86 @@ def cv_metrics_by_group(df):
     return resampling.cross_validate_metrics(df, "k", 3, lambda d: Estimator("bayes").fit(d, ["x1", "x2"], "y"), "y", ("r2", "neg_mean_absolute_error"), group="g").select("fold", "metric", "test")
 
 
+
+
+# Two given imputations of the outcome, and least squares of it under 25 shifts of the missing ones, pooled.
+SWEEP = """
+WITH z AS (SELECT i, x1 AS x, coalesce(y, 900 + 20 * i + 9 * (x1 % 7) + k % 5) AS y, CASE WHEN y IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM {v}, range(1, 3) t(i) WHERE x1 IS NOT NULL),
+c AS (SELECT i, count(*) AS n, var_pop(x) AS vx, covar_pop(x, y) AS xy, covar_pop(x, r) AS xr, var_pop(y) AS vy, covar_pop(y, r) AS yr, var_pop(r) AS vr FROM z GROUP BY i),
+d AS (SELECT d / 4.0::DOUBLE AS delta_std, d / 4.0::DOUBLE * (SELECT stddev_samp(y) FROM {v}) AS s FROM range(-12, 13) t(d)),
+f AS (SELECT delta_std, (xy + s * xr) / vx AS b, (vy + 2 * s * yr + s * s * vr - pow(xy + s * xr, 2) / vx) / (vx * (n - 2)) AS v FROM c, d),
+w AS (SELECT delta_std, avg(b) AS coef, sqrt(avg(v) + 1.5 * var_samp(b)) AS se FROM f GROUP BY delta_std)
+"""
+
+
+def _swept(df):
+    done = df.filter("x1 IS NOT NULL").withColumn("imputation", F.explode(F.array(F.lit(1), F.lit(2))))
+    done = done.withColumn("r", F.col("y").isNull().cast("double")).withColumn("y", F.coalesce("y", F.lit(900.0) + 20 * F.col("imputation") + 9 * (F.col("x1") % 7) + F.col("k") % 5))
+    sd = df.agg(F.stddev_samp("y")).first()[0]
+    return sensitivity.linear_cells(done, ["x1"], "y", "r", np.linspace(-3, 3, 25) * sd).curve(df.sparkSession, sd)
+
+
+@query("m_part", SWEEP + "SELECT 'x1' AS feature, delta_std, round(coef, 6) AS coef, round(se, 6) AS se FROM w")
+def sensitivity_given_imputations(df):
+    """Least squares of all shifts and two imputations from one aggregation."""
+    return _swept(df).select("feature", "delta_std", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"))
+
+
+@query("m_part", SWEEP + """, o AS (SELECT coef AS c0, se AS s0 FROM w WHERE delta_std = 0),
+t AS (SELECT min(c0) AS coef, min(coef) AS least, max(coef) AS greatest, min(abs(delta_std)) FILTER (sign(coef - 0.02) <> sign(c0 - 0.02)) AS sign_tip,
+  min(abs(delta_std)) FILTER ((abs(coef - 0.02) <= 1.959963984540054 * se) <> (abs(c0 - 0.02) <= 1.959963984540054 * s0)) AS interval_tip FROM w, o)
+SELECT 'x1' AS feature, round(coef, 6) AS coef, round(least, 6) AS least, round(greatest, 6) AS greatest, sign_tip, interval_tip,
+  CASE WHEN sign_tip IS NULL OR sign_tip >= 1 THEN 'ROBUST' WHEN sign_tip >= 0.5 THEN 'MILD' ELSE 'SENSITIVE' END AS verdict FROM t""")
+def sensitivity_tipping(df):
+    """Where the coefficient of that sweep changes sides of 0.02, and where its interval starts or ceases to hold it."""
+    t = ensemble.sensitivity_summary(_swept(df), 0.02)
+    return t.select("feature", *[F.round(c, 6).alias(c) for c in ("coef", "least", "greatest")], "sign_tip", "interval_tip", "verdict")
+
+
+CELLS = [-2.0, 0.0, 1.5]
+
+
+def _cells_newton(steps):
+    """Newton's method for the logistic regressions of all cells (imputation i, shift d), on one standardised column with a ridge of 0.01."""
+    parts = ["c AS (SELECT i, coalesce(x1, 10 + 2 * i) AS x, CASE WHEN y > 4000 THEN 1 WHEN y IS NOT NULL THEN 0 END AS b, (k % 13 - 6) / 3.0::DOUBLE - 0.1::DOUBLE * i AS t FROM {v}, range(1, 3) u(i))"]
+    parts.append(f"z AS MATERIALIZED (SELECT i, d, (x - (SELECT avg(x) FROM c)) / (SELECT stddev_samp(x) FROM c) AS x, coalesce(b, CASE WHEN t < d THEN 1 ELSE 0 END) AS y FROM c, (SELECT unnest({CELLS})::DOUBLE AS d))")
+    parts.append("b0 AS (SELECT DISTINCT i, d, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM z)")
+    for k in range(steps):
+        parts.append(f"""s{k} AS (SELECT i, d, a, b, sum(y - p) AS g0, sum((y - p) * x) - 0.01 * b AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 0.01 AS h11
+  FROM (SELECT z.i, z.d, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM z JOIN b{k} ON z.i = b{k}.i AND z.d = b{k}.d) GROUP BY i, d, a, b),
+b{k + 1} AS MATERIALIZED (SELECT i, d, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s{k})""")
+    return ", ".join(parts)
+
+
+@query("m_customer", f"WITH {_cells_newton(8)} SELECT i::INT AS imputation, d AS shift, round(a - b * (SELECT avg(x) / stddev_samp(x) FROM c), 4) AS intercept, round(b / (SELECT stddev_samp(x) FROM c), 5) AS slope FROM b8")
+def sensitivity_logistic_cells(df):
+    """Logistic fits of two given imputations and three shifts, all cells together, to convergence."""
+    done = df.withColumn("imputation", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("x1", F.coalesce("x1", 10.0 + 2 * F.col("imputation")))
+    done = done.withColumn("b", F.when(F.col("y").isNotNull(), (F.col("y") > 4000).cast("int"))).withColumn("t", F.when(F.col("b").isNull(), (F.col("k") % 13 - 6) / F.lit(3.0) - 0.1 * F.col("imputation")))
+    cells = sensitivity.logistic_cells(done, ["x1"], "b", "t", CELLS)
+    rows = [(i + 1, s, round(float(cells.coef[i, k, 0]), 4) + 0.0, round(float(cells.coef[i, k, 1]), 5) + 0.0) for i in range(2) for k, s in enumerate(CELLS)]
+    return df.sparkSession.createDataFrame(rows, "imputation int, shift double, intercept double, slope double")
+
+
+@query("m_orders", """
+WITH z AS (SELECT i, g, x1 AS x, CASE WHEN k % 6 > 0 THEN y_grp ELSE 3 + i + CASE WHEN k % 4 > 1 THEN 0.5 ELSE 0 END END + d * CASE WHEN k % 6 > 0 THEN 0 ELSE 1 END AS y, d FROM {v}, range(1, 3) t(i), (SELECT unnest([-1.0, 0.0, 2.0])::DOUBLE AS d) WHERE x1 IS NOT NULL),
+g AS (SELECT i, d, g, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM z GROUP BY i, d, g),
+q AS (SELECT i, d, sum(n) AS rows, sum(n - w * n * n) AS n, sum(x - w * n * x) AS x, sum(y - w * n * y) AS y, sum(xx - w * x * x) AS xx, sum(xy - w * x * y) AS xy, sum(yy - w * y * y) AS yy, sum(ln(1 + 0.7 * n)) AS l
+  FROM (SELECT *, 0.7 / (1 + 0.7 * n) AS w FROM g) GROUP BY i, d),
+b AS (SELECT *, (xy * n - x * y) / (xx * n - x * x) AS slope FROM q)
+SELECT i::INT AS imputation, d AS shift, round(slope, 8) AS slope, round((y - slope * x) / n, 5) AS intercept, round((yy - slope * xy - (y - slope * x) / n * y) / rows, 5) AS sigma2, round(l, 3) AS logdet FROM b""")
+def sensitivity_mixed_at_ratio(df):
+    """Random-intercept regressions of two given imputations and three shifts at a given ratio of the variances, from one job."""
+    done = df.filter("x1 IS NOT NULL").withColumn("imputation", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("r", (F.col("k") % 6 == 0).cast("double"))
+    done = done.withColumn("y", F.when(F.col("r") == 0, F.col("y_grp")).otherwise(3 + F.col("imputation") + F.when(F.col("k") % 4 > 1, 0.5).otherwise(0.0)))
+    shifts = [-1.0, 0.0, 2.0]
+    cells = sensitivity.MixedCells(done, ["x1"], "y", "r", "g", shifts)
+    sums = cells.sums({i: np.array([0.7]) for i in cells.order})
+    rows = []
+    for i in cells.order:
+        for k, s in enumerate(shifts):
+            _, _, theta, _, s2 = cells.at(i, k, 0.7, sums[i][0])
+            slope = theta[1] * cells.scale[1] / cells.scale[0]
+            rows.append((i, s, round(float(slope), 8), round(float(cells.center[1] + theta[0] * cells.scale[1] - slope * cells.center[0]), 5), round(float(s2 * cells.scale[1] ** 2), 5), round(float(sums[i][0][-2]), 3)))
+    cells.release()
+    return df.sparkSession.createDataFrame(rows, "imputation int, shift double, slope double, intercept double, sigma2 double, logdet double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.checks import check_positive_int
-from lacuna.operators import resampling, results
+from lacuna.operators import resampling, results, sensitivity
 from lacuna.operators.auto import FAMILIES, Estimator, Fitted, classes_of, task_of
 from lacuna.operators.linear import multiple_imputation, poisson_draws
 
@@ -69,35 +69,8 @@ def one_vs_rest(df: DataFrame, key: str, label: str, classes: list, fit: Callabl
 
 
 def delta_sweep(df: DataFrame, features: list[str], label: str, key: str, imputations: int = 5, deltas: int = 25, reach: float = 3.0, seed: int = 0) -> DataFrame:
-    """(feature, delta_std, coef, se): least squares with imputed outcomes shifted by delta standard deviations.
-
-    Imputed once; the shift enters linearly, so one aggregation of cross
-    products with the missing flag serves every delta.
-    """
-    flagged = df.withColumn("_r", F.col(label).isNull().cast("double"))
-    sd = df.agg(F.stddev_samp(label)).first()[0] or 1.0
-    done = multiple_imputation(flagged, [*features, label], key, imputations, seed)
-    columns = [F.lit(1.0), *[F.col(c) for c in features], F.col(label), F.col("_r")]
-    w = len(columns)
-    aggs = [F.sum(columns[i] * columns[j]).alias(f"q{i}_{j}") for i in range(w) for j in range(i, w)]
-    curve: dict = {}
-    for row in done.groupBy("imputation").agg(*aggs).collect():
-        q = np.array([[row[f"q{min(i, j)}_{max(i, j)}"] for j in range(w)] for i in range(w)], float)
-        p, n = w - 2, q[0, 0]
-        inverse = np.linalg.pinv(q[:p, :p])
-        for d in np.linspace(-reach, reach, deltas):
-            s = d * sd
-            xy = q[:p, p] + s * q[:p, p + 1]
-            yy = q[p, p] + 2 * s * q[p, p + 1] + s * s * q[p + 1, p + 1]
-            beta = inverse @ xy
-            s2 = max(0.0, yy - beta @ xy) / max(1.0, n - p)
-            for j, c in enumerate(features):
-                curve.setdefault((c, round(float(d), 10)), []).append((float(beta[j + 1]), float(s2 * inverse[j + 1, j + 1])))
-    rows = []
-    for (c, d), values in sorted(curve.items()):
-        b, v = np.array(values).T
-        rows.append((c, d, float(b.mean()), float(np.sqrt(v.mean() + (1 + 1 / len(b)) * (b.var(ddof=1) if len(b) > 1 else 0.0)))))
-    return df.sparkSession.createDataFrame(rows, "feature string, delta_std double, coef double, se double")
+    """(feature, delta_std, coef, se): least squares with imputed outcomes shifted by delta standard deviations (``sensitivity.sweep`` takes any family)."""
+    return sensitivity.sweep(df, features, label, key, "linear", None, imputations, deltas, reach, seed)
 
 
 def feature_subset(features: list[str], share: float, member: int, seed: int = 0) -> list[str]:

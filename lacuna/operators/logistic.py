@@ -192,7 +192,7 @@ def score_many(packed: DataFrame, seen, thetas: np.ndarray, left_out: np.ndarray
     return total[:, 0], total[:, 1 : width + 2], total[:, width + 2 :].reshape(count, width + 1, width + 1)
 
 
-def _direction(theta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: float) -> np.ndarray:
+def direction(theta: np.ndarray, g: np.ndarray, h: np.ndarray, l1: float) -> np.ndarray:
     """The step to the least of the quadratic model g, h (of what is minimised) plus the lasso of the coefficients, by coordinate descent where there is one."""
     low, vectors = np.linalg.eigh((h + h.T) / 2)
     h = (vectors * np.maximum(low, 1e-8 * max(1.0, float(np.abs(low).max(initial=0.0))))) @ vectors.T
@@ -224,8 +224,12 @@ class Path:
     steps: int = 0
 
 
-def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 60, tol: float = 1e-14) -> int:
-    """Fits all paths together by proximal Newton steps with halving; returns the number of jobs."""
+def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 60, tol: float = 1e-14, only: bool = False, linear: np.ndarray | None = None) -> int:
+    """Fits all paths together by proximal Newton steps with halving; returns the number of jobs.
+
+    With ``only`` a path takes the rows of its fold alone; ``linear`` adds a linear
+    function of the parameters to each path's log-likelihood.
+    """
     folds = np.array([p.fold for p in paths])
     for p in paths:
         p.theta = np.zeros(width + 1)
@@ -237,11 +241,13 @@ def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 6
         part = np.array([folds[i] for i in live])
         own = seen.value
         some = _Some([own[i] for i in live]) if len(live) < len(paths) else None
-        values, grads, hessians = score_many(packed, some or seen, np.array([trial[i] for i in live]), part)
+        values, grads, hessians = score_many(packed, some or seen, np.array([trial[i] for i in live]), part, only)
         jobs += 1
         still = []
         for i, value, g, h in zip(live, values, grads, hessians, strict=True):
             p = paths[i]
+            if linear is not None:
+                value, g = value + linear[i] @ trial[i], g + linear[i]
             beta = trial[i][1:]
             loss = float(-value + 0.5 * p.l2 * beta @ beta + p.l1 * np.abs(beta).sum())
             g, h = -g, -h
@@ -255,7 +261,7 @@ def solve(packed: DataFrame, seen, paths: list[Path], width: int, steps: int = 6
                     still.append(i)
                     continue
             p.theta, p.loss, p.hessian, p.steps = trial[i], loss, h, p.steps + 1
-            d = _direction(p.theta, g, h, p.l1)
+            d = direction(p.theta, g, h, p.l1)
             gain = float(g @ d + p.l1 * (np.abs(p.theta[1:] + d[1:]).sum() - np.abs(p.theta[1:]).sum()))
             if -gain > tol * (1 + abs(loss)):
                 state[i] = d, gain, 1.0
