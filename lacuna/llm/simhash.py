@@ -28,13 +28,14 @@ from itertools import combinations, count
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lacuna.llm.components import components
-from lacuna.llm.shared import materialise, small_batches, sweep, tidied
+from lacuna.llm.shared import bucketed, discard, materialise, small_batches, sweep, tidied
 
 SEED = 42
 #: More distinct fingerprints of one pattern under a mask are dealt once more.
@@ -295,76 +296,6 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64))
 
 
-class Counts:
-    """A count-min sketch of all texts' shingles: two rows of counters, the smaller one counts.
-
-    It has one size whatever the corpus.  Counts order the shingles; any order
-    gives the same result, a better one less work.
-    """
-
-    BITS = 22
-    CHUNKS = 64
-
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
-
-    @classmethod
-    def places(cls, hashes: np.ndarray, row: int) -> np.ndarray:
-        return ((hashes >> np.uint64(row * cls.BITS)) & np.uint64((1 << cls.BITS) - 1)).astype(np.int64)
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        return np.minimum(self.rows[0][self.places(hashes, 0)], self.rows[1][self.places(hashes, 1)])
-
-
-def _tally(size: int):
-    """Counts a partition's shingle sets; yields the counters in packed chunks, each at most 2 ** 16 - 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << Counts.BITS), np.uint16)
-        held, n = [], 0
-
-        def add() -> None:
-            hashes = np.concatenate(held)
-            for row in (0, 1):
-                at, count = np.unique(Counts.places(hashes, row), return_counts=True)
-                total[row, at] = np.minimum(total[row, at] + count, 0xFFFF)
-
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                held.append(shingle_set(text.as_py(), size))
-                n += len(held[-1])
-                if n > 1 << 18:
-                    add()
-                    held, n = [], 0
-        if held:
-            add()
-        if total.any():
-            parts = total.reshape(Counts.CHUNKS, -1)
-            for k, part in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
-
-    return run
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint16)
-
-
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(_unpacked(x.as_py()).astype(np.uint32) for x in table.column("counts"))
-    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)], pa.binary())})
-
-
-def count_shingles(docs: DataFrame, size: int) -> Counts:
-    """The sketch of all texts of ``docs``; its counters, 16 MB in all, come to the driver packed."""
-    tallies = docs.select("text").mapInArrow(tidied(_tally(size)), "chunk int, counts binary")
-    rows = tallies.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()
-    total = np.zeros((Counts.CHUNKS, (2 << Counts.BITS) // Counts.CHUNKS), np.uint16)
-    for r in rows:
-        total[r["chunk"]] = _unpacked(r["counts"])
-    return Counts(total.reshape(2, -1))
-
-
 def prefix(hashes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, so many that any two sets of at least ``similarity`` share one of theirs.
 
@@ -382,20 +313,18 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def _sketches(size: int, similarity: float, counts):
-    """Of each text: a name of its words, the fingerprint and size of its shingle set, and the set's rarest shingles."""
+def _sketches(size: int):
+    """Of each text a name of its words and the fingerprint of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order: Counts = counts.value
         for whole in batches:
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 w = [xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in texts]
                 sets = [shingle_set(x, size) for x in texts]
-                first = [prefix(x, similarity, order.of(x)).view(np.int64) for x in sets]
-                columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([_majority(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "fp", "n", "first"])
+                columns = [batch.column("doc_id"), pa.array(w, pa.binary()), pa.array([_majority(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "w", "fp"])
 
     return run
 
@@ -469,65 +398,126 @@ def _minus(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias("_minus")), F.col(column) == F.col("_minus"), "left_anti")
 
 
-#: Hashes of a range, whose repeats one task finds; ranges at most; hashes that a task gathers before it hands them on.
-RANGE_HASHES = 2_000_000
+#: Hashes of the texts whose shingles are counted together first (a chunk); of a range, which one task counts; of a bucket of chunks; and ranges at most.
+CHUNK_HASHES = 1 << 17
+RANGE_HASHES = 1_000_000
+BUCKET_HASHES = 4_000_000
 MAX_RANGES = 1 << 16
-GATHERED = 2_000_000
 #: A range's hashes travel as so many bytes each; what stands below them does not (two hashes may then seem one, which only costs work).
 PACKED_BYTES = 5
+#: Counts that reach so far are not told apart; they order shingles that are none of the rare ones.
+MOST = 255
 
 
-def _by_range(bits: int):
-    """The hashes of lists, packed by their ``bits`` highest bits: (range, hashes), a row for each range of a task."""
+def _chunked(size: int):
+    """The shingle sets of a task's texts, some ``CHUNK_HASHES`` hashes to a row, text after text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        made = TaskContext.get().partitionId() << 32
+        ids, sets, held = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            own = pa.concat_arrays(ids)
+            columns = [pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([[len(x) for x in sets]], pa.list_(pa.int32())), pa.array([[_majority(x) for x in sets]], pa.list_(pa.int64())), pa.array([np.concatenate(sets).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "n", "fp", "hashes"])
+
+        for batch in batches:
+            begun = 0
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                sets.append(shingle_set(text.as_py(), size))
+                held += len(sets[-1])
+                if held >= CHUNK_HASHES:
+                    ids.append(batch.column("doc_id").slice(begun, i + 1 - begun))
+                    yield row()
+                    made, ids, sets, held, begun = made + 1, [], [], 0, i + 1
+            if begun < batch.num_rows:
+                ids.append(batch.column("doc_id").slice(begun))
+        if sets:
+            yield row()
 
-        def handed() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held))
-            top = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-            low = np.ascontiguousarray(((x << np.uint64(bits)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED_BYTES])
-            cuts = np.flatnonzero(np.diff(top)) + 1
-            first = np.concatenate([[0], cuts])
-            return pa.RecordBatch.from_arrays([pa.array(top[first], pa.int64()), pa.array([v.tobytes() for v in np.split(low, cuts)], pa.binary())], ["range", "hashes"])
+    return run
+
+
+def _dealt(bits: int):
+    """A chunk's distinct hashes by their ``bits`` highest bits, the others packed, with how often the chunk has each: (range, chunk, hashes, counts)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("first").flatten().to_numpy().view(np.uint64)
-            held.append(own)
-            n += len(own)
-            if n >= GATHERED:
-                yield handed()
-                held, n = [], 0
-        if n:
-            yield handed()
+            for chunk, blob in zip(batch.column("chunk"), batch.column("hashes"), strict=True):
+                x, times = np.unique(np.frombuffer(blob.as_py(), np.uint64), return_counts=True)
+                if not len(x):
+                    continue
+                top = (x >> np.uint64(64 - bits)).astype(np.int64)
+                low = np.ascontiguousarray(((x << np.uint64(bits)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED_BYTES])
+                cuts = np.flatnonzero(np.diff(top)) + 1
+                first = np.concatenate([[0], cuts])
+                times = np.minimum(times, MOST).astype(np.uint8)
+                columns = [pa.array(top[first], pa.int64()), pa.array([chunk.as_py()] * len(first), pa.int64()), pa.array([v.tobytes() for v in np.split(low, cuts)], pa.binary()), pa.array([zlib.compress(v.tobytes(), 1) for v in np.split(times, cuts)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "hashes", "counts"])
 
     return run
 
 
-def _twice(bits: int):
-    """Of a range's packed hashes those that stand there more than once, as the highest bits of their numbers."""
+def _counted(table: pa.Table) -> pa.Table:
+    """A range's rows with the counts over all chunks in place of their own, in the same order."""
+    rows = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, PACKED_BYTES) for x in table.column("hashes")]
+    times = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in table.column("counts")])
+    whole = np.zeros((len(times), 8), np.uint8)
+    whole[:, :PACKED_BYTES] = np.concatenate(rows)
+    _, at = np.unique(whole.reshape(-1).view("<u8"), return_inverse=True)
+    total = np.minimum(np.bincount(at, weights=times), MOST).astype(np.uint8)[at]
+    parts = np.split(total, np.cumsum([len(x) for x in rows])[:-1])
+    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "counts": pa.array([zlib.compress(v.tobytes(), 1) for v in parts], pa.binary())})
+
 
-    def run(table: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(x.as_py() for x in table.column("hashes")), np.uint8).reshape(-1, PACKED_BYTES)
-        whole = np.zeros((len(low), 8), np.uint8)
-        whole[:, :PACKED_BYTES] = low
-        x = np.sort(whole.reshape(-1).view("<u8"))
-        again = np.unique(x[1:][x[1:] == x[:-1]])
-        return pa.table({"x": pa.array((np.uint64(table.column("range")[0].as_py() << 8 * PACKED_BYTES) | again).view(np.int64))})
+def _first(similarity: float):
+    """Of chunks with the counts of their hashes (by range) the prefix of each text, without the shingles that no other text has: (id, n, fp, pos, x)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, prints, blob, counts = (batch.column(c)[k] for c in ("ids", "n", "fp", "hashes", "counts"))
+                hashes = np.frombuffer(blob.as_py(), np.uint64)
+                of = np.concatenate([np.frombuffer(zlib.decompress(c["counts"].as_py()), np.uint8) for c in counts])
+                own = of[np.unique(hashes, return_inverse=True)[1]]
+                sizes, stop = np.array(sizes.as_py()), np.cumsum(sizes.as_py())
+                at, pos, x = [], [], []
+                for i, (b, n) in enumerate(zip(stop, sizes, strict=True)):
+                    mine, seen = hashes[b - n : b], own[b - n : b]
+                    rare = prefix(mine, similarity, seen)
+                    places = np.flatnonzero(seen[np.searchsorted(mine, rare)] > 1)
+                    at.append(np.full(len(places), i))
+                    pos.append(places)
+                    x.append(rare[places].view(np.int64))
+                at = np.concatenate(at)
+                columns = [ids.values.take(pa.array(at, pa.int64())), pa.array(sizes[at], pa.int32()), prints.values.take(pa.array(at, pa.int64())), pa.array(np.concatenate(pos), pa.int32()), pa.array(np.concatenate(x), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp", "pos", "x"])
 
     return run
 
 
-def _repeated(lists: DataFrame) -> tuple[DataFrame, int]:
-    """(x, shift): the hashes that stand in more than one list ``first``, without their lowest ``shift`` bits.
+def postings(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, n, fp, pos, x): the shingles of each text's prefix that another text has too; n and fp are the set's size and fingerprint.
 
-    Five bytes a hash are shuffled, however many hashes there are, and only
-    repeats become rows.
+    A text's prefix are its rarest shingles, by their exact count over all texts
+    (beyond ``MOST`` by hash).  The sets are written once in chunks; a chunk's
+    distinct hashes are dealt by range, five bytes each, counted there, and the
+    counts, mostly ones and so nothing when packed, come back to the chunks, which
+    lie in buckets and do not move.  Nothing grows with the corpus but the number
+    of chunks and ranges, and a shingle that all texts have is one number a chunk.
     """
-    total = lists.select(F.sum(F.size("first"))).first()[0] or 0
-    bits = min(MAX_RANGES, max(16, math.ceil(total / RANGE_HASHES))).bit_length()
-    found = lists.select("first").mapInArrow(tidied(_by_range(bits)), "range long, hashes binary").groupBy("range").applyInArrow(_twice(bits), "x long")
-    return materialise(found), 64 - bits - 8 * PACKED_BYTES
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    total = docs.select(F.sum(F.length("text"))).first()[0] or 0  # about six characters a word, and a shingle a word
+    ranges, buckets = (max(1, math.ceil(total / 6 / part)) for part in (RANGE_HASHES, BUCKET_HASHES))
+    bits = min(MAX_RANGES, max(16, ranges)).bit_length()
+    name, chunks = bucketed(docs.select("doc_id", "text").mapInArrow(tidied(_chunked(size)), f"chunk long, ids array<{kind}>, n array<int>, fp array<long>, hashes binary"), "chunk", buckets)
+    dealt = chunks.select("chunk", "hashes").mapInArrow(tidied(_dealt(bits)), "range long, chunk long, hashes binary, counts binary")
+    counted = dealt.groupBy("range").applyInArrow(_counted, "chunk long, range long, counts binary")
+    answers = counted.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("counts"))
+    answers = answers.select("chunk", F.transform("counts", lambda c: F.struct(c["counts"].alias("counts"))).alias("counts"))
+    found = materialise(chunks.join(answers.hint("shuffle_hash"), "chunk").mapInArrow(tidied(_first(similarity)), f"id {kind}, n int, fp long, pos int, x long"))
+    discard(name)
+    return found
 
 
 def _shared(posts: DataFrame) -> DataFrame:
@@ -560,8 +550,7 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, far: int
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, size))
-    prints = materialise(docs.mapInArrow(tidied(_sketches(size, similarity, counts)), f"doc_id {kind}, w binary, fp long, n int, first array<long>"))
+    prints = materialise(docs.mapInArrow(tidied(_sketches(size)), f"doc_id {kind}, w binary, fp long"))
     texts = materialise(prints.groupBy("w").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
     copies = prints.select("doc_id", F.col("w").alias("_w")).join(texts.select("w", "least"), (F.col("w") == F.col("_w")) & (F.col("doc_id") != F.col("least")))
     gone = [materialise(copies.select("doc_id"))]
@@ -574,12 +563,9 @@ def duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, far: int
 
     sweep(docs.sparkSession)
 
-    left = _minus(texts.select(F.col("least").alias("id")), "id", gone[1]).withColumnRenamed("id", "_id")
-    lists = prints.join(left, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "fp", "first")
-    several, shift = _repeated(lists)
+    left = materialise(_minus(texts.select(F.col("least").alias("id")), "id", gone[1]))
+    posts = postings(_listed(docs, "doc_id", left, "left_semi"), size, similarity)
     sweep(docs.sparkSession)
-    posts = lists.select("id", "n", "fp", F.posexplode("first").alias("pos", "x")).withColumn("_t", F.shiftrightunsigned("x", shift))
-    posts = materialise(_listed(posts, "_t", several, "left_semi", BROADCAST_SHINGLES).drop("_t"))
     # lists mostly hold copies of their least text: where that leads all its own lists it stays, and what resembles it goes
     least = posts.groupBy(F.col("x").alias("_x")).agg(F.min("id").alias("a"))
     heads = materialise(posts.join(least, (F.col("x") == F.col("_x")) & (F.col("id") == F.col("a")), "left_semi"))

@@ -102,17 +102,24 @@ def test_links_come_from_the_index_and_it_prunes(monkeypatch):
     assert not any(out.num_rows for out in simhash._linker(2, masks)(iter(batches)))
 
 
-def test_counts_cover_all_texts_and_never_fall_short(spark):
-    texts = [f"w{i % 7} w{i % 5} w{i % 3} common words here w{i}" for i in range(300)]
-    counts = simhash.count_shingles(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(5), 5)
+@pytest.mark.parametrize("chunk", [simhash.CHUNK_HASHES, 50])
+def test_postings_are_the_prefixes_by_exact_counts(spark, monkeypatch, chunk):
+    """Whatever the chunks: a text's rarest shingles, less those that no other text has."""
+    monkeypatch.setattr(simhash, "CHUNK_HASHES", chunk)
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} common words here w{i // 3} w{i // 2} w{i // 3} end of it" for i in range(300)] + [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = {i: simhash.shingle_set((t or "").encode(), 5) for i, t in enumerate(texts)}
     true: dict = {}
-    for t in texts:
-        for h in simhash.shingle_set(t.encode(), 5).tolist():
+    for own in sets.values():
+        for h in own.tolist():
             true[h] = true.get(h, 0) + 1
-    hashes = np.array(list(true), np.uint64)
-    got = counts.of(hashes)
-    assert (got >= np.array(list(true.values()))).all() and (got == np.array(list(true.values()))).mean() > 0.99
-    assert not simhash.count_shingles(spark.createDataFrame([], "text string"), 5).rows.any()
+    want = set()
+    for i, own in sets.items():
+        counts = np.array([min(true[h], simhash.MOST) for h in own.tolist()], np.int64)
+        want |= {(i, len(own), simhash._majority(own), pos, h) for pos, h in enumerate(simhash.prefix(own, 0.8, counts).view(np.int64).tolist()) if true[h & (1 << 64) - 1] > 1}
+    got = [tuple(r) for r in simhash.postings(df, 5, 0.8).select("id", "n", "fp", "pos", "x").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert simhash.postings(df.limit(0), 5, 0.8).collect() == []
 
 
 def test_edges_of_input(spark):
@@ -137,19 +144,3 @@ def test_no_text_is_lost_under_a_repeated_id(spark):
         assert [g for g in got if g[0] not in (7,)] == [(0, copy, "z"), (0, copy, "z"), (1, copy, "b"), (5, rows[2][1], "a")]
         assert len([g for g in got if g[0] == 7]) == 1  # null and empty are copies
     assert simhash.dedup_documents(df).columns == df.columns
-
-
-def test_repeated_hashes_are_found_packed(spark, monkeypatch):
-    rng = np.random.default_rng(11)
-    pool = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
-    lists = [sorted({int(v) for v in rng.choice(pool, 40)}) for _ in range(150)]
-    seen: dict = {}
-    for x in lists:
-        for v in x:
-            seen[v] = seen.get(v, 0) + 1
-    df = spark.createDataFrame([(x,) for x in lists] + [([],)], "first array<long>").repartition(6)
-    for gathered in (simhash.GATHERED, 100):
-        monkeypatch.setattr(simhash, "GATHERED", gathered)
-        found, shift = simhash._repeated(df)
-        assert {r.x for r in found.collect()} == {(v & (1 << 64) - 1) >> shift for v, n in seen.items() if n > 1}
-    assert simhash._repeated(df.limit(0))[0].collect() == []
