@@ -13,7 +13,7 @@ from lacuna.llm.shared import table
 URL_RULES = {
     "com/en/": "block",
     "example.com/en/7": "allow",
-    "net/de/": "block",
+    "net/de/": "allow",
     "example.net/de/8": "block",
     "org/es/": "block",
 }

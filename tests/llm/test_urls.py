@@ -38,6 +38,11 @@ def test_query_follows_the_rules_and_the_trees(spark):
     assert len(seen) > 3
 
 
+def test_the_contract_s_rules():
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert queries.URL_RULES == {rule: word for word, rule in (r.split(" ") for r in contract.split(", "))}
+
+
 def test_odd_urls_and_learning(spark):
     good = [f"https://{w}.example.com/en/{i}" for i, w in enumerate(["thing", "blog.river", "m.stone", "garden"] * 20)]
     bad = [f"http://{w}-{w}.example.org/{i}?a={i}&b=1" for i, w in enumerate(["casino", "pills", "spam", "bets"] * 20)]
