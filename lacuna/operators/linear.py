@@ -123,6 +123,19 @@ def objective(blocks: list[tuple[float, np.ndarray, np.ndarray]], theta: np.ndar
     return value, grad
 
 
+def _sharpened(gradient, theta: np.ndarray, steps: int = 8, eps: float = 1e-5) -> np.ndarray:
+    """Newton steps on the gradient while it shrinks: it still has digits where the value of many rows has none left."""
+    grad = gradient(theta)
+    for _ in range(steps):
+        h = np.stack([(gradient(theta + e) - gradient(theta - e)) / (2 * eps) for e in eps * np.eye(len(theta))])
+        trial = theta - np.linalg.pinv((h + h.T) / 2, hermitian=True) @ grad
+        new = gradient(trial)
+        if not np.abs(new).max() < np.abs(grad).max():
+            break
+        theta, grad = trial, new
+    return theta
+
+
 def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: float = 0.0, compute_se: bool = True, patterns: Patterns | None = None) -> LinearModel:
     """Full-information fit: moments of (features, label) by EM, then the (penalised) likelihood of the label.
 
@@ -144,7 +157,7 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: flo
     if not l1 and not l2 and prof[label]["n"] <= width + 1:
         raise ValueError(f"{prof[label]['n']} labelled rows cannot identify {width + 1} parameters; use a penalty")
     p = patterns or collect(df, [*keep, label], prof=prof)
-    m = gaussian.em(p, 500, 1e-10, 1e-8 if not (l1 or l2) else 1e-6)
+    m = gaussian.em(p, 500, 1e-10, 1e-8 if not (l1 or l2) else 1e-6, settle=not (l1 or l2))
     mu, sigma = m.mu[:-1], m.sigma[:-1, :-1]
     blocks = label_blocks(p, mu, sigma)
     start = np.zeros(width + 2)
@@ -165,6 +178,7 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: flo
         theta = np.concatenate([t[:1], t[1 : width + 1] - t[width + 1 : -1], t[-1:]])
     else:
         theta, _ = lbfgs(lambda t: objective(blocks, t, l2), start, 300, 1e-8)
+        theta = _sharpened(lambda t: objective(blocks, t, l2)[1], theta)
     se: list[float | None] = [None] * (width + 2)
     if compute_se:
         # with a lasso: the coefficients that are not 0 move as the smooth part has it, where the penalty is linear; the others do not move
