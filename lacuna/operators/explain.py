@@ -235,7 +235,7 @@ class Explainer:
 
 
 def fit(model, df: DataFrame, features: list[str], kind: str = "auto", value=None) -> Explainer:
-    mu, sigma = gaussian.raw_moments(*gaussian.moments(df, features, 1000, 1e-12, 1e-10))
+    mu, sigma = gaussian.raw_moments(*gaussian.moments(df, features, 1000, 1e-12, 1e-10, settle=True))
     return Explainer(model, features, kind, value, baseline(model, df, features, kind, value), mu, sigma)
 
 
