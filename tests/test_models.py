@@ -255,3 +255,14 @@ def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
         assert [(r.d, r.k) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == f"k{q:02}"] == d
     with pytest.raises(ValueError, match="refused"):
         neighbors.gram(df, "k", 2, 0.1, limit=10)
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    """More rows than a broadcast side was allowed, and many small blocks."""
+    assert neighbors.paired(spark.range(5100).withColumnRenamed("id", "k"), "k").count() == 5100**2
+    monkeypatch.setattr(neighbors, "PAIR_ROWS", 7)
+    df = spark.range(61).selectExpr("id AS k", "id * 0.5D AS f0", "CASE WHEN id % 3 = 0 THEN 0.25D ELSE 0D END AS s")
+    got = {(r.a, r.b): r.k for r in neighbors.gram(df, "k", 1, 0.1).collect()}
+    s = [0.25 * (i % 3 == 0) for i in range(61)]
+    assert len(got) == 61**2
+    assert all(abs(v - (1.0 if a == b else math.exp(-0.1 * ((a - b) ** 2 / 4 + s[a] + s[b])))) < 1e-12 for (a, b), v in got.items())
