@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +37,9 @@ from lacuna.functions.exprs import mask
 MAX_PATTERNS = 20_000
 #: More columns than this are summed by matrix products.
 NARROW = 8
-#: Rows of a matrix product; bytes of arrays a task holds before it hands them on; arrays merged by one task of the tree.
+#: Rows of a matrix product; bytes of batches a task gathers so that its patterns fill such products; bytes of arrays a task holds before it hands them on; arrays merged by one task of the tree.
 SLAB_ROWS = 4096
+GATHERED_BYTES = 24 << 20
 HELD_BYTES = 64 << 20
 FAN = 64
 #: Levels of the tree; what more than FAN ** LEVELS partitions leave over is added by the driver.
@@ -77,7 +80,9 @@ class Patterns:
 
 
 def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """count, mean, sd, min and max of each column's observed values, in one job."""
+    """count, mean, sd, min and max of each column's observed values, in one job; of many columns in Arrow batches, as their aggregates would not compile."""
+    if len(columns) > NARROW:
+        return _wide_profile(df, columns)
     aggs = []
     for c in columns:
         aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"), F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}")]
@@ -85,6 +90,62 @@ def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {c: {"rows": row["rows"], "n": row[f"n_{c}"], "mean": row[f"m_{c}"], "sd": row[f"s_{c}"], "min": row[f"a_{c}"], "max": row[f"b_{c}"]} for c in columns}
 
 
+@contextmanager
+def compilable(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside run many column expressions as methods short enough for the JVM to compile (it interprets those above 8000 bytes); the setting is put back."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lines (n, mean, squares about the mean, min, max) of two disjoint sets of rows as those of both."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    gap = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    mean = np.where(a[0] > 0, a[1] + gap * share, b[1])
+    return np.stack([n, mean, a[2] + b[2] + gap * gap * a[0] * share, np.minimum(a[3], b[3]), np.maximum(a[4], b[4])])
+
+
+def _wide_profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """``profile`` by one packed array of each partition, merged in the partitions' order."""
+    width = len(columns)
+    cells = df.select(*[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = 0, np.stack([np.zeros(width), np.zeros(width), np.zeros(width), np.full(width, np.inf), np.full(width, -np.inf)])
+        for batch in batches:
+            rows += batch.num_rows
+            own = np.stack([np.zeros(width), np.zeros(width), np.zeros(width), np.full(width, np.inf), np.full(width, -np.inf)])
+            with np.errstate(invalid="ignore"):
+                for j in range(width):
+                    v = batch.column(j)
+                    v = (v.drop_null() if v.null_count else v).to_numpy()
+                    if len(v):
+                        mean = v.mean()
+                        own[:, j] = len(v), mean, np.square(v - mean).sum(), v.min(), v.max()
+                total = _merged(total, own)
+        if rows:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "rows": pa.array([rows], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    with compilable(df.sparkSession):
+        found = sorted(cells.mapInArrow(run, "part long, rows long, data binary").collect(), key=lambda r: r["part"])  # a line per partition
+    rows, total = 0, None
+    with np.errstate(invalid="ignore"):
+        for r in found:
+            own = np.frombuffer(r["data"]).reshape(5, width)
+            rows, total = rows + r["rows"], own if total is None else _merged(total, own)
+    out = {}
+    for j, c in enumerate(columns):
+        n, mean, squares, low, high = (float(x) for x in total[:, j]) if total is not None else (0.0, 0.0, 0.0, 0.0, 0.0)
+        out[c] = {"rows": rows, "n": int(n), "mean": mean if n else None, "sd": math.sqrt(squares / (n - 1)) if n > 1 else None, "min": low if n else None, "max": high if n else None}
+    return out
+
+
 def degenerate(p: dict, rtol: float = 1e-12) -> bool:
     """Fewer than two values, one value, or a spread lost in rounding."""
     if p["n"] < 2 or p["min"] == p["max"]:
@@ -123,6 +184,11 @@ def _settled(levels: list[np.ndarray], piece: int) -> tuple[np.ndarray, np.ndarr
     return levels[0] + carry, low
 
 
+@lru_cache(maxsize=256)
+def _upper(width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(width)
+
+
 def _products(z: np.ndarray, digits: Digits) -> np.ndarray:
     """The packed sums of a matrix: high and low of its column sums, then of the upper triangle of its cross products."""
     b, count = digits.piece, digits.pieces
@@ -138,7 +204,7 @@ def _products(z: np.ndarray, digits: Digits) -> np.ndarray:
         for i in range(level // 2 + 1):
             own = parts[i].T @ parts[level - i]
             total += own if 2 * i == level else own + own.T
-        levels.append(total[np.triu_indices(z.shape[1])].astype(np.int64))
+        levels.append(total[_upper(z.shape[1])].astype(np.int64))
     return np.concatenate([*s, *_settled(levels, b)])
 
 
@@ -153,6 +219,19 @@ def _carried(data: np.ndarray, width: int, digits: Digits) -> np.ndarray:
     return out
 
 
+def gathered_batches(batches: Iterator[pa.RecordBatch], most: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in fewer, larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _tallies(width: int, by: int, mid: np.ndarray, half: np.ndarray, digits: Digits):
     """Rows (by.., cells..) to packed sums by group and pattern, a few for each partition."""
 
@@ -166,7 +245,7 @@ def _tallies(width: int, by: int, mid: np.ndarray, half: np.ndarray, digits: Dig
             columns += [pa.array([k[1] for k in keys], pa.string()), pa.array([TaskContext.get().partitionId()] * len(keys), pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=[*schema.names[:by], "mask", "node", "n", "data"])
 
-        for batch in batches:
+        for batch in gathered_batches(batches):
             schema = batch.schema
             x = np.stack([batch.column(by + j).to_numpy(zero_copy_only=False).astype(float) for j in range(width)], 1)
             gone = np.isnan(x)
@@ -501,7 +580,8 @@ def collect(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), prof: d
     rows = max(prof[c]["rows"] for c in columns) if columns else 1
     wide = len(columns) > NARROW
     digits = Digits.wide(rows) if wide else Digits.narrow(rows)
-    found = _collected((wide_sums if wide else _narrow_sums)(df, columns, by, mid, half, digits), columns, by, wide)
+    with compilable(df.sparkSession) if wide else nullcontext():
+        found = _collected((wide_sums if wide else _narrow_sums)(df, columns, by, mid, half, digits), columns, by, wide)
     mean, sd = _standard(found, prof, columns, half, digits)
     if at is not None:
         mean, sd = (np.asarray(at[0], float) - mid) / half, np.asarray(at[1], float) / half

@@ -145,3 +145,28 @@ def test_wide_fit_equals_least_squares(spark):
     assert np.allclose([m.intercept, *m.coef], want, atol=1e-3)
     plan = patterns.wide_sums(df, names, (), np.zeros(61), np.ones(61), patterns.Digits.wide(400))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_the_profile_of_many_columns_is_that_of_few(spark, monkeypatch):
+    x = _gappy(300, 12)
+    x[:, 3] = np.nan
+    x[:, 4] = x[:, 4] * 1e-6 + 5e3
+    df, names = _table(spark, x, 7), [f"c{j}" for j in range(12)]
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    wide = patterns.profile(df, names)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    monkeypatch.setattr(patterns, "NARROW", 12)
+    for c, want in patterns.profile(df, names).items():
+        assert [wide[c][k] for k in ("rows", "n", "min", "max")] == [want[k] for k in ("rows", "n", "min", "max")]
+        for k in ("mean", "sd"):
+            assert wide[c][k] == want[k] or abs(wide[c][k] - want[k]) <= 1e-6 * abs(want[k])
+    assert patterns.profile(df.limit(0), names)["c0"] == {"rows": 0, "n": 0, "mean": None, "sd": None, "min": None, "max": None}
+
+
+def test_many_expressions_run_compiled(spark, monkeypatch):
+    """While sums of a wide table are collected no method is longer than the JVM compiles."""
+    seen = []
+    collected = patterns._collected
+    monkeypatch.setattr(patterns, "_collected", lambda *a: seen.append(int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))) or collected(*a))
+    patterns.collect(_table(spark, _gappy(40, 12)), [f"c{j}" for j in range(12)])
+    assert seen == [8000]
