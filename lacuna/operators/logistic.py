@@ -84,8 +84,21 @@ BLOCK_ROWS = 8192
 HELD_BYTES = 64 << 20
 
 
+def distinct(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, z, w) of the distinct rows of all parts, with their weights added."""
+    y, z, w = (np.concatenate(v) for v in zip(*parts, strict=True))
+    rows = np.column_stack([y, z])
+    order = np.lexsort(rows.T)
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
+    return rows[first, 0].copy(), rows[first, 1:].copy(), np.add.reduceat(w[order], first)
+
+
 def blocks(df: DataFrame, features: list[str], label: str, center: np.ndarray, scale: np.ndarray, fold: Column | None = None) -> DataFrame:
-    """(mask, fold, n, y, z): the labelled rows, standardised and 0 where missing, packed by pattern and fold (-2 without one)."""
+    """(mask, fold, n, y, z, w): the labelled rows, standardised and 0 where missing, packed by pattern and fold (-2 without one).
+
+    Rows of a block that are equal in all of these are one row with their number as weight w.
+    """
     rows = df.filter(F.col(label).isNotNull()).select((F.lit(-2) if fold is None else F.coalesce(fold, F.lit(-2))).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(features)])
     width = len(features)
 
@@ -94,8 +107,8 @@ def blocks(df: DataFrame, features: list[str], label: str, center: np.ndarray, s
         size = 0
 
         def packed(key: tuple) -> pa.RecordBatch:
-            y, z = (np.concatenate(v) for v in zip(*held.pop(key), strict=True))
-            return pa.RecordBatch.from_pydict({"mask": [key[1]], "fold": pa.array([key[0]], pa.int32()), "n": pa.array([len(y)], pa.int32()), "y": pa.array([y.tobytes()], pa.binary()), "z": pa.array([z.tobytes()], pa.binary())})
+            y, z, w = distinct(held.pop(key))
+            return pa.RecordBatch.from_pydict({"mask": [key[1]], "fold": pa.array([key[0]], pa.int32()), "n": pa.array([len(y)], pa.int32()), "y": pa.array([y.tobytes()], pa.binary()), "z": pa.array([z.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary())})
 
         for batch in batches:
             x = np.stack([batch.column(2 + j).to_numpy(zero_copy_only=False).astype(float) for j in range(width)], 1) if width else np.zeros((batch.num_rows, 0))
@@ -106,17 +119,21 @@ def blocks(df: DataFrame, features: list[str], label: str, center: np.ndarray, s
             for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
                 if len(at):
                     key = (int(own[at[0]]), "".join("01"[int(g)] for g in gone[at[0]]))
-                    held.setdefault(key, []).append((y[at], z[at]))
-                    size += z[at].nbytes + 8 * len(at)
-                    if sum(len(v) for v, _ in held[key]) >= BLOCK_ROWS:
-                        size -= sum(8 * len(v) * (1 + width) for v, _ in held[key])
-                        yield packed(key)
+                    held.setdefault(key, []).append((y[at], z[at], np.ones(len(at))))
+                    size += 8 * len(at) * (2 + width)
+                    if sum(len(v) for v, _, _ in held[key]) >= BLOCK_ROWS:
+                        size -= sum(8 * len(v) * (2 + width) for v, _, _ in held[key])
+                        held[key] = [distinct(held[key])]
+                        if len(held[key][0][0]) > BLOCK_ROWS // 2:
+                            yield packed(key)
+                        else:
+                            size += 8 * len(held[key][0][0]) * (2 + width)
             if size > HELD_BYTES:
                 yield from [packed(key) for key in list(held)]
                 size = 0
         yield from [packed(key) for key in list(held)]
 
-    return rows.mapInArrow(run, "mask string, fold int, n int, y binary, z binary")
+    return rows.mapInArrow(run, "mask string, fold int, n int, y binary, z binary, w binary")
 
 
 def views(mu: np.ndarray, sigma: np.ndarray, masks: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,6 +179,7 @@ def score_many(packed: DataFrame, seen, thetas: np.ndarray, left_out: np.ndarray
             for r in batch.to_pylist():
                 y = np.frombuffer(r["y"])
                 z = np.frombuffer(r["z"]).reshape(r["n"], width)
+                weight = np.frombuffer(r["w"])
                 sign = 2 * y - 1
                 for i, theta in enumerate(thetas):
                     if left_out is not None and (r["fold"] == left_out[i]) != only:
@@ -170,7 +188,7 @@ def score_many(packed: DataFrame, seen, thetas: np.ndarray, left_out: np.ndarray
                     beta = theta[1:]
                     mb = cov @ beta
                     u = 2 * mb
-                    value, a, v, aa, av, vv = _derivatives(theta[0] + shift @ beta + z @ (lin.T @ beta), sign, float(beta @ mb))
+                    value, a, v, aa, av, vv = (weight * d for d in _derivatives(theta[0] + shift @ beta + z @ (lin.T @ beta), sign, float(beta @ mb)))
                     f = lambda w: lin @ (z.T @ w) + shift * w.sum()  # noqa: B023, E731
                     g = np.concatenate([[a.sum()], f(a) + u * v.sum()])
                     h = np.zeros((width + 1, width + 1))

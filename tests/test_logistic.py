@@ -92,3 +92,12 @@ def test_degenerate_tables(spark):
     assert m.coef.tolist() == [0.0] and np.isclose(m.intercept, np.log(2), atol=1e-6)
     cv = logistic.cross_validate(df.withColumn("k", F.monotonically_increasing_id()), "k", ["a"], "y", [(1.0, 0.0)], 2)
     assert cv.count() == 2
+
+
+def test_equal_rows_are_one_weighted_row(spark):
+    """Repeated rows take a block's place once, and count as often as they come."""
+    rows = [(i, float(i % 5) if i % 4 else None, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, x double, b boolean").selectExpr("k", "x", "CAST(b AS INT) AS b").coalesce(1)
+    packed = logistic.blocks(df, ["x"], "b", np.zeros(1), np.ones(1)).collect()
+    assert sum(np.frombuffer(r.w).sum() for r in packed) == 3000
+    assert sum(r.n for r in packed) == len({(x, b) for _, x, b in rows})
