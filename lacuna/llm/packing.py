@@ -14,7 +14,6 @@ unfinished window is carried from block to block and only its last is partial.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,13 @@ REMEMBERED = 1_500_000
 _SEQUENCES = 1 << 33
 _GRID = 256
 #: Texts with other white space than single blanks and newlines between words, or with what may be a special token, are encoded as a whole.
-_ODD = re.compile(r"[\x00\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n\n| \n|\n |<\||^[ \n]|[ \n]\Z")
+_ODD = tuple("\x00\x01\t\x0b\x0c\r\x1c\x1d\x1e\x1f") + ("  ", "\n\n", " \n", "\n ", "<|")
+_ODD_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def odd(text: str) -> bool:
+    """Whether a text that is not empty must be encoded as a whole; plain searches, as a pattern takes far longer."""
+    return text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD)) or not text.isascii() and any(map(text.__contains__, _ODD_WIDE))
 
 
 class _Places(dict):
@@ -113,7 +118,7 @@ class Encoder:
             self._clear()
         places: list[np.ndarray | None] = []
         for text in texts:
-            if not text or _ODD.search(text):
+            if not text or odd(text):
                 places.append(None)
                 continue
             units = text.replace("\n", " \n").split(" ")

@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 
 import numpy as np
@@ -79,3 +81,28 @@ def test_plan_is_optimal(gaps, seed):
         cost[p] = min(cost[q] + pad(p - q) + c for q in cost if p - q <= length)
     got = sum(pad(b - a) for a, b in zip([0, *chosen], chosen, strict=False)) + sum(int(penalty[np.searchsorted(at, p)]) for p in chosen)
     assert got == cost[int(ends[-1])]
+
+
+@given(st.text(alphabet="ab \n\t\r\x00\x01\x0b\x1c\x85\xa0 ​　\xe9<|", min_size=1, max_size=12))
+@settings(max_examples=2000, deadline=None)
+def test_odd_texts_are_those_of_the_pattern(text):
+    pattern = r"[\x00\x01\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]|  |\n\n| \n|\n |<\||^[ \n]|[ \n]\Z"
+    assert packing.odd(text) == bool(re.search(pattern, text))
+
+
+def test_telling_odd_texts_takes_little_of_the_time():
+    text = "Plain words, é one after another. " * 3000 + "end"
+    places = "".join(text.replace("\n", " \n").split(" "))
+
+    def took(run):
+        began = time.process_time()
+        for _ in range(20):
+            run()
+        return time.process_time() - began
+
+    assert places and took(lambda: packing.odd(text)) < took(lambda: text.replace("\n", " \n").split(" "))
+
+
+def test_every_white_space_is_odd():
+    plain = {" ", "\n"}
+    assert all(packing.odd(f"a{chr(c)}b") == (chr(c).isspace() and chr(c) not in plain or c < 2) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
