@@ -40,8 +40,9 @@ def fill_neighbors(train: DataFrame, rows: DataFrame, features: list[str], key:
     found = neighbors.nearest(base, neighbors.expected(lacking, features, (key,), *place), "_row", key, len(features), k + 1)
     found = found.filter(F.col("query") != F.col("_row"))
     cells = train.select(F.col(key).alias("_r"), *[F.col(c).alias(f"_v_{c}") for c in features])
-    means_of = found.join(cells, F.col("_row") == F.col("_r")).groupBy(F.col("query").alias("_q")).agg(*[F.avg(f"_v_{c}").alias(f"_f_{c}") for c in features])
-    out = rows.join(means_of, F.col(key) == F.col("_q"), "left")
+    # both sides grow with the table, so neither is sent through the driver
+    means_of = found.join(cells.hint("merge"), F.col("_row") == F.col("_r")).groupBy(F.col("query").alias("_q")).agg(*[F.avg(f"_v_{c}").alias(f"_f_{c}") for c in features])
+    out = rows.join(means_of.hint("merge"), F.col(key) == F.col("_q"), "left")
     put = {c: F.coalesce(F.col(c), F.col(f"_f_{c}"), F.lit(float(means[c] or 0.0))) for c in features}
     return out.withColumns(put).drop("_q", *[f"_f_{c}" for c in features])
 

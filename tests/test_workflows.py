@@ -185,3 +185,10 @@ def test_degenerate_tables(spark, family, task):
 def test_fits_do_not_depend_on_the_order_of_rows(table):
     t = conformance.deterministic(table, "k", lambda d: Estimator("ridge").fit(d, X, "y")).collect()
     assert len(t) == 2 and all(r.same for r in t)
+
+
+def test_neighbour_filling_sends_no_table_through_the_driver(spark):
+    df = spark.range(400).selectExpr("id AS k", "if(id % 5 = 0, NULL, cast(id % 37 as double)) AS a", "cast(id % 11 as double) AS b")
+    filled = arms.fill_neighbors(df, df, ["a", "b"], "k")
+    assert "BroadcastHashJoin" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert filled.count() == 400 and filled.filter("a IS NULL").count() == 0
