@@ -18,7 +18,7 @@ from lacuna.llm.shared import materialise, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of at least this toxicity are rejected.
 TOXIC = 0.5
-#: Units that a worker remembers between partitions while packing; other stages use the same workers.
+#: Units that a worker remembers while packing a partition; other stages use the same workers, so it keeps nothing beyond.
 REMEMBERED = 150_000
 
 
@@ -69,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end token alone; repeated rows are documents of
     their own; very long texts run over as many sequences as they need.
     """
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remember=REMEMBERED)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remember=REMEMBERED, keep=False)
 
 
 STAGES = [

@@ -209,7 +209,7 @@ _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset
 SCHEMA = "doc_id {}, " + ", ".join(f"{c} long" for c in _COLUMNS)
 
 
-def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: bool, remember: int):
+def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: bool, remember: int, keep: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         sequence = TaskContext.get().partitionId() * _SEQUENCES
@@ -268,13 +268,15 @@ def _pack(path: str, length: int, end_id: int, id_type: pa.DataType, with_ids: b
                     yield out
         if held and (out := flush(True)) is not None:
             yield out
-        if len(coder.of) > remember:
+        if not keep:
+            _encoders.pop(path, None)
+        elif len(coder.of) > remember:
             coder._clear()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = False, remember: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor can
@@ -284,10 +286,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     null doc_ids (of any plain type) are documents of their own; other columns are ignored; an empty
     table has no pieces.  A sequence is padded to ``length`` unless its length is
     a power of two.  ``remember`` bounds the units that a worker keeps between
-    partitions (about 200 bytes each).
+    partitions (about 200 bytes each); with ``keep=False`` it keeps neither them nor the tokenizer.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     schema = SCHEMA.format(kind.simpleString()) + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(tidied(_pack(tokenizer, length, end_id, id_type, with_ids, remember)), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(_pack(tokenizer, length, end_id, id_type, with_ids, remember, keep)), schema)

@@ -1,9 +1,11 @@
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -106,3 +108,10 @@ def test_telling_odd_texts_takes_little_of_the_time():
 def test_every_white_space_is_odd():
     plain = {" ", "\n"}
     assert all(packing.odd(f"a{chr(c)}b") == (chr(c).isspace() and chr(c) not in plain or c < 2) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def test_a_worker_that_is_to_keep_nothing_drops_its_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    rows = [[b.to_pylist() for b in packing._pack(PATH, 1024, 0, pa.int64(), True, 10, keep)(iter([batch]))] for keep in (True, False) if not packing._encoders.clear()]
+    assert rows[0] == rows[1] and not packing._encoders
