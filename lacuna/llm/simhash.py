@@ -503,8 +503,9 @@ def postings(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     (beyond ``MOST`` by hash).  The sets are written once in chunks; a chunk's
     distinct hashes are dealt by range, five bytes each, counted there, and the
     counts, mostly ones and so nothing when packed, come back to the chunks, which
-    lie in buckets and do not move.  Nothing grows with the corpus but the number
-    of chunks and ranges, and a shingle that all texts have is one number a chunk.
+    lie in buckets and do not move: the counts are dealt into as many parts by the
+    same key.  Nothing grows with the corpus but the number of chunks and ranges,
+    and a shingle that all texts have is one number a chunk.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.select(F.sum(F.length("text"))).first()[0] or 0  # about six characters a word, and a shingle a word
@@ -513,7 +514,8 @@ def postings(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     name, chunks = bucketed(docs.select("doc_id", "text").mapInArrow(tidied(_chunked(size)), f"chunk long, ids array<{kind}>, n array<int>, fp array<long>, hashes binary"), "chunk", buckets)
     dealt = chunks.select("chunk", "hashes").mapInArrow(tidied(_dealt(bits)), "range long, chunk long, hashes binary, counts binary")
     counted = dealt.groupBy("range").applyInArrow(_counted, "chunk long, range long, counts binary")
-    answers = counted.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("counts"))
+    # dealt into the buckets: where the shuffle has more partitions than there are buckets, the join would shuffle the chunks to match it
+    answers = counted.repartition(buckets, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("counts"))
     answers = answers.select("chunk", F.transform("counts", lambda c: F.struct(c["counts"].alias("counts"))).alias("counts"))
     found = materialise(chunks.join(answers.hint("shuffle_hash"), "chunk").mapInArrow(tidied(_first(similarity)), f"id {kind}, n int, fp long, pos int, x long"))
     discard(name)

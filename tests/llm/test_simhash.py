@@ -122,6 +122,22 @@ def test_postings_are_the_prefixes_by_exact_counts(spark, monkeypatch, chunk):
     assert simhash.postings(df.limit(0), 5, 0.8).collect() == []
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 9])
+def test_chunks_do_not_move(spark, monkeypatch, buckets):
+    """With fewer or more buckets than the shuffle has partitions: only hashes by range and their counts are shuffled."""
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} common words here w{i // 3} w{i // 2} w{i // 3} end of it" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(simhash, "CHUNK_HASHES", 50)
+    want = {tuple(r) for r in simhash.postings(df, 5, 0.8).collect()}
+    plans, own = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df))
+    monkeypatch.setattr(simhash, "BUCKET_HASHES", sum(map(len, texts)) / 6 / (buckets - 0.5))
+    assert {tuple(r) for r in simhash.postings(df, 5, 0.8).collect()} == want and want
+    (plan,) = plans
+    assert plan.count("Bucketed: true") == 2 and "Bucketed: false" not in plan
+    assert plan.count("- Exchange ") == 2 and plan.count("REPARTITION_BY_NUM") == 1
+
+
 def test_edges_of_input(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e", "y"), (4, "A b\tC d e", "y"), (4, "A b\tC d e", "y"), (9, "one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
