@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lacuna.llm.components import components
-from lacuna.llm.shared import bucketed, discard, materialise, small_batches, sweep, tidied
+from lacuna.llm.shared import batches_of, bucketed, discard, materialise, small_batches, sweep, tidied
 
 SEED = 42
 #: More distinct fingerprints of one pattern under a mask are dealt once more.
@@ -403,6 +403,8 @@ CHUNK_HASHES = 1 << 17
 RANGE_HASHES = 1_000_000
 BUCKET_HASHES = 4_000_000
 MAX_RANGES = 1 << 16
+#: Bytes of an Arrow batch of chunks, each about a megabyte.
+CHUNK_BATCH = 2 << 20
 #: A range's hashes travel as so many bytes each; what stands below them does not (two hashes may then seem one, which only costs work).
 PACKED_BYTES = 5
 #: Counts that reach so far are not told apart; they order shingles that are none of the rare ones.
@@ -517,7 +519,8 @@ def postings(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     # dealt into the buckets: where the shuffle has more partitions than there are buckets, the join would shuffle the chunks to match it
     answers = counted.repartition(buckets, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("counts"))
     answers = answers.select("chunk", F.transform("counts", lambda c: F.struct(c["counts"].alias("counts"))).alias("counts"))
-    found = materialise(chunks.join(answers.hint("shuffle_hash"), "chunk").mapInArrow(tidied(_first(similarity)), f"id {kind}, n int, fp long, pos int, x long"))
+    with batches_of(docs.sparkSession, CHUNK_BATCH):
+        found = materialise(chunks.join(answers.hint("shuffle_hash"), "chunk").mapInArrow(tidied(_first(similarity)), f"id {kind}, n int, fp long, pos int, x long"))
     discard(name)
     return found
 

@@ -138,6 +138,18 @@ def test_chunks_do_not_move(spark, monkeypatch, buckets):
     assert plan.count("- Exchange ") == 2 and plan.count("REPARTITION_BY_NUM") == 1
 
 
+def test_batches_of_chunks_are_small(spark, monkeypatch):
+    """While chunks pass through Python a batch holds two or so; afterwards the session has its own bound again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held, own = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: held.append(spark.conf.get(key)) or own(df))
+    simhash.small_batches(spark)
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(9)], "doc_id long, text string")
+    simhash.postings(df, 5, 0.8)
+    assert held == [str(simhash.CHUNK_BATCH)] and spark.conf.get(key) == before != held[0]
+
+
 def test_edges_of_input(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e", "y"), (4, "A b\tC d e", "y"), (4, "A b\tC d e", "y"), (9, "one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
