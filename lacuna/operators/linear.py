@@ -105,9 +105,13 @@ def label_blocks(p: Patterns, mu: np.ndarray, sigma: np.ndarray) -> list[tuple[f
     return out
 
 
+#: Least log sigma of a fit, on the standardised scale: where features give the label exactly the likelihood has no maximum, and this is its end.
+LEAST = -14.0
+
+
 def objective(blocks: list[tuple[float, np.ndarray, np.ndarray]], theta: np.ndarray, l2: float = 0.0) -> tuple[float, np.ndarray]:
     """Negative log-likelihood of y given the features, theta = (intercept, coefficients, log sigma), with its gradient."""
-    beta, s2 = theta[1:-1], math.exp(2 * max(float(theta[-1]), -14.0))
+    beta, s2 = theta[1:-1], math.exp(2 * min(max(float(theta[-1]), LEAST), 100.0))
     value = 0.5 * l2 * beta @ beta
     grad = np.zeros_like(theta)
     grad[1:-1] = l2 * beta
@@ -123,16 +127,54 @@ def objective(blocks: list[tuple[float, np.ndarray, np.ndarray]], theta: np.ndar
     return value, grad
 
 
-def _sharpened(gradient, theta: np.ndarray, steps: int = 8, eps: float = 1e-5) -> np.ndarray:
-    """Newton steps on the gradient while it shrinks: it still has digits where the value of many rows has none left."""
-    grad = gradient(theta)
+def curvature(blocks: list[tuple[float, np.ndarray, np.ndarray]], theta: np.ndarray, l2: float = 0.0) -> np.ndarray:
+    """Second derivatives of ``objective``."""
+    beta, s2 = theta[1:-1], math.exp(2 * min(max(float(theta[-1]), LEAST), 100.0))
+    out = np.diag(np.concatenate([[0.0], np.full(len(beta), l2), [0.0]]))
+    u = np.concatenate([-theta[:-1], [1.0]])
+    for n, q, c in blocks:
+        v = s2 + beta @ c @ beta
+        rss = u @ q @ u
+        w, slope = 0.5 * n / v - 0.5 * rss / v**2, rss / v**3 - 0.5 * n / v**2
+        of_v = np.concatenate([[0.0], 2 * c @ beta, [2 * s2]])
+        of_rss = np.concatenate([-2 * (q @ u)[:-1], [0.0]])
+        cross = np.outer(of_rss, of_v) / (2 * v**2)
+        out += slope * np.outer(of_v, of_v) - cross - cross.T
+        out[:-1, :-1] += q[:-1, :-1] / v
+        out[1:-1, 1:-1] += 2 * w * c
+        out[-1, -1] += 4 * s2 * w
+    return out
+
+
+def _sharpened(blocks: list[tuple[float, np.ndarray, np.ndarray]], theta: np.ndarray, l2: float, steps: int = 60) -> np.ndarray:
+    """Newton steps from where the search ended, while the value falls or, as that of many rows has no digits left, the gradient does.
+
+    Steps that raise the value are halved and log sigma stays at or above
+    ``LEAST``, so that a label without noise ends there in place of running away.
+    """
+    value, grad = objective(blocks, theta, l2)
     for _ in range(steps):
-        h = np.stack([(gradient(theta + e) - gradient(theta - e)) / (2 * eps) for e in eps * np.eye(len(theta))])
-        trial = theta - np.linalg.pinv((h + h.T) / 2, hermitian=True) @ grad
-        new = gradient(trial)
-        if not np.abs(new).max() < np.abs(grad).max():
+        h = curvature(blocks, theta, l2)
+        on = np.arange(len(theta) - (theta[-1] <= LEAST and grad[-1] > 0))
+        unit = 1 / np.sqrt(np.maximum(np.abs(np.diag(h)[on]), 1e-300))
+        if not np.isfinite(h).all():
+            break
+        low, vectors = np.linalg.eigh(unit[:, None] * h[np.ix_(on, on)] * unit)
+        move = np.zeros_like(theta)
+        move[on] = -unit * (vectors @ (vectors.T @ (unit * grad[on]) / np.maximum(np.abs(low), 1e-12)))
+        move *= min(1.0, 2 / max(abs(float(move[-1])), 1e-300))
+        noise, taken = 1e-12 * (1 + abs(value)), False
+        for _ in range(30):
+            trial = theta + move
+            trial[-1] = max(trial[-1], LEAST)
+            new, new_grad = objective(blocks, trial, l2)
+            if np.isfinite(new) and np.isfinite(new_grad).all() and new <= value + noise:
+                taken = new < value - noise or np.abs(unit * new_grad[on]).max() < np.abs(unit * grad[on]).max()
+                break
+            move = move / 2
+        if not taken:
             break
-        theta, grad = trial, new
+        theta, value, grad = trial, new, new_grad
     return theta
 
 
@@ -173,12 +215,12 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.0, l1: flo
 
         b = start[1:-1]
         t0 = np.concatenate([start[:1], np.maximum(b, 0), np.maximum(-b, 0), start[-1:]])
-        lower = np.concatenate([[-np.inf], np.zeros(2 * width), [-np.inf]])
+        lower = np.concatenate([[-np.inf], np.zeros(2 * width), [LEAST]])
         t, _ = lbfgs(split, t0, 500, 1e-7, lower=lower)
         theta = np.concatenate([t[:1], t[1 : width + 1] - t[width + 1 : -1], t[-1:]])
     else:
-        theta, _ = lbfgs(lambda t: objective(blocks, t, l2), start, 300, 1e-8)
-        theta = _sharpened(lambda t: objective(blocks, t, l2)[1], theta)
+        theta, _ = lbfgs(lambda t: objective(blocks, t, l2), start, 300, 1e-8, lower=np.append(np.full(width + 1, -np.inf), LEAST))
+        theta = _sharpened(blocks, theta, l2)
     se: list[float | None] = [None] * (width + 2)
     if compute_se:
         # with a lasso: the coefficients that are not 0 move as the smooth part has it, where the penalty is linear; the others do not move

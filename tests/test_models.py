@@ -266,3 +266,26 @@ def test_all_pairs_in_blocks(spark, monkeypatch):
     s = [0.25 * (i % 3 == 0) for i in range(61)]
     assert len(got) == 61**2
     assert all(abs(v - (1.0 if a == b else math.exp(-0.1 * ((a - b) ** 2 / 4 + s[a] + s[b])))) < 1e-12 for (a, b), v in got.items())
+
+
+@pytest.fixture(scope="module")
+def exact(spark):
+    """A label that two correlated features give without noise, x1 with gaps."""
+    t = spark.range(2000).selectExpr("id AS k", "CAST(id * 7 % 50 + 1 AS DOUBLE) AS s", "900 + id % 1000 * 0.1D AS y")
+    return t.selectExpr("k", "CASE WHEN k % 6 > 0 THEN s END AS x1", "s + 0.1D * y AS x2", "y").cache()
+
+
+def test_exact_label_unpenalised(exact):
+    """The likelihood has no maximum there: the fit ends at the relation, with the least spread."""
+    m = linear.fit(exact.filter("x1 IS NOT NULL"), ["x1", "x2"], "y", compute_se=False)
+    assert np.allclose([m.intercept, *m.coef], [0, -10, 10], atol=1e-5) and 0 < m.sigma2 < 1e-8
+
+
+def test_curvature_is_the_slope_of_the_gradient():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    a = np.column_stack([np.ones(300), x, x @ [1.0, -2.0] + rng.normal(size=300)])
+    blocks = [(300.0, a.T @ a, np.zeros((2, 2))), (300.0, a.T @ a * 1.1, np.diag([0.2, 0.0]))]
+    theta, eps = np.array([0.1, 0.9, -1.7, -0.5]), 1e-6
+    slopes = [(linear.objective(blocks, theta + e, 1.0)[1] - linear.objective(blocks, theta - e, 1.0)[1]) / (2 * eps) for e in eps * np.eye(4)]
+    assert np.allclose(linear.curvature(blocks, theta, 1.0), slopes, rtol=1e-6, atol=1e-4)
