@@ -281,6 +281,12 @@ def test_exact_label_unpenalised(exact):
     assert np.allclose([m.intercept, *m.coef], [0, -10, 10], atol=1e-5) and 0 < m.sigma2 < 1e-8
 
 
+def test_exact_label_of_bagged_rows_with_gaps(exact):
+    models = ensemble.bagged(exact, "k", lambda d: linear.fit(d, ["x1", "x2"], "y", l2=1.0, compute_se=False), 3)
+    for m in models:
+        assert np.allclose([m.intercept, *m.coef], [0, -10, 10], atol=1e-4) and 0 < m.sigma2 < 1e-8
+
+
 def test_curvature_is_the_slope_of_the_gradient():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 2))
