@@ -295,3 +295,13 @@ def test_curvature_is_the_slope_of_the_gradient():
     theta, eps = np.array([0.1, 0.9, -1.7, -0.5]), 1e-6
     slopes = [(linear.objective(blocks, theta + e, 1.0)[1] - linear.objective(blocks, theta - e, 1.0)[1]) / (2 * eps) for e in eps * np.eye(4)]
     assert np.allclose(linear.curvature(blocks, theta, 1.0), slopes, rtol=1e-6, atol=1e-4)
+
+
+def test_pairs_are_not_replicated_by_a_shuffle(spark, monkeypatch):
+    """A row is shuffled once, however many parts there are, and no side is broadcast."""
+    monkeypatch.setattr(neighbors, "PAIR_ROWS", 7)
+    df = spark.range(61).selectExpr("id AS k", "id * 0.5D AS f0", "0D AS s")
+    for pairs in (neighbors.gram(df, "k", 1, 0.1), neighbors.paired(df, "k")):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
+        assert pairs.count() == 61**2
