@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lacuna.functions import numerics
 from lacuna.operators import diagnostics, ensemble, kernels, linear, logistic, mixed, neighbors, process, resampling, results
@@ -305,3 +306,28 @@ def test_pairs_are_not_replicated_by_a_shuffle(spark, monkeypatch):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
         assert pairs.count() == 61**2
+
+
+def test_equal_rows_meet_once(spark, monkeypatch):
+    """A function of two rows is evaluated once for all their equals; keys and values may be null or NaN."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def product(x, y):
+        calls.add(1)
+        return None if x is None or y is None else x * y
+
+    df = spark.createDataFrame([(None if i == 5 else i, [0.5, 0.25, None, float("nan"), 1.0][i % 5]) for i in range(400)], "k long, x double")
+    got = neighbors.over_pairs(df, "k", {"v": F.udf(product, "double")("x", "other_x")}).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 160_000
+    value = {r.k: r.x for r in df.collect()}
+    for r in got[::97]:
+        want = product(value[r.a], value[r.b])
+        assert r.v == want or (want != want and r.v != r.v)
+    assert calls.value < 40_000
+
+
+def test_rounding_of_kernels_equals_round(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.random(20_000), *(np.arange(2001) / 2e6), *(0.123456 + np.arange(-50, 51) * 1e-9), 0.0, 1.0, 0.9999995, 1e-300, float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    assert df.filter(~neighbors.rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6))).count() == 0
