@@ -331,3 +331,29 @@ def test_rounding_of_kernels_equals_round(spark):
     values = [*rng.random(20_000), *(np.arange(2001) / 2e6), *(0.123456 + np.arange(-50, 51) * 1e-9), 0.0, 1.0, 0.9999995, 1e-300, float("nan"), None]
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
     assert df.filter(~neighbors.rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6))).count() == 0
+
+
+def test_triangles_in_blocks():
+    rng = np.random.default_rng(4)
+    low = np.tril(rng.normal(size=(11, 11))) + 4 * np.eye(11)
+    b = rng.normal(size=(11, 3))
+    assert np.allclose(low @ numerics.solve_lower(low, b, 4), b) and np.allclose(low.T @ numerics.solve_upper(low, b[:, 0], 4), b[:, 0])
+    assert np.allclose(numerics.inverse_lower(low, 4) @ low, np.eye(11))
+
+
+def test_process_classification_of_many_distinct_rows(spark, monkeypatch):
+    """More distinct rows than exact regressions take, with gaps, in several tiles: the result of one tile."""
+    monkeypatch.setattr(kernels, "MAX_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 2))
+    rows = [(i, None if i % 6 == 0 else float(a), float(b), int(a + b > 0)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, x0 double, x1 double, y int")
+    found = []
+    for tile in (256, 13):
+        monkeypatch.setattr(process, "TILE", tile)
+        m = process.fit(df, ["x0", "x1"], "y", "classification", "matern52", restarts=0, steps=8)
+        found.append((m.value, *m.posterior(x)[0]))
+    assert len(m.rows) == 90 and np.allclose(*found, atol=1e-6)
+    assert np.mean((m.posterior(x)[0] > 0) == (x.sum(1) > 0)) > 0.9
+    scored = m.transform(df)
+    assert scored.count() == 90 and scored.filter("probability BETWEEN 0 AND 1").count() == 90
